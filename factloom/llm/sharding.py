@@ -10,7 +10,7 @@ Defined results: rows of one ``doc_id`` go to one shard; a null id is a key of i
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +30,21 @@ def tree(shards: int, rack: int = RACK, region: int = REGION) -> list[Leaf]:
     return [(f"region{s // region}", f"rack{s // rack}", s, 1.0) for s in range(shards)]
 
 
-def _draw(key: Column, children: list[tuple[object, float, str]], kind: str) -> Column:
-    """The child with the shortest waiting time. ``children``: value, weight and path of each."""
+Child = tuple[str, float]
 
-    def time(weight: float, path: str) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11).cast("double") + 0.5) / float(1 << 53)
-        return -F.log(u) / weight
 
-    drawn = [F.struct(time(w, path).alias("t"), F.lit(v).cast(kind).alias("v")) for v, w, path in children if w > 0]
-    return (F.array_min(F.array(*drawn)) if len(drawn) > 1 else drawn[0])["v"]
+def _draw(key: Column, children: Column) -> Column:
+    """The path of the child with the shortest waiting time. ``children``: an array of path and weight."""
+
+    def time(child: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, child["path"]), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.log(u) / child["weight"]).alias("t"), child["path"].alias("path"))
+
+    return F.array_min(F.transform(children, time))["path"]
+
+
+def _children(nodes: list[Child]) -> Column:
+    return F.array(*(F.struct(F.lit(p).alias("path"), F.lit(float(w)).alias("weight")) for p, w in nodes if w > 0))
 
 
 def _level(leaves: list[Leaf], depth: int) -> dict[tuple, float]:
@@ -53,18 +59,17 @@ def shard_of(df: DataFrame, key: Column, leaves: list[Leaf], out: str = "shard")
     """``df`` with the shard of each row's ``key``."""
     if not leaves or len({leaf[2] for leaf in leaves}) < len(leaves):
         raise ValueError("shards must be there and differ")
-    paths = {1: _level(leaves, 1), 2: _level(leaves, 2), 3: _level(leaves, 3)}
-    names = [f"{out}_region", f"{out}_rack"]
     name = lambda p: "/".join(map(str, p))
-    df = df.withColumn(names[0], _draw(key, [(name(p), w, name(p)) for p, w in paths[1].items()], "string"))
-    for depth, column, kind in ((2, names[1], "string"), (3, out, "int")):
-        at = F.col(names[depth - 2])
-        picks = []
-        for parent in paths[depth - 1]:
-            below = [((name(p) if depth == 2 else p[2]), w, name(p)) for p, w in paths[depth].items() if p[:-1] == parent]
-            picks.append((name(parent), _draw(key, below, kind)))
-        df = df.withColumn(column, reduce(lambda e, kv: F.when(at == kv[0], kv[1]).otherwise(e), picks, F.lit(None).cast(kind)))
-    return df.drop(*names)
+    at, made = F.lit(""), []
+    for depth in (1, 2, 3):
+        below: dict[str, list[Child]] = {}
+        for path, weight in _level(leaves, depth).items():
+            below.setdefault(name(path[:-1]), []).append((name(path), weight))
+        known = F.create_map(*chain.from_iterable((F.lit(p), _children(c)) for p, c in below.items()))
+        made.append(f"{out}_{depth}")
+        df = df.withColumn(made[-1], _draw(key, F.element_at(known, at)))
+        at = F.col(made[-1])
+    return df.withColumn(out, F.element_at(F.split(at, "/"), -1).cast("int")).drop(*made)
 
 
 def with_slots(df: DataFrame, shard: str = "shard") -> DataFrame:
