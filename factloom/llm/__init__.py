@@ -73,3 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
     return {"op4_quality": quality.ORACLE, "op6_substrings": substrings.ORACLE, "op7_preferences": preferences.ORACLE, "op9_urls": urls.ORACLE}
+
+
+def model_names() -> tuple[str, str]:
+    """Names of the two vocabulary files that the queries use."""
+    return BYTE_BPE, PIECE_BPE
