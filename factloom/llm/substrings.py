@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from factloom.llm import frames
 
 WINDOW, ANCHOR = 20, 8
-#: Bytes of text worked on at once.
-PIECE = 4 << 20
+#: Bytes of text worked on at once, and bytes hashed at once.
+PIECE, RUN = 4 << 20, 1 << 20
 #: Bits of the filter: 16 for each repeated anchor, and this many (32 MB) at most.
 FILTER_BITS = 1 << 28
 PROBES = 4
@@ -84,7 +84,7 @@ class Hasher:
         out = np.zeros(len(starts), dtype=_U)
         first = 0
         while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, side="right")))
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + RUN, side="right")))
             lo, hi = starts[first], ends[last - 1]
             up, down = self._table(0, int(hi - lo))
             s, e = starts[first:last] - lo, ends[first:last] - lo
@@ -123,7 +123,7 @@ class Piece:
         self.whole = text[:n] == text[WINDOW - 1 :] if n else np.zeros(0, bool)  # the window ends in the text it begins in
         self.text = text
         short = hasher.runs(self.words, ANCHOR)
-        self.short, self.anchors = short, _least(short, WINDOW - ANCHOR + 1)
+        self.short, self.anchors = frames.mixed(short), frames.mixed(_least(short, WINDOW - ANCHOR + 1))  # least values lie low; scrambled they spread
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, and which may stand for two windows already in this piece.
@@ -139,10 +139,20 @@ class Piece:
         return once, (times > 1) | np.isin(once, np.concatenate(again) if again else once[:0])
 
 
-def _slices(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted values cross into the next of ``buckets`` equal ranges of 64-bit values."""
-    cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=_U)
-    return np.concatenate([[0], np.searchsorted(values, cuts), [len(values)]])
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of ``buckets`` equal ranges of 64-bit values each of ``values`` lies in."""
+    return ((values >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of equal rows of sorted ``keys``."""
+    n = len(keys[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], n)[: len(first)]
 
 
 def _filter_places(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -160,10 +170,10 @@ def _anchor_filter(rows: DataFrame, buckets: int) -> list[np.ndarray]:
         for batch in batches:
             for part in frames.slices(batch, "text", PIECE):
                 once, twice = Piece(part, hasher).counted()
-                cuts = _slices(once, buckets)
-                full = np.flatnonzero(np.diff(cuts))
+                bucket = _bucket(once, buckets)
+                spans_ = list(zip(*_groups(bucket), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([once[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary())],
+                    [pa.array([bucket[i] for i, _ in spans_], pa.int32()), pa.array([once[i:j].tobytes() for i, j in spans_], pa.binary()), pa.array([np.packbits(twice[i:j]).tobytes() for i, j in spans_], pa.binary())],
                     names=["bucket", "anchors", "twice"],
                 )
 
@@ -181,7 +191,7 @@ def _anchor_filter(rows: DataFrame, buckets: int) -> list[np.ndarray]:
     sent = rows.mapInArrow(send, "bucket int, anchors binary, twice binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     met = frames.cut(sent.mapInArrow(meet, "bucket int, anchors binary"))
     total = met.agg(F.coalesce(F.sum(F.length("anchors")), F.lit(0))).first()[0] // 8
-    bits = max(64, 1 << (min(16 * total, FILTER_BITS) // buckets).bit_length() - 1)
+    bits = max(64, 1 << max(0, (min(16 * total, FILTER_BITS) // buckets).bit_length() - 1))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,122 +221,135 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, rows
 
 
-_FIELDS = (("h1", _U), ("h2", np.uint32), ("doc", np.int64), ("mark", np.uint32), ("start", np.uint32))
+_PLACE = (("doc", np.int64), ("mark", np.uint32), ("start", np.uint32))
+_FIELDS = (("h1", _U), ("h2", np.uint32), *_PLACE)
+
+
+def _late(cols: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Windows in order of hash, document and start, and which of them have an earlier one of their hash."""
+    order = np.lexsort((cols["start"], cols["doc"], cols["h2"], cols["h1"]))
+    cols = {k: v[order] for k, v in cols.items()}
+    first, end = _groups(cols["h1"], cols["h2"])
+    head = np.repeat(first, end - first)
+    return cols, (cols["doc"] != cols["doc"][head]) | (cols["start"] != cols["start"][head])  # equal rows keep their equal starts: none is earlier
+
+
+def _packed(key: np.ndarray, cols: dict[str, np.ndarray], fields: tuple) -> list[list]:
+    """A row for each value of ``key``, its columns packed in document order, in which they compress best."""
+    order = np.lexsort((cols["start"], cols["doc"], key))
+    key = key[order]
+    cols = {k: v[order] for k, v in cols.items()}
+    return [[int(key[i]), *(cols[k][i:j].astype(t).tobytes() for k, t in fields)] for i, j in zip(*_groups(key), strict=True)]
+
+
+def _home(doc: np.ndarray, parts: int) -> np.ndarray:
+    """The partition that gathers a document's starts."""
+    return _bucket(frames.mixed(doc.view(_U)), parts)
+
 
+def _batch(rows: list[list], fields: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i + 1] for r in rows], pa.binary()) for i in range(len(fields)))], names=["bucket", *(k for k, _ in fields)])
 
-def _candidates(rows: DataFrame, filters: list[np.ndarray]) -> DataFrame:
-    """Packed windows that may be repeated, by bucket of their hash, and starts already known to be repeated (in bucket -1 - k)."""
+
+def _schema(fields: tuple) -> str:
+    return "bucket int, " + ", ".join(f"{k} binary" for k, _ in fields)
+
+
+def _candidates(rows: DataFrame, filters: list[np.ndarray], homes: int) -> DataFrame:
+    """Packed windows that may be repeated, by bucket of their hash; and those known to be, in bucket ``-1 - home``."""
     buckets, bits = len(filters), 8 * len(filters[0])
     known = rows.sparkSession.sparkContext.broadcast(np.concatenate(filters))
 
     def may_repeat(anchors: np.ndarray) -> np.ndarray:
         table = known.value
-        cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=_U)
-        base = np.searchsorted(cuts, anchors, side="right").astype(_U) * _U(bits)
+        base = _bucket(anchors, buckets).astype(_U) * _U(bits)
         yes = np.ones(len(anchors), dtype=bool)
         for place in _filter_places(anchors, bits):
             at = base + place
             yes &= (table[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
         return yes
 
-    def packed(part: pa.RecordBatch, hasher: Hasher, other: Hasher) -> pa.RecordBatch | None:
+    def sent(part: pa.RecordBatch, hasher: Hasher, other: Hasher) -> pa.RecordBatch | None:
         piece = Piece(part, hasher)
         at = np.flatnonzero(piece.whole)
         at = at[may_repeat(piece.anchors[at])]
         if not len(at):
             return None
-        h1 = hasher.runs(piece.words, WINDOW)[at]
-        h2 = (other.runs(other.words(piece.data, piece.starts, piece.ends), WINDOW)[at] >> _U(32)).astype(np.uint32)
         text = piece.text[at]
         ids = part.column("doc_id").fill_null(frames.NULL_ID).to_numpy(zero_copy_only=False)
         marks = part.column("mark").to_numpy(zero_copy_only=False).astype(np.uint32)
-        start = (at - piece.first[text]).astype(np.uint32)
-        doc = ids[text]
-        order = np.lexsort((start, doc, h2, h1))
-        h1, h2, doc, start, text = (x[order] for x in (h1, h2, doc, start, text))
-        same = np.append(False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]))
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h1))))
-        late = (doc != doc[head]) | (start != start[head])
-        first = ~late  # equal rows keep their equal starts: none is earlier
-        cols = {"h1": h1, "h2": h2, "doc": doc, "mark": marks[text], "start": start}
-        kept = {k: v[first] for k, v in cols.items()}
-        cuts = _slices(kept["h1"], buckets)
-        full = np.flatnonzero(np.diff(cuts))
-        out = [[int(b), *(kept[k][cuts[b] : cuts[b + 1]].astype(t).tobytes() for k, t in _FIELDS)] for b in full]
-        if late.any():  # one row for each text, to any bucket
-            who = text[late]
-            by = np.argsort(who, kind="stable")
-            who, starts = who[by], start[late][by]
-            new = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-            for i, j in zip(new, np.append(new[1:], len(who)), strict=True):
-                one = [ids[who[i] : who[i] + 1], marks[who[i] : who[i] + 1], starts[i:j]]
-                out.append([-1 - int(ids[who[i]]) % buckets, b"", b"", *(x.astype(t).tobytes() for x, (_, t) in zip(one, _FIELDS[2:], strict=True))])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 6))], names=["bucket", *(k for k, _ in _FIELDS)])
+        h2 = other.runs(other.words(piece.data, piece.starts, piece.ends), WINDOW)[at] >> _U(32)
+        cols, late = _late({"h1": hasher.runs(piece.words, WINDOW)[at], "h2": h2.astype(np.uint32), "doc": ids[text], "mark": marks[text], "start": (at - piece.first[text]).astype(np.uint32)})
+        kept, gone = ({k: v[which] for k, v in cols.items()} for which in (~late, late))
+        return _batch(_packed(_bucket(kept["h1"], buckets), kept, _FIELDS) + [[r[0], b"", b"", *r[1:]] for r in _packed(-1 - _home(gone["doc"], homes), gone, _PLACE)], _FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, other = Hasher(0), Hasher(1)
         for batch in batches:
             for part in frames.slices(batch, "text", PIECE):
-                if (got := packed(part, hasher, other)) is not None:
+                if (got := sent(part, hasher, other)) is not None:
                     yield got
 
-    return rows.mapInArrow(run, "bucket int, " + ", ".join(f"{k} binary" for k, _ in _FIELDS))
+    return rows.mapInArrow(run, _schema(_FIELDS))
 
 
-def _by_text(doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((start, mark, doc))
-    doc, mark, start = doc[order], mark[order], start[order].astype(np.uint32)
-    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
-    ends = np.append(new[1:], len(doc))
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(mark[new].astype(np.int64)), pa.array([start[i:j].tobytes() for i, j in zip(new, ends, strict=True)], pa.binary())], names=["doc_id", "mark", "starts"])
+def _joined(lists: list[tuple[bytes, ...]], fields: tuple) -> dict[str, np.ndarray]:
+    return {k: np.frombuffer(b"".join(row[i] for row in lists), dtype=t) for i, (k, t) in enumerate(fields)}
 
 
-def _judged(sent: DataFrame) -> DataFrame:
-    """Starts of repeated windows as ``(doc_id, mark, starts)``, several rows for a text."""
+def _judged(sent: DataFrame, homes: int) -> DataFrame:
+    """Where the candidates of a hash meet: places of repeated windows, packed for the home of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, lists in _by_bucket(batches):
-            cols = {k: np.concatenate([np.frombuffer(row[i], dtype=t) for row in lists]) for i, (k, t) in enumerate(_FIELDS) if bucket >= 0 or k not in ("h1", "h2")}
             if bucket < 0:
-                for row in lists:
-                    doc, mark, start = (np.frombuffer(x, dtype=t) for x, (_, t) in zip(row[2:], _FIELDS[2:], strict=True))
-                    yield _by_text(np.repeat(doc, len(start)), np.repeat(mark, len(start)), start)
+                yield _batch([[-1 - bucket, *row[2:]] for row in lists], _PLACE)
                 continue
-            order = np.lexsort((cols["start"], cols["doc"], cols["h2"], cols["h1"]))
-            h1, h2, doc, mark, start = (cols[k][order] for k, _ in _FIELDS)
-            same = np.append(False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]))
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h1))))
-            late = (doc != doc[head]) | (start != start[head])
-            if late.any():
-                yield _by_text(doc[late], mark[late], start[late])
+            cols, late = _late(_joined(lists, _FIELDS))
+            cols = {k: cols[k][late] for k, _ in _PLACE}
+            if len(cols["doc"]):
+                yield _batch(_packed(_home(cols["doc"], homes), cols, _PLACE), _PLACE)
 
     n = frames.partitions(sent.sparkSession)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, mark bigint, starts binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _schema(_PLACE))
+
+
+def _at_home(places: DataFrame) -> DataFrame:
+    """One row for each text that has repeated windows: ``doc_id, mark, starts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lists in _by_bucket(batches):
+            cols = _joined(lists, _PLACE)
+            order = np.lexsort((cols["start"], cols["mark"], cols["doc"]))
+            doc, mark, start = (cols[k][order] for k, _ in _PLACE)
+            first, end = _groups(doc, mark)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(mark[first].astype(np.int64)), pa.array([start[i:j].tobytes() for i, j in zip(first, end, strict=True)], pa.binary())], names=["doc_id", "mark", "starts"])
+
+    n = frames.partitions(places.sparkSession)
+    return places.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, mark bigint, starts binary")
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, mark, starts)`` for each text that has repeated windows: packed 32-bit word positions, in pieces.
+    """``(doc_id, mark, starts)`` for each text that has repeated windows: packed 32-bit word positions.
 
     ``mark`` tells texts of one id apart; a null id is ``frames.NULL_ID``.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), frames.crc(text).alias("mark"))
-    buckets = 4 * frames.partitions(docs.sparkSession)
-    found = _judged(_candidates(rows, _anchor_filter(rows.select("text"), buckets)))
-    return found.groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
+    buckets = homes = 4 * frames.partitions(docs.sparkSession)
+    return _at_home(_judged(_candidates(rows, _anchor_filter(rows.select("text"), buckets), homes), homes))
 
 
-def covered(n_words: int, starts: list[bytes] | None) -> np.ndarray:
+def covered(n_words: int, starts: bytes) -> np.ndarray:
     """Which words lie in the windows, whose union is a few maximal intervals."""
     edge = np.zeros(n_words + 1, dtype=np.int32)
-    for s in starts or ():
-        at = np.frombuffer(s, dtype=np.uint32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + WINDOW, -1)
+    at = np.frombuffer(starts, dtype=np.uint32)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def _with_starts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``starts``; a null list where nothing is repeated."""
+    """``docs`` with ``s_starts``, null where nothing is repeated."""
     keyed = docs.withColumns({"s_key": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(frames.NULL_ID)), "s_mark": frames.crc("text")})
     found = repeated_windows(docs).select(F.col("doc_id").alias("s_key"), F.col("mark").alias("s_mark"), F.col("starts").alias("s_starts"))
     return keyed.join(found, ["s_key", "s_mark"], "left")
@@ -351,7 +374,7 @@ def removal(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def cut_text(text: str, starts: list[bytes]) -> str:
+def cut_text(text: str, starts: bytes) -> str:
     """``text`` without the words of the windows and the white space after each of them."""
     data = text.encode()
     view = np.frombuffer(data, dtype=np.uint8)
