@@ -335,7 +335,8 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     ``mark`` tells texts of one id apart; a null id is ``frames.NULL_ID``.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), frames.crc(text).alias("mark"))
-    buckets = homes = 4 * frames.partitions(docs.sparkSession)
+    homes = frames.partitions(docs.sparkSession)
+    buckets = 4 * homes
     return _at_home(_judged(_candidates(rows, _anchor_filter(rows.select("text"), buckets), homes), homes))
 
 
