@@ -123,7 +123,8 @@ def judged(docs: DataFrame, refs: DataFrame | None = None, text: str = "text", l
     })
     df = df.withColumn("n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint"))
     df = _repeats(df.select(*keep, *COUNTS[:-1], "q_lang", "q_classes", "q_common", "q_words"))
-    df = df.select(*keep, *COUNTS, "q_lang", "q_classes", "q_common").join(F.broadcast(refs), "q_lang", "left")
+    # a filter on the verdict must not be taken apart and written out below this projection, where it would grow without end
+    df = df.select(*keep, *COUNTS, "q_lang", "q_classes", "q_common", F.spark_partition_id().alias("q_here")).join(F.broadcast(refs), "q_lang", "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     df = df.withColumns({
         "base_failed": failed,
@@ -131,7 +132,7 @@ def judged(docs: DataFrame, refs: DataFrame | None = None, text: str = "text", l
         "js_words": F.when((F.col("n_words") >= LEAST_TOKENS) & (F.size("q_common") > 1), js_distance("q_common", "r_common")),
     })
     far = (F.coalesce("js_chars", F.lit(0.0)) >= MOST_CHARS_DISTANCE) | (F.coalesce("js_words", F.lit(0.0)) >= MOST_WORDS_DISTANCE)
-    return df.withColumn("kept", ~failed & ~far).select(*keep, *made)
+    return df.withColumn("kept", ~failed & ~far & (F.col("q_here") >= 0)).select(*keep, *made)
 
 
 def passing(docs: DataFrame) -> DataFrame:
