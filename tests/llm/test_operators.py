@@ -374,8 +374,8 @@ def test_preferences_against_brute_force(spark):
     line = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
     assert got == {
         (1, "prompt", 0): (line("user", "hi"), 0, 0), (1, "prompt", 1): (line("assistant", "yes"), 0, 0), (1, "chosen", 2): (line("user", "more"), 0, 0), (1, "rejected", 2): (line("user", "other"), 0, 0),
-        (1, "chosen", 3): (line("assistant", "A"), 14, 8), (1, "rejected", 3): (line("assistant", "A"), 14, 8), (2, "chosen", 0): (line("user", "q"), 0, 0), (3, "prompt", 0): (line("user", "same"), 0, 0),
-        (4, "chosen", None): (line("", ""), 0, 0), (5, "rejected", 7): (line("assistant", "x"), 14, 8),
+        (1, "chosen", 3): (line("assistant", "A"), 14, 9), (1, "rejected", 3): (line("assistant", "A"), 14, 9), (2, "chosen", 0): (line("user", "q"), 0, 0), (3, "prompt", 0): (line("user", "same"), 0, 0),
+        (4, "chosen", None): (line("", ""), 0, 0), (5, "rejected", 7): (line("assistant", "x"), 14, 9),
     }
     one = {x.pair_id: x for x in preferences.joined(parts).collect()}[1]
     assert one.prompt == line("user", "hi") + line("assistant", "yes")
