@@ -145,3 +145,60 @@ def test_empty_answer_has_its_confidence(spark):
     df = spark.createDataFrame([("a",)], "id string")
     assert [tuple(r) for r in tools.with_confidence(df, 0.9, 0.2).collect()] == [("a", 0.9)]
     assert [tuple(r) for r in tools.with_confidence(df.limit(0), 0.9, 0.2).collect()] == [(None, 0.2)]
+
+
+LUA = """local M = {}
+local util = require("lib.util")
+local P = Core:GetModule("Pipeline")
+
+function M.run(x)
+  helper(x)
+  return util.go(x)
+end
+function M:stop()
+end
+local function helper(y)
+  print(y)
+end
+return M
+"""
+TS = """import { add, type Sum } from '../lib/math';
+import fs from 'fs';
+export function total(a: number) {
+  // add(1)
+  return add(a, 'total(') + twice(a);
+}
+const twice = (x) => x * 2;
+export interface Order { id: string }
+"""
+TEST = """import { it } from 'vitest';
+describe('outer', () => {
+  describe("inner", () => {
+    it('works', () => {});
+  });
+  test.skip(`later`, () => {});
+});
+"""
+
+
+def test_extraction(spark):
+    from factloom.operators import extract
+
+    files_ = spark.createDataFrame([("a.lua", LUA)], "path string, content string")
+    rows = extract.lines(files_)
+    symbols = extract.lua_symbols(rows)
+    assert {(r.owner, r.name, r.kind) for r in symbols.collect()} == {("", "M", "constant"), ("M", "run", "method"), ("M", "stop", "method"), ("", "helper", "function")}
+    assert {(r.reference, r.confidence) for r in extract.lua_imports(rows).collect()} == {("lib.util", 0.75), ("Pipeline", 0.72)}
+    assert {r.name for r in extract.lua_exports(rows, symbols).collect()} == {"M", "run", "stop"}
+    assert ("M.run", "helper", 0.65) in {(r.caller, r.callee, r.confidence) for r in extract.lua_calls(rows).collect()}
+    assert ("M.run", "util.go", 0.72) in {(r.caller, r.callee, r.confidence) for r in extract.lua_calls(rows).collect()}
+    rows = extract.lines(spark.createDataFrame([("a.ts", TS)], "path string, content string"))
+    symbols, imports = extract.ts_symbols(rows), extract.ts_imports(rows)
+    assert {(r.name, r.kind, r.exported) for r in symbols.collect()} == {("total", "function", True), ("twice", "constant", False), ("Order", "interface", True)}
+    assert [(r.spec, r.names) for r in imports.collect()] == [("../lib/math", ["add", "Sum"])]
+    assert {(r.caller, r.name, r.type, r.confidence) for r in extract.ts_uses(rows, symbols, imports).collect()} == {("total", "add", "calls", 0.65), ("total", "twice", "calls", 0.95)}
+    one_test = spark.createDataFrame([("x.test.ts", TEST), ("y.test.ts", "nothing here")], "path string, content string")
+    got = {(r.path, r.suite, r.title, r.framework) for r in extract.tests(extract.lines(one_test), one_test).collect()}
+    assert got == {("x.test.ts", "outer > inner", "works", "vitest"), ("x.test.ts", "outer", "later", "vitest"), ("y.test.ts", "", "y.test.ts", "jest")}
+    facts = extract.evidence(spark.createDataFrame([("a.cs", "csharp", "source")], "path string, language string, kind string"))
+    assert facts["edges"].first().confidence == 1.0 and facts["modules"].first().summary == "Csharp source file a.cs"
