@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, incidents
+from factloom.functions import text as t
+from factloom.operators import graph, incidents, relational, review, search, telemetry
 
 
 def with_confidence(answer: DataFrame, some: float, none: float) -> DataFrame:
@@ -44,3 +45,60 @@ def blast_radius(edges: DataFrame, modules: DataFrame, depth: int = 3) -> DataFr
 def branch_changes(changed: DataFrame) -> DataFrame:
     """How many changed modules each package has."""
     return changed.groupBy("package_id").agg(F.count("*").alias("modules"))
+
+
+def search_code(symbols: DataFrame, corpus: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """Hybrid search: ``corpus(id, text)`` by full text and ``symbols(id, label, name)`` by name."""
+    words = t.words(query)
+    legs = {w: search.bm25(corpus, "id", ("text",), t.words(w.lower())) for w in words}
+    legs[query] = search.bm25(corpus, "id", ("text",), [w.lower() for w in words])
+    return with_confidence(search.hybrid(search.hybrid_hits(symbols, query, legs, limit), limit), 0.86, 0.25)
+
+
+def find_symbol(symbols: DataFrame, query: str) -> DataFrame:
+    """``symbols(id, name, exported, module_id)`` by name, exported ones first."""
+    return with_confidence(relational.named(symbols, "name", query).orderBy(F.desc("exported"), "name", "id"), 0.88, 0.2)
+
+
+def find_module(modules: DataFrame, path: str) -> DataFrame:
+    return with_confidence(relational.one_module(modules, path), 0.92, 0.2)
+
+
+def module_dependencies(edges: DataFrame, modules: DataFrame, module: DataFrame, depth: int = 3) -> DataFrame:
+    """What a module needs, within ``depth`` steps, where it is a known module."""
+    return with_confidence(graph.dependencies(edges, module, depth).join(modules, "id").select("id", "canonical_path", "depth"), 0.9, 0.2)
+
+
+def reverse_dependencies(edges: DataFrame, module: DataFrame, depth: int = 3) -> DataFrame:
+    return with_confidence(graph.dependents(edges, module, depth), 0.84, 0.35)
+
+
+def trace_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    return with_confidence(graph.shortest_path(edges, source, target), 0.87, 0.3)
+
+
+def architecture_violations(found: DataFrame, severity: str | None = None) -> DataFrame:
+    if severity is not None:
+        found = found.where(F.col("severity") == severity)
+    return with_confidence(found.orderBy(F.desc("severity"), "source_path", "id"), 0.9, 0.65)
+
+
+def analyze_test_failures(changed: DataFrame, edges: DataFrame, cases: DataFrame, limit: int = 10) -> DataFrame:
+    best = relational.test_candidates(changed, edges, cases).orderBy(F.desc("score"), "suite_path", "id").limit(limit)
+    return with_confidence(best, 0.79, 0.42)
+
+
+def context_bundle(chunks: DataFrame, budget: int = 8000) -> DataFrame:
+    """Which of the chunks ``(bundle, priority, id, text)`` go into each bundle."""
+    return review.packed(chunks.withColumn("tokens", t.token_estimate(F.col("text"))), "bundle", budget)
+
+
+def retrospect_log(calls: DataFrame, **filters) -> tuple[DataFrame, DataFrame]:
+    """The filtered entries, and the statistics of all of them."""
+    return telemetry.filtered(calls, **filters), telemetry.stats(calls)
+
+
+def index_status(jobs: DataFrame) -> DataFrame:
+    """The latest job of each workspace, and how sure its state is."""
+    sure = F.when(F.col("status") == "completed", 0.95).when(F.col("status") == "running", 0.9).otherwise(0.7)
+    return relational.latest(jobs, "workspace_id", "updated_at").withColumn("confidence", sure)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as t
-from factloom.operators import classify, graph, incidents, relational, review, rules, search, telemetry
+from factloom.operators import classify, extract, graph, incidents, relational, review, rules, search, telemetry
 from factloom.plans import tools
 from factloom.sources import adapters as a
 from factloom.sources import logs as log_source
@@ -558,6 +558,82 @@ def tool_summarize_branch_changes(spark, d):
     return tools.branch_changes(a.modules(spark, d).where("changed"))
 
 
+@query(f"WITH {a.MODULES} SELECT *, 0.92::DOUBLE AS confidence FROM (SELECT id, canonical_path FROM modules WHERE contains(canonical_path, 'gear-3') ORDER BY canonical_path LIMIT 1)")
+def tool_find_module(spark, d):
+    return tools.find_module(a.modules(spark, d).select("id", "canonical_path"), "gear-3")
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_size > 25 AS exported, 0.88::DOUBLE AS confidence FROM part WHERE contains(lower(p_name), 'gear')")
+def tool_find_symbol(spark, d):
+    return tools.find_symbol(a.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("exported")), "Gear")
+
+
+@query(f"SELECT id, canonical_path, depth, 0.9::DOUBLE AS confidence FROM ({_walk_sql('source_id', 'target_id')}) JOIN (WITH {a.MODULES} SELECT * FROM modules) USING (id)")
+def tool_get_module_dependencies(spark, d):
+    return tools.module_dependencies(a.import_edges(spark, d), a.modules(spark, d), first_part(spark, d), _DEPTH)
+
+
+@query(_walk_sql("target_id", "source_id").replace("SELECT id, min(depth) AS depth", "SELECT id, min(depth) AS depth, 0.84::DOUBLE AS confidence"))
+def tool_get_reverse_dependencies(spark, d):
+    return tools.reverse_dependencies(a.import_edges(spark, d), first_part(spark, d), _DEPTH)
+
+
+@query(f"SELECT *, 0.79::DOUBLE AS confidence FROM ({_CAND}) ORDER BY score DESC, suite_path, id LIMIT 10")
+def tool_analyze_test_failures(spark, d):
+    return tools.analyze_test_failures(a.modules(spark, d).where("changed"), a.test_edges(spark, d), a.test_cases(spark, d)).withColumn("modules", joined("modules"))
+
+
+@query(f"WITH {_PAGE_EDGES} SELECT edge_id, 'fr-only-fr' AS rule_id, 0.9::DOUBLE AS confidence FROM pe WHERE regexp_matches(source_path, '{_re('**/fr/**')}') AND NOT (regexp_matches(target_path, '{_re('**/fr/**')}') OR regexp_matches(target_path, '{_re('**.net/**')}'))")
+def tool_check_architecture_violations(spark, d):
+    return tools.architecture_violations(rules.violations(_page_edges(spark, d), rules.table(spark, _RULES)), "warning").select("edge_id", "rule_id", "confidence")
+
+
+@query(_PACK.replace("source AS grp", "lang AS bundle").replace("PARTITION BY source", "PARTITION BY lang").replace("grp", "bundle"))
+def tool_get_context_bundle(spark, d):
+    rows = a.table(spark, d, "documents").select(F.col("lang").alias("bundle"), F.col("n_chars").alias("priority"), F.col("doc_id").alias("id"), "text")
+    return tools.context_bundle(rows)
+
+
+@query(f"WITH {a.CALLS} SELECT session, seq FROM calls WHERE tool = 'assistant' QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 2")
+def tool_get_retrospect_log(spark, d):
+    return tools.retrospect_log(a.calls(spark, d), tool="assistant", limit=2)[0].select("session", "seq")
+
+
+@query("SELECT o_custkey AS workspace_id, arg_max(status, (o_orderdate, status, o_orderkey)) AS status, CASE arg_max(status, (o_orderdate, status, o_orderkey)) WHEN 'completed' THEN 0.95 WHEN 'running' THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'queued' END AS status FROM orders) GROUP BY 1")
+def tool_get_index_status(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("queued")
+    jobs = a.table(spark, d, "orders").select(F.col("o_custkey").alias("workspace_id"), F.col("o_orderdate").alias("updated_at"), status.alias("status"), F.col("o_orderkey").alias("id"))
+    return tools.index_status(jobs).select("workspace_id", "status", "confidence")
+
+
+@query()
+def tool_trace_dependency_path(spark, d):
+    edges, root = a.import_edges(spark, d), first_part(spark, d).first().id
+    far = graph.walk(edges, first_part(spark, d), 4).orderBy(F.desc("depth"), "id").first().id
+    return tools.trace_path(edges, root, far)
+
+
+@query()
+def tool_search_code(spark, d):
+    docs = a.table(spark, d, "documents")
+    symbols = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("label"), F.regexp_extract("text", r"^(\S+)", 1).alias("name"))
+    return tools.search_code(symbols, docs.select(F.col("doc_id").alias("id"), "text"), "und der", 20)
+
+
+# extraction, over the documents as source text
+
+
+@query("SELECT doc_id::VARCHAR AS path, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no, line FROM (SELECT doc_id, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS pos, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM documents) WHERE trim(line) <> ''")
+def ext_lines(spark, d):
+    return extract.lines(a.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+@query("SELECT 'module_' || substr(sha256('ws::' || url), 1, 24) AS id, url AS canonical_path FROM (SELECT DISTINCT url FROM pages)")
+def ext_evidence(spark, d):
+    rows = a.table(spark, d, "pages").select(F.col("url").alias("path"), F.lit("html").alias("language"), F.lit("doc").alias("kind")).distinct()
+    return extract.evidence(rows)["modules"].select("id", "canonical_path")
+
+
 # streaming
 
 
