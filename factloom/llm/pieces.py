@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -227,6 +228,12 @@ class Codec:
             return re.sub("[\udc80-\udcff]", "�", raw.decode("utf-8", "surrogateescape"))
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """A worker's codec, kept from task to task with the cuts it knows."""
+    return Codec(path)
+
+
 def model_file(name: str) -> str:
     import public_tokenizers
 
@@ -250,7 +257,7 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
 
 def _over(docs: DataFrame, model: str, schema: str, kinds: list[pa.DataType], made) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
             for part in frames.slices(batch, "text", PIECE):

@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +96,15 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task with the pieces it knows."""
+    return Encoder(path)
+
+
 def segments(batches: Iterator[pa.RecordBatch], path: str, shard: int) -> Iterator[pa.RecordBatch]:
     """Rows of the format from sorted ``(doc_id, text)`` batches."""
-    encoder, kind = Encoder(path), _arrow_schema()
+    encoder, kind = encoder_of(path), _arrow_schema()
     docs: list[int | None] = []
     held: list[bytes] = []
     state = {"segment": 0, "first": 0, "held": 0}
