@@ -143,3 +143,41 @@ def latest(rows: DataFrame, by: str, when: str) -> DataFrame:
     """The latest row of each ``by``."""
     cols = [c for c in rows.columns if c != by]
     return rows.groupBy(by).agg(F.max_by(F.struct(*cols), F.struct(when, *[c for c in cols if c != when])).alias("r")).select(by, *(F.col(f"r.{c}").alias(c) for c in cols))
+
+
+def import_pairs(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """Import edges with both modules' paths; an edge to an unknown module is left out."""
+    side = lambda c: modules.select(F.col("id").alias(f"{c}_id"), F.col("canonical_path").alias(f"{c}_path"))
+    return edges.join(side("source"), "source_id").join(side("target"), "target_id").select("source_id", "target_id", "source_path", "target_path")
+
+
+def merged_edges(edges: DataFrame, key: list[str]) -> DataFrame:
+    """One edge for each key: the highest confidence, the first metadata there is (by ``pos``)."""
+    return edges.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.min_by("metadata", F.when(F.col("metadata").isNotNull(), F.col("pos"))).alias("metadata"))
+
+
+def merged_symbols(symbols: DataFrame, key: list[str]) -> DataFrame:
+    """One symbol for each key: exported if any is, the first container there is (by ``pos``)."""
+    return symbols.groupBy(*key).agg(F.bool_or("exported").alias("exported"), F.min_by("container", F.when(F.col("container").isNotNull(), F.col("pos"))).alias("container"))
+
+
+def argmax(votes: DataFrame, by: str) -> DataFrame:
+    """Votes ``(by, value, confidence, pos)`` summed by value; the highest sum above zero wins, the first seen of equals."""
+    sums = votes.groupBy(by, "value").agg(F.sum("confidence").alias("score"), F.min("pos").alias("pos"))
+    return sums.where("score > 0").groupBy(by).agg(F.max_by(F.struct("value", "score"), F.struct("score", -F.col("pos"))).alias("b")).select(by, "b.value", "b.score")
+
+
+def references(rows: DataFrame, path: str, limit: int = 10) -> DataFrame:
+    """Evidence labels of modules: the base name, and at most ``limit`` of a package's, in order."""
+    labels = rows.groupBy("package_id").agg(F.array_sort(F.collect_set(t.basename(F.col(path)))).alias("labels"))
+    return labels.select("package_id", F.slice("labels", 1, limit).alias("labels"))
+
+
+def required(requires: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """``requires(id, from_path, module)``, dots as folders, to ``base.lua`` or ``base/init.lua`` beside the file, then below the root."""
+    bare = F.regexp_replace("module", r"\.", "/")
+    near = t.normal_path(F.concat_ws("/", F.nullif(t.dirname(F.col("from_path")), F.lit("")), bare))
+    far = t.normal_path(F.concat_ws("/", F.nullif(F.lit(root), F.lit("")), bare))
+    shapes = [F.concat(b, F.lit(e)) for b in (near, far) for e in (".lua", "/init.lua")]
+    tried = requires.select("id", F.posexplode(F.array(*shapes)).alias("pos", "path"))
+    return tried.join(files.select("path"), "path").groupBy("id").agg(F.min_by("path", "pos").alias("path"))

@@ -634,6 +634,100 @@ def ext_evidence(spark, d):
     return extract.evidence(rows)["modules"].select("id", "canonical_path")
 
 
+# more of the relational core
+
+
+def _nodes(spark, d):
+    """Parts and the suppliers of even key as modules, so that some edges dangle."""
+    supplier = a.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("canonical_path"))
+    return a.modules(spark, d).select("id", "canonical_path").unionByName(supplier)
+
+
+@query(f"WITH {a.EDGES}, {a.MODULES}, n AS (SELECT id, canonical_path FROM modules UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0) SELECT source_id, target_id, x.canonical_path AS source_path, y.canonical_path AS target_path FROM edges JOIN n x ON x.id = source_id JOIN n y ON y.id = target_id")
+def join_edges_modules(spark, d):
+    return relational.import_pairs(a.import_edges(spark, d), _nodes(spark, d))
+
+
+@query(f"SELECT doc_id, source, round(rank, 6) AS rank FROM ({_bm25_sql(('with',))}) JOIN documents ON doc_id = key ORDER BY round(rank, 6), doc_id LIMIT 15")
+def join_fts_modules(spark, d):
+    docs = a.table(spark, d, "documents")
+    found = search.bm25(docs, "doc_id", ("text",), ["with"]).withColumn("rank", F.round("rank", 6))
+    return found.join(docs.select("doc_id", "source"), F.col("key") == F.col("doc_id")).select("doc_id", "source", "rank").orderBy("rank", "doc_id").limit(15)
+
+
+@query("SELECT l_partkey, l_suppkey, max(l_discount) AS confidence, arg_min(l_returnflag, pos) FILTER (l_returnflag <> 'N') AS metadata FROM (SELECT *, l_orderkey * 100000 + l_linenumber * 10000 + l_quantity * 100 + ascii(l_returnflag) AS pos FROM lineitem) GROUP BY ALL")
+def agg_edge_merge_max(spark, d):
+    rows = a.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_discount").alias("confidence"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("metadata"), (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_quantity") * 100 + F.ascii("l_returnflag")).alias("pos"))
+    return relational.merged_edges(rows, ["l_partkey", "l_suppkey"])
+
+
+@query("SELECT o_custkey, bool_or(o_orderstatus = 'F') AS exported, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'O') AS container FROM orders GROUP BY o_custkey")
+def agg_symbol_merge_or(spark, d):
+    rows = a.table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("exported"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("container"), F.col("o_orderkey").alias("pos"))
+    return relational.merged_symbols(rows, ["o_custkey"])
+
+
+@query("SELECT p_brand, arg_max(p_type, (score, -pos)) AS value, max(score) AS score FROM (SELECT p_brand, p_type, sum(p_size)::BIGINT AS score, min(p_partkey) AS pos FROM part GROUP BY ALL) WHERE score > 0 GROUP BY p_brand")
+def agg_argmax(spark, d):
+    rows = a.table(spark, d, "part").select("p_brand", F.col("p_type").alias("value"), F.col("p_size").alias("confidence"), F.col("p_partkey").alias("pos"))
+    return relational.argmax(rows, "p_brand")
+
+
+@query("SELECT p_brand, p_type, sum(p_size)::BIGINT AS score FROM part GROUP BY ALL")
+def agg_signal_votes(spark, d):
+    return a.table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.sum("p_size").alias("score"))
+
+
+@query(f"WITH {a.MODULES} SELECT package_id, array_to_string(list_sort(list_distinct(list(regexp_replace(canonical_path, '^.*/', ''))))[1:8], '|') AS labels FROM modules GROUP BY package_id")
+def prj_reference(spark, d):
+    return relational.references(a.modules(spark, d), "canonical_path", 8).withColumn("labels", F.array_join("labels", "|"))
+
+
+@query(f"WITH {a.CALLS} SELECT session, seq FROM calls WHERE tool = 'user' AND success AND seq > 1 QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 50")
+def flt_retrospect(spark, d):
+    return telemetry.filtered(a.calls(spark, d), "user", True, 1).select("session", "seq")
+
+
+@query("SELECT p_partkey, p_brand, 10 + row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS priority FROM part")
+def win_priority_rank(spark, d):
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
+    return a.table(spark, d, "part").select("p_partkey", "p_brand", (rank + 10).cast("bigint").alias("priority"))
+
+
+@query("SELECT 'part' AS kind, p_name AS name FROM part UNION ALL SELECT 'supplier', s_name FROM supplier UNION ALL SELECT 'customer', c_name FROM customer")
+def set_union_all(spark, d):
+    legs = [a.table(spark, d, n).select(F.lit(n).alias("kind"), F.col(f"{n[0]}_name").alias("name")) for n in ("part", "supplier", "customer")]
+    return legs[0].unionByName(legs[1]).unionByName(legs[2])
+
+
+@query("SELECT DISTINCT p_brand, p_type FROM part WHERE p_size <= 3")
+def agg_distinct(spark, d):
+    return a.table(spark, d, "part").where("p_size <= 3").select("p_brand", "p_type").distinct()
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def join_subquery_in(spark, d):
+    poor = a.table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return a.table(spark, d, "lineitem").join(poor, "l_suppkey", "left_semi").select("l_orderkey", "l_partkey")
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 LEFT JOIN nation ON n_nationkey = c_nationkey")
+def join_lookup_left(spark, d):
+    c = a.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n_nationkey"))
+    return a.table(spark, d, "orders").join(c, "o_custkey", "left").join(a.table(spark, d, "nation"), "n_nationkey", "left").select("o_orderkey", "c_name", "n_name")
+
+
+@query(f"WITH RECURSIVE {a.TESTS}, w AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT source_id, w.depth + 1 FROM w JOIN tests ON target_id = w.id WHERE depth < 2) SELECT id, min(depth) AS depth FROM w GROUP BY id HAVING min(depth) > 0")
+def graph_callers(spark, d):
+    edges = graph.turned(a.test_edges(spark, d).withColumn("type", F.lit("calls")))
+    return graph.walk(edges, spark.createDataFrame([("p1",)], "id string"), 2, ("calls", "references")).where("depth > 0")
+
+
+@query("SELECT p_partkey AS key, token, len(tokens)::INT AS doc_len, count(*) AS tf FROM (SELECT p_partkey, tokens, unnest(tokens) AS token FROM (SELECT p_partkey, " + _TOK.format("p_name || ' ' || p_type") + " AS tokens FROM part)) GROUP BY ALL")
+def dml_refresh_fts(spark, d):
+    return search.postings(a.table(spark, d, "part"), "p_partkey", "p_name", "p_type")
+
+
 # streaming
 
 
