@@ -54,9 +54,10 @@ def _counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
         sizes.append(F.length(left) - F.length(f"q_{name}"))
         left = f"q_{name}"
     df = df.withColumns({"q_classes": F.array(*sizes, F.length(left)), "q_words": F.array_remove(F.split("q_text", WHITE), ""), "q_list": _lists()})
-    df = df.withColumn("q_seen", F.filter("q_words", lambda w: F.array_contains("q_list", w)))
+    listed = sorted({w for words in COMMON.values() for w in words})  # of any language: one look-up in a set
+    df = df.withColumn("q_seen", F.filter("q_words", lambda w: w.isin(*listed)))
     df = df.withColumn("q_hits", F.transform("q_list", lambda c: F.size("q_seen") - F.size(F.array_remove("q_seen", c))))
-    return df.withColumn("q_common", F.concat("q_hits", F.array(F.size("q_words") - F.size("q_seen"))))
+    return df.withColumn("q_common", F.concat("q_hits", F.array(F.size("q_words") - F.aggregate("q_hits", F.lit(0), lambda a, x: a + x))))
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
