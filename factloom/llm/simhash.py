@@ -190,9 +190,13 @@ def links(prints: DataFrame, most: int = MOST) -> DataFrame:
 
     def dealt(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
         """Each row once for each further part of the bits that its mask leaves free."""
-        pairs = [(signed(m), [signed(x) for x in xs]) for m, xs in masks.items()]
-        known = rows.sparkSession.createDataFrame(pairs, "mask bigint, next array<bigint>")
-        return rows.join(F.broadcast(known), "mask").select(F.explode("next").alias("mask"), "fp").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("part"), "fp")
+        if len(masks) == 1:
+            (only,) = masks.values()
+            new = rows.select(F.explode(F.array(*(F.lit(signed(x)) for x in only))).alias("mask"), "fp")
+        else:
+            known = rows.sparkSession.createDataFrame([(signed(m), [signed(x) for x in xs]) for m, xs in masks.items()], "mask bigint, next array<bigint>")
+            new = rows.join(F.broadcast(known), "mask").select(F.explode("next").alias("mask"), "fp")
+        return new.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("part"), "fp")
 
     rows = prints.select(F.lit(0).cast("bigint").alias("mask"), "fp").distinct()
     masks, found = [0], None
