@@ -558,9 +558,9 @@ def tool_summarize_branch_changes(spark, d):
     return tools.branch_changes(a.modules(spark, d).where("changed"))
 
 
-@query(f"WITH {a.MODULES} SELECT *, 0.92::DOUBLE AS confidence FROM (SELECT id, canonical_path FROM modules WHERE contains(canonical_path, 'gear-3') ORDER BY canonical_path LIMIT 1)")
+@query(f"WITH {a.MODULES} SELECT *, 0.92::DOUBLE AS confidence FROM (SELECT id, canonical_path FROM modules WHERE contains(canonical_path, 'gear-') ORDER BY canonical_path LIMIT 1)")
 def tool_find_module(spark, d):
-    return tools.find_module(a.modules(spark, d).select("id", "canonical_path"), "gear-3")
+    return tools.find_module(a.modules(spark, d).select("id", "canonical_path"), "gear-")
 
 
 @query("SELECT p_partkey AS id, p_name AS name, p_size > 25 AS exported, 0.88::DOUBLE AS confidence FROM part WHERE contains(lower(p_name), 'gear')")
