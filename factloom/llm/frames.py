@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,7 +21,21 @@ NULL_ID = -(1 << 63)
 """Stands for a null document id inside packed arrays; it sorts before every other id."""
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless their Python finds it where the driver does."""
+    near = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if ROOT in map(os.path.abspath, filter(None, near)) or any(f.endswith("/factloom.zip") for f in context.listFiles):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="factloom-"), "factloom")
+    context.addPyFile(shutil.make_archive(base, "zip", ROOT, "factloom"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,8 +46,6 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        import tempfile
-
         path = tempfile.mkdtemp(prefix="factloom-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
