@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, pieces, quality, simhash, substrings
+from factloom.llm import likeness, mixing, pieces, quality, substrings
 from factloom.llm.frames import fresh_path, table
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.one_of_each(docs)
+    """One document of each near-duplicate group stays; five-word shingles of Jaccard similarity 0.8 or more link two."""
+    return likeness.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("source_mix", source_mix), ("piece_ids", piece_ids)]
 
-#: SQL has no SimHash of the kind asked for, nor the piece encoding; ``tests/llm`` holds the pipeline against brute force.
+#: SQL has no near-duplicate groups of the kind asked for, nor the piece encoding; ``tests/llm`` holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
