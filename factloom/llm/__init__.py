@@ -35,7 +35,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-ids")
-    tokens.write_ids(table(spark, sf_dir, "documents"), path, tokens.tokenizer_file(BYTE_BPE))
+    tokens.write_ids(table(spark, sf_dir, "documents"), path, tokens.tokenizer_file(BYTE_BPE), added=True)
     return tokens.read_sums(spark, path)
 
 

@@ -7,7 +7,7 @@ blocks share) and ``blocks`` (see :mod:`factloom.llm.rans`). Spark's writer comm
 and any reader may decode any segment, block or stripe alone.
 
 Defined results: a null text is empty and holds the end id only. Rows of one ``doc_id`` follow each other by text; null
-ids come first. Special tokens' strings in a text are ordinary text.
+ids come first. Added tokens' strings in a text are ordinary text, or with ``added`` their one id, as by the library's default.
 """
 
 from __future__ import annotations
@@ -49,10 +49,11 @@ class Encoder:
     """Ids of whole texts, 16 bits each.
 
     The tokenizer never joins what stands before a single space between two visible characters with what follows, so
-    texts are cut there and each distinct piece goes through the tokenizer once, many of them in one call.
+    texts are cut there and each distinct piece goes through the tokenizer once, many of them in one call. With ``added``,
+    a text that may hold an added token goes whole through a tokenizer as it was loaded.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,6 +65,12 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
         self.known: dict[str, bytes] = {"": b""}
+        self.plain, self.holds = None, None
+        if added:
+            self.plain = Tokenizer.from_file(path)
+            names = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+            if names:  # a normalizer could make one out of other characters
+                self.holds = re.compile("" if self.plain.normalizer else "|".join(map(re.escape, names)))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,6 +88,15 @@ class Encoder:
                 at = e
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.holds:
+            return self._encode(texts)
+        whole = [i for i, t in enumerate(texts) if self.holds.search(t)]
+        found = self.plain.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        ids = {i: np.array(e.ids, dtype=np.uint16).tobytes() for i, e in zip(whole, found, strict=True)}
+        rest = iter(self._encode([t for i, t in enumerate(texts) if i not in ids]))
+        return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             parts = _SPACE.split(t) if _EDGE.search(t) else t.split(" ")
@@ -97,14 +113,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, added: bool = False) -> Encoder:
     """A worker's encoder, kept from task to task with the pieces it knows."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
-def segments(batches: Iterator[pa.RecordBatch], path: str, shard: int) -> Iterator[pa.RecordBatch]:
+def segments(batches: Iterator[pa.RecordBatch], path: str, shard: int, added: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows of the format from sorted ``(doc_id, text)`` batches."""
-    encoder, kind = encoder_of(path), _arrow_schema()
+    encoder, kind = encoder_of(path, added), _arrow_schema()
     docs: list[int | None] = []
     held: list[bytes] = []
     state = {"segment": 0, "first": 0, "held": 0}
@@ -140,11 +156,11 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), *((k, pa.binary()) for k in ("docs", "nulls", "sizes", "freqs")), ("blocks", pa.list_(block))])
 
 
-def write_ids(docs: DataFrame, out: str, tokenizer: str) -> None:
-    """Encode every text of ``docs(doc_id, text)`` into a table at ``out``. ``tokenizer``: a file that every worker can read."""
+def write_ids(docs: DataFrame, out: str, tokenizer: str, added: bool = False) -> None:
+    """Encode every text of ``docs(doc_id, text)`` into a table at ``out``. ``tokenizer``: a file that every worker can read; ``added``: added tokens' strings become their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from segments(batches, tokenizer, TaskContext.get().partitionId())
+        yield from segments(batches, tokenizer, TaskContext.get().partitionId(), added)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(2 * frames.partitions(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
