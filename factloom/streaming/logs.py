@@ -27,8 +27,15 @@ def windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> Da
 
 
 def run_once(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is now, and give its result table."""
-    name = f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    """Run a stream over what there is now, and give its result table, which the tasks write as Parquet under ``checkpoint``."""
+    base = f"{checkpoint.rstrip('/')}/s{uuid.uuid4().hex}"
+    out = f"{base}-rows"
+
+    def put(batch: DataFrame, number: int) -> None:
+        # complete: each batch is the whole table; else a repeated batch overwrites its own folder
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    put(stream.sparkSession.createDataFrame([], stream.schema), -1)  # a stream without data has no batch
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", base).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out).select(*stream.columns)
