@@ -7,19 +7,23 @@ blocks share) and ``blocks`` (see :mod:`factloom.llm.rans`). Spark's writer comm
 and any reader may decode any segment, block or stripe alone.
 
 Defined results: a null text is empty and holds the end id only. Rows of one ``doc_id`` follow each other by text; null
-ids come first. Added tokens' strings in a text are ordinary text, or with ``added`` their one id, as by the library's default.
+ids come first. An added token's string in a text becomes its one id, as by the library's default.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +32,18 @@ from factloom.llm import frames, rans
 
 END = 0
 SEGMENT = 1 << 20
-#: Distinct pieces of text whose ids one worker keeps at hand.
-CACHE = 400_000
+#: Distinct parts of texts, and words of them, whose ids one worker keeps at hand.
+PARTS, WORDS = 300_000, 500_000
 #: Bytes of text worked on at once.
 PIECE = 8 << 20
 
 SCHEMA = "shard int, segment int, first bigint, n bigint, docs binary, nulls binary, sizes binary, freqs binary, blocks array<struct<n int, rows int, states binary, offsets binary, words binary, crc bigint, value_crc bigint>>"
 
-_EDGE = re.compile(r"\s\s|^ | $")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Where a byte-level tokenizer cuts texts before it merges (fixed values, of its public pattern), and the characters that all
+#: versions of Unicode give to the same classes of it.
+_WORD = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PLAIN = re.compile("[\n -~\u00c0-\u024f]*")
 
 
 def tokenizer_file(name: str) -> str:
@@ -45,15 +52,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _sizes(texts: list[str]) -> np.ndarray:
+    """Bytes of each of ``texts``."""
+    return np.diff(np.frombuffer(pa.array(texts, pa.string()).buffers()[1], np.int32)[: len(texts) + 1]) if texts else np.zeros(0, np.int64)
+
+
 class Encoder:
     """Ids of whole texts, 16 bits each.
 
     The tokenizer never joins what stands before a single space between two visible characters with what follows, so
-    texts are cut there and each distinct piece goes through the tokenizer once, many of them in one call. With ``added``,
-    a text that may hold an added token goes whole through a tokenizer as it was loaded.
+    texts are cut there, and the ids of a part seen before are looked up. A part not seen is cut further at the
+    tokenizer's own word borders, and only words not seen go through the tokenizer, many of them in one call. A
+    text that may hold an added token goes whole through a tokenizer as it was loaded.
     """
 
-    def __init__(self, path: str, added: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,63 +77,136 @@ class Encoder:
         self.sizes = np.zeros(1 << 16, dtype=np.int64)  # bytes of each token: its name has a character for each
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
-        self.known: dict[str, bytes] = {"": b""}
-        self.plain, self.holds = None, None
-        if added:
-            self.plain = Tokenizer.from_file(path)
-            names = [t.content for t in self.plain.get_added_tokens_decoder().values()]
-            if names:  # a normalizer could make one out of other characters
-                self.holds = re.compile("" if self.plain.normalizer else "|".join(map(re.escape, names)))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        self.by_words = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["normalizer"]
+        self.parts: dict[str, bytes | None] = {}  # what follows a space, without it; None: the text can't be cut there
+        self.words: dict[str, bytes] = {"": b""}  # whatever the tokenizer may be given alone
+        self.plain = Tokenizer.from_file(path)
+        names = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        self.names = [""] if names and self.plain.normalizer else names  # a normalizer could make one out of other characters
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if p[0] != " "]
-        self.known.update(zip(alone, (i.tobytes() for i in self._ids(alone)), strict=True))
-        joint = [p for p in pieces if p[0] == " "]
-        groups = [joint[i : i + 256] for i in range(0, len(joint), 256)]
-        for group, ids in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in group])) + 1
-            raw, at = ids.tobytes(), 0
-            for p, e in zip(group, (2 * ends).tolist(), strict=True):
-                self.known[p] = raw[at:e]
-                at = e
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.holds:
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new ``words``. Those in which white space is at most one space in front share calls: the tokenizer cuts before the space."""
+        alone, joint, lines = [], [], []
+        for w in words:
+            seen = w[1:] if w[0] == " " else w
+            whole = bool(seen) and not (seen[0].isspace() or seen[-1].isspace())
+            (joint if whole and w[0] == " " else lines if whole and self.by_words else alone).append(w)
+        self.words.update(zip(alone, (i.tobytes() for i in self._ids(alone)), strict=True))
+        for group, mark in ((joint, ""), (lines, "\n")):  # a line feed between two visible characters is a token of its own
+            runs = [group[i : i + 256] for i in range(0, len(group), 256)]
+            found = self._ids([mark.join(r) for r in runs])
+            ends = np.cumsum(_sizes(group) + len(mark))
+            at = 0
+            for run, ids in zip(runs, found, strict=True):
+                own = ends[at : at + len(run)] - (ends[at - 1] if at else 0) - len(mark)
+                last = 2 * (np.searchsorted(np.cumsum(self.sizes[ids]), own) + 1)
+                raw, begin = ids.tobytes(), np.append(0, last[:-1] + 2 * len(mark))
+                self.words.update((w, raw[i:j]) for w, i, j in zip(run, begin.tolist(), last.tolist(), strict=True))
+                at += len(run)
+
+    def _joined(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of all ``words`` one after another, and where each ends, in bytes."""
+        kinds = pa.array(words, pa.string()).dictionary_encode()
+        names = kinds.dictionary.to_pylist()
+        self._learn([w for w in names if w not in self.words])
+        ids = pa.array(list(map(self.words.__getitem__, names)), pa.binary()).take(kinds.indices)
+        return (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(ids.buffers()[1], np.int32)[1 : len(words) + 1]
+
+    def _looked_up(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of ``texts``, which the tokenizer may be given alone."""
+        lists = list(map(self._cut, texts))
+        raw, ends = self._joined(list(chain.from_iterable(lists)))
+        ends = np.append(0, ends)[np.cumsum([0, *map(len, lists)])].tolist()
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _spaced(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of ``parts`` with a space in front; white space stands at no end of them."""
+        line = "".join([" " + p for p in parts])
+        if not (self.by_words and _PLAIN.fullmatch(line)):
+            return self._looked_up([" " + p for p in parts])
+        words = _WORD.findall(line)
+        raw, ends = self._joined(words)
+        last = np.searchsorted(np.cumsum(_sizes(words)), np.cumsum(_sizes(parts) + 1))
+        ends = [0, *ends[last].tolist()]
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _cut(self, text: str) -> list[str]:
+        """Words of a text, or of a part with its space, that the tokenizer may be given alone."""
+        if self.by_words and _PLAIN.fullmatch(text):
+            return _WORD.findall(text)
+        head, *rest = _SPACE.split(text)
+        return [head, *[" " + p for p in rest]]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each of ``texts``, a string array without nulls."""
+        if not self.names:
             return self._encode(texts)
-        whole = [i for i, t in enumerate(texts) if self.holds.search(t)]
-        found = self.plain.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-        ids = {i: np.array(e.ids, dtype=np.uint16).tobytes() for i, e in zip(whole, found, strict=True)}
-        rest = iter(self._encode([t for i, t in enumerate(texts) if i not in ids]))
-        return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            parts = _SPACE.split(t) if _EDGE.search(t) else t.split(" ")
-            cut.append([parts[0], *[" " + p for p in parts[1:]]])
-        before = len(self.known)
-        new = [p for p in set().union(*cut) if p not in self.known]
-        self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        if before + len(new) > CACHE:
-            for p in new[max(0, CACHE - before) :]:
-                del self.known[p]
+        holds = np.zeros(len(texts), dtype=bool)
+        for name in self.names:
+            holds |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._encode(texts)
+        found = iter(self.plain.encode_batch_fast(texts.filter(pa.array(holds)).to_pylist(), add_special_tokens=False))
+        rest = iter(self._encode(texts.filter(pa.array(~holds))))
+        return [np.array(next(found).ids, dtype=np.uint16).tobytes() if h else next(rest) for h in holds.tolist()]
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        parts = cut.flatten()
+        kinds = parts.dictionary_encode()
+        which = kinds.indices.to_numpy()
+        ids = pa.array(self._parts(kinds.dictionary.to_pylist()), pa.binary())
+        joined = ids.take(kinds.indices)
+        raw, ends = (joined.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(joined.buffers()[1], np.int32)[joined.offset :]
+        heads = parts.take(pa.array(bounds[:-1])).to_pylist()
+        first = self._looked_up(heads)
+        tails = zip(ends[bounds[:-1] + 1].tolist(), ends[bounds[1:]].tolist(), strict=True)
+        out = [h + raw[i:j] for h, (i, j) in zip(first, tails, strict=True)]
+        odd = np.array([h[-1:].isspace() for h in heads]) & (np.diff(bounds) > 1)
+        if ids.null_count:
+            at = np.flatnonzero(np.asarray(ids.is_null())[which])
+            text = np.searchsorted(bounds, at, side="right") - 1
+            odd[text[at > bounds[text]]] = True
+        odd = np.flatnonzero(odd).tolist()
+        for i, ids_ in zip(odd, self._looked_up([texts[i].as_py() for i in odd]), strict=True):
+            out[i] = ids_
+        for kept, most in ((self.parts, PARTS), (self.words, WORDS)):  # the latest to come go first
+            while len(kept) > most:
+                kept.popitem()
         return out
 
+    def _parts(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of each part with its space; None where white space stands at an end, so that the text can't be cut there."""
+        known = self.parts
+        new = [p for p in parts if p not in known]
+        open_ = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        known.update(dict.fromkeys(open_))
+        if open_:
+            new = [p for p in new if p not in known]
+        plain = list(map(_PLAIN.fullmatch, new)) if self.by_words else [None] * len(new)
+        for some in (list(compress(new, plain)), [p for p, ok in zip(new, plain, strict=True) if not ok]):
+            known.update(zip(some, self._spaced(some), strict=True))
+        return list(map(known.__getitem__, parts))
+
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, added: bool = False) -> Encoder:
+def encoder_of(path: str) -> Encoder:
     """A worker's encoder, kept from task to task with the pieces it knows."""
-    return Encoder(path, added)
+    return Encoder(path)
 
 
-def segments(batches: Iterator[pa.RecordBatch], path: str, shard: int, added: bool = False) -> Iterator[pa.RecordBatch]:
+def segments(batches: Iterator[pa.RecordBatch], path: str, shard: int) -> Iterator[pa.RecordBatch]:
     """Rows of the format from sorted ``(doc_id, text)`` batches."""
-    encoder, kind = encoder_of(path, added), _arrow_schema()
+    encoder, kind = encoder_of(path), _arrow_schema()
     docs: list[int | None] = []
     held: list[bytes] = []
     state = {"segment": 0, "first": 0, "held": 0}
@@ -141,7 +227,7 @@ def segments(batches: Iterator[pa.RecordBatch], path: str, shard: int, added: bo
     end = np.uint16(END).tobytes()
     for batch in batches:
         for part in frames.slices(batch, "text", PIECE):
-            for doc, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+            for doc, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                 docs.append(doc)
                 held.append(raw + end)
                 state["held"] += len(raw) // 2 + 1
@@ -156,11 +242,11 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), *((k, pa.binary()) for k in ("docs", "nulls", "sizes", "freqs")), ("blocks", pa.list_(block))])
 
 
-def write_ids(docs: DataFrame, out: str, tokenizer: str, added: bool = False) -> None:
-    """Encode every text of ``docs(doc_id, text)`` into a table at ``out``. ``tokenizer``: a file that every worker can read; ``added``: added tokens' strings become their ids."""
+def write_ids(docs: DataFrame, out: str, tokenizer: str) -> None:
+    """Encode every text of ``docs(doc_id, text)`` into a table at ``out``. ``tokenizer``: a file that every worker can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from segments(batches, tokenizer, TaskContext.get().partitionId(), added)
+        yield from segments(batches, tokenizer, TaskContext.get().partitionId())
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(2 * frames.partitions(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
