@@ -44,7 +44,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.segments(*preferences.pairs_of(table(spark, sf_dir, "conversations")))
+    return preferences.from_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,77 @@
 """Preference formatting: a shared prompt once, and two masked completions, as DataFrame expressions only.
 
-Chosen and rejected conversations are turn tables. Turns are compared at equal turn numbers; the longest common prefix
-ends before the first number where the two differ or one has no turn. Output is a row for each rendered turn, so that no
-conversation, however long, is gathered in one task; :func:`joined` puts the strings of a pair together.
+Chosen and rejected conversations are turn tables. Turns are compared at equal turn numbers by a 64-bit hash of their
+messages, so texts don't move for it; the longest common prefix ends before the first number where the two differ or one
+has no turn. Then each text meets, by its own conversation and turn, the parts of pairs that show it, in the only join that
+moves texts. Output is a row for each rendered message, so that no conversation, however long, is gathered in one task;
+:func:`joined` puts the strings of a pair together.
 
 Defined results: null roles and texts are empty. Rows of one conversation and turn number are one turn of several
-messages, ordered by role and text, equal ones once. A null turn number comes after all others. If one side has no turns
-at all, the prompt is empty.
+messages, ordered by role and text, equal ones once. A null turn number comes after all others. A null ``pair_id`` or
+``conv_id`` is an id of its own. A pair with an empty completion is no preference and gives no rows: one whose sides are
+equal, or where one side has no turn from the first difference on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import frames
+
 LAST = (1 << 63) - 1
 #: Copies of a pair's one border, so that the turns of a very long conversation meet it in several tasks.
 SALT = 8
 PARTS = ("prompt", "chosen", "rejected")
 
 
-def _header(m: Column) -> Column:
-    return F.concat(F.lit("<|"), m["role"], F.lit("|>\n"))
+def _header(role: str) -> Column:
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"))
+
+
+def _body(text: str) -> Column:
+    return F.concat(text, F.lit("<|end|>\n"))
+
 
+def _messages(df: DataFrame, key: str, side: str) -> DataFrame:
+    """``df`` as ``src, src_side, src_turn, role, text``, without nulls."""
+    id_, turn = (F.coalesce(F.col(c).cast("bigint"), F.lit(v)) for c, v in ((key, frames.NULL_ID), ("turn", LAST)))
+    return df.select(id_.alias("src"), F.lit(side).alias("src_side"), turn.alias("src_turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-def _body(m: Column) -> Column:
-    return F.concat(m["text"], F.lit("<|end|>\n"))
+
+def _turns(messages: DataFrame) -> DataFrame:
+    """One row for each turn: a hash of its distinct messages that doesn't see their order, and whether one is an assistant's."""
+    key = ["src", "src_side", "src_turn"]
+    once = messages.select(*key, F.xxhash64("role", "text").alias("h"), (F.col("role") == "assistant").alias("a")).groupBy(*key, "h").agg(F.bool_or("a").alias("a"))
+    return once.groupBy(*key).agg(F.bit_xor(F.xxhash64("h")).alias("h"), F.bool_or("a").alias("assistant"))
+
+
+def _routes(keys: DataFrame) -> DataFrame:
+    """``(src, src_side, src_turn, pair_id, part, turn)``: the part of each pair that shows a turn.
+
+    ``keys(pair_id, turn, side, src, src_side, src_turn, h)``: the turns of both sides, one row for each turn of a side.
+    """
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    turns = keys.groupBy("pair_id", "turn").agg(of("chosen", "h").alias("c"), of("rejected", "h").alias("r"))
+    differ = ~F.col("c").eqNullSafe(F.col("r"))
+    border = turns.groupBy("pair_id").agg(F.min(F.when(differ, F.col("turn"))).alias("border"), *(F.max(F.when(F.col(x).isNotNull(), F.col("turn"))).alias(f"{x}_last") for x in "cr"))
+    border = border.where("border <= c_last AND border <= r_last").select("pair_id", "border")
+    salted = border.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = keys.withColumn("salt", F.pmod("turn", F.lit(SALT)).cast("int")).join(salted, ["pair_id", "salt"])
+    part = F.when(F.col("turn") < F.col("border"), "prompt").otherwise(F.col("side"))
+    return met.withColumn("part", part).where("part <> 'prompt' OR side = 'chosen'").select("src", "src_side", "src_turn", "pair_id", "part", "turn")
+
+
+def _rendered(messages: DataFrame, routes: DataFrame) -> DataFrame:
+    shown = messages.join(routes, ["src", "src_side", "src_turn"])
+    inside = Window.partitionBy("src", "src_side", "src_turn", "pair_id", "part").orderBy("role", "text")
+    m = F.struct("role", "text")
+    rows = shown.withColumns({"message": F.dense_rank().over(inside) - 1, "again": F.coalesce(F.lag(m).over(inside) == m, F.lit(False))}).where("NOT again")
+    learnt = (F.col("part") != "prompt") & (F.col("role") == "assistant")
+    return rows.select(
+        F.nullif("pair_id", F.lit(frames.NULL_ID)).alias("pair_id"), "part", F.nullif("turn", F.lit(LAST)).alias("turn"), "message", F.concat(_header("role"), _body("text")).alias("rendered"),
+        F.when(learnt, F.length(_header("role"))).otherwise(0).alias("mask_start"), F.when(learnt, F.length(_body("text"))).otherwise(0).alias("mask_length"),
+    )
 
 
 def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -34,24 +80,26 @@ def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     ``part`` is prompt, chosen or rejected. In a completion the content and end mark of assistant messages count for the
     loss: ``mask_length`` characters of ``rendered`` from ``mask_start`` on (0 and 0 elsewhere).
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        message = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        return df.select("pair_id", F.coalesce(F.col("turn").cast("bigint"), F.lit(LAST)).alias("turn"), F.lit(name).alias("side"), message.alias("m"))
-
-    both = side(chosen, "chosen").unionByName(side(rejected, "rejected")).distinct()
-    of = lambda name: F.sort_array(F.collect_list(F.when(F.col("side") == name, F.col("m"))))
-    turns = both.groupBy("pair_id", "turn").agg(of("chosen").alias("c"), of("rejected").alias("r"))
-    border = turns.groupBy("pair_id").agg(F.coalesce(F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))), F.lit(LAST)).alias("border"), F.bool_or(F.col("c") != F.col("r")).alias("differ"))
-    salted = border.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumnRenamed("pair_id", "p")
-    met = turns.join(salted, F.col("pair_id").eqNullSafe(F.col("p")) & (F.pmod("turn", F.lit(SALT)) == F.col("salt")))
-    common = ~F.col("differ") | (F.col("turn") < F.col("border"))
-    parts = F.when(common, F.array(F.struct(F.lit("prompt").alias("part"), F.col("c").alias("ms")))).otherwise(F.array(F.struct(F.lit("chosen").alias("part"), F.col("c").alias("ms")), F.struct(F.lit("rejected").alias("part"), F.col("r").alias("ms"))))
-    rows = met.select("pair_id", "turn", F.explode(parts).alias("x")).select("pair_id", "turn", "x.part", F.posexplode("x.ms").alias("message", "m"))
-    learnt = (F.col("part") != "prompt") & (F.col("m")["role"] == "assistant")
-    return rows.select(
-        "pair_id", "part", F.nullif("turn", F.lit(LAST)).alias("turn"), "message", F.concat(_header(F.col("m")), _body(F.col("m"))).alias("rendered"),
-        F.when(learnt, F.length(_header(F.col("m")))).otherwise(0).alias("mask_start"), F.when(learnt, F.length(_body(F.col("m")))).otherwise(0).alias("mask_length"),
-    )
+    messages = _messages(chosen, "pair_id", "chosen").unionByName(_messages(rejected, "pair_id", "rejected"))
+    turns = frames.cut(_turns(messages))
+    return _rendered(messages, _routes(turns.select(F.col("src").alias("pair_id"), F.col("src_turn").alias("turn"), F.col("src_side").alias("side"), "src", "src_side", "src_turn", "h")))
+
+
+def from_conversations(conversations: DataFrame) -> DataFrame:
+    """The segments of pairs made from plain conversations ``(conv_id, turn, role, text)``: chosen is a conversation,
+    rejected the same one up to its last assistant turn, which is that of its partner instead, the conversation whose id
+    differs in the lowest bit. No partner, no assistant turn or equal last turns: no pair."""
+    messages = _messages(conversations, "conv_id", "")
+    turns = frames.cut(_turns(messages))
+    last = turns.where("assistant").groupBy("src").agg(F.max(F.struct("src_turn", "h")).alias("x")).select("src", F.col("x.src_turn").alias("last"), F.col("x.h").alias("h")).where(F.col("src") != frames.NULL_ID)
+    partner = last.select(F.col("src").bitwiseXOR(F.lit(1)).alias("src"), F.col("src").alias("other"), F.col("last").alias("other_last"), F.col("h").alias("other_h"))
+    pairs = frames.cut(last.join(partner, "src").where("h <> other_h").select("src", "last", "other", "other_last", "other_h"))
+    salted = pairs.select("src", "last", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    own = turns.withColumn("salt", F.pmod("src_turn", F.lit(SALT)).cast("int")).join(salted, ["src", "salt"])
+    sides = F.when(F.col("src_turn") < F.col("last"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
+    keys = own.select(F.col("src").alias("pair_id"), F.col("src_turn").alias("turn"), F.explode(sides).alias("side"), "src", "src_side", "src_turn", "h")
+    swapped = pairs.select(F.col("src").alias("pair_id"), F.col("last").alias("turn"), F.lit("rejected").alias("side"), F.col("other").alias("src"), F.lit("").alias("src_side"), F.col("other_last").alias("src_turn"), F.col("other_h").alias("h"))
+    return _rendered(messages, _routes(keys.unionByName(swapped)))
 
 
 def joined(parts: DataFrame) -> DataFrame:
@@ -72,29 +120,12 @@ def joined(parts: DataFrame) -> DataFrame:
     return lists.select("pair_id", *(text(c).alias(c) for c in PARTS), *(masks(c).alias(f"{c}_mask") for c in PARTS[1:]))
 
 
-def pairs_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Preference pairs from plain conversations: chosen is the conversation, rejected the same one with its last answer
-    replaced by that of its partner, the conversation whose id differs in the lowest bit (none: no answer)."""
-    turns = conversations.select(F.col("conv_id").alias("pair_id"), F.coalesce(F.col("turn").cast("bigint"), F.lit(LAST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    answers = turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"), F.max(F.struct("turn", "text"))["text"].alias("answer"))
-    partner = answers.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other"))
-    known = answers.select("pair_id", "last").join(partner, "pair_id", "left")
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    spread = turns.withColumn("salt", F.pmod("turn", F.lit(SALT)).cast("int")).join(known.select("pair_id", "last").withColumn("salt", salt), ["pair_id", "salt"], "left")
-    before = spread.where("last IS NULL OR turn < last").select("pair_id", "turn", "role", "text")
-    replaced = known.where("other IS NOT NULL").select("pair_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return turns, before.unionByName(replaced)
-
-
-ORACLE = f"""
+ORACLE = """
 WITH t AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
-a AS (SELECT pair_id, max(turn) AS last, arg_max(text, turn) AS answer FROM t WHERE role = 'assistant' GROUP BY pair_id),
-k AS (SELECT a.pair_id, a.last, b.answer AS other FROM a LEFT JOIN a b ON b.pair_id = xor(a.pair_id, 1)),
-r AS (SELECT t.* FROM t LEFT JOIN k USING (pair_id) WHERE last IS NULL OR turn < last UNION ALL SELECT pair_id, last, 'assistant', other FROM k WHERE other IS NOT NULL),
-b AS (SELECT coalesce(t.pair_id, r.pair_id) AS pair_id, coalesce(t.turn, r.turn) AS turn, t.role AS cr, t.text AS ct, r.role AS rr, r.text AS rt FROM t FULL JOIN r USING (pair_id, turn)),
-d AS (SELECT *, min(CASE WHEN cr IS DISTINCT FROM rr OR ct IS DISTINCT FROM rt THEN turn END) OVER (PARTITION BY pair_id) AS border FROM b),
-s AS (SELECT pair_id, turn, CASE WHEN border IS NULL OR turn < border THEN 'prompt' ELSE 'chosen' END AS part, cr AS role, ct AS text FROM d WHERE cr IS NOT NULL
-  UNION ALL SELECT pair_id, turn, 'rejected', rr, rt FROM d WHERE rr IS NOT NULL AND turn >= border)
+a AS (SELECT pair_id, max(turn) AS last, 'assistant' AS role, arg_max(text, turn) AS text FROM t WHERE role = 'assistant' GROUP BY pair_id),
+k AS (SELECT a.pair_id, a.last, b.role, b.text FROM a JOIN a b ON b.pair_id = xor(a.pair_id, 1) WHERE a.text <> b.text),
+s AS (SELECT t.pair_id, turn, CASE WHEN turn < last THEN 'prompt' ELSE 'chosen' END AS part, t.role, t.text FROM t JOIN k USING (pair_id)
+  UNION ALL SELECT pair_id, last, 'rejected', role, text FROM k)
 SELECT pair_id, part, turn, 0 AS message, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
   CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 ELSE 0 END AS mask_start,
   CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(text) + 8 ELSE 0 END AS mask_length FROM s

@@ -366,31 +366,75 @@ def test_urls_against_sql(spark):
 # preferences
 
 
+def line(role, text):
+    return f"<|{role}|>\n{text}<|end|>\n"
+
+
+def brute_segments(chosen, rejected):
+    """Rows of ``segments``, by its definition."""
+
+    def sides(rows):
+        out = defaultdict(lambda: defaultdict(set))
+        for pair, turn, role, text in rows:
+            out[pair][preferences.LAST if turn is None else turn].add((role or "", text or ""))
+        return out
+
+    def shown(pair, part, turns):
+        for t, ms in turns.items():
+            for i, (role, text) in enumerate(sorted(ms)):
+                learnt = part != "prompt" and role == "assistant"
+                yield pair, part, None if t == preferences.LAST else t, i, line(role, text), (len(role) + 5) * learnt, (len(text) + 8) * learnt
+
+    c, r = sides(chosen), sides(rejected)
+    for pair in set(c) & set(r):
+        differ = [t for t in {*c[pair], *r[pair]} if c[pair].get(t) != r[pair].get(t)]
+        border = min(differ, default=None)
+        if border is None or border > max(c[pair]) or border > max(r[pair]):
+            continue
+        yield from shown(pair, "prompt", {t: m for t, m in c[pair].items() if t < border})
+        yield from shown(pair, "chosen", {t: m for t, m in c[pair].items() if t >= border})
+        yield from shown(pair, "rejected", {t: m for t, m in r[pair].items() if t >= border})
+
+
+TURNS = "pair_id bigint, turn bigint, role string, text string, src string, h string"
+
+
 def test_preferences_against_brute_force(spark):
-    c = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "A"), (2, 0, "user", "q"), (3, 0, "user", "same"), (4, None, None, None), (1, 0, "user", "hi")]
-    r = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "other"), (1, 3, "assistant", "A"), (3, 0, "user", "same"), (5, 7, "assistant", "x")]
-    schema = "pair_id bigint, turn bigint, role string, text string"
-    parts = preferences.segments(spark.createDataFrame(c, schema), spark.createDataFrame(r, schema))
-    got = {(x.pair_id, x.part, x.turn): (x.rendered, x.mask_start, x.mask_length) for x in parts.collect()}
-    line = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
-    assert got == {
-        (1, "prompt", 0): (line("user", "hi"), 0, 0), (1, "prompt", 1): (line("assistant", "yes"), 0, 0), (1, "chosen", 2): (line("user", "more"), 0, 0), (1, "rejected", 2): (line("user", "other"), 0, 0),
-        (1, "chosen", 3): (line("assistant", "A"), 14, 9), (1, "rejected", 3): (line("assistant", "A"), 14, 9), (2, "chosen", 0): (line("user", "q"), 0, 0), (3, "prompt", 0): (line("user", "same"), 0, 0),
-        (4, "chosen", None): (line("", ""), 0, 0), (5, "rejected", 7): (line("assistant", "x"), 14, 9),
-    }
+    c = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "A"), (2, 0, "user", "q"), (3, 0, "user", "same"), (4, None, None, None), (1, 0, "user", "hi"), (6, 0, "user", "x"), (None, 0, "user", "n"), (None, 1, "assistant", "m")]
+    r = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "other"), (1, 3, "assistant", "A"), (3, 0, "user", "same"), (5, 7, "assistant", "x"), (4, None, "assistant", ""), (6, 0, "user", "x"), (6, 1, "user", "y"), (None, 0, "user", "n"), (None, 1, "assistant", "k"), (None, 1, "tool", "k")]
+    made = lambda rows: spark.createDataFrame([(*x, "s", "h") for x in rows], TURNS)
+    parts = preferences.segments(made(c), made(r))
+    assert listed(parts) == sorted(brute_segments(c, r), key=repr)
+    assert {x.pair_id for x in parts.collect()} == {1, 4, None}
     one = {x.pair_id: x for x in preferences.joined(parts).collect()}[1]
     assert one.prompt == line("user", "hi") + line("assistant", "yes")
     (span,) = one.chosen_mask
     assert one.chosen[span.start : span.start + span.length] == "A<|end|>\n"
-    empty = spark.createDataFrame([], schema)
-    assert preferences.segments(empty, empty).count() == 0
-
-
-def test_pairs_of_repeated_turns(spark):
-    t = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 1, "assistant", "b"), (1, 0, "user", "c"), (1, 1, "assistant", "d"), (2, 0, "user", "e")]
-    chosen, rejected = preferences.pairs_of(spark.createDataFrame(t, "conv_id bigint, turn bigint, role string, text string"))
-    got = {(x.pair_id, x.part): x.rendered for x in preferences.segments(chosen, rejected).collect()}
-    assert got[0, "rejected"].endswith("d<|end|>\n") and got[0, "prompt"].endswith("a<|end|>\n") and got[2, "prompt"].endswith("e<|end|>\n")
+    assert preferences.segments(made([]), made([])).count() == 0
+
+
+def test_pairs_from_conversations(spark):
+    rnd = random.Random(3)
+    t = [(c, i, "user" if i % 2 == 0 else "assistant", f"{c % 5} {rnd.randrange(4)}") for c in range(30) for i in range(rnd.randrange(6))]
+    t += [*t[:9], (None, 0, "user", "x"), (None, 1, "assistant", "y"), (40, 0, "user", "alone"), (40, 1, "assistant", "z"), (50, None, "assistant", "late"), (51, None, None, None), (50, 0, "user", "u"), (51, 0, "assistant", "v"), (60, 1, "assistant", "two"), (60, 1, "tool", "messages"), (61, 2, "assistant", "one")]
+    c, r = [], []
+    turns = defaultdict(lambda: defaultdict(set))
+    for conv, turn, role, text in t:
+        turns[conv][preferences.LAST if turn is None else turn].add((role or "", text or ""))
+    last = {conv: max((i for i, ms in own.items() if any(m[0] == "assistant" for m in ms)), default=None) for conv, own in turns.items() if conv is not None}
+    for conv, at in last.items():
+        other = conv ^ 1
+        if at is None or last.get(other) is None:
+            continue
+        c += [(conv, i, *m) for i, ms in turns[conv].items() for m in ms]
+        r += [(conv, i, *m) for i, ms in turns[conv].items() if i < at for m in ms] + [(conv, at, *m) for m in turns[other][last[other]]]
+    df = spark.createDataFrame([(*x, "s", "h") for x in t], TURNS.replace("pair_id", "conv_id"))
+    got = listed(preferences.from_conversations(df))
+    blank = lambda x: tuple(None if i == 2 and v == preferences.LAST else v for i, v in enumerate(x))
+    assert got == sorted(map(blank, brute_segments(c, r)), key=repr) and len(got) > 60
+    for pair in {x[0] for x in got}:
+        assert {"chosen", "rejected"} <= {x[1] for x in got if x[0] == pair}
+    assert preferences.from_conversations(df.limit(0)).count() == 0
 
 
 # pieces
