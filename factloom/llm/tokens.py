@@ -18,7 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ class Encoder:
     The tokenizer never joins what stands before a single space between two visible characters with what follows, so
     texts are cut there, and the ids of a part seen before are looked up. A part not seen is cut further at the
     tokenizer's own word borders, and only words not seen go through the tokenizer, many of them in one call. A
-    text that may hold an added token goes whole through a tokenizer as it was loaded.
+    text that may hold an added token goes through it whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,41 +81,47 @@ class Encoder:
             spec = json.load(f)
         split = spec["pre_tokenizer"] or {}
         self.by_words = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["normalizer"]
-        self.parts: dict[str, bytes | None] = {}  # what follows a space, without it; None: the text can't be cut there
+        self.parts: dict[str, bytes] = {}  # what follows a space, without it
         self.words: dict[str, bytes] = {"": b""}  # whatever the tokenizer may be given alone
-        self.plain = Tokenizer.from_file(path)
-        names = [t.content for t in self.plain.get_added_tokens_decoder().values()]
-        self.names = [""] if names and self.plain.normalizer else names  # a normalizer could make one out of other characters
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.names = [""] if names and self.tokenizer.normalizer else names  # a normalizer could make one out of other characters
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of new ``words``. Those in which white space is at most one space in front share calls: the tokenizer cuts before the space."""
         alone, joint, lines = [], [], []
-        for w in words:
+        for i, w in enumerate(words):
             seen = w[1:] if w[0] == " " else w
             whole = bool(seen) and not (seen[0].isspace() or seen[-1].isspace())
-            (joint if whole and w[0] == " " else lines if whole and self.by_words else alone).append(w)
-        self.words.update(zip(alone, (i.tobytes() for i in self._ids(alone)), strict=True))
+            (joint if whole and w[0] == " " else lines if whole and self.by_words else alone).append(i)
+        out: list[bytes] = [b""] * len(words)
+        for i, ids in zip(alone, self._ids([words[i] for i in alone]), strict=True):
+            out[i] = ids.tobytes()
         for group, mark in ((joint, ""), (lines, "\n")):  # a line feed between two visible characters is a token of its own
-            runs = [group[i : i + 256] for i in range(0, len(group), 256)]
-            found = self._ids([mark.join(r) for r in runs])
-            ends = np.cumsum(_sizes(group) + len(mark))
-            at = 0
-            for run, ids in zip(runs, found, strict=True):
-                own = ends[at : at + len(run)] - (ends[at - 1] if at else 0) - len(mark)
-                last = 2 * (np.searchsorted(np.cumsum(self.sizes[ids]), own) + 1)
+            named = [words[i] for i in group]
+            runs = range(0, len(group), 256)
+            found = self._ids([mark.join(named[k : k + 256]) for k in runs])
+            sizes = _sizes(named) + len(mark)
+            for k, ids in zip(runs, found, strict=True):
+                last = 2 * (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes[k : k + 256]) - len(mark)) + 1)
                 raw, begin = ids.tobytes(), np.append(0, last[:-1] + 2 * len(mark))
-                self.words.update((w, raw[i:j]) for w, i, j in zip(run, begin.tolist(), last.tolist(), strict=True))
-                at += len(run)
+                for i, x, y in zip(group[k : k + 256], begin.tolist(), last.tolist(), strict=True):
+                    out[i] = raw[x:y]
+        room = max(0, WORDS - len(self.words))  # the first to come stay
+        self.words.update(zip(words[:room], out, strict=False))
+        return out
 
     def _joined(self, words: list[str]) -> tuple[bytes, np.ndarray]:
         """The ids of all ``words`` one after another, and where each ends, in bytes."""
         kinds = pa.array(words, pa.string()).dictionary_encode()
         names = kinds.dictionary.to_pylist()
-        self._learn([w for w in names if w not in self.words])
-        ids = pa.array(list(map(self.words.__getitem__, names)), pa.binary()).take(kinds.indices)
+        found = list(map(self.words.get, names))
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(new, self._learn([names[i] for i in new]), strict=True):
+            found[i] = x
+        ids = pa.array(found, pa.binary()).take(kinds.indices)
         return (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(ids.buffers()[1], np.int32)[1 : len(words) + 1]
 
     def _looked_up(self, texts: list[str]) -> list[bytes]:
@@ -152,9 +158,11 @@ class Encoder:
             holds |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
         if not holds.any():
             return self._encode(texts)
-        found = iter(self.plain.encode_batch_fast(texts.filter(pa.array(holds)).to_pylist(), add_special_tokens=False))
+        self.tokenizer.encode_special_tokens = False
+        found = iter(self._ids(texts.filter(pa.array(holds)).to_pylist()))
+        self.tokenizer.encode_special_tokens = True
         rest = iter(self._encode(texts.filter(pa.array(~holds))))
-        return [np.array(next(found).ids, dtype=np.uint16).tobytes() if h else next(rest) for h in holds.tolist()]
+        return [next(found).tobytes() if h else next(rest) for h in holds.tolist()]
 
     def _encode(self, texts: pa.Array) -> list[bytes]:
         if not len(texts):
@@ -179,23 +187,21 @@ class Encoder:
         odd = np.flatnonzero(odd).tolist()
         for i, ids_ in zip(odd, self._looked_up([texts[i].as_py() for i in odd]), strict=True):
             out[i] = ids_
-        for kept, most in ((self.parts, PARTS), (self.words, WORDS)):  # the latest to come go first
-            while len(kept) > most:
-                kept.popitem()
         return out
 
     def _parts(self, parts: list[str]) -> list[bytes | None]:
         """Ids of each part with its space; None where white space stands at an end, so that the text can't be cut there."""
-        known = self.parts
-        new = [p for p in parts if p not in known]
-        open_ = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-        known.update(dict.fromkeys(open_))
-        if open_:
-            new = [p for p in new if p not in known]
-        plain = list(map(_PLAIN.fullmatch, new)) if self.by_words else [None] * len(new)
-        for some in (list(compress(new, plain)), [p for p, ok in zip(new, plain, strict=True) if not ok]):
-            known.update(zip(some, self._spaced(some), strict=True))
-        return list(map(known.__getitem__, parts))
+        out = list(map(self.parts.get, parts))
+        new = [i for i, x in enumerate(out) if x is None and (p := parts[i]) and not (p[0].isspace() or p[-1].isspace())]
+        named = [parts[i] for i in new]
+        plain = list(map(_PLAIN.fullmatch, named)) if self.by_words else [None] * len(new)
+        for ok in (True, False):
+            which = [k for k, m in enumerate(plain) if (m is not None) == ok]
+            for k, ids in zip(which, self._spaced([named[k] for k in which]), strict=True):
+                out[new[k]] = ids
+        room = max(0, PARTS - len(self.parts))
+        self.parts.update((parts[i], out[i]) for i in new[:room])
+        return out
 
 
 @lru_cache(maxsize=1)
