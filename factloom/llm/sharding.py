@@ -1,17 +1,16 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A key descends region, rack and shard. At each level every child draws an exponential waiting time from a hash of the
-key and the child's name, divided by the weight below it, and the shortest wins; so a child gets its share of the keys,
-and when a weight changes, keys only move into or out of the subtrees whose weights changed. A shard added as a region of
-its own takes keys only into itself.
+A key descends region, rack and shard. Every shard draws an exponential waiting time from a hash of the key and its own
+path, divided by its weight; a rack waits as long as the least of its shards, a region as long as the least of its racks,
+which are draws for the summed weights below them. At each level the node with the shortest time wins, so a child gets
+its share of the keys. A node's time depends on what is below it alone: when a weight changes, keys only move into or out
+of the shard whose weight changed, and a shard added anywhere, in a region half full too, takes keys only into itself.
 
 Defined results: rows of one ``doc_id`` go to one shard; a null id is a key of its own. A null text has no bytes.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,50 +25,28 @@ Leaf = tuple[str, str, int, float]
 
 
 def tree(shards: int, rack: int = RACK, region: int = REGION) -> list[Leaf]:
-    """``(region, rack, shard, weight)`` of equal shards; one more shard after full regions opens a region."""
+    """``(region, rack, shard, weight)`` of equal shards, ``rack`` in a rack and ``region`` in a region."""
     return [(f"region{s // region}", f"rack{s // rack}", s, 1.0) for s in range(shards)]
 
 
-Child = tuple[str, float]
-
-
-def _draw(key: Column, children: Column) -> Column:
-    """The path of the child with the shortest waiting time. ``children``: an array of path and weight."""
-
-    def time(child: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(key, child["path"]), 11).cast("double") + 0.5) / float(1 << 53)
-        return F.struct((-F.log(u) / child["weight"]).alias("t"), child["path"].alias("path"))
-
-    return F.array_min(F.transform(children, time))["path"]
-
-
-def _children(nodes: list[Child]) -> Column:
-    return F.array(*(F.struct(F.lit(p).alias("path"), F.lit(float(w)).alias("weight")) for p, w in nodes if w > 0))
-
-
-def _level(leaves: list[Leaf], depth: int) -> dict[tuple, float]:
-    """Summed weight of every node of a level, by its path."""
-    out: dict[tuple, float] = {}
-    for leaf in leaves:
-        out[leaf[:depth]] = out.get(leaf[:depth], 0.0) + leaf[3]
-    return out
-
-
 def shard_of(df: DataFrame, key: Column, leaves: list[Leaf], out: str = "shard") -> DataFrame:
     """``df`` with the shard of each row's ``key``."""
-    if not leaves or len({leaf[2] for leaf in leaves}) < len(leaves):
+    below: dict[str, dict[str, list[Leaf]]] = {}
+    for leaf in leaves:
+        if leaf[3] > 0:
+            below.setdefault(leaf[0], {}).setdefault(leaf[1], []).append(leaf)
+    if not below or len({leaf[2] for leaf in leaves}) < len(leaves):
         raise ValueError("shards must be there and differ")
-    name = lambda p: "/".join(map(str, p))
-    at, made = F.lit(""), []
-    for depth in (1, 2, 3):
-        below: dict[str, list[Child]] = {}
-        for path, weight in _level(leaves, depth).items():
-            below.setdefault(name(path[:-1]), []).append((name(path), weight))
-        known = F.create_map(*chain.from_iterable((F.lit(p), _children(c)) for p, c in below.items()))
-        made.append(f"{out}_{depth}")
-        df = df.withColumn(made[-1], _draw(key, F.element_at(known, at)))
-        at = F.col(made[-1])
-    return df.withColumn(out, F.element_at(F.split(at, "/"), -1).cast("int")).drop(*made)
+
+    def wait(leaf: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, leaf["path"]), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.log(u) / leaf["weight"]).alias("t"), leaf["shard"].alias("shard"))
+
+    made = lambda leaf: F.struct(F.lit("/".join(map(str, leaf[:3]))).alias("path"), F.lit(leaf[2]).alias("shard"), F.lit(float(leaf[3])).alias("weight"))
+    nodes = F.array(*(F.array(*(F.array(*map(made, own)) for own in racks.values())) for racks in below.values()))
+    in_rack = lambda rack: F.array_min(F.transform(rack, wait))
+    in_region = lambda region: F.array_min(F.transform(region, in_rack))
+    return df.withColumn(out, F.array_min(F.transform(nodes, in_region))["shard"])
 
 
 def with_slots(df: DataFrame, shard: str = "shard") -> DataFrame:
