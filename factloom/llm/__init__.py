@@ -21,15 +21,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+#: Target weights of the mix; sources that are not listed share the last.
+TARGETS, REST = {f"src{i}": {0: 4.0, 1: 0.5, 2: 2.0}.get(i, 1.0) for i in range(20)}, 1.0
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "slot", "release", "deadline", rows["m_block"].alias("block"), rows["m_start"].alias("start"))
+    rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), TARGETS, REST)
+    return rows.select("row.doc_id", "row.source", rows["source"].alias("target"), "slot", "release", "deadline", "block", "start")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    rows = quality.judged(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("js_chars", 6).alias("js_chars"), F.round("js_words", 6).alias("js_words"))
 
 

@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from what was written."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -110,6 +117,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` as one struct column, so that no column of it can clash with those that an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias(name))
+
+
 def crc(column: str) -> F.Column:
     """Tells rows of the same id and other text apart; null counts as empty."""
     return F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary"))

@@ -1,23 +1,30 @@
 """Interleaving sources to target weights by Pfair scheduling.
 
-A source's documents, in hash order, form blocks of ``block_chars`` characters. In the fluid schedule every source
-advances at its weight among those not yet used up; a block is released when the fluid enters it and due when the fluid
-leaves it. Earliest deadline first serves released blocks one a slot, so after any number of slots each source is less
-than one block off its fluid share. Every document is used once; weights only decide the order.
+Targets give the sources to mix and their weights; every other source belongs to one pool, ``""``, with the weight
+``rest``. A source's documents, in hash order, form blocks of ``block_chars`` characters, a size that doesn't depend on the
+corpus. Weights are rounded to quotas of blocks in a period of about ``PERIOD`` slots. In the fluid schedule every source
+advances at its quota; a block is released when the fluid enters it and due when the fluid leaves it, and earliest deadline
+first serves released blocks one a slot. So after any number of slots each source is less than one block off its fluid
+share. In characters it is less than two blocks and its longest document off: a document counts for the block in which its
+first character lies.
+
+At the end of a period every quota is met exactly, so the next period repeats it: one period is scheduled for each set of
+sources and quotas. Sets change when a source has less than its quota left, which is then its quota in one last period.
+The plan therefore has at most ``2 * (targets + 1)`` periods, whatever the size of the corpus, and a row finds its slot by
+arithmetic. Every document is used once; weights only decide the order.
 
 Positions of documents come from sums by chunk of a source and running sums inside each chunk, so a source with a third
-of all rows is not one task. The schedule itself has ``max_blocks`` blocks and one more for each source at most.
+of all rows is not one task.
 
-Defined results: a null source is the source ``""``. A null text counts one character, as does every document besides
-its own. Documents of equal hash, id and checksum follow each other in any order, for they are equal.
+Defined results: a null source is in the pool. A null text counts one character, as does every document besides its own.
+Documents of equal hash, id and checksum follow each other in any order, for they are equal. Other columns come back as
+they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
 import pyarrow as pa
@@ -26,85 +33,99 @@ from pyspark.sql import functions as F
 
 from factloom.llm import frames
 
-BLOCK_CHARS, MAX_BLOCKS = 1 << 16, 1 << 16
+BLOCK_CHARS, PERIOD = 1 << 16, 1 << 10
 #: Parts of a source whose running sums are made apart.
-CHUNKS = 1024
+CHUNKS = 1 << 16
+POOL = ""
 
 
-def edf(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
-    """``(source, block, slot, release, deadline)`` in order of the slots, blocks of a source from 0.
+def quotas(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
+    """Blocks of each source in a period: its share of ``period``, rounded, and one at least."""
+    if not weights or any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    whole = sum(exact.values())
+    return {s: max(1, round(period * w / whole)) for s, w in exact.items()}
+
+
+def edf(quota: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """One period: ``(source, block, slot, release, deadline)`` in order of the slots, blocks of a source from 0.
 
     Ties go to the earlier deadline, then to the source's name.
     """
-    names = sorted(s for s, n in blocks.items() if n > 0)
-    weight = {s: Fraction(weights[s]).limit_denominator(10**6) for s in names}
-    if any(w <= 0 for w in weight.values()):
-        raise ValueError("weights must be positive")
-    ends = sorted((Fraction(blocks[s]) / weight[s], s) for s in names)
-    times, done, rate = [e for e, _ in ends], [0], [sum(weight.values(), Fraction(0))]
-    for _, s in ends:
-        done.append(done[-1] + blocks[s])
-        rate.append(rate[-1] - weight[s])
-
-    def served(v: Fraction) -> Fraction:
-        """Blocks that the fluid schedule has served, over all sources, once each active one has had ``v`` for its weight."""
-        i = bisect_right(times, v)
-        return done[i] + v * rate[i]
+    width = sum(quota.values())
 
     def window(s: str, k: int) -> tuple[int, int]:
-        return math.floor(served(Fraction(k) / weight[s])), math.ceil(served(Fraction(k + 1) / weight[s]))
+        return k * width // quota[s], -(-(k + 1) * width // quota[s])
 
-    waiting = [(window(s, 0), s, 0) for s in names]
+    waiting = [(window(s, 0), s, 0) for s in sorted(quota) if quota[s] > 0]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    for slot in range(sum(blocks[s] for s in names)):
+    for slot in range(width):
         while waiting and waiting[0][0][0] <= slot:
             (release, deadline), s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, k, release))
         deadline, s, k, release = heapq.heappop(ready)
         yield s, k, slot, release, deadline
-        if k + 1 < blocks[s]:
+        if k + 1 < quota[s]:
             heapq.heappush(waiting, (window(s, k + 1), s, k + 1))
 
 
-def _schedule(totals: DataFrame, weights: dict[str, float] | None, default: float, block_chars: int) -> DataFrame:
-    """One row for each block. ``totals(source, chars)`` has one row for each source."""
+def phases(blocks: Mapping[str, int], quota: Mapping[str, int]) -> Iterator[tuple[int, int, dict[str, int], dict[str, int]]]:
+    """``(first slot, periods, quotas, first blocks)``: runs of equal periods, at most two for each source."""
+    left, slot = {s: n for s, n in blocks.items() if n > 0}, 0
+    while left:
+        now = {s: min(quota[s], n) for s, n in left.items()}
+        times = min(n // now[s] for s, n in left.items())
+        yield slot, times, now, {s: blocks[s] - n for s, n in left.items()}
+        slot += times * sum(now.values())
+        left = {s: n - times * now[s] for s, n in left.items() if n > times * now[s]}
+
+
+def plan_of(blocks: Mapping[str, int], quota: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int, int, int, int, int]]:
+    """``(source, first block, end block, quota, k, first slot, width, slot, release, deadline)``: where block ``first + k``
+    and every ``quota``-th after it stand; slot, release and deadline are those inside the period."""
+    for start, times, now, first in phases(blocks, quota):
+        width = sum(now.values())
+        for s, k, slot, release, deadline in edf(now):
+            yield s, first[s], first[s] + times * now[s], now[s], k, start, width, slot, release, deadline
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars = {s: c for b in batches for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
-        blocks = {s: -(-c // block_chars) for s, c in chars.items()}
-        target = {s: math.isqrt(c) for s, c in chars.items()} if weights is None else {s: weights.get(s, default) for s in chars}
-        rows = list(edf(blocks, target))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["m_source", "m_block", "slot", "release", "deadline"])
 
-    return totals.coalesce(1).mapInArrow(run, "m_source string, m_block bigint, slot bigint, release bigint, deadline bigint")
+PLAN = ("source", "first", "end", "quota", "k", "from_slot", "width", "p_slot", "p_release", "p_deadline")
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, block_chars: int = BLOCK_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """``docs`` with ``m_source, m_start, m_block, slot, release, deadline``; the mix is the order by ``slot, m_start``.
+def mixed(docs: DataFrame, weights: Mapping[str, float], rest: float = 1.0, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+    """``row`` (a row of ``docs``) with ``source, start, block, slot, release, deadline``; the mix is the order by ``slot, start``.
 
-    ``weights``: target weight of each source, ``default`` for others; None: the square root of a source's characters,
-    which lifts small sources and holds back large ones. ``block_chars`` grows if ``max_blocks`` blocks could not hold all.
+    ``weights``: target weight of each source to mix, ``rest`` of all others together.
     """
-    keep = [c for c in docs.columns if c not in ("m_source", "m_start", "m_block", "slot", "release", "deadline", "m_chars", "m_hash", "m_mark", "m_chunk", "m_before")]
-    rows = docs.select(*keep).withColumns({"m_source": F.coalesce(F.col("source"), F.lit("")), "m_chars": (F.length(F.coalesce("text", F.lit(""))) + 1).cast("bigint"), "m_mark": frames.crc("text")})
-    rows = rows.withColumn("m_hash", F.xxhash64(F.lit("mix"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(frames.NULL_ID)), "m_mark"))
-    rows = rows.withColumn("m_chunk", F.shiftrightunsigned("m_hash", 64 - CHUNKS.bit_length() + 1))
-    sums = frames.cut(rows.groupBy("m_source", "m_chunk").agg(F.sum("m_chars").alias("chars")))
-    whole = sums.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
-    block_chars = max(block_chars, -(-whole // max_blocks))
-    plan = frames.cut(_schedule(sums.groupBy("m_source").agg(F.sum("chars").alias("chars")), weights, default, block_chars))
-    before = F.sum("chars").over(Window.partitionBy("m_source").orderBy("m_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("m_source", "m_chunk", F.coalesce(before, F.lit(0)).alias("m_before"))
-    inside = Window.partitionBy("m_source", "m_chunk").orderBy("m_hash", "doc_id", "m_mark").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("m_inside", F.coalesce(F.sum("m_chars").over(inside), F.lit(0))).join(offsets, ["m_source", "m_chunk"])
-    placed = placed.withColumn("m_start", F.col("m_before") + F.col("m_inside")).withColumn("m_block", F.floor(F.col("m_start") / block_chars).cast("bigint"))
-    return placed.join(F.broadcast(plan), ["m_source", "m_block"]).select(*keep, "m_source", "m_start", "m_block", "slot", "release", "deadline")
-
-
-def in_mixed_order(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    quota = quotas({**weights, POOL: rest}, period)
+    named = F.when(F.col("row.source").isin(*weights), F.col("row.source")).otherwise(POOL) if weights else F.lit(POOL)
+    rows = frames.packed(docs).withColumns({"source": named, "chars": (F.length(F.coalesce("row.text", F.lit(""))) + 1).cast("bigint"), "mark": frames.crc("row.text")})
+    rows = rows.withColumn("hash", F.xxhash64(F.lit("mix"), F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(frames.NULL_ID)), "mark"))
+    rows = rows.withColumn("chunk", F.shiftrightunsigned("hash", 64 - CHUNKS.bit_length() + 1))
+    sums = frames.cut(rows.groupBy("source", "chunk").agg(F.sum("chars").alias("sum")))
+    blocks = {r.source: -(-r.chars // block_chars) for r in sums.groupBy("source").agg(F.sum("sum").alias("chars")).collect()}  # one row for each target, and the pool's
+    rows_of = list(plan_of(blocks, quota))
+    kinds = {c: pa.string() if c == "source" else pa.int64() for c in PLAN}
+    plan = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows_of], kind) for i, (c, kind) in enumerate(kinds.items())})).drop("end", "quota")
+    of = sorted({r[:4] for r in rows_of})
+    runs = spark.createDataFrame([(s, [r[1:] for r in of if r[0] == s]) for s in sorted({r[0] for r in of})], "source string, runs array<struct<first bigint, end bigint, quota bigint>>")
+    before = F.sum("sum").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("source", "chunk", F.coalesce(before, F.lit(0)).alias("before"))  # dealt as the window is, so only these few move
+    inside = Window.partitionBy("source", "chunk").orderBy("hash", "row.doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("chars").over(inside), F.lit(0))).join(offsets, ["source", "chunk"])
+    placed = placed.withColumn("start", F.col("before") + F.col("inside")).withColumn("block", F.floor(F.col("start") / block_chars).cast("bigint"))
+    run = F.get(F.filter("runs", lambda x: x["end"] > F.col("block")), F.lit(0))
+    placed = placed.select("row", "source", "start", "block").join(F.broadcast(runs), "source").withColumn("run", run).drop("runs").withColumn("ahead", F.col("block") - F.col("run.first"))
+    placed = placed.withColumns({"first": F.col("run.first"), "k": F.pmod("ahead", "run.quota"), "turn": F.floor(F.col("ahead") / F.col("run.quota"))})
+    begin = F.col("from_slot") + F.col("turn") * F.col("width")
+    found = placed.join(F.broadcast(plan), ["source", "first", "k"])
+    return found.select("row", "source", "start", "block", *((begin + F.col(f"p_{c}")).cast("bigint").alias(c) for c in ("slot", "release", "deadline")))
+
+
+def in_mixed_order(docs: DataFrame, weights: Mapping[str, float], rest: float = 1.0) -> DataFrame:
     """The rows of ``docs`` laid out in the order of the mix: by range over the partitions, sorted inside each."""
     n = frames.partitions(docs.sparkSession)
-    rows = mixed(docs).withColumnRenamed("slot", "m_slot")
-    return rows.repartitionByRange(n, "m_slot", "m_start").sortWithinPartitions("m_slot", "m_start").select(*docs.columns)
+    return mixed(docs, weights, rest).repartitionByRange(n, "slot", "start").sortWithinPartitions("slot", "start").select("row.*")
