@@ -3,10 +3,12 @@
 The method compares two histograms of a document with references summed over the corpus for each language: its
 characters by class, and its most common function words. The measure is the Jensen-Shannon distance (base 2, square
 root; 0 to 1). Short documents, and languages without a word list, are not judged by a histogram they can't fill.
-Everything is DataFrame expressions; the only shuffle is the sum of the references, of one row for each language.
+Everything is DataFrame expressions. Texts are counted once; the counts are written out, summed to the references, of one
+row for each language, and judged, so the verdict's conditions stand on plain columns.
 
 Defined results: a null or empty text has no words, so it fails the base rules. A null or unlisted ``lang`` is compared
-with the characters of all documents without a listed one. Other columns of the input are never read.
+with the characters of all documents without a listed one. Other columns of the input come back as they are, whatever
+their names, but for those that the result has itself.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.frames import cut
+from factloom.llm import frames
 
 WHITE = r"[ \x09-\x0D]+"
 #: Character classes, in the order they are taken out of a text; what is left is the last class.
@@ -41,35 +43,42 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def _lists() -> Column:
     """The word list of the row's language; empty if there is none."""
     none = F.array().cast("array<string>")
-    return reduce(lambda e, kv: F.when(F.col("q_lang") == kv[0], F.array(*map(F.lit, kv[1]))).otherwise(e), COMMON.items(), none)
+    return reduce(lambda e, kv: F.when(F.col("lang") == kv[0], F.array(*map(F.lit, kv[1]))).otherwise(e), COMMON.items(), none)
 
 
-def _counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """Columns ``q_lang, q_classes, q_common, q_words`` beside those of ``docs``."""
-    known = F.coalesce(F.col(lang).isin(*COMMON), F.lit(False))
-    df = docs.withColumns({"q_lang": F.when(known, F.col(lang)).otherwise(""), "q_text": F.coalesce(F.col(text), F.lit(""))})
-    left, sizes = "q_text", []
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows(row, text, lang)`` with the base counts and the histograms ``classes`` and ``common``, without ``text``."""
+    known = F.coalesce(F.col("lang").isin(*COMMON), F.lit(False))
+    df = rows.withColumns({"lang": F.when(known, F.col("lang")).otherwise(""), "text": F.coalesce("text", F.lit(""))})
+    left, sizes = "text", []
     for name, pattern in CLASSES.items():
-        df = df.withColumn(f"q_{name}", F.regexp_replace(left, pattern, ""))
-        sizes.append(F.length(left) - F.length(f"q_{name}"))
-        left = f"q_{name}"
-    df = df.withColumns({"q_classes": F.array(*sizes, F.length(left)), "q_words": F.array_remove(F.split("q_text", WHITE), ""), "q_list": _lists()})
+        df = df.withColumn(name, F.regexp_replace(left, pattern, ""))
+        sizes.append(F.length(left) - F.length(name))
+        left = name
+    df = df.withColumns({"classes": F.array(*sizes, F.length(left)), "words": F.array_remove(F.split("text", WHITE), ""), "list": _lists()})
     listed = sorted({w for words in COMMON.values() for w in words})  # of any language: one look-up in a set
-    df = df.withColumn("q_seen", F.filter("q_words", lambda w: w.isin(*listed)))
-    df = df.withColumn("q_hits", F.transform("q_list", lambda c: F.size("q_seen") - F.size(F.array_remove("q_seen", c))))
-    return df.withColumn("q_common", F.concat("q_hits", F.array(F.size("q_words") - F.aggregate("q_hits", F.lit(0), lambda a, x: a + x))))
+    df = df.withColumn("seen", F.filter("words", lambda w: w.isin(*listed)))
+    df = df.withColumn("hits", F.transform("list", lambda c: F.size("seen") - F.size(F.array_remove("seen", c))))
+    df = df.withColumns({
+        "common": F.concat("hits", F.array(F.size("words") - F.aggregate("hits", F.lit(0), lambda a, x: a + x))),
+        "n_words": F.size("words").cast("bigint"),
+        "word_chars": (F.length("text") - F.get("classes", F.lit(1))).cast("bigint"),
+        "n_symbols": (F.length("digit") - F.length(F.regexp_replace("digit", SYMBOLS, ""))).cast("bigint"),
+        "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")),
+    })
+    df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"))
+    return _repeats(df.select("row", *COUNTS[:-1], "lang", "classes", "common", "words")).select("row", *COUNTS, "lang", "classes", "common")
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(q_lang, r_classes, r_common)``: counts over all documents of each listed language, and of the others together.
+def references(counted: DataFrame) -> DataFrame:
+    """``(lang, r_classes, r_common)``: counts over all documents of each listed language, and of the others together.
 
     At most ``len(COMMON) + 1`` rows.
     """
-    df = _counted(docs, text, lang).select("q_lang", "q_classes", "q_common")
-    bins = [(c, i) for c, n in (("q_classes", len(CLASSES) + 1), ("q_common", 13)) for i in range(n)]
-    sums = df.groupBy("q_lang").agg(*(F.sum(F.get(c, F.lit(i)).cast("bigint")).alias(f"{c}{i}") for c, i in bins))
-    back = {c: F.filter(F.array(*(F.col(f"{c}{i}") for x, i in bins if x == c)), lambda x: x.isNotNull()) for c in ("q_classes", "q_common")}
-    return sums.select("q_lang", back["q_classes"].alias("r_classes"), back["q_common"].alias("r_common"))
+    bins = [(c, i) for c, n in (("classes", len(CLASSES) + 1), ("common", 13)) for i in range(n)]
+    sums = counted.groupBy("lang").agg(*(F.sum(F.get(c, F.lit(i)).cast("bigint")).alias(f"{c}{i}") for c, i in bins))
+    back = {c: F.filter(F.array(*(F.col(f"{c}{i}") for x, i in bins if x == c)), lambda x: x.isNotNull()) for c in ("classes", "common")}
+    return sums.select("lang", back["classes"].alias("r_classes"), back["common"].alias("r_common"))
 
 
 def js_distance(p: str, q: str) -> Column:
@@ -90,55 +99,50 @@ def _repeats(df: DataFrame) -> DataFrame:
     A window's hash is put together from those of its halves, so it costs three steps a word; only texts that have a
     repeated window are sorted.
     """
-    df = df.withColumn("q_h1", F.transform("q_words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
     step = 1
     while step < WINDOW:
-        n = F.greatest(F.size(f"q_h{step}") - step, F.lit(0))
-        df = df.withColumn(f"q_h{2 * step}", F.zip_with(F.slice(f"q_h{step}", F.lit(1), n), F.slice(f"q_h{step}", F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b)))
+        n = F.greatest(F.size(f"h{step}") - step, F.lit(0))
+        df = df.withColumn(f"h{2 * step}", F.zip_with(F.slice(f"h{step}", F.lit(1), n), F.slice(f"h{step}", F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    hashes = f"q_h{WINDOW}"
+    hashes = f"h{WINDOW}"
     again = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    df = df.withColumn("q_sorted", F.when(again, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, k: F.coalesce(F.get("q_sorted", k)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("q_twice", F.filter("q_sorted", lambda x, k: same(x, k - 1) | same(x, k + 1)))
-    df = df.withColumn("q_starts", F.sort_array(F.transform("q_twice", lambda x: x["i"])))
-    reach = F.transform("q_starts", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get("q_starts", k + 1) - s, F.lit(WINDOW))))
+    df = df.withColumn("sorted", F.when(again, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, k: F.coalesce(F.get("sorted", k)["h"] == x["h"], F.lit(False))
+    df = df.withColumn("twice", F.filter("sorted", lambda x, k: same(x, k - 1) | same(x, k + 1)))
+    df = df.withColumn("starts", F.sort_array(F.transform("twice", lambda x: x["i"])))
+    reach = F.transform("starts", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", k + 1) - s, F.lit(WINDOW))))
     return df.withColumn("n_repeat_words", F.coalesce(F.aggregate(reach, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("bigint"))
 
 
-def judged(docs: DataFrame, refs: DataFrame | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed``, both distances and ``kept``.
+def _judged(docs: DataFrame, columns: list[str], text: str, lang: str) -> DataFrame:
+    """``row`` (those ``columns`` of ``docs``) with the base counts, ``base_failed``, both distances and ``kept``."""
+    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    rows = docs.select(F.struct(*map(name, columns)).alias("row"), name(text).alias("text"), name(lang).alias("lang"))
+    counted = frames.stored(_counted(rows), "quality-counts")
+    df = counted.join(F.broadcast(references(counted)), "lang", "left")  # a row for each listed language and one more
+    return df.withColumns({
+        "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
+        "js_chars": F.when(F.aggregate("classes", F.lit(0), lambda a, x: a + x) >= LEAST_CHARS, js_distance("classes", "r_classes")),
+        "js_words": F.when((F.col("n_words") >= LEAST_TOKENS) & (F.size("common") > 1), js_distance("common", "r_common")),
+    }).withColumn("kept", ~F.col("base_failed") & (F.coalesce("js_chars", F.lit(0.0)) < MOST_CHARS_DISTANCE) & (F.coalesce("js_words", F.lit(0.0)) < MOST_WORDS_DISTANCE))
+
+
+MADE = [*COUNTS, "base_failed", "js_chars", "js_words", "kept"]
+
 
-    ``refs``: from :func:`references`; by default those of ``docs``. A column of these names in ``docs`` is replaced.
+def judged(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Columns of ``docs`` (``keep``; by default all) with the base counts, ``base_failed``, both distances and ``kept``.
+
+    A column of these names in ``docs`` is replaced.
     """
-    if refs is None:
-        refs = cut(references(docs, text, lang))
-    made = [*COUNTS, "base_failed", "js_chars", "js_words", "kept"]
-    keep = [c for c in docs.columns if c not in made]
-    df = _counted(docs, text, lang)
-    df = df.withColumns({
-        "n_words": F.size("q_words").cast("bigint"),
-        "word_chars": (F.length("q_text") - F.get("q_classes", F.lit(1))).cast("bigint"),
-        "n_symbols": (F.length("q_digit") - F.length(F.regexp_replace("q_digit", SYMBOLS, ""))).cast("bigint"),
-        "q_lines": F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")),
-    })
-    df = df.withColumn("n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint"))
-    df = _repeats(df.select(*keep, *COUNTS[:-1], "q_lang", "q_classes", "q_common", "q_words"))
-    # a filter on the verdict must not be taken apart and written out below this projection, where it would grow without end
-    df = df.select(*keep, *COUNTS, "q_lang", "q_classes", "q_common", F.spark_partition_id().alias("q_here")).join(F.broadcast(refs), "q_lang", "left")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    df = df.withColumns({
-        "base_failed": failed,
-        "js_chars": F.when(F.aggregate("q_classes", F.lit(0), lambda a, x: a + x) >= LEAST_CHARS, js_distance("q_classes", "r_classes")),
-        "js_words": F.when((F.col("n_words") >= LEAST_TOKENS) & (F.size("q_common") > 1), js_distance("q_common", "r_common")),
-    })
-    far = (F.coalesce("js_chars", F.lit(0.0)) >= MOST_CHARS_DISTANCE) | (F.coalesce("js_words", F.lit(0.0)) >= MOST_WORDS_DISTANCE)
-    return df.withColumn("kept", ~failed & ~far & (F.col("q_here") >= 0)).select(*keep, *made)
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
+    return _judged(docs, columns, text, lang).select("row.*", *MADE)
 
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, unchanged."""
-    return judged(docs).where("kept").select(*docs.columns)
+    return _judged(docs, docs.columns, "text", "lang").where("kept").select("row.*")
 
 
 _LISTS = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(f"'{w}'" for w in v)}]" for k, v in COMMON.items()) + " ELSE []::VARCHAR[] END"
