@@ -350,10 +350,11 @@ def covered(n_words: int, starts: bytes) -> np.ndarray:
 
 
 def _with_starts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``s_starts``, null where nothing is repeated."""
-    keyed = docs.withColumns({"s_key": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(frames.NULL_ID)), "s_mark": frames.crc("text")})
-    found = repeated_windows(docs).select(F.col("doc_id").alias("s_key"), F.col("mark").alias("s_mark"), F.col("starts").alias("s_starts"))
-    return keyed.join(found, ["s_key", "s_mark"], "left")
+    """``row`` (a row of ``docs``) and ``starts``, null where nothing is repeated."""
+    id_ = F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(frames.NULL_ID))
+    keyed = frames.packed(docs).select("row", id_.alias("key"), frames.crc("row.text").alias("mark"))
+    found = repeated_windows(docs).select(F.col("doc_id").alias("key"), "mark", "starts")
+    return keyed.join(found, ["key", "mark"], "left").select("row", "starts")
 
 
 def removal(docs: DataFrame) -> DataFrame:
@@ -362,7 +363,7 @@ def removal(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, sums = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("s_starts").to_pylist(), strict=True):
+            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 sizes.append(len(words))
                 drop = covered(len(words), starts) if starts else None
@@ -371,7 +372,7 @@ def removal(docs: DataFrame) -> DataFrame:
                 sums.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_starts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "text", "s_starts")
+    rows = _with_starts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("row.doc_id", "row.text", "starts")
     return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
@@ -401,10 +402,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return pd.Series([cut_text(t, s) if t and s is not None else t for t, s in zip(texts, starts, strict=True)], dtype=object)
 
     rows = _with_starts(docs)
-    rows = rows.withColumn("text", F.when(F.col("s_starts").isNull(), F.col("text")).otherwise(left_over("text", "s_starts")))
+    cut = F.col("starts").isNotNull()
+    made = {"text": F.when(cut, left_over("row.text", "starts")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("s_starts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.when(cut, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        return rows.select("row", "starts", made["text"].alias("text")).select("row", "text", made["n_chars"].alias("n_chars")).select(F.col("row").withField("text", F.col("text")).withField("n_chars", F.col("n_chars")).alias("row")).select("row.*")
+    return rows.select(F.col("row").withField("text", made["text"]).alias("row")).select("row.*")
 
 
 ORACLE = """
