@@ -85,36 +85,37 @@ def _planes(fps: np.ndarray, word: np.ndarray, lane: np.ndarray, words: int) ->
     return np.stack([pack((lanes >> _U(b) & _U(1)).astype(bool)) for b in range(64)]), pack(taken)
 
 
-def near_lanes(queries: np.ndarray, planes: np.ndarray, word: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_lanes(queries: np.ndarray, planes: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs (query, word) have lanes within the radius, and those lanes as a bit set.
 
-    Two planes at a time go through a full adder into a three-bit counter for each lane; a lane that reaches five stays
-    out, and a pair whose valid lanes are all out is abandoned.
+    Two planes at a time go through a full adder into a carry-save counter for each lane. Counters begin so high that one
+    more than ``radius`` overflows; a lane that did stays out, and a pair whose valid lanes are all out is abandoned.
     """
-    alive = np.arange(len(queries))
-    c0, c1, c2, out = (np.zeros(len(queries), dtype=_U) for _ in range(4))
+    alive, bits = np.arange(len(queries)), (radius + 1).bit_length()
+    begin = (1 << bits) - 1 - radius
+    c = [np.full(len(queries), _ALL if begin >> i & 1 else 0, dtype=_U) for i in range(bits)]
+    out = np.zeros(len(queries), dtype=_U)
     for b in range(0, 64, 2):
         x = planes[b][word] ^ (_U(0) - (queries >> _U(b) & _U(1)))
         y = planes[b + 1][word] ^ (_U(0) - (queries >> _U(b + 1) & _U(1)))
         both = x ^ y
-        carry = x & y | c0 & both
-        c0 = c0 ^ both
-        c2 = c2 ^ (c1 & carry)
-        c1 = c1 ^ carry
-        out = out | c2 & (c0 | c1)
+        carry = x & y | c[0] & both
+        c[0] = c[0] ^ both
+        for i in range(1, bits):
+            c[i], carry = c[i] ^ carry, c[i] & carry
+        out = out | carry
         if b % 8 == 6:
             go = np.flatnonzero(valid & ~out)
             if len(go) < 0.7 * len(alive):
-                alive, queries, word, valid, c0, c1, c2, out = (a[go] for a in (alive, queries, word, valid, c0, c1, c2, out))
+                alive, queries, word, valid, out, *c = (a[go] for a in (alive, queries, word, valid, out, *c))
     near = valid & ~out
     go = np.flatnonzero(near)
     return alive[go], near[go]
 
 
-def bucket_links(fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints in buckets that begin at ``starts``: for each with a near one in its bucket, the least index of its group."""
+def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indices, the lower first, of fingerprints within the radius in buckets that begin at ``starts``; a bounded number at a time."""
     n = len(fps)
-    label = np.arange(n)
     sizes = np.diff(np.append(starts, n))
     pos = np.arange(n) - np.repeat(starts, sizes)
     words = (sizes + 63) // 64
@@ -132,20 +133,32 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         step = np.arange(len(own)) - np.repeat(np.cumsum(left[first:last]) - left[first:last], left[first:last])
         at = word[own] + step
         later = np.where(step == 0, ~_U(0) << lane[own].astype(_U) << _U(1), ~_U(0))
-        got, near = near_lanes(fps[own], planes, at, taken[at] & later)
+        got, near = near_lanes(fps[own], planes, at, taken[at] & later, radius)
         if len(got):
             bits = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, c = np.nonzero(bits)
-            a, b = own[got[r]], member[at[got[r]], c]
-            while len(a):
-                la, lb = label[a], label[b]
-                open_ = la != lb
-                a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-                np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-                while not np.array_equal(up := label[label], label):
-                    label = up
+            yield own[got[r]], member[at[got[r]], c]
         first = last
-    moved = np.flatnonzero(label != np.arange(n))
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each at most its own index, once each ``a`` and ``b`` are in one group: the least index of a group."""
+    while len(a):
+        la, lb = label[a], label[b]
+        open_ = la != lb
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return label
+
+
+def bucket_links(fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints in buckets that begin at ``starts``: for each with a near one in its bucket, the least index of its group."""
+    label = np.arange(len(fps))
+    for a, b in near_pairs(fps, starts):
+        label = merged(label, a, b)
+    moved = np.flatnonzero(label != np.arange(len(fps)))
     return moved, label[moved]
 
 
@@ -231,12 +244,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def hexadecimal(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest ``doc_id``, null last, then the smallest checksum; one of equal rows."""
-    found = near_duplicates(docs)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "check")
-    kept = frames.cut(found.groupBy("root").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.check").withColumn("doc_key", F.coalesce("doc_id", F.lit(frames.NULL_ID))).drop("doc_id").distinct())
-    keyed = docs.withColumns({"doc_key": F.coalesce("doc_id", F.lit(frames.NULL_ID)), "check": frames.crc("text")})
-    return keyed.join(kept, ["doc_key", "check"], "left_semi").dropDuplicates(["doc_key", "check"]).select(*docs.columns)

@@ -76,7 +76,29 @@ def test_pairs_at_the_threshold_meet():
 
 def test_bridge_in_one_bucket():
     """Two that are alike only by way of a third are one group."""
-    a, b, c = ([*range(i, i + 95)] for i in (0, 10, 20))
-    sets = [likeness.np.array(x, dtype=likeness.np.uint64) for x in (a, c, b)]
+    rng = likeness.np.random.default_rng(4)
+    every = likeness.np.sort(rng.integers(0, 1 << 63, 115, dtype=likeness.np.uint64))
+    sets = [every[i : i + 95] for i in (0, 20, 10)]
     assert not likeness.alike(sets[0], sets[1])
-    assert len(likeness.bucket_links([1, 2, 3], sets)) == 2
+    assert len(likeness.bucket_links(likeness.np.array([likeness.print_of(x) for x in sets], dtype=likeness.np.uint64), sets)) == 2
+
+
+def test_fingerprints_of_alike_sets_are_near():
+    """None of many sets just above the threshold is abandoned, short ones included."""
+    rng = likeness.np.random.default_rng(5)
+    for n in [5, 6, 9, 10, 20, 50, 200, 1000] * 40:
+        every = rng.integers(0, 1 << 63, n, dtype=likeness.np.uint64)
+        cut = n // 10
+        a, b = (likeness.np.sort(x) for x in ((every[cut:], every[: n - cut]) if n >= 10 else (every, every[: n - 1])))
+        assert likeness.alike(a, b)
+        assert (likeness.print_of(a) ^ likeness.print_of(b)).bit_count() <= likeness.RADIUS
+
+
+def test_buckets_in_blocks(spark, none, monkeypatch):
+    """Blocks of a bucket change nothing."""
+    rnd = random.Random(13)
+    base = prose(rnd, 150)
+    made = [(i, edited(rnd, base, rnd.randrange(1, 7))) for i in range(60)]
+    whole = sorted(r.doc_id for r in stage(spark, made, none).collect())
+    monkeypatch.setattr(likeness, "BLOCK", 8 * 146 * 7)
+    assert sorted(r.doc_id for r in stage(spark, made, none).collect()) == whole and 1 <= len(whole) < 60

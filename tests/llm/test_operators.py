@@ -137,13 +137,17 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
 
 
-def test_one_of_each(docs, rows, none):
-    group = brute_groups([brute_print(r[1]) for r in rows])
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    got = Counter(group[brute_print(r.text)] for r in kept.collect())
-    assert set(got.values()) == {1} and set(got) == set(group.values())
-    assert simhash.one_of_each(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+@pytest.mark.parametrize("radius", [0, 3, 4, 7, 24, 31])
+def test_near_pairs_of_any_radius(radius):
+    rng = np.random.default_rng(radius)
+    fps = np.concatenate([rng.integers(0, 1 << 63, 150, dtype=np.uint64), np.arange(40, dtype=np.uint64)])
+    starts = np.array([0, 1, 90])
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if np.searchsorted(starts, i, "right") == np.searchsorted(starts, j, "right") and (int(fps[i]) ^ int(fps[j])).bit_count() <= radius}
+    assert {(int(x), int(y)) for a, b in simhash.near_pairs(fps, starts, radius) for x, y in zip(a, b, strict=True)} == want
+
+
+def test_empty_simhash(none):
+    assert simhash.near_duplicates(none).count() == 0
 
 
 # quality
@@ -276,39 +280,102 @@ def test_without_repeats(docs, rows):
 # mixing
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_edf_stays_within_one_block(seed):
+def brute_plan(blocks, quota):
+    """Slots of all blocks, one after another: every period by trying each released block, the earliest deadline first."""
+    left, done, out = dict(blocks), Counter(), []
+    while any(left.values()):
+        now = {s: min(quota[s], n) for s, n in left.items() if n}
+        width, served = sum(now.values()), Counter()
+        for slot in range(width):
+            ready = [(-(-(served[s] + 1) * width // q), s) for s, q in now.items() if served[s] < q and served[s] * width // q <= slot]
+            _, s = min(ready)
+            out.append((s, done[s], len(out), len(out) - slot + served[s] * width // now[s], len(out) - slot + min(ready)[0]))
+            served[s] += 1
+            done[s] += 1
+        left = {s: n - now.get(s, 0) for s, n in left.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_periods_against_brute_force(seed):
+    """Past every exhaustion of a source; each is less than a block off its share at every slot."""
     rnd = random.Random(seed)
     blocks = {f"s{i}": rnd.randrange(0, 120) for i in range(8)}
-    weights = {s: rnd.choice([1, 2, 0.5, 7, 3.25]) for s in blocks}
-    plan = list(mixing.edf(blocks, weights))
-    assert [p[2] for p in plan] == list(range(sum(blocks.values())))
+    quota = mixing.quotas({s: rnd.choice([1, 2, 0.5, 7, 3.25]) for s in blocks}, 24)
+    got = []
+    for s, first, end, q, k, start, width, slot, release, deadline in mixing.plan_of(blocks, quota):
+        for turn in range((end - first) // q):
+            got.append((s, first + turn * q + k, *(start + turn * width + x for x in (slot, release, deadline))))
+    plan = brute_plan(blocks, quota)
+    assert sorted(got, key=lambda x: x[2]) == plan
+    assert [p[2] for p in plan] == list(range(sum(blocks.values()))) and Counter(p[0] for p in plan) == Counter(blocks)
     assert all(r <= slot < d for _, _, slot, r, d in plan)
-    assert Counter(p[0] for p in plan) == Counter(blocks)
-    done, share, live = Counter(), Counter(), {s for s in blocks if blocks[s]}
-    until = min(blocks[s] / weights[s] for s in live) * sum(weights[s] for s in live)
-    for s, *_ in plan[: int(until)]:
-        done[s] += 1
-        for x in live:
-            share[x] += weights[x] / sum(weights[y] for y in live)
-        assert all(abs(done[x] - share[x]) < 1 + 1e-9 for x in live)
-
-
-def test_mixed_places_every_row(docs, none):
-    got = mixing.mixed(docs, block_chars=500).toPandas()
-    assert len(got) == docs.count()
-    for _, own in got.groupby("m_source"):
-        own = own.sort_values("m_start")
-        sizes = own.text.fillna("").str.len() + 1
-        assert (own.m_start.to_numpy() == np.append(0, np.cumsum(sizes)[:-1])).all()
-        assert (own.m_block == own.m_start // 500).all()
-    assert mixing.mixed(none).count() == 0
-    assert mixing.mixed(docs, {"hot": 5.0}, max_blocks=7).select("slot").distinct().count() <= 7 + 4
-
-
-def test_in_mixed_order(docs):
-    got = mixing.in_mixed_order(docs)
-    assert got.columns == docs.columns and listed(got) == listed(docs)
+    for start, times, now, first in mixing.phases(blocks, quota):
+        done, width = Counter(), sum(now.values())
+        for at, (s, *_) in enumerate(plan[start : start + times * width], 1):
+            done[s] += 1
+            assert all(abs(done[x] - at * q / width) < 1 for x, q in now.items())
+    assert len(list(mixing.phases(blocks, quota))) <= 2 * len(blocks)
+
+
+def test_quotas():
+    assert mixing.quotas({"a": 1, "b": 3}, 16) == {"a": 4, "b": 12}
+    assert mixing.quotas({"a": 1e-9, "b": 1}, 16)["a"] == 1
+    with pytest.raises(ValueError):
+        mixing.quotas({"a": 0}, 16)
+
+
+def spark_hash(doc_id, text):
+    """The hash that orders documents."""
+    h = xxhash.xxh64_intdigest(b"mix", 42)
+    for x in (-(1 << 63) if doc_id is None else doc_id, zlib.crc32((text or "").encode())):
+        h = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h
+
+
+def test_mixed_against_brute_force(docs, rows, none):
+    """The whole result and its order."""
+    weights, rest, size = {"hot": 3.0, "a": 0.5, "gone": 2.0}, 1.0, 500
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[3] if r[3] in weights else ""].append(r)
+    spots, ends = [], {}
+    for s, own in by_source.items():
+        at = 0
+        for r in sorted(own, key=lambda r: (x := spark_hash(r[0], r[1]), x >= 1 << 63)):
+            spots.append((r, s, at, at // size))
+            at += len(r[1] or "") + 1
+        ends[s] = -(-at // size)
+    quota = mixing.quotas({**weights, "": rest}, 40)
+    slots = {(s, b): rest_ for s, b, *rest_ in brute_plan(ends, quota)}
+    want = sorted(((r, s, at, b, *slots[s, b]) for r, s, at, b in spots), key=repr)
+    got = mixing.mixed(docs, weights, rest, size, 40)
+    assert got.columns == ["row", "source", "start", "block", "slot", "release", "deadline"]
+    assert sorted(((tuple(x.row), *x[1:]) for x in got.collect()), key=repr) == want
+    order = [tuple(x.row)[:2] for x in sorted(got.collect(), key=lambda x: (x.slot, x.start))]
+    assert order == [x[0][:2] for x in sorted(want, key=lambda x: (x[4], x[2]))]
+    assert mixing.mixed(none, weights).count() == 0
+    laid = mixing.in_mixed_order(docs, weights)
+    assert laid.columns == docs.columns and listed(laid) == listed(docs)
+
+
+def test_mixed_stays_near_the_targets_in_characters(spark):
+    """Less than two blocks and the longest document off the fluid share, at every slot before a source runs out."""
+    rnd = random.Random(2)
+    made = [(i, "x" * rnd.randrange(200), rnd.choice("aab")) for i in range(3000)]
+    weights, size = {"a": 1.0, "b": 3.0}, 1000
+    got = mixing.mixed(spark.createDataFrame(made, "doc_id bigint, text string, source string"), weights, 1.0, size, 16).collect()
+    chars, done, slot = Counter(), Counter(), -1
+    quota = mixing.quotas({**weights, "": 1.0}, 16)
+    (_, times, now, _), *_ = mixing.phases({s: max(x.block for x in got if x.source == s) + 1 for s in "ab"}, quota)
+    for x in sorted(got, key=lambda x: (x.slot, x.start)):
+        if x.slot >= times * sum(now.values()):
+            break
+        if x.slot != slot:
+            slot = x.slot
+            assert all(abs(chars[s] - size * slot * now[s] / sum(now.values())) < 2 * size + 201 for s in "ab")
+        chars[x.source] += len(x.row.text) + 1
+    assert slot > 50
 
 
 # sharding

@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 from factloom.llm import quality
-from tests.llm.test_operators import brute_groups, brute_print, brute_removal, words
+from tests.llm.test_likeness import jaccard_groups, shingle_set
+from tests.llm.test_operators import brute_removal, words
 
 
 def test_pipeline_stage_by_stage(spark, docs, tmp_path):
@@ -20,8 +21,7 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
             kept = quality.judged(docs).where("kept").count()
             assert len(after) == kept < len(before)
         elif name == "near_dedup":
-            groups = brute_groups([brute_print(r[1]) for r in before])
-            assert len(after) == len(set(groups.values()))
+            assert len(after) == len(set(jaccard_groups([shingle_set(r[1]) for r in before]).values()))
         elif name == "substring_dedup":
             assert sorted(len(words(r[1])) for r in after) == sorted(n - gone for _, n, gone, _ in brute_removal(before))
         elif name == "source_mix":
