@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import likeness, mixing, pieces, quality, substrings
+from factloom.llm import REST, TARGETS, likeness, mixing, pieces, quality, substrings
 from factloom.llm.frames import fresh_path, table
 
 
@@ -25,7 +25,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are laid out in the order of the mix."""
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs, TARGETS, REST)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
