@@ -6,7 +6,8 @@ more surely above. In a bucket the nodes' SimHash fingerprints are compared bit-
 :mod:`factloom.llm.simhash`; sets of similarity 0.8 differ in 9.7 of 64 bits on average, and pairs that differ in more
 than ``RADIUS`` are abandoned. What is left, and not yet connected, is compared on the whole shingle sets.
 
-A bucket whose sets take more than ``BLOCK`` bytes is cut into blocks, and each two of them meet in a task of their own.
+The sets move to the buckets of the first bands, then to those buckets of the others whose nodes are not all in one group
+yet. A bucket whose sets take more than ``BLOCK`` bytes is cut into blocks, and each two of them meet in a task of their own.
 
 Defined results: words are as in SimHash; a text of fewer words is one shingle; texts without words are copies of each
 other. Shingles of one 64-bit hash count as equal, and so do sets of one 64-bit hash. Other columns come back as they
@@ -33,8 +34,10 @@ SHARE, OF = 4, 5
 ROWS, BANDS = 4, 20
 #: Differing bits of a pair that is still compared exactly: over four deviations from the mean at the least similarity.
 RADIUS = 24
-#: Bytes of shingle sets in one block of a bucket.
-BLOCK = 64 << 20
+#: Bytes of shingle sets in one block of a bucket, and pairs of a query and a word of 64 fingerprints compared at once.
+BLOCK, PAIRS = 64 << 20, 1 << 12
+#: Bands that are compared first. Of the others only buckets whose nodes these have not yet all connected are left.
+FIRST = 5
 #: Shingles worked on at once.
 PIECE = 1 << 13
 #: Bytes of text or of shingle sets taken out of a batch at once.
@@ -94,10 +97,10 @@ def print_of(found: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(found), bitorder="little").view(_U)[0])
 
 
-def bucket_links(prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of indices that connect all pairs of one bucket that are alike; pairs already connected are not compared."""
-    label, edges = np.arange(len(prints)), []
-    for a, b in simhash.near_pairs(prints, np.zeros(1, dtype=np.int64), RADIUS):
+def bucket_links(prints: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a bucket that is linked to others: its index and the least of its group. Pairs already connected are not compared."""
+    label = np.arange(len(prints))
+    for a, b in simhash.near_pairs(prints, np.zeros(1, dtype=np.int64), RADIUS, PAIRS):
         while True:
             open_ = label[a] != label[b]
             a, b = a[open_], b[open_]
@@ -105,10 +108,10 @@ def bucket_links(prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
                 break
             _, first = np.unique(label[a] * len(label) + label[b], return_index=True)  # one pair for each two groups
             hits = [i for i in first.tolist() if alike(sets[a[i]], sets[b[i]])]
-            edges += [(int(a[i]), int(b[i])) for i in hits]
             label = simhash.merged(label, a[hits], b[hits])
             a, b = np.delete(a, first), np.delete(b, first)
-    return edges
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -154,7 +157,7 @@ def _compared(members: DataFrame) -> DataFrame:
 
         def settle() -> pa.RecordBatch:
             edges = bucket_links(np.array(prints, dtype=np.int64).view(_U), sets)
-            return pa.RecordBatch.from_arrays([pa.array([nodes[e[i]] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, dtype=np.int64)[e]) for e in edges], names=["u", "v"])
 
         for batch in batches:
             for bucket, part, node, fp, found in (row for piece in frames.slices(batch, "found", TEXTS) for row in zip(*(c.to_pylist() for c in piece.columns), strict=True)):
@@ -173,17 +176,27 @@ def _compared(members: DataFrame) -> DataFrame:
     return members.select("bucket", "part", "node", "fp", "found").repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(run, "u bigint, v bigint")
 
 
-def _in_parts(met: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``(bucket, part, node)``: each node of a bucket once for each part that it belongs to.
+def _in_parts(members: DataFrame) -> DataFrame:
+    """``(bucket, part, node)``: each node of ``members(bucket, bytes, node)`` once for each part of its bucket that it belongs to.
 
     A bucket of ``b`` blocks has a part for each two of them: part ``i * b + j`` holds the blocks i and j, i <= j.
     """
-    rows = met.join(sizes.select("bucket", F.ceil(F.col("bytes") / BLOCK).cast("int").alias("blocks")), "bucket")
+    rows = members.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
     with_others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, F.col("own")) * F.col("blocks") + F.greatest(x, F.col("own")))
     return rows.withColumn("own", own).select("bucket", F.explode(with_others).alias("part"), "node")
 
 
+def _connected(keyed: DataFrame, nodes: DataFrame, members: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(node, component)`` over the links in buckets ``members(bucket, bytes, node)``, and over ``known`` components."""
+    wanted = frames.cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.doc_key", "first.check"))
+    sets = _sets(keyed.join(wanted, ["doc_key", "check"], "left_semi").dropDuplicates(["doc_key", "check"]))
+    edges = _compared(_in_parts(members).join(sets, "node"))
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return connected_components(edges)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest ``doc_id``, null last, then the smallest checksum; one of equal rows."""
     id_ = F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(frames.NULL_ID))
@@ -191,14 +204,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = frames.cut(_sketches(keyed))
     order = F.struct(F.col("doc_key") == frames.NULL_ID, "doc_key", "check")
     nodes = frames.cut(rows.groupBy("node").agg(F.min(order).alias("first")))
-    met = rows.select("node", "size", F.explode("buckets").alias("bucket")).distinct()
+    met = rows.select("node", "size", F.posexplode("buckets").alias("band", "bucket")).distinct()
     # buckets of the same nodes are one
-    sizes = met.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
-    alone = frames.cut(sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("bytes").alias("bytes")).select("bucket", "bytes"))
-    members = frames.cut(_in_parts(met.select("bucket", "node"), alone))
-    wanted = frames.cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.doc_key", "first.check"))
-    sets = _sets(keyed.join(wanted, ["doc_key", "check"], "left_semi").dropDuplicates(["doc_key", "check"]))
-    groups = connected_components(_compared(members.join(sets, "node")))
+    sizes = met.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
+    alone = frames.cut(sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b"), F.max("bytes").alias("bytes")).select("b.band", "b.bucket", "bytes"))
+    members = frames.cut(met.select("bucket", "node").join(alone, "bucket"))
+    groups = _connected(keyed, nodes, members.where(F.col("band") < FIRST))
+    later = members.where(F.col("band") >= FIRST).join(groups, "node", "left").withColumn("now", F.coalesce("component", "node"))
+    apart = later.groupBy("bucket").agg(F.min("now").alias("a"), F.max("now").alias("z")).where("a <> z").select("bucket")
+    more = frames.cut(members.where(F.col("band") >= FIRST).join(frames.cut(apart), "bucket", "left_semi").select("bucket", "bytes", "node"))
+    groups = frames.cut(_connected(keyed, nodes, more, groups))
     named = nodes.join(groups, "node", "left").select(F.coalesce("component", "node").alias("root"), "first")
     kept = frames.cut(named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_key", "first.check"))
     return keyed.join(kept, ["doc_key", "check"], "left_semi").dropDuplicates(["doc_key", "check"]).select("row.*")

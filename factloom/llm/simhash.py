@@ -113,7 +113,7 @@ def near_lanes(queries: np.ndarray, planes: np.ndarray, word: np.ndarray, valid:
     return alive[go], near[go]
 
 
-def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of indices, the lower first, of fingerprints within the radius in buckets that begin at ``starts``; a bounded number at a time."""
     n = len(fps)
     sizes = np.diff(np.append(starts, n))
@@ -128,7 +128,7 @@ def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> Ite
     ends = np.cumsum(left)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + pairs, side="right")))
         own = np.repeat(np.arange(first, last), left[first:last])
         step = np.arange(len(own)) - np.repeat(np.cumsum(left[first:last]) - left[first:last], left[first:last])
         at = word[own] + step
