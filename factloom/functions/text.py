@@ -7,13 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.conventions import LANGUAGES
+
 #: Log levels that are kept as they are (fixed values); ``warning`` is ``warn``, anything else ``unknown``.
 LEVELS = ("trace", "debug", "info", "warn", "error", "fatal")
-LINE = r"^(\S+)\s+([A-Z]+)\s+([a-zA-Z0-9._-]+)\s+(.*)$"
 #: Names whose values are never shown.
 SECRETS = ("password", "token", "secret", "authorization", "apikey", "api_key")
-#: File extensions and their languages (fixed values).
-LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "lua": "lua", "cs": "csharp", "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "sql": "sql", "sh": "shell", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "html": "html", "css": "css"}
 
 
 def stable_id(prefix: str, *parts: Column | str) -> Column:
@@ -30,9 +29,26 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def expanded(glob: str) -> list[str]:
+    """A glob without braces for each choice that its braces leave."""
+    found = re.search(r"\{([^{}]*)\}", glob)
+    return [x for choice in found[1].split(",") for x in expanded(glob[: found.start()] + choice + glob[found.end() :])] if found else [glob]
+
+
+def listing_regex(globs: tuple[str, ...]) -> str:
+    """For finding files, where braces are choices and a leading ``**/`` stands for no folder too."""
+    bodies = [glob_regex(x.removeprefix("**/"))[1:-1] for g in globs for x in expanded(g)]
+    return "^(?:.*/)?(?:" + "|".join(bodies) + ")$"
+
+
+def any_glob(globs: tuple[str, ...]) -> str:
+    """One pattern for all of the globs; braces stand for themselves."""
+    return "|".join(map(glob_regex, globs))
+
+
 def normal_path(path: Column) -> Column:
     """Forward slashes, without ``.``, ``..`` and empty segments."""
-    segments = F.filter(F.split(F.regexp_replace(path, r"\\\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    segments = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
     folded = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
     return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(folded, "/"))
 
@@ -96,14 +112,23 @@ def token_estimate(value: Column) -> Column:
     return F.ceil(F.length(value) / F.lit(3.5)).cast("bigint")
 
 
+def search_words(query: Column) -> Column:
+    """Distinct search words, in order, as typed."""
+    return F.array_distinct(F.filter(F.split(query, r"[\s(),:{}\[\]]+"), lambda x: x != ""))
+
+
 def words(query: str) -> list[str]:
     """Distinct search words of a query, in order, as typed."""
     return list(dict.fromkeys(w for w in re.split(r"[\s(),:{}\[\]]+", query) if w))
 
 
+#: Common Latin letters with diacritics, and without (fixed values).
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
 def folded(value: Column) -> Column:
     """Lower case without the common Latin diacritics."""
-    return F.translate(F.lower(value), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return F.translate(F.lower(value), ACCENTED, PLAIN)
 
 
 def index_tokens(value: Column) -> Column:

@@ -6,64 +6,76 @@ by value; the highest wins, the earlier detector on ties.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import conventions as c
 from factloom.functions import text as t
-from factloom.sources.files import BINARY
-
-DOCS, CONFIGS = ("md", "mdx", "rst", "adoc", "txt"), ("json", "yml", "yaml", "toml", "ini", "cfg", "conf", "properties")
-LEVEL_WORD = r"(?i)\b(trace|debug|info|warn|error|fatal)\b"
-TEST_MARK = r"describe\s*\(|it\s*\(|test\s*\("
-BANNER = r"(?i)@generated|auto-?generated|do not edit"
 
 
-def detectors(path: str = "path", content: str = "content") -> list[Column]:
-    p, low, body = F.col(path), F.lower(path), F.coalesce(F.col(content), F.lit(""))
-    ext, name = t.extension(p), F.lower(t.basename(p))
+def detectors(path: str = "path", content: str = "content", generated_dirs: tuple[str, ...] = (), test_roots: tuple[str, ...] = ()) -> list[Column]:
+    """Signals in the order of the detectors. Braces of a glob stand for themselves here, and test globs meet the lower-case path."""
+    p, low, body = F.replace(F.col(path), F.lit("\\"), F.lit("/")), F.lower(F.replace(F.col(path), F.lit("\\"), F.lit("/"))), F.coalesce(F.col(content), F.lit(""))
+    ext, name = t.extension(p), t.basename(low)
     head = lambda n: F.substring(body, 1, n)
-    first_lines = F.array_join(F.slice(F.split(body, "\n"), 1, 20), "\n")
+    first_lines = F.array_join(F.slice(F.split(body, "\r?\n"), 1, 20), "\n")
+    under = lambda roots: low.rlike("^(" + "|".join(re.escape(r.lower()) for r in roots) + ")(/|$)") if roots else F.lit(False)
 
     def signal(when: Column, dimension: str, value: Column | str, sure: float) -> Column:
         return F.when(when, F.struct(F.lit(dimension).alias("dimension"), (F.lit(value) if isinstance(value, str) else value).alias("value"), F.lit(sure).alias("confidence")))
 
-    test_path = low.rlike(r"(^|/)(tests?|__tests__|specs?)/") | low.rlike(r"\.(test|spec)\.[a-z]+$")
+    test_path = low.rlike(t.any_glob(c.TEST_GLOBS)) | low.rlike(c.TEST_FOLDER)
+    log = name.rlike(c.LOG_NAME) | low.rlike("(" + "|".join(c.LOG_FOLDERS) + ")/") | name.rlike(r"\.(" + "|".join(c.LOG_EXTENSIONS) + ")$") | head(512).rlike(c.LEVEL_WORD)
     return [
-        signal(low.rlike(r"(^|/)(generated|dist)/|\.(generated|gen)\.|\.d\.ts$"), "kind", "generated", 0.95),
-        signal(low.rlike(r"/(package\.json|pyproject\.toml|cargo\.toml|go\.mod)$|\.csproj$"), "kind", "manifest", 0.95),
-        signal(ext.isin(*t.LANGUAGES) & ~ext.isin(*DOCS, *CONFIGS), "language", t.language(p), 0.5),
-        signal(first_lines.rlike(BANNER), "kind", "generated", 0.98),
-        signal(ext.isin(*BINARY), "kind", "binary", 1.0),
+        signal(p.rlike(t.any_glob(c.GENERATED_GLOBS + tuple(f"{d}/**" for d in generated_dirs))), "kind", "generated", 0.95),
+        signal(p.rlike(t.any_glob(c.MANIFEST_GLOBS)), "kind", "manifest", 0.95),
+        signal(p.rlike(t.any_glob(c.SOURCE_GLOBS)), "kind", "source", 0.45),
+        signal(p.rlike(t.any_glob(c.EVIDENCE_GLOBS)), "kind", F.when(ext.isin(*c.DOCS), "doc").otherwise("config"), 0.4),
+        signal(ext.isin(*c.LANGUAGES), "language", t.language(p), 0.5),
+        signal(first_lines.rlike("(?i)" + "|".join(c.BANNERS)), "kind", "generated", 0.98),
+        signal(ext.isin(*c.BINARY), "kind", "binary", 1.0),
         signal(test_path, "kind", "test", 0.9),
         signal(test_path, "role", "test", 0.8),
-        signal(body.rlike(TEST_MARK), "kind", "test", 0.75),
-        signal(low.rlike(r"(^|/)logs?/") | ext.isin("log", "jsonl") | head(512).rlike(LEVEL_WORD), "kind", "log", 0.8),
-        signal(ext.isin(*DOCS), "kind", "doc", 0.7),
-        signal(low.rlike("(^|/)docs?/"), "kind", "doc", 0.75),
-        signal(head(500).rlike("(?m)^# "), "kind", "doc", 0.45),
-        signal(ext.isin(*CONFIGS), "kind", "config", 0.65),
-        signal(name.rlike("config|settings|compose|workspace|project"), "kind", "config", 0.7),
-        signal(head(800).rlike(r"(?m)^\s*\[[a-z]+\]\s*$"), "kind", "config", 0.55),
+        signal(body.rlike(c.TEST_MARK), "kind", "test", 0.75),
+        signal(under(test_roots), "kind", "test", 0.65),
+        signal(log, "kind", "log", 0.8),
+        signal(ext.isin(*c.DOCS), "kind", "doc", 0.7),
+        signal(low.rlike(c.DOC_FOLDER), "kind", "doc", 0.75),
+        signal(head(500).rlike(r"(?m)^#\s+"), "kind", "doc", 0.45),
+        signal(ext.isin(*c.CONFIGS), "kind", "config", 0.65),
+        signal(name.isin(*c.CONFIG_NAMES) | name.rlike(c.CONFIG_WORD), "kind", "config", 0.7),
+        signal(head(800).rlike(c.CONFIG_MARK), "kind", "config", 0.55),
     ]
 
 
-def classify(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``files`` with ``kind, language, role, confidence``. Votes are folded inside each row, without a shuffle."""
-    votes = F.filter(F.array(*detectors(path, content)), lambda s: s.isNotNull())
+def classify(files: DataFrame, path: str = "path", content: str = "content", generated_dirs: tuple[str, ...] = (), test_roots: tuple[str, ...] = ()) -> DataFrame:
+    """``files`` with ``kind, language, roles, tags, generated, confidence``. Votes are folded inside each row, without a shuffle.
+
+    ``language`` is null without a vote. ``generated_dirs`` and ``test_roots``: what manifests say, see :func:`factloom.sources.files.conventions`.
+    """
+    votes = F.filter(F.array(*detectors(path, content, generated_dirs, test_roots)), lambda s: s.isNotNull())
     df = files.withColumn("votes", votes)
 
-    def best(dimension: str) -> Column:
+    def totals(dimension: str) -> Column:
         own = F.filter("votes", lambda s: s["dimension"] == dimension)
         values = F.array_distinct(F.transform(own, lambda s: s["value"]))
-        totals = F.transform(values, lambda v, i: F.struct(F.aggregate(F.filter(own, lambda s: s["value"] == v), F.lit(0.0), lambda a, s: a + s["confidence"]).alias("score"), (-i).alias("order"), v.alias("value")))
-        return F.array_max(totals)
+        return F.transform(values, lambda v, i: F.struct(F.aggregate(F.filter(own, lambda s: s["value"] == v), F.lit(0.0), lambda a, s: a + s["confidence"]).alias("score"), (-i).alias("order"), v.alias("value")))
 
-    df = df.withColumns({"k": best("kind"), "l": best("language"), "r": best("role")})
-    role = F.when(F.col("r.score") >= 0.6, F.col("r.value"))
-    kind = F.coalesce(F.col("k.value"), F.when(F.col("l").isNotNull(), F.when(role == "test", "test").otherwise("source")), F.lit("unknown"))
-    sure = F.greatest(F.coalesce("k.score", F.lit(0.0)), F.coalesce("l.score", F.lit(0.0)), F.lit(0.05))
-    return df.select(*files.columns, kind.alias("kind"), F.coalesce("l.value", F.lit("unknown")).alias("language"), role.alias("role"), F.round(sure, 2).alias("confidence"))
+    df = df.withColumns({"kinds": totals("kind"), "languages": totals("language"), "role_totals": totals("role"), "tag_totals": totals("tag")})
+    df = df.withColumns({"k": F.array_max("kinds"), "l": F.array_max("languages")})
+    sure = lambda name: F.transform(F.filter(name, lambda x: x["score"] >= 0.6), lambda x: x["value"])
+    generated = F.exists("kinds", lambda x: (x["value"] == "generated") & (x["score"] >= 0.9))
+    kind = F.when(generated, "generated").when(F.col("k").isNotNull(), F.col("k.value")).when(F.col("l").isNotNull(), F.when(F.array_contains(sure("role_totals"), "test"), "test").otherwise("source")).otherwise("unknown")
+    confidence = F.greatest(F.coalesce("k.score", F.lit(0.0)), F.coalesce("l.score", F.lit(0.0)), F.lit(0.05))
+    return df.select(*files.columns, kind.alias("kind"), F.col("l.value").alias("language"), sure("role_totals").alias("roles"), sure("tag_totals").alias("tags"), generated.alias("generated"), F.round(confidence, 2).alias("confidence"))
 
 
 def indexable(files: DataFrame) -> DataFrame:
     return files.where(F.col("kind").isin("source", "test", "config", "manifest", "doc"))
+
+
+def test_extractable(files: DataFrame) -> DataFrame:
+    """Test files whose cases can be read."""
+    return files.where((F.col("kind") == "test") & F.col("language").isin("typescript", "javascript"))

@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from factloom.functions import text as t
 
 NAME = r"[A-Za-z_$][\w$]*"
-#: Words before a parenthesis that are no call.
-LUA_WORDS = ("if", "while", "for", "function", "and", "or", "not", "return", "elseif", "until", "require")
-TS_WORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new", "super", "constructor", "import")
+LUA_NAME = r"[A-Za-z_][A-Za-z0-9_]*"
+LUA_PATH = rf"{LUA_NAME}(?:\.{LUA_NAME})*"
+#: Words before a parenthesis that are no call (fixed values).
+LUA_WORDS = ("function", "if", "for", "while", "return", "local")
+TS_WORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new", "super", "import")
+TABLE = rf"^\s*(local\s+)?({LUA_NAME})\s*=\s*(?:\{{\s*\}}|Create(?:AndInit)?FromMixins\b.*|setmetatable\b.*)$"
+FUNCTION = rf"^\s*(local\s+)?function\s+({LUA_NAME})\s*\("
+MEMBER = rf"^\s*(?:function\s+({LUA_PATH})[:.]({LUA_NAME})\s*\(|({LUA_PATH})[:.]({LUA_NAME})\s*=\s*function\s*\()"
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def _all(rows: DataFrame, pattern: str, name: str, *others: str) -> DataFrame:
     return rows.select("path", "line_no", *others, F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias(name))
 
 
-def _scope(rows: DataFrame, opens: Column, closes: Column) -> DataFrame:
+def scoped(rows: DataFrame, opens: Column, closes: Column) -> DataFrame:
     """``rows`` with ``scope``: the name last opened, carried until a line that closes it."""
     w = Window.partitionBy("path").orderBy("line_no")
     block = F.sum(F.when(closes, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -42,35 +47,62 @@ def _scope(rows: DataFrame, opens: Column, closes: Column) -> DataFrame:
     return grouped.withColumn("scope", F.last("s_name", ignorenulls=True).over(inner)).drop("s_block", "s_name")
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """``(path, line_no, owner, name)`` of functions in tables, in both ways of writing."""
+    part = lambda i, j: F.coalesce(*(F.nullif(F.regexp_extract("line", MEMBER, k), F.lit("")) for k in (i, j)))
+    return rows.where(F.col("line").rlike(MEMBER) & ~F.col("line").rlike(FUNCTION)).select("path", "line_no", part(1, 3).alias("owner"), part(2, 4).alias("name"))
+
+
+def _last(path: str) -> Column:
+    return F.element_at(F.split(path, r"\."), -1)
+
+
 def lua_symbols(rows: DataFrame) -> DataFrame:
-    """``(path, line_no, owner, name, kind)``: tables are constants; functions; methods with their table. A name counts once in a file."""
-    table = _found(rows, rf"^\s*(?:local\s+)?({NAME})\s*=\s*\{{", "name").select("path", "line_no", F.lit("").alias("owner"), "name", F.lit("constant").alias("kind"))
-    plain = _found(rows, rf"^\s*(?:local\s+)?function\s+({NAME})\s*\(", "name").select("path", "line_no", F.lit("").alias("owner"), "name", F.lit("function").alias("kind"))
-    method = _found(rows, rf"^\s*function\s+({NAME})[.:]({NAME})\s*\(", "owner", "name").select("path", "line_no", "owner", "name", F.lit("method").alias("kind"))
-    found = table.unionByName(plain).unionByName(method)
-    return found.groupBy("path", "owner", "name").agg(F.min("line_no").alias("line_no"), F.min_by("kind", "line_no").alias("kind"))
+    """``(path, key, name, kind, container, exported, line_no)``: tables as constants, functions, and methods with their tables.
+
+    A key counts once in a file: exported if any declaration is, the first line and container there is. What a file
+    returns is exported, and with a table all its members.
+    """
+    none = F.lit(None).cast("string")
+    tables = _found(rows, TABLE, "local", "name").select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("table:"), "name").alias("key"), "name", F.lit("constant").alias("kind"), F.col("name").alias("container"), (F.col("local") == "").alias("exported"))
+    plain = _found(rows, FUNCTION, "local", "name").select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("function:"), "name").alias("key"), "name", F.lit("function").alias("kind"), none.alias("container"), (F.col("local") == "").alias("exported"))
+    members = _members(rows)
+    owners = members.select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("table:"), "owner").alias("key"), _last("owner").alias("name"), F.lit("constant").alias("kind"), _last("owner").alias("container"), F.lit(False).alias("exported"))
+    own = members.select("path", "line_no", F.lit(1).alias("o"), F.concat(F.lit("member:"), "owner", F.lit("."), "name").alias("key"), "name", F.lit("method").alias("kind"), _last("owner").alias("container"), F.lit(False).alias("exported"))
+    found = tables.unionByName(plain).unionByName(owners).unionByName(own)
+    first = F.struct("line_no", "o")
+    per = found.groupBy("path", "key").agg(F.min_by("name", first).alias("name"), F.min_by("kind", first).alias("kind"), F.min_by("container", F.when(F.col("container").isNotNull(), first)).alias("container"), F.bool_or("exported").alias("own"), F.min(first).alias("at"))
+    returned = _found(rows, rf"^\s*return\s+({LUA_NAME})\s*$", "table").select("path", "table").distinct().groupBy("path").agg(F.collect_set("table").alias("returned"))  # names of one file
+    shown = F.coalesce(F.array_contains("returned", F.col("name")) | F.coalesce(F.array_contains("returned", F.col("container")), F.lit(False)), F.lit(False))
+    return per.join(returned, "path", "left").select("path", "key", "name", "kind", "container", (F.col("own") | shown).alias("exported"), F.col("at.line_no").alias("line_no"), F.col("at.o").alias("o"))
 
 
 def lua_imports(rows: DataFrame) -> DataFrame:
-    """``(path, reference, confidence)``; of repeated ones the surest."""
-    required = _all(rows, r"require\s*\(?\s*[\x22']([^\x22']+)[\x22']", "reference").withColumn("confidence", F.lit(0.75))
-    looked_up = _all(rows, r"GetModule\s*\(\s*[\x22']([^\x22']+)[\x22']", "reference").withColumn("confidence", F.lit(0.72))
-    return required.unionByName(looked_up).groupBy("path", "reference").agg(F.max("confidence").alias("confidence"))
-
+    """``(path, reference, confidence, how)``: modules required by name, and looked up in the catalog."""
+    required = _all(rows, r"require\s*\(\s*[\x22']([^\x22']+)[\x22']\s*\)", "reference").withColumns({"confidence": F.lit(0.75), "how": F.lit("require")})
+    looked_up = _all(rows, r"[:.]GetModule\s*\(\s*[\x22']([^\x22']+)[\x22']\s*\)", "reference").withColumns({"confidence": F.lit(0.72), "how": F.lit("catalog")})
+    return required.unionByName(looked_up).select("path", "reference", "confidence", "how").distinct()
 
-def lua_exports(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``(path, name, owner)`` of what the file returns: the table and all its members."""
-    returned = _found(rows, rf"^return\s+({NAME})\s*$", "table").select("path", "table").distinct()
-    return symbols.join(returned, "path").where((F.col("name") == F.col("table")) & (F.col("owner") == "") | (F.col("owner") == F.col("table"))).select("path", "name", "owner")
 
+def lua_calls(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(path, caller, callee, confidence)`` between keys of :func:`lua_symbols`: member calls 0.72, bare ones 0.65.
 
-def lua_calls(rows: DataFrame) -> DataFrame:
-    """``(path, caller, callee, confidence)``: member calls 0.72, bare ones 0.65; the caller is the function that the line lies in."""
-    opened = F.regexp_extract("line", rf"^\s*(?:local\s+)?function\s+({NAME}(?:[.:]{NAME})?)\s*\(", 1)
-    scoped = _scope(rows, opened, F.rtrim("line") == "end").where(opened == "")
-    member = _all(scoped, rf"({NAME}[.:]{NAME})\s*\(", "callee", "scope").withColumn("confidence", F.lit(0.72))
-    bare = _all(scoped, rf"(?<![.:\w])({NAME})\s*\(", "callee", "scope").where(~F.col("callee").isin(*LUA_WORDS)).withColumn("confidence", F.lit(0.65))
-    return member.unionByName(bare).groupBy("path", F.col("scope").alias("caller"), "callee").agg(F.max("confidence").alias("confidence"))
+    The caller is the function opened last, up to a line that is just ``end``. ``self`` is the caller's table; a name that
+    is no member of what stands before it is the file's first symbol of that name.
+    """
+    member = F.coalesce(*(F.concat(F.lit("member:"), F.nullif(F.regexp_extract("line", MEMBER, i), F.lit("")), F.lit("."), F.regexp_extract("line", MEMBER, i + 1)) for i in (1, 3)))
+    plain = F.concat(F.lit("function:"), F.nullif(F.regexp_extract("line", FUNCTION, 2), F.lit("")))
+    inside = scoped(rows, F.coalesce(plain, member, F.lit("")), F.trim("line") == "end").where("scope IS NOT NULL")
+    pairs = inside.select("path", "scope", F.explode(F.expr(rf"regexp_extract_all(line, '({LUA_NAME}[:.]{LUA_NAME})\\s*\\(', 1)")).alias("x")).select("path", "scope", F.split("x", "[:.]")[0].alias("base"), F.split("x", "[:.]")[1].alias("name"), F.lit(0.72).alias("confidence"))
+    bare = _all(inside, rf"\b({LUA_NAME})\s*\(", "name", "scope").where(~F.col("name").isin(*LUA_WORDS)).select("path", "scope", F.lit(None).cast("string").alias("base"), "name", F.lit(0.65).alias("confidence"))
+    uses = pairs.unionByName(bare).distinct()
+    own = symbols.select("path", F.col("key").alias("scope"), F.col("container").alias("own"))
+    uses = uses.join(own, ["path", "scope"]).withColumn("base", F.when((F.col("base") == "self") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("base")))
+    at = F.struct("line_no", "o")
+    members = symbols.where("container IS NOT NULL").groupBy("path", F.col("container").alias("base"), "name").agg(F.max_by("key", at).alias("member"))
+    firsts = symbols.groupBy("path", "name").agg(F.min_by("key", at).alias("first"))
+    met = uses.join(members, ["path", "base", "name"], "left").join(firsts, ["path", "name"], "left").select("path", F.col("scope").alias("caller"), F.coalesce("member", "first").alias("callee"), "confidence")
+    return met.where("callee IS NOT NULL AND callee <> caller").groupBy("path", "caller", "callee").agg(F.max("confidence").alias("confidence"))
 
 
 def _blanked(line: Column) -> Column:
@@ -79,32 +111,65 @@ def _blanked(line: Column) -> Column:
 
 
 def ts_imports(rows: DataFrame) -> DataFrame:
-    """Relative imports: ``(path, spec, names)``."""
-    found = _found(rows, r"^\s*import\s+(.*?)\s*from\s+[\x22'](\.[^\x22']*)[\x22']", "what", "spec")
-    names = F.filter(F.split(F.regexp_replace("what", r"[{}*]|\btype\b|\bas\b", " "), r"[\s,]+"), lambda x: x != "")
-    return found.select("path", "line_no", "spec", names.alias("names"))
+    """Imports at the top of lines, relative ones: ``(path, line_no, spec, names)``; ``names``: local names of the default and the named bindings."""
+    found = _found(rows, r"^import\s+(?:type\s+)?(?:(.*?)\s*from\s+)?[\x22'](\.[^\x22']*)[\x22']", "what", "spec")
+    named = F.split(F.regexp_extract("what", r"\{([^}]*)\}", 1), ",")
+    local = F.transform(named, lambda x: F.element_at(F.split(F.trim(F.regexp_replace(x, r"^\s*type\s", "")), r"\s+as\s+"), -1))
+    default = F.regexp_extract("what", rf"^({NAME})\s*(?:,|$)", 1)
+    return found.select("path", "line_no", "spec", F.array_distinct(F.filter(F.concat(F.array(default), local), lambda x: x != "")).alias("names"))
+
+
+DECLARED = rf"^\s*(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|const|let|var)\s+({NAME})"
+_MODIFIERS = r"(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)\s+)*"
+METHOD = rf"^\s+{_MODIFIERS}\*?({NAME})\s*(?:<[^>]*>)?\([^;]*\{{\s*$"
+FIELD = rf"^\s+{_MODIFIERS}({NAME})\s*[?!]?\s*(?::|=[^=>]|;)"
+
+
+def _ts_around(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``outer`` (the function, class or interface around, ``kind name``) and ``inner`` (the method around), told from braces at the margin and one step in."""
+    top = F.when(F.col("line").rlike(rf"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface)\s+{NAME}"), F.regexp_extract("line", r"\b((?:function\*?|class|interface)\s+[\w$]+)", 1)).otherwise("")
+    outer = scoped(rows, top, F.col("line").rlike(r"^\}")).withColumnRenamed("scope", "outer")
+    in_class = F.coalesce(F.col("outer").startswith("class"), F.lit(False))
+    method = F.when(in_class & F.col("line").rlike(METHOD) & ~F.regexp_extract("line", METHOD, 1).isin(*TS_WORDS), F.regexp_extract("line", METHOD, 1)).otherwise("")
+    return scoped(outer, method, F.col("line").rlike(r"^(?:  |    |\t)?\}")).withColumnRenamed("scope", "inner").withColumn("is_method", method != "")
 
 
 def ts_symbols(rows: DataFrame) -> DataFrame:
-    """``(path, line_no, name, kind, exported)``; of a name's declarations in a file the last holds."""
-    pattern = rf"^\s*(export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|const|let|var)\s+({NAME})"
-    found = _found(rows, pattern, "exported", "kind", "name")
-    kind = F.when(F.col("kind").startswith("function"), "function").when(F.col("kind").isin("const", "let", "var"), "constant").otherwise(F.col("kind"))
-    rows_ = found.select("path", "line_no", "name", kind.alias("kind"), (F.trim("exported") == "export").alias("exported"))
-    return rows_.groupBy("path", "name").agg(F.max("line_no").alias("line_no"), F.max_by("kind", "line_no").alias("kind"), F.bool_or("exported").alias("exported"))
+    """``(path, name, line_no, kind, exported)``; of a name's declarations in a file the last holds.
+
+    Declarations on lines of their own, methods of classes, and fields of classes and interfaces.
+    """
+    inside = _ts_around(rows)
+    declared = F.col("line").rlike(DECLARED)
+    member = F.col("outer").rlike("^(class|interface)") & F.col("inner").isNull() & ~declared
+    word, name = F.regexp_extract("line", DECLARED, 3), F.regexp_extract("line", DECLARED, 4)
+    kind = F.when(word.startswith("function"), "function").when(word.isin("const", "let", "var"), "constant").otherwise(word)
+    exported = (F.regexp_extract("line", DECLARED, 1) != "") | (F.regexp_extract("line", DECLARED, 2) != "")
+    plain = inside.where(declared).select("path", "line_no", name.alias("name"), kind.alias("kind"), exported.alias("exported"))
+    methods = inside.where("is_method").select("path", "line_no", F.regexp_extract("line", METHOD, 1).alias("name"), F.lit("method").alias("kind"), F.lit(False).alias("exported"))
+    fields = inside.where(member & F.col("line").rlike(FIELD)).select("path", "line_no", F.regexp_extract("line", FIELD, 1).alias("name"), F.lit("field").alias("kind"), F.lit(False).alias("exported"))
+    found = plain.unionByName(methods).unionByName(fields)
+    return found.groupBy("path", "name").agg(F.max("line_no").alias("line_no"), F.max_by("kind", "line_no").alias("kind"), F.max_by("exported", "line_no").alias("exported"))
 
 
 def ts_uses(rows: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """``(path, caller, name, type, confidence)``: calls (0.95 local, 0.65 imported) and references (0.9 and 0.6) of known names."""
-    opened = F.regexp_extract("line", rf"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class)\s+({NAME})", 1)
-    scoped = _scope(rows, opened, F.col("line").rlike(r"^\}")).where(~F.col("line").rlike(r"^\s*import\s"))
-    body = scoped.withColumn("line", _blanked(F.regexp_replace("line", rf"^(\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum|const|let|var)\s+){NAME}", "$1")))
-    known = symbols.select("path", "name", F.lit(True).alias("local")).unionByName(imports.select("path", F.explode("names").alias("name"), F.lit(False).alias("local")))
-    known = known.groupBy("path", "name").agg(F.bool_or("local").alias("local"))
-    calls = _all(body, rf"(?<![.\w$])({NAME})\s*\(", "name", "scope").where(~F.col("name").isin(*TS_WORDS)).withColumn("type", F.lit("calls"))
-    other = _all(body, rf"(?<![.\w$])({NAME})\b(?!\s*\()", "name", "scope").withColumn("type", F.lit("references"))
+    """``(path, caller, name, type, confidence, spec)``: calls (0.95 local, 0.65 imported) and references (0.9 and 0.6) of known names.
+
+    The caller is the method, function or class that a line lies in. What is called is referred to as well. ``spec``: where
+    an imported name comes from.
+    """
+    inside = _ts_around(rows).withColumn("scope", F.coalesce("inner", F.element_at(F.split("outer", r"\s+"), -1))).where("scope IS NOT NULL")
+    body = inside.where(~F.col("outer").startswith("interface")).withColumn("line", _blanked(F.col("line")))
+    local = symbols.select("path", "name", F.lit(True).alias("local"), F.lit(None).cast("string").alias("spec"))
+    bound = imports.select("path", F.explode("names").alias("name"), F.lit(False).alias("local"), "spec")
+    known = local.unionByName(bound).groupBy("path", "name").agg(F.bool_or("local").alias("local"), F.max("spec").alias("spec"))
+    calls = _all(body, rf"({NAME})\s*\(", "name", "scope").where(~F.col("name").isin(*TS_WORDS)).withColumn("type", F.lit("calls"))
+    others = _all(body, rf"({NAME})", "name", "scope").withColumn("type", F.lit("references"))
+    declared = F.col("line").rlike(DECLARED) & (F.regexp_extract("line", DECLARED, 4) == F.col("scope"))
+    calls = calls.join(inside.where(declared | F.col("is_method")).select("path", "line_no", "scope", F.col("scope").alias("name")).distinct(), ["path", "line_no", "scope", "name"], "left_anti")
     sure = F.when(F.col("type") == "calls", F.when(F.col("local"), 0.95).otherwise(0.65)).otherwise(F.when(F.col("local"), 0.9).otherwise(0.6))
-    return calls.unionByName(other).join(known, ["path", "name"]).select("path", F.col("scope").alias("caller"), "name", "type", sure.alias("confidence")).distinct()
+    met = calls.select("path", "scope", "name", "type").unionByName(others.select("path", "scope", "name", "type")).distinct().join(known, ["path", "name"])
+    return met.where((F.col("type") == "calls") | (F.col("name") != F.col("scope"))).select("path", F.col("scope").alias("caller"), "name", "type", sure.alias("confidence"), F.when(~F.col("local"), F.col("spec")).alias("spec"))
 
 
 def tests(rows: DataFrame, content: DataFrame) -> DataFrame:
@@ -122,16 +187,29 @@ def tests(rows: DataFrame, content: DataFrame) -> DataFrame:
     named = cases.select("path", "line_no", "title").join(named, ["path", "line_no", "title"], "left").na.fill("", ["suite"])
     whole = content.select("path", t.basename(F.col("path")).alias("title")).join(named.select("path").distinct(), "path", "left_anti").select("path", F.lit(1).alias("line_no"), "title", F.lit("").alias("suite"))
     body = F.col("content")
-    framework = F.when(body.rlike(r"from\s+['\x22]vitest"), "vitest").when(body.rlike(r"@playwright/test"), "playwright").otherwise("jest")
+    imported = lambda name: body.rlike(rf"(?m)^import\s[^;\n]*[\x22']({name})[\x22']")
+    framework = F.when(imported("@playwright/test"), "playwright").when(imported("vitest"), "vitest").when(imported("@jest/globals|jest") | body.rlike(r"\b(describe|it|test)\s*\("), "jest").otherwise("unknown")
     return named.unionByName(whole).join(content.select("path", framework.alias("framework")), "path")
 
 
+def is_test_path(path: Column) -> Column:
+    return path.rlike(r"(^|/)(tests?|__tests__)/") | path.rlike(r"\.(test|spec)\.[jt]sx?$")
+
+
 def evidence(files: DataFrame, workspace: str = "ws") -> dict[str, DataFrame]:
-    """What every indexable file yields: a file, a module, an edge that the one contains the other, and a summary."""
+    """What every indexable file ``(path, language, kind)`` yields: a file, a module with a summary, and an edge that the one
+    contains the other; with a ``package_id`` also one that the module belongs to it."""
     file_id, module_id = t.stable_id("file", F.lit(workspace), "path"), t.stable_id("module", F.lit(workspace), "path")
-    edge = F.struct(t.stable_id("edge", F.lit("contains"), file_id, module_id, "path").alias("id"), file_id.alias("source_id"), module_id.alias("target_id"), F.lit("contains").alias("type"), F.lit(1.0).alias("confidence"), F.col("path").alias("owner_file_path"))
+
+    def edge(kind: str, source: Column, target: Column) -> Column:
+        return F.struct(t.stable_id("edge", F.lit(kind), source, target, "path").alias("id"), source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("type"), F.lit(1.0).alias("confidence"), F.col("path").alias("owner_file_path"))
+
+    edges = [edge("contains", file_id, module_id)]
+    if "package_id" in files.columns:
+        edges.append(F.when(F.col("package_id").isNotNull(), edge("belongs_to_package", module_id, F.col("package_id"))))
+    summary = F.concat(F.coalesce("language", F.lit("unknown")), F.lit(" "), "kind", F.lit(" file indexed as file-level evidence for "), "path", F.lit("."))
     return {
         "files": files.select(file_id.alias("id"), "path", "language"),
-        "modules": files.select(module_id.alias("id"), file_id.alias("file_id"), F.col("path").alias("canonical_path"), "language", F.format_string("%s %s file %s", F.initcap("language"), F.col("kind"), t.basename(F.col("path"))).alias("summary")),
-        "edges": files.select(edge.alias("e")).select("e.*"),
+        "modules": files.select(module_id.alias("id"), file_id.alias("file_id"), F.col("path").alias("canonical_path"), "language", summary.alias("summary")),
+        "edges": files.select(F.explode(F.filter(F.array(*edges), lambda e: e.isNotNull())).alias("e")).select("e.*"),
     }

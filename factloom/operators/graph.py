@@ -46,10 +46,10 @@ def dependents(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     return walk(turned(edges), seeds, depth).where("depth > 0")
 
 
-def weighted_paths(edges: DataFrame, source: str, weights: dict[str, int] | None = None, most: int | None = None) -> DataFrame:
+def weighted_paths(edges: DataFrame, source: str, weights: dict[str, int] | None = None) -> DataFrame:
     """``(id, cost, path)``: the cheapest path from ``source`` to everything reachable; of equal costs the first path in order.
 
-    Each round relaxes only from nodes whose path got better. Costs above ``most``, if given, are not followed.
+    Each round relaxes only from nodes whose path got better.
     """
     price = WEIGHTS | (weights or {})
     cost = F.create_map(*[F.lit(x) for kv in price.items() for x in kv])
@@ -59,8 +59,6 @@ def weighted_paths(edges: DataFrame, source: str, weights: dict[str, int] | None
     moved = best
     while not moved.isEmpty():
         offers = moved.join(steps, moved["id"] == steps["from"]).select(F.col("to").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("to")).alias("path"))
-        if most is not None:
-            offers = offers.where(F.col("cost") <= most)
         offers = offers.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("new"))
         old = best.select("id", F.struct("cost", "path").alias("old"))
         moved = cut(offers.join(old, "id", "left").where("old IS NULL OR new < old").select("id", "new.cost", "new.path"))
@@ -68,7 +66,7 @@ def weighted_paths(edges: DataFrame, source: str, weights: dict[str, int] | None
     return best
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """``(pos, id)`` along the path with the fewest imports; no row if there is none."""
-    found = weighted_paths(edges.where("type = 'imports'"), source, {"imports": 1}, most)
+    found = weighted_paths(edges.where("type = 'imports'"), source, {"imports": 1})
     return found.where(F.col("id") == target).select(F.posexplode("path").alias("pos", "id"))

@@ -11,7 +11,7 @@ TITLE = 120
 
 
 def filtered(logs: DataFrame, service: str | None = None, level: str | None = None, tokens: list[str] | None = None) -> DataFrame:
-    """Events of a service, a level and with all of some words; what is None does not filter."""
+    """Events of a service, a level and with all of some words; what is None does not filter. No ``tokens`` of a pattern: see :func:`factloom.operators.search.checked`."""
     if service is not None:
         logs = logs.where(F.col("service") == service)
     if level is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as t
+from factloom.functions.conventions import IMPORT_EXTENSIONS
 
 
 def in_order(rows: DataFrame, key: str, ids: list) -> DataFrame:
@@ -19,9 +20,14 @@ def named(rows: DataFrame, name: str, query: str) -> DataFrame:
     return rows.where((F.col(name) == query) | F.contains(F.lower(name), F.lit(query.lower())))
 
 
+def symbols_named(symbols: DataFrame, query: str) -> DataFrame:
+    """:func:`named` over ``symbols(name, exported, ...)``, exported ones first."""
+    return named(symbols, "name", query).orderBy(F.desc("exported"), "name")
+
+
 def one_module(modules: DataFrame, path: str) -> DataFrame:
-    """The module at a path: the exact one, else the first that contains it."""
-    hit = modules.where(F.contains("canonical_path", F.lit(path)))
+    """The module at a path: the exact one, else the first that contains it, without regard to case."""
+    hit = modules.where((F.col("canonical_path") == path) | F.contains(F.lower("canonical_path"), F.lit(path.lower())))
     return hit.orderBy(F.when(F.col("canonical_path") == path, 0).otherwise(1), "canonical_path").limit(1)
 
 
@@ -70,27 +76,39 @@ def parts_of(column: str) -> F.Column:
 def resolve(references: DataFrame, catalog: DataFrame) -> DataFrame:
     """``references(ref_id, reference, from_path, language)`` to the best entry of ``catalog(path, language)``.
 
-    Every path suffix of an entry is a key. Score: 30 for the language, 20 for the whole reference, 10 for the base name,
-    4 for each shared folder less the distance, 5 for the same extension; ties go to the first path.
+    Every path suffix of an entry is a key, and of a folder the one that an ``init`` file in it stands for. Score: 30 for the
+    language, 20 for the whole reference, 10 for the base name, as much again for an init file's folder, 4 for each shared
+    folder less the distance, 5 for the same extension; ties go to the first path.
     """
-    keys = catalog.select("path", F.col("language").alias("c_language"), F.explode(t.suffixes(t.reference_key(F.col("path")))).alias("key"))
+    full = t.reference_key(F.col("path"))
+    init = F.lower(F.regexp_extract(t.basename(F.col("path")), r"^(.*?)(?:\.[^.]*)?$", 1)) == "init"
+    folder = F.when(init, t.reference_key(F.concat(t.dirname(F.col("path")), F.lit("/"))))
+    keys = catalog.select("path", F.col("language").alias("c_language"), full.alias("full"), folder.alias("folder"))
+    keys = keys.select("*", F.explode(F.array_distinct(F.concat(t.suffixes(F.col("full")), F.coalesce(t.suffixes(F.col("folder")), F.array())))).alias("key")).where("key <> ''")
     hit = references.withColumn("key", t.reference_key(F.col("reference"))).join(keys, "key")
-    own, other = F.split(t.dirname(F.col("from_path")), "/"), F.split(t.dirname(F.col("path")), "/")
+    segments = lambda c: F.filter(F.split(F.lower(t.dirname(F.col(c))), "/"), lambda x: x != "")
+    own, other = segments("from_path"), segments("path")
     shared = t.common_prefix(own, other)
-    far = F.size(own) + F.size(other) - 2 * shared
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    yes = lambda condition, points: F.when(F.coalesce(condition, F.lit(False)), points).otherwise(0)
     score = (
-        30 * (F.col("language") == F.col("c_language")).cast("int") + 20 * (t.reference_key(F.col("path")) == F.col("key")).cast("int") + 10 * (F.element_at(F.split(t.reference_key(F.col("path")), "/"), -1) == F.element_at(F.split("key", "/"), -1)).cast("int")
-        + 4 * shared - far + 5 * (t.extension(F.col("path")) == t.extension(F.col("from_path"))).cast("int")
+        yes(F.col("language") == F.col("c_language"), 30) + yes(F.col("full") == F.col("key"), 20) + yes(last("full") == last("key"), 10) + yes(F.col("folder") == F.col("key"), 20) + yes(last("folder") == last("key"), 10)
+        + 4 * shared - (F.size(own) + F.size(other) - 2 * shared) + yes(t.extension(F.col("path")) == t.extension(F.col("from_path")), 5)
     )
-    best = Window.partitionBy("ref_id").orderBy(F.desc("score"), "path")
-    return hit.withColumn("score", score.cast("bigint")).withColumn("r", F.row_number().over(best)).where("r = 1").select("ref_id", "reference", "path", "score")
+    best = F.struct((-score).alias("s"), F.col("path").alias("path"))
+    per = hit.groupBy("ref_id", "reference").agg(F.min(best).alias("b"))
+    return per.select("ref_id", "reference", "b.path", (-F.col("b.s")).cast("bigint").alias("score"))
+
 
+def import_candidates(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = IMPORT_EXTENSIONS) -> DataFrame:
+    """``imports(import_id, from_path, spec)`` to the first existing file among the shapes that a relative import may mean.
 
-def import_candidates(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = ("ts", "tsx", "js", "jsx", "mjs", "cjs")) -> DataFrame:
-    """``imports(import_id, from_path, spec)`` to the first existing file among the shapes that a relative import may mean."""
-    base = t.normal_path(F.concat_ws("/", t.dirname(F.col("from_path")), "spec"))
-    shapes = [base, *(F.concat(base, F.lit(f".{e}")) for e in extensions), *(F.concat(base, F.lit(f"/index.{e}")) for e in extensions)]
-    tried = imports.select("import_id", F.posexplode(F.array(*shapes)).alias("pos", "path"))
+    In order: the path and the path without its extension, then both with each extension, then an index file in both.
+    """
+    base = t.normal_path(F.concat_ws("/", F.nullif(t.dirname(F.col("from_path")), F.lit("")), "spec"))
+    bare = F.regexp_replace(base, r"(?i)\.(jsx?|tsx?)$", "")
+    shapes = [base, bare, *(F.concat(b, F.lit(f"{mid}{e}")) for mid in (".", "/index.") for b in (base, bare) for e in extensions)]
+    tried = imports.where(F.col("spec").startswith(".")).select("import_id", F.posexplode(F.array(*shapes)).alias("pos", "path"))
     return tried.join(files.select("path"), "path").groupBy("import_id").agg(F.min_by("path", "pos").alias("path"))
 
 
@@ -128,10 +146,29 @@ def changed_in(group_id: str, changed: DataFrame, symbols: DataFrame) -> DataFra
     return edge(changed, "module", 1.0).unionByName(edge(own, "symbol", 0.9))
 
 
+def change_modules(edges: DataFrame, modules: DataFrame, group_id: str) -> DataFrame:
+    """The modules that ``changed_in`` edges of a change group start from, by path."""
+    own = edges.where((F.col("type") == "changed_in") & (F.col("target_id") == group_id)).select(F.col("source_id").alias("id")).distinct()
+    return modules.join(own, "id", "left_semi").orderBy("canonical_path")
+
+
+def replace_change_group(old: DataFrame, new: DataFrame, group_id: str) -> DataFrame:
+    """All edges with those of one change group replaced by ``new``."""
+    return old.where(~((F.col("type") == "changed_in") & (F.col("target_id") == group_id))).unionByName(new.select(*old.columns))
+
+
 def delete_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows that ``paths(path)`` own. An edge goes with its owner's file, never with its target's."""
-    owner = {"files": "path", "modules": "canonical_path", "symbols": "file_path", "edges": "owner_file_path", "file_hashes": "path"}
-    return {name: df.join(paths.select(F.col("path").alias(owner[name])), owner[name], "left_anti").select(*df.columns) if name in owner else df for name, df in tables.items()}
+    """Every table without the rows that ``paths(path)`` own. An edge goes with its owner's file, never with its target's.
+
+    ``suites(id, file_path)`` go with their files, ``cases(id, suite_id)`` with their suites, ``results(case_id)`` with their cases.
+    """
+    owner = {"files": "path", "modules": "canonical_path", "symbols": "file_path", "edges": "owner_file_path", "file_hashes": "path", "suites": "file_path"}
+    left = {name: df.join(paths.select(F.col("path").alias(owner[name])), owner[name], "left_anti").select(*df.columns) if name in owner else df for name, df in tables.items()}
+    for child, key, parent in (("cases", "suite_id", "suites"), ("results", "case_id", "cases")):
+        if child in tables and parent in tables:
+            gone = tables[parent].select(F.col("id").alias(key)).join(left[parent].select(F.col("id").alias(key)), key, "left_anti")
+            left[child] = tables[child].join(gone, key, "left_anti").select(*tables[child].columns)
+    return left
 
 
 def unchanged(candidates: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -168,9 +205,10 @@ def argmax(votes: DataFrame, by: str) -> DataFrame:
 
 
 def references(rows: DataFrame, path: str, limit: int = 10) -> DataFrame:
-    """Evidence labels of modules: the base name, and at most ``limit`` of a package's, in order."""
-    labels = rows.groupBy("package_id").agg(F.array_sort(F.collect_set(t.basename(F.col(path)))).alias("labels"))
-    return labels.select("package_id", F.slice("labels", 1, limit).alias("labels"))
+    """Evidence labels of modules: the base name, and at most ``limit`` of a package's, in order. Each task keeps the first ones of a package only."""
+    labels = rows.select("package_id", t.basename(F.col(path)).alias("label")).distinct()
+    first = F.row_number().over(Window.partitionBy("package_id").orderBy("label"))  # a top-k per package: ranked in each task before the shuffle
+    return labels.withColumn("r", first).where(F.col("r") <= limit).groupBy("package_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
 
 
 def required(requires: DataFrame, files: DataFrame, root: str = "") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +13,30 @@ def risk(changed: DataFrame, fan_in: DataFrame, tests: DataFrame, violations: Da
     """``id, fan_in, tests, violations, risk``: (fan-in + 1) · (1 + 0.1·commits) · (0.5 if tested) · (1 + 0.3·violations), to 2 places."""
     joined = changed.select("id").join(fan_in, "id", "left").join(tests, "id", "left").join(violations, "id", "left").na.fill(0, ["fan_in", "tests", "violations"])
     score = (F.col("fan_in") + 1) * F.lit(1 + 0.1 * commits) * F.when(F.col("tests") > 0, 0.5).otherwise(1.0) * (1 + F.lit(0.3) * F.col("violations"))
-    return joined.withColumn("risk", F.round(score, 2))
+    return joined.withColumn("risk", F.floor(score * 100 + 0.5) / 100)
 
 
 def packed(chunks: DataFrame, group: str, budget: int) -> DataFrame:
     """``chunks(group, priority, id, tokens)`` with ``included``: by priority, each chunk that still fits the budget; one that doesn't is passed over.
 
-    The fold is over the chunks of one bundle, which the tools that make them bound.
+    What fits depends on all that came before, so a group's rows pass one task, in order, without their texts and without
+    being gathered: the task holds the tokens used so far. Chunks that are too large by themselves don't get there.
     """
-    lists = chunks.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("priority", "id", "tokens"))).alias("cs"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<id:bigint,included:boolean>>").alias("out"))
-
-    def step(acc, c):
-        fits = acc["used"] + c["tokens"] <= budget
-        return F.struct(F.when(fits, acc["used"] + c["tokens"]).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], F.struct(c["id"].alias("id"), fits.alias("included"))).alias("out"))
 
-    return lists.select(group, F.explode(F.aggregate("cs", start, step, lambda acc: acc["out"])).alias("x")).select(group, "x.id", "x.included")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0
+        for batch in batches:
+            fits = []
+            for g, n in zip(batch.column("g").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                now, used = g, used if now == g else 0
+                fits.append(used + n <= budget)
+                used += n if fits[-1] else 0
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("id"), pa.array(fits, pa.bool_())], names=[group, "id", "included"])
+
+    small = F.col("tokens") <= budget
+    key = F.struct(F.col(group)).alias("k")  # a null group is a group
+    rows = chunks.where(small).select(group, F.to_json(key).alias("g"), "priority", "id", F.col("tokens").cast("bigint").alias("tokens"))
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    schema = f"{group} {kinds[group]}, id {kinds['id']}, included boolean"
+    folded = rows.repartition("g").sortWithinPartitions("g", "priority", "id").mapInArrow(run, schema)
+    return folded.unionByName(chunks.where(~F.coalesce(small, F.lit(False))).select(group, "id", F.lit(False).alias("included")))

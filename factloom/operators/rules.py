@@ -11,13 +11,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import conventions as c
 from factloom.functions import text as t
 
 SCHEMA = "pos int, id string, kind string, from_re string, to_re string, severity string, allow_generated boolean, excepts array<struct<f:string,t:string>>"
-#: Globs of generated files (fixed values).
-GENERATED = ("**/generated/**", "**/*.generated.*", "**/*.gen.*", "**/dist/**", "**/*.d.ts")
-
-
 def table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules as a frame of regular expressions. YAML or JSON text is read by :func:`parse`."""
     rows = []
@@ -34,19 +31,19 @@ def _scalar(value: str):
     return {"true": True, "false": False}.get(value, value)
 
 
-def parse(content: str) -> list[dict]:
-    """Rules from JSON, or from YAML of nested lists and scalars; rules from YAML default to ``forbid``."""
+def parsed_entries(content: str, key: str) -> list[dict]:
+    """The entries of list ``key`` from JSON, or from YAML of nested lists and scalars."""
     try:
         found = json.loads(content)
-        return found.get("rules", []) if isinstance(found, dict) else found
+        return found.get(key, []) if isinstance(found, dict) else found
     except ValueError:
         pass
-    rules: list[dict] = []
+    entries: list[dict] = []
     inner: list[dict] | None = None
     base = None
     for line in content.splitlines():
         text = line.split(" #")[0].rstrip()
-        if not text.strip() or text.strip().startswith("#") or text.strip() == "rules:":
+        if not text.strip() or text.strip().startswith("#") or text.strip() == f"{key}:":
             continue
         depth, text = len(text) - len(text.lstrip()), text.strip()
         if text.startswith("- "):
@@ -55,27 +52,30 @@ def parse(content: str) -> list[dict]:
             if depth > base and inner is not None:
                 inner.append(entry)
             else:
-                entry["kind"] = "forbid"
-                rules.append(entry)
+                entries.append(entry)
                 inner = None
             text, target = text[2:], entry
+        elif not entries:
+            continue
         else:
-            target = inner[-1] if inner and depth > (base or 0) + 4 else rules[-1]
-        key, _, value = text.partition(":")
+            target = inner[-1] if inner and depth > (base or 0) + 4 else entries[-1]
+        name, _, value = text.partition(":")
         if value.strip():
-            target[key.strip()] = _scalar(value)
+            target[name.strip()] = _scalar(value)
         else:
-            inner = target.setdefault(key.strip(), [])
-    return rules
+            inner = target.setdefault(name.strip(), [])
+    return entries
 
 
-def _generated(column: str) -> F.Column:
-    return F.col(column).rlike("|".join(map(t.glob_regex, GENERATED)))
+def parse(content: str) -> list[dict]:
+    """Rules from JSON, or from YAML, where they default to ``forbid``."""
+    found = parsed_entries(content, "rules")
+    yaml = not content.lstrip().startswith(("{", "["))
+    return [{"kind": "forbid", **r} for r in found] if yaml else found
 
 
-def _excused(rule_from: F.Column) -> F.Column:
-    listed = F.exists("excepts", lambda e: F.expr("true") & F.regexp_like(F.col("source_path"), e["f"]) & F.regexp_like(F.col("target_path"), e["t"]))
-    return listed | (F.col("allow_generated") & (_generated("source_path") | _generated("target_path"))) if rule_from is None else listed
+def generated(column: str) -> F.Column:
+    return F.col(column).rlike(t.any_glob(c.GENERATED_GLOBS))
 
 
 def violations(edges: DataFrame, rules: DataFrame, workspace: str = "ws") -> DataFrame:
@@ -87,7 +87,8 @@ def violations(edges: DataFrame, rules: DataFrame, workspace: str = "ws") -> Dat
     """
     rules = F.broadcast(rules)
     matched = edges.join(rules, F.expr("source_path RLIKE from_re AND (kind = 'allow' OR target_path RLIKE to_re)"))
-    excused = _excused(None)
+    listed = F.exists("excepts", lambda e: F.regexp_like("source_path", e["f"]) & F.regexp_like("target_path", e["t"]))
+    excused = listed | (F.col("allow_generated") & (generated("source_path") | generated("target_path")))
     forbidden = matched.where("kind = 'forbid'").where(~excused).select("edge_id", "source_path", "target_path", F.col("id").alias("rule_id"), "severity")
     ok = F.expr("target_path RLIKE to_re") | excused
     allowed = matched.where("kind = 'allow'").groupBy("edge_id", "source_path", "target_path").agg(F.bool_or(ok).alias("ok"), F.min(F.struct("pos", "id", "severity")).alias("r"))

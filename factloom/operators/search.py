@@ -1,13 +1,26 @@
-"""Full-text search: postings, BM25 and the hybrid ranking."""
+"""Full-text search: a stored index of postings, BM25 over it, and the hybrid ranking.
+
+An index is written once: postings ``(bucket, token, key, tf, doc_len)`` in a folder for each bucket of tokens, sorted by
+token, and one row of statistics. A query reads the folders of its own tokens, and of their files the row groups that hold
+them; the number of documents, their mean length and each token's count are known before the ranking, so hits meet in one
+aggregation by key.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import math
+import re
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as t
 
 K1, B = 1.2, 0.75
+BUCKETS = 64
 
 
 def postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -17,23 +30,64 @@ def postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return per.groupBy("key", "token", "doc_len").agg(F.count("*").alias("tf"))
 
 
-def bm25(rows: DataFrame, key: str, columns: tuple[str, ...], query: list[str]) -> DataFrame:
-    """``(key, rank)`` of the rows that hold all query tokens; the lower the rank, the better.
+def refreshed(old: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Postings ``old`` with those of ``changed`` in place of the same keys', and without the keys ``gone(key)``."""
+    return old.join(changed.select("key").unionByName(gone.select("key")).distinct(), "key", "left_anti").select(*old.columns).unionByName(changed.select(*old.columns))
 
-    Only postings of the query's tokens are made: a row is tokenised once and aggregated in place.
-    """
+
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    n: int
+    mean_len: float
+
+
+def _bucket(token: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
+    """The index of ``rows`` at ``path``; the statistics come last, so an index with statistics is whole. A token's postings may lie in many tasks."""
+    made = postings(rows, key, *columns).withColumn("bucket", _bucket(F.col("token")))
+    made.repartitionByRange("bucket", "token", "key").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = rows.select(F.aggregate(F.array(*(F.size(t.index_tokens(F.col(c))) for c in columns)), F.lit(0), lambda a, x: a + x).alias("len"))
+    lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean_len")).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    row = spark.read.parquet(f"{path}/statistics").first()
+    return Index(spark.read.parquet(f"{path}/postings"), row.n, row.mean_len)
+
+
+def index_of(table: str, rows: DataFrame, key: str, columns: tuple[str, ...], root: str) -> Index:
+    """The index of ``rows``, made from the files of ``table``, below ``root``: the stored one as long as these files stay the same."""
+    spark = rows.sparkSession
+    files = spark.read.format("binaryFile").load(table).select("path", "length", "modificationTime").agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()
+    made = hashlib.sha256(repr((table, tuple(files), key, columns, rows.schema.simpleString())).encode()).hexdigest()[:24]
+    path = f"{root.rstrip('/')}/index-{made}"
+    try:
+        return read_index(spark, path)
+    except AnalysisException:  # no such folder yet
+        write_index(rows, key, columns, path)
+        return read_index(spark, path)
+
+
+def bm25(index: Index, query: list[str]) -> DataFrame:
+    """``(key, rank)`` of what holds all query tokens; the lower the rank, the better. No token, no row."""
     terms = sorted(set(query))
-    docs = rows.select(F.col(key).alias("key"), F.flatten(F.array(*(t.index_tokens(F.col(c)) for c in columns))).alias("tokens"))
-    times = lambda w: F.size(F.filter("tokens", lambda x: x == F.lit(w)))
-    counted = docs.select("key", F.size("tokens").alias("doc_len"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    hit = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of statistics
+    own = index.postings.where(F.col("token").isin(*terms) & F.col("bucket").isin(*[_bucket_of(index, w) for w in terms])) if terms else index.postings.where("false")
+    known = {r.token: r.df for r in own.groupBy("token").agg(F.count("*").alias("df")).collect()}  # a row for each query token
+    idf = {w: max(math.log((index.n - known.get(w, 0) + 0.5) / (known.get(w, 0) + 0.5)), 1e-6) for w in terms}
+    per = own.groupBy("key", "doc_len").agg(*(F.sum(F.when(F.col("token") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(terms)), F.count("*").alias("found"))
     rank = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
+    for i, w in enumerate(terms):
         tf = F.col(f"tf{i}").cast("double")
-        rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return hit.select("key", rank.alias("rank"))
+        rank = rank - F.lit(idf[w]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(index.mean_len)))
+    return per.where(F.col("found") == len(terms)).select("key", rank.alias("rank"))
+
+
+def _bucket_of(index: Index, token: str) -> int:
+    return index.postings.sparkSession.range(1).select(_bucket(F.lit(token)).alias("b")).first().b
 
 
 def scored(ranked: DataFrame) -> DataFrame:
@@ -41,53 +95,74 @@ def scored(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("score", F.greatest(F.lit(0.01), 1 / (1 + F.abs("rank"))))
 
 
-def union_search(legs: dict[str, DataFrame], limit: int = 10) -> DataFrame:
-    """The best of several ranked legs ``(key, rank)`` together."""
-    parts = [scored(df).select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), "rank", "score") for kind, df in legs.items()]
+def search(indexes: dict[str, Index], query: str, limit: int = 10) -> DataFrame:
+    """``(kind, key, rank, score)``: the best of all legs together that hold every word of ``query``. Ranks count to nine places; ties go to kind and key."""
+    terms = query_tokens(query)
+    parts = [scored(bm25(index, terms)).select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), F.round("rank", 9).alias("rank"), "score") for kind, index in indexes.items()]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole.orderBy("rank", "kind", "key").limit(limit)
 
 
-def hybrid(hits: DataFrame, limit: int = 10) -> DataFrame:
-    """Fold ordered hits ``(id, label, seq, score, bonus, token)`` to one score for each entity.
+def query_tokens(query: str) -> list[str]:
+    """The index tokens of a query, as the index folds them."""
+    folded = query.lower().translate(str.maketrans(t.ACCENTED, t.PLAIN))
+    return [w for w in re.split(r"[\W_]+", folded) if w]
 
-    The first hit gives score and bonus; a later one the larger of what there is and its own sum, and the bonus again. Each
-    distinct token adds a quarter. Order: more tokens, higher score, label.
-    """
-    first = F.struct(F.lit(None).cast("double").alias("s"))
 
-    def step(acc, x):
-        own = x["score"] + x["bonus"]
-        return F.struct(F.when(acc["s"].isNull(), own).otherwise(F.greatest(acc["s"], own) + x["bonus"]).alias("s"))
+class BadPattern(ValueError):
+    """A search pattern with more than words in it."""
 
-    per = hits.groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("seq", "score", "bonus"))).alias("h"), F.count_distinct("token").alias("tokens"))
-    total = F.aggregate("h", first, step, lambda acc: acc["s"]) + 0.25 * F.col("tokens")
-    return per.select("id", "label", "tokens", total.alias("score")).orderBy(F.desc("tokens"), F.desc("score"), "label", "id").limit(limit)
 
+def checked(pattern: str) -> list[str]:
+    """The words of a pattern; anything that is more than a bag of words is an error, not an empty answer."""
+    if not re.fullmatch(r"[\w\s]+", pattern) or not query_tokens(pattern) or {"AND", "OR", "NOT", "NEAR"} & set(pattern.split()):
+        raise BadPattern(pattern)
+    return query_tokens(pattern)
 
-def hybrid_hits(symbols: DataFrame, query: str, fts: dict[str, DataFrame], limit: int = 10) -> DataFrame:
-    """The hits of a query in the order in which they are folded: the full-text leg of the whole query, then for each word its
-    leg and the symbols whose name is or contains it. ``symbols(id, label, name)``, ``fts``: word or whole query to ``(key, rank)``."""
+
+def hybrid_hits(indexes: dict[str, Index], symbols: DataFrame, modules: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """Hits ``(id, seq, score, bonus, token, n)``: n equal hits of an entity in step ``seq`` of the search.
+
+    Steps: the whole query in full text; then for each word its full-text leg and the symbols whose name is the word or whose
+    label holds it, each with its module. ``symbols(id, label, name, module_id)``, ``modules(id, label)``.
+    """
     words = t.words(query)
     parts = []
 
-    def leg(df: DataFrame, order: int, bonus: float, token: str | None) -> None:
-        best = scored(df).orderBy("rank", "key").limit(max(limit, 10))
-        best = best.join(symbols.select(F.col("id").alias("key"), "label"), "key")
-        pos = F.row_number().over(Window.orderBy("rank", "key"))
-        parts.append(best.select(F.col("key").alias("id"), "label", (F.lit(order * 10_000) + pos).alias("seq"), "score", F.lit(bonus).alias("bonus"), F.lit(token).alias("token")))
-
-    if query in fts:
-        leg(fts[query], 0, 0.5, None)
-    for i, w in enumerate(words if len(words) > 1 or query not in fts else []):
-        if w in fts:
-            leg(fts[w], 2 * i + 1, 0.0, w)
-        exact = F.lower("name") == w.lower()
-        hit = symbols.where(F.contains(F.lower("name"), F.lit(w.lower())))
-        parts.append(hit.select("id", "label", F.lit((2 * i + 2) * 10_000).alias("seq"), F.when(exact, 0.99).otherwise(0.82).alias("score"), F.when(exact, 0.45).otherwise(0.2).alias("bonus"), F.lit(w).alias("token")))
+    def leg(text: str, most: int, seq: int, bonus: float, token: str | None) -> DataFrame:
+        found = search(indexes, text, most)
+        parts.append(found.select(F.col("key").alias("id"), F.lit(seq).alias("seq"), "score", F.lit(bonus).alias("bonus"), F.lit(token).cast("string").alias("token"), F.lit(1).cast("bigint").alias("n")))
+        return found
+
+    first = leg(query, limit, 0, 0.5, None)
+    for i, w in enumerate(words if len(words) > 1 or first.isEmpty() else []):
+        leg(w, max(limit, 10), 2 * i + 1, 0.0, w)
+        exact = F.col("name") == w
+        named = symbols.where(exact | F.contains(F.lower("label"), F.lit(w.lower())))
+        parts.append(named.select("id", F.lit(2 * i + 2).alias("seq"), F.when(exact, 0.99).otherwise(0.82).alias("score"), F.when(exact, 0.45).otherwise(0.2).alias("bonus"), F.lit(w).alias("token"), F.lit(1).cast("bigint").alias("n")))
+        owners = named.join(modules.select(F.col("id").alias("module_id")), "module_id").groupBy(F.col("module_id").alias("id")).agg(F.count("*").alias("n"))
+        parts.append(owners.select("id", F.lit(2 * i + 2).alias("seq"), F.lit(0.65).alias("score"), F.lit(0.18).alias("bonus"), F.lit(w).alias("token"), "n"))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole
+
+
+def hybrid(hits: DataFrame, labels: DataFrame, limit: int = 10) -> DataFrame:
+    """``(id, label, tokens, score)``: hits folded to one score for each entity of ``labels(id, label)``.
+
+    The first hit gives score and bonus; a later one the larger of what there is and its own sum, and the bonus again; of n
+    equal hits each adds the bonus. Each distinct token adds a quarter. Order: more tokens, higher score, label. An entity
+    has at most two groups of hits for each word of the query.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("s"))
+
+    def step(acc, x):
+        own = x["score"] + x["bonus"]
+        return F.struct(F.when(acc["s"].isNull(), own + (x["n"] - 1) * x["bonus"]).otherwise(F.greatest(acc["s"], own) + x["n"] * x["bonus"]).alias("s"))
+
+    per = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "score", "bonus", "n"))).alias("h"), F.count_distinct("token").alias("tokens"))
+    total = F.aggregate("h", start, step, lambda acc: acc["s"]) + 0.25 * F.col("tokens")
+    return per.join(labels, "id").select("id", "label", "tokens", F.round(total, 9).alias("score")).orderBy(F.desc("tokens"), F.desc("score"), "label", "id").limit(limit)

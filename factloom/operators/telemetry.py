@@ -36,6 +36,13 @@ def per_tool(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session", "tool").agg(F.count("*").alias("n"))
 
 
+def exported(calls: DataFrame) -> DataFrame:
+    """The kept entries of each session as one JSON array, in order; outputs are cut at 800 characters."""
+    entry = F.struct("seq", "tool", "success", "duration_ms", t.truncated(F.col("output"), 800).alias("output"))
+    per = ring(calls).groupBy("session").agg(F.sort_array(F.collect_list(entry)).alias("entries"))  # at most KEPT of a session
+    return per.select("session", F.to_json("entries").alias("json"))
+
+
 def report(calls: DataFrame) -> DataFrame:
     """A markdown line for each entry of a session, joined in order; outputs are cut at 800 characters."""
     line = F.concat_ws(" ", F.lit("-"), F.concat(F.lit("#"), "seq"), "tool", F.when(F.col("success"), "ok").otherwise("failed"), t.truncated(F.col("output"), 800))

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import conventions as c
 from factloom.functions import text as t
 from factloom.operators import classify, extract, graph, incidents, relational, review, rules, search, telemetry
-from factloom.plans import tools
+from factloom.plans import indexing, tools
+from factloom.plans.lineage import shared_dir
 from factloom.sources import adapters as a
+from factloom.sources import files as files_source
 from factloom.sources import logs as log_source
+from factloom.sources import tree
 from factloom.streaming import logs as log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,25 +60,52 @@ def src_log_jsonl(spark, d):
     return e.select(F.col("event_id").alias("line_no"), F.try_variant_get("v", "$.k", "string").alias("k"), (F.schema_of_variant(F.try_variant_get("v", "$.k", "variant")) == "STRING").alias("is_string"))
 
 
-@query(f"WITH {a.LOGS} SELECT service, id, level, CASE WHEN json_type(j, '$.msg') = 'VARCHAR' THEN json_extract_string(j, '$.msg') END AS message FROM (SELECT *, '{{\"lvl\": 5, \"msg\": \"' || level || '\"}}' AS j FROM logs)")
+_JSON_LEVEL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' WHEN 'signup' THEN 'unknown' WHEN 'view' THEN 'debug' ELSE 'unknown' END"
+
+
+@query(f"SELECT event_id AS id, {_JSON_LEVEL} AS level, CASE WHEN event_id % 4 = 0 THEN 'configured' WHEN event_id % 4 = 1 THEN 'src' ELSE 'svc' || (user_id % 5) END AS service, CASE WHEN event_type = 'view' THEN 'm' || event_id ELSE props END AS message, CASE WHEN event_type = 'signup' THEN 'mtime' ELSE 't' || event_id END AS timestamp FROM events WHERE event_id % 7 <> 0")
 def src_log_jsonl_records(spark, d):
-    rows = a.log_events(spark, d).select("service", "id", "level", F.lit("src").alias("source_name"), F.lit("p").alias("path"), F.col("id").alias("line_no"), F.col("timestamp").alias("mtime"), F.concat(F.lit('{"lvl": 5, "msg": "'), "level", F.lit('"}')).alias("line"))
-    parsed = log_source.parse_jsonl(rows.select("source_name", "service", "path", "line_no", "mtime", "line"))
-    return parsed.select("service", F.col("line_no").alias("id"), F.col("message").alias("level"), "message")
+    """Records in both spellings of every field, values that are no strings, and broken lines."""
+    e = a.table(spark, d, "events")
+    kind, id_ = F.col("event_type"), F.col("event_id")
+    level = F.when(kind == "error", F.lit('"level":"ERROR"')).when(kind == "purchase", F.lit('"lvl":"Warning"')).when(kind == "signup", F.lit('"level":5')).when(kind == "view", F.lit('"lvl":"debug"')).otherwise(F.lit('"severity":"error"'))
+    time = F.when(kind == "signup", F.lit('"ts":"no"')).when(kind == "view", F.concat(F.lit('"time":"t'), id_, F.lit('"'))).otherwise(F.concat(F.lit('"timestamp":"t'), id_, F.lit('"')))
+    service = F.when(id_ % 4 < 2, F.lit('"logger":"no"')).when(id_ % 4 == 2, F.concat(F.lit('"service":"svc'), F.col("user_id") % 5, F.lit('"'))).otherwise(F.concat(F.lit('"serviceName":"svc'), F.col("user_id") % 5, F.lit('"')))
+    message = F.when(kind == "view", F.concat(F.lit('"msg":"m'), id_, F.lit('"'))).otherwise(F.concat(F.lit('"message":'), F.to_json(F.struct(F.col("props").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("props").alias("x")))) - 6)))
+    line = F.when(id_ % 7 == 0, F.lit("{broken")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", level, time, service, message), F.lit("}")))
+    rows = e.select(F.lit("src").alias("source_name"), F.when(id_ % 4 == 0, "configured").alias("service"), F.lit("p").alias("path"), id_.alias("line_no"), F.lit("mtime").alias("mtime"), line.alias("line"))
+    return log_source.parse_jsonl(rows).select(F.col("line_no").alias("id"), "level", "service", "message", "timestamp")
+
+
+_LOG_PATHS = ("services/svc{}/logs/app.log", "logs/svc{}/x.txt", "apps/svc{}/out/run.out", "svc{}.2024.jsonl", "var/log/svc{}-a.log", "notes/svc{}.txt", ".hidden/svc{}/server.txt", "log/.cfg/svc{}_error.log")
+_LOG_NAMES = ("auto-services-svc{0}-app", "auto-svc{0}-x", "auto-svc{0}-out-run", "auto-svc{0}-svc{0}.2024", "auto-svc{0}-svc{0}-a", None, "auto-svc{0}-server", "auto-.cfg-svc{0}_error")
+_LOG_SERVICES = ("svc{0}", "svc{0}", "out", "svc{0}", "svc{0}", None, "svc{0}", ".cfg")
 
 
-@query("SELECT 'services/svc' || (user_id % 5) || '/logs/app.log' AS path, 'svc' || (user_id % 5) AS service, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT path, name, service, format FROM (SELECT DISTINCT user_id FROM events), (VALUES " + ", ".join(f"('{p}', '{n}', '{v}', '{'jsonl' if p.endswith('jsonl') else 'line'}')" for p, n, v in zip(_LOG_PATHS, _LOG_NAMES, _LOG_SERVICES, strict=True) if n).replace("{0}", "{}") + ") x(p, n, v, format), LATERAL (SELECT replace(p, '{}', user_id::VARCHAR) AS path, replace(n, '{}', user_id::VARCHAR) AS name, replace(v, '{}', user_id::VARCHAR) AS service)")
 def src_infer_log_source(spark, d):
-    path = F.concat(F.lit("services/"), F.col("service"), F.lit("/logs/app.log"))
-    rows = a.log_events(spark, d).groupBy(path.alias("path")).agg(F.count("*").alias("n"))
-    return rows.where(log_source.looks_like_log(F.col("path"))).select("path", log_source.inferred_source(F.col("path")).alias("service"), "n")
+    """Which paths are logs, and what is told of them by their folders."""
+    users = a.table(spark, d, "events").select("user_id").distinct()
+    paths = users.select(F.explode(F.array(*(F.concat(F.lit(x.split("{}")[0]), F.col("user_id"), F.lit(x.split("{}")[1])) for x in _LOG_PATHS))).alias("path"))
+    return paths.where(log_source.looks_like_log(F.col("path"))).select("path", log_source.inferred_source(F.col("path")).alias("s")).select("path", "s.*")
 
 
-@query("SELECT o_orderkey::VARCHAR AS sha, o_custkey::VARCHAR AS author, strftime(o_orderdate, '%Y-%m-%d') AS authored_at, o_orderpriority AS summary FROM orders")
+@query("SELECT source_name, path, 'could not read log source ' || path AS warning FROM (SELECT DISTINCT 'u' || user_id AS source_name, 'logs/' || user_id || '.log' AS path, user_id FROM events) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)")
+def src_log_collect(spark, d):
+    """A log for each customer, a source for each user: the warnings of users without one."""
+    users = a.table(spark, d, "events").select("user_id").distinct()
+    sources = users.select(F.concat(F.lit("logs/"), "user_id", F.lit(".log")).alias("path"), F.concat(F.lit("u"), "user_id").alias("source_name"), F.lit(None).cast("string").alias("service"), F.lit("line").alias("format"))
+    files = a.table(spark, d, "customer").select(F.concat(F.lit("logs/"), "c_custkey", F.lit(".log")).alias("path"), F.lit("m").alias("mtime"), F.col("c_name").alias("content"))
+    return log_source.collected(sources, files)[1]
+
+
+@query("SELECT o_orderkey::VARCHAR AS sha, o_custkey::VARCHAR AS author, CASE WHEN o_orderkey % 9 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS authored_at, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS summary FROM orders")
 def src_git_log(spark, d):
+    """Records with line feeds around them, some cut short."""
     o = a.table(spark, d, "orders")
-    raw = F.concat_ws("\u001f", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority")
-    return log_source.git_log(o.groupBy("o_custkey").agg(F.array_join(F.collect_list(raw), "\u001e").alias("raw")))
+    short = F.col("o_orderkey") % 9 == 0
+    raw = F.concat_ws("\u001f", F.concat(F.lit("\r\n"), F.col("o_orderkey").cast("string")), F.col("o_custkey").cast("string"), F.when(~short, F.date_format("o_orderdate", "yyyy-MM-dd")), F.when(~short, F.concat("o_orderpriority", F.lit("\n"))))
+    return log_source.git_log(o.select(F.concat(raw, F.lit("\u001e"), F.lit(" \n")).alias("raw")))
 
 
 @query("SELECT p_name AS path, CASE WHEN p_size % 5 = 0 THEN 'renamed' WHEN p_size % 5 = 1 THEN 'added' WHEN p_size % 5 = 2 THEN 'untracked' WHEN p_size % 5 = 3 THEN 'deleted' ELSE 'modified' END AS status, CASE WHEN p_size % 5 = 0 THEN p_brand END AS previous_path FROM part")
@@ -84,6 +115,49 @@ def src_git_status(spark, d):
     return log_source.git_status(p.select(F.concat(code, F.lit(" "), F.when(F.col("p_size") % 5 == 0, F.concat("p_brand", F.lit(" -> "))).otherwise(""), "p_name").alias("line")))
 
 
+_MANIFESTS = ("package.json", "pyproject.toml", "Cargo.toml", "go.mod", "App.Test.csproj", "package.json", "notes.txt")
+
+
+@query("""SELECT 'p' || page_id || '/' || m AS path, kind, name, roots, tests, packages FROM (SELECT page_id, page_id % 7 AS k, 'p' || page_id AS r FROM pages) JOIN (VALUES
+  (0, 'package.json', 'package_json', '{r}n', '{r}/src|{r}/app', '{r}/test|{r}/tests|{r}/spec', '{r}|{r}/libs|{r}/apps/web'), (1, 'pyproject.toml', 'pyproject', '{r}', '{r}/src', '{r}/tests', '{r}'), (2, 'Cargo.toml', 'cargo', '{r}', '{r}/src', '{r}/tests|{r}/benches', '{r}'),
+  (3, 'go.mod', 'go_mod', '{r}', '{r}/cmd|{r}/pkg|{r}/internal', '{r}/pkg|{r}/internal', '{r}'), (4, 'App.Test.csproj', 'csproj', '{r}', '{r}', '{r}', '{r}')) v(k, m, kind, n_, r_, t_, p_) USING (k),
+LATERAL (SELECT replace(n_, '{r}', r) AS name, replace(r_, '{r}', r) AS roots, replace(t_, '{r}', r) AS tests, replace(p_, '{r}', r) AS packages)""")
+def src_manifest_hints(spark, d):
+    """Manifests of five kinds, a broken one, and a file that is none."""
+    n = F.col("page_id") % 7
+    name = F.element_at(F.array(*map(F.lit, _MANIFESTS)), (n + 1).cast("int"))
+    root = F.concat(F.lit("p"), "page_id")
+    content = F.when(n == 0, F.concat(F.lit('{"name":"'), root, F.lit('n","workspaces":{"packages":["libs/*","apps/web"]},"dependencies":{}}'))).when(n == 1, "[tool]\nwhere = [\"src\"]\n").when(n == 5, "{broken").otherwise("x")
+    files = a.table(spark, d, "pages").select(F.concat_ws("/", root, name).alias("rel_path"), name.alias("basename"), t.extension(name).alias("extension"), content.alias("content"))
+    return files_source.manifest_hints(files).select("path", "kind", "name", *(F.array_join(c_, "|").alias(n_) for c_, n_ in (("source_roots", "roots"), ("test_roots", "tests"), ("package_roots", "packages"))))
+
+
+@query("SELECT 'package_' || substr(sha256('ws::' || 'a' || k), 1, 24) AS id, 'a' || k AS root, min(CASE WHEN json THEN 'n' || page_id END) IS NOT NULL AS named FROM (SELECT page_id, page_id % 50 AS k, page_id % 3 = 0 AS json FROM pages) GROUP BY k UNION ALL SELECT 'package_' || substr(sha256('ws::'), 1, 24), '', false")
+def src_packages(spark, d):
+    """One package for each root, package.json first, and one for what no manifest covers."""
+    json = F.col("page_id") % 3 == 0
+    hints = a.table(spark, d, "pages").select(
+        F.concat(F.lit("a"), F.col("page_id") % 50, F.lit("/"), "page_id").alias("path"), F.concat(F.lit("a"), F.col("page_id") % 50).alias("root"), F.when(json, "package_json").otherwise("cargo").alias("kind"),
+        F.when(json, F.concat(F.lit("n"), "page_id")).otherwise("other").alias("name"), F.lit("x").alias("language"),
+    )
+    return files_source.packages(hints, "ws").select("id", "root", F.col("name").startswith("n").alias("named"))
+
+
+@query(f"WITH {tree.TREE} SELECT path FROM tree WHERE k <> 2 AND NOT (k = 4 AND regexp_matches(path, '^docs/d[0-9]*5[.]md$'))")
+def src_gitignore(spark, d):
+    """Rules with a folder, a star, one taken back, and a comment; the last that fits decides."""
+    rules_ = ["# comment", "src/cs/", "*.md", "!docs/*.md", "docs/*5.md", "", "/nowhere"]
+    patterns = spark.createDataFrame(list(enumerate(rules_)), "pos int, pattern string")
+    return files_source.not_ignored(tree.source_tree(spark, d).select("path", F.col("path").alias("rel_path")), patterns).select("path")
+
+
+@query(f"WITH {tree.TREE} SELECT path FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' || path WHEN doc_id % 13 = 0 THEN path || '.bak' ELSE path END AS path FROM tree) WHERE NOT starts_with(path, 'node_modules/') AND NOT ends_with(path, '.bak')")
+def src_discover_files(spark, d):
+    """Files of known names outside ignored folders."""
+    path = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("node_modules/"), "path")).when(F.col("doc_id") % 13 == 0, F.concat("path", F.lit(".bak"))).otherwise(F.col("path"))
+    return files_source.candidates(tree.source_tree(spark, d).select(path.alias("rel_path"))).select(F.col("rel_path").alias("path"))
+
+
 # identity and scalars
 
 
@@ -98,9 +172,26 @@ def fn_paths(spark, d):
     return a.table(spark, d, "pages").select("page_id", t.basename(url).alias("base"), t.extension(url).alias("ext"), t.dirname(url).alias("dir"), F.length(url).cast("bigint").alias("n"), t.token_estimate(F.col("html")).alias("tokens"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS title, CASE role WHEN 'assistant' THEN 'unknown' ELSE 'unknown' END AS level FROM conversations")
+_LEVELS = ("TRACE", "Debug", "info", "WARNING", "warn", "Error", "fatal", "notice")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS title, CASE WHEN conv_id % 8 = 7 THEN 'unknown' WHEN conv_id % 8 = 3 THEN 'warn' ELSE lower((['TRACE', 'Debug', 'info', 'WARNING', 'warn', 'Error', 'fatal'])[conv_id % 8 + 1]) END AS level FROM conversations")
 def fn_truncate_level(spark, d):
-    return a.table(spark, d, "conversations").select("conv_id", "turn", t.truncated(F.col("text"), 120, "...").alias("title"), t.level(F.col("role")).alias("level"))
+    given = F.element_at(F.array(*map(F.lit, _LEVELS)), (F.col("conv_id") % 8 + 1).cast("int"))
+    return a.table(spark, d, "conversations").select("conv_id", "turn", t.truncated(F.col("text"), 120, "...").alias("title"), t.level(given).alias("level"))
+
+
+@query(r"""SELECT page_id, 'r/' || rtrim(split_part(url, '://', 2), '/') AS normal, rtrim(split_part(url, '://', 2), '/') AS relative, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(url, '://', 2), '\.[A-Za-z0-9]+$', ''), '[.:]+', '/', 'g'), '/+', '/', 'g'), '^/|/$', '', 'g')) AS key,
+  CASE WHEN page_id % 2 = 0 THEN '[redacted]' ELSE url END AS shown, len(string_split(url, '/')) AS shared FROM pages""")
+def fn_references(spark, d):
+    """Paths with backslashes and dots made normal, look-up keys, hidden secrets and shared folders."""
+    rest = F.element_at(F.split("url", "://"), 2)
+    messy = F.concat(F.lit("r\\x\\..\\.\\"), rest)
+    secret = F.create_map(F.when(F.col("page_id") % 2 == 0, F.lit("API_Key")).otherwise(F.lit("key")), F.col("url"))
+    return a.table(spark, d, "pages").select(
+        "page_id", t.normal_path(messy).alias("normal"), t.relative(t.normal_path(messy), F.lit("r")).alias("relative"), t.reference_key(rest).alias("key"), F.map_values(t.redacted(secret))[0].alias("shown"),
+        t.common_prefix(F.split("url", "/"), F.concat(F.split("url", "/"), F.array(F.lit("more")))).alias("shared"),
+    )
 
 
 # filters
@@ -137,7 +228,7 @@ def flt_symbol_name(spark, d):
     return relational.named(p, "p_name", "_").unionByName(relational.named(p, "p_name", "eD Wid")).select("p_partkey", "p_name").distinct()
 
 
-@query(f"WITH {a.MODULES} SELECT id, canonical_path FROM modules WHERE contains(canonical_path, '-12') ORDER BY CASE WHEN canonical_path = '-12' THEN 0 ELSE 1 END, canonical_path LIMIT 1")
+@query(f"WITH {a.MODULES} SELECT id, canonical_path FROM modules WHERE contains(lower(canonical_path), '-12') ORDER BY CASE WHEN canonical_path = '-12' THEN 0 ELSE 1 END, canonical_path LIMIT 1")
 def flt_module_path(spark, d):
     return relational.one_module(a.modules(spark, d), "-12").select("id", "canonical_path")
 
@@ -155,11 +246,12 @@ def flt_glob(spark, d):
 # joins
 
 
-@query(f"WITH {a.MODULES}, {a.EDGES} SELECT m.id, m.canonical_path, count(*) AS n FROM modules m JOIN edges e ON e.source_id = m.id WHERE m.changed GROUP BY ALL")
+@query(f"WITH {a.MODULES} SELECT id, canonical_path FROM modules WHERE changed ORDER BY canonical_path")
 def join_change_modules(spark, d):
-    m = a.modules(spark, d).where("changed")
-    e = a.import_edges(spark, d)
-    return m.join(e, m["id"] == e["source_id"]).groupBy("id", "canonical_path").agg(F.count("*").alias("n"))
+    """The modules that a change group's edges start from; its edges from symbols lead to no module."""
+    m = a.modules(spark, d)
+    symbols = m.select(F.concat(F.lit("s"), "id").alias("id"), F.col("id").alias("module_id"))
+    return relational.change_modules(relational.changed_in("g1", m.where("changed"), symbols), m, "g1").select("id", "canonical_path")
 
 
 _CAND = f"""WITH {a.MODULES}, {a.TESTS}, hit AS (SELECT source_id AS id, canonical_path FROM tests JOIN modules m ON m.id = target_id WHERE changed)
@@ -203,16 +295,50 @@ def join_semi_changed(spark, d):
     return e.join(m, e["source_id"] == m["id"], "left_semi").unionByName(e.join(m, e["target_id"] == m["id"], "left_semi")).distinct()
 
 
-@query("SELECT page_id, max(root) AS root FROM (SELECT page_id, url FROM pages) LEFT JOIN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+', 0) AS root FROM pages WHERE page_id % 10 = 0) ON url = root OR starts_with(url, root || '/') GROUP BY page_id")
+@query("SELECT page_id, max(root) AS root FROM (SELECT page_id, url FROM pages) LEFT JOIN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+', 0) AS root FROM pages) ON url = root OR starts_with(url, root || '/') GROUP BY page_id")
 def join_longest_prefix(spark, d):
     p = a.table(spark, d, "pages").select("page_id", "url")
-    roots = p.where("page_id % 10 = 0").select(F.regexp_extract("url", "^[a-z]+://[^/]+/[a-z]+", 0).alias("root"))
+    roots = p.select(F.regexp_extract("url", "^[a-z]+://[^/]+/[a-z]+", 0).alias("root"))
     return relational.longest_prefix(p, "url", roots).select("page_id", "root")
 
 
-@query("SELECT page_id, unnest(list_transform(range(1, len(string_split(url, '/')) + 1), lambda i: array_to_string(string_split(url, '/')[i:], '/'))) AS key FROM pages")
+_TS = tree.KINDS.index("ts")
+
+
+@query(f"WITH {tree.TREE} SELECT x.path AS import_id, y.path FROM tree x JOIN tree y ON x.k IN (0, 3) AND y.k = 0 AND y.doc_id = CASE x.k WHEN 0 THEN x.doc_id - {tree.STEP} ELSE x.doc_id - 3 END")
+def join_import_candidates(spark, d):
+    files = tree.source_tree(spark, d)
+    imports = extract.ts_imports(extract.lines(files.where("path LIKE '%.ts'")))
+    return relational.import_candidates(imports.select(F.col("path").alias("import_id"), F.col("path").alias("from_path"), "spec"), files)
+
+
+@query(f"WITH {tree.TREE} SELECT x.path AS id, y.path FROM tree x JOIN tree y ON x.k = 1 AND y.doc_id = x.doc_id - {tree.STEP}")
+def join_lua_require(spark, d):
+    files = tree.source_tree(spark, d)
+    wanted = extract.lua_imports(extract.lines(files.where("path LIKE '%.lua'"))).where("how = 'require'")
+    return relational.required(wanted.select(F.col("path").alias("id"), F.col("path").alias("from_path"), F.col("reference").alias("module")), files)
+
+
+_SCORED = f"WITH {tree.TREE} SELECT x.path AS ref_id, 'm' || y.doc_id AS reference, y.path, 47::BIGINT AS score FROM tree x JOIN tree y ON x.k = 1 AND y.doc_id = x.doc_id - {tree.STEP}"
+
+
+@query(_SCORED)
 def join_suffix_key(spark, d):
-    return a.table(spark, d, "pages").select("page_id", F.explode(t.suffixes(F.col("url"))).alias("key"))
+    """Modules looked up by the end of their path, the best candidate of each."""
+    files = tree.source_tree(spark, d)
+    wanted = extract.lua_imports(extract.lines(files.where("path LIKE '%.lua'"))).where("how = 'catalog'")
+    catalog = files.select("path", t.language(F.col("path")).alias("language"))
+    return relational.resolve(wanted.select(F.col("path").alias("ref_id"), "reference", F.col("path").alias("from_path"), F.lit("lua").alias("language")), catalog)
+
+
+@query("""SELECT p_partkey AS ref_id, p_type || '/' || p_partkey AS reference, 'lib/' || p_type || '/' || p_partkey || '/init.lua' AS path, (30 + 10 + 4 - 5 + 5)::BIGINT AS score FROM part""")
+def rank_reference(spark, d):
+    """A folder with an ``init`` file wins over a file of the same name in another language."""
+    p = a.table(spark, d, "part")
+    base = F.concat(F.lit("lib/"), "p_type", F.lit("/"), "p_partkey")
+    catalog = p.select(F.concat(base, F.lit("/init.lua")).alias("path"), F.lit("lua").alias("language")).unionByName(p.select(F.concat(base, F.lit(".py")).alias("path"), F.lit("python").alias("language")))
+    wanted = p.select(F.col("p_partkey").alias("ref_id"), F.concat("p_type", F.lit("/"), "p_partkey").alias("reference"), F.lit("lib/a/b/c/x.lua").alias("from_path"), F.lit("lua").alias("language"))
+    return relational.resolve(wanted, catalog)
 
 
 _RULES = [
@@ -314,12 +440,16 @@ def win_ring_buffer(spark, d):
     return telemetry.ring(a.calls(spark, d), 3).select("session", "seq", "tool")
 
 
-@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, pos, last_value(CASE WHEN contains(line, ',') THEN substr(line, 1, 20) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS scope FROM l""")
+_LINES_OF = """l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"""WITH {_LINES_OF}, b AS (SELECT *, coalesce(sum((ends_with(line, '.'))::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM l)
+SELECT doc_id, line_no::BIGINT AS line_no, last_value(CASE WHEN contains(line, ',') THEN substr(line, 1, 20) END IGNORE NULLS) OVER (PARTITION BY doc_id, block ORDER BY line_no) AS scope FROM b""")
 def win_locf_scope(spark, d):
-    lines = a.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    scope = F.last(F.when(F.contains("line", F.lit(",")), F.substring("line", 1, 20)), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos"))
-    return lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"), scope.alias("scope"))
+    """A scope opened by a line with a comma, carried to the line that ends in a full stop."""
+    lines = a.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line_no", (F.col("pos") + 1).cast("bigint"))
+    opened = F.when(F.contains("line", F.lit(",")), F.substring("line", 1, 20)).otherwise("")
+    return extract.scoped(lines, opened, F.col("line").endswith(".")).select(F.col("path").alias("doc_id"), "line_no", "scope")
 
 
 @query(f"WITH {a.LOGS} SELECT id, timestamp, service FROM logs ORDER BY timestamp DESC, id DESC LIMIT 20")
@@ -374,18 +504,31 @@ def agg_impacted_union(spark, d):
     return graph.walk(graph.turned(a.import_edges(spark, d)), a.modules(spark, d).where("changed").select("id"), 2)
 
 
-@query(f"""WITH RECURSIVE {a.EDGES}, w AS (SELECT id, 0 AS depth FROM {ROOT} UNION SELECT e.target_id, w.depth + 1 FROM w JOIN edges e ON e.source_id = w.id WHERE w.depth < 6)
-SELECT id, min(depth)::BIGINT AS cost, (min(depth) + 1)::BIGINT AS nodes FROM w GROUP BY id""")
+#: The fewest imports from the root to everything, and the first such path.
+_HOPS = f"""WITH RECURSIVE {a.EDGES}, w(id, cost, path) USING KEY (id) AS (SELECT id, 0::BIGINT, [id] FROM {ROOT}
+  UNION SELECT target_id, min(cost) + 1, min(list_append(path, target_id)) FROM w JOIN edges ON source_id = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.id = target_id) GROUP BY target_id) SELECT * FROM w"""
+
+
+@query(f"SELECT id, cost, array_to_string(path, '>') AS path FROM ({_HOPS})")
 def graph_shortest_path(spark, d):
-    found = graph.weighted_paths(a.import_edges(spark, d), first_part(spark, d).first().id, {"imports": 1}, 6)
-    return found.select("id", "cost", F.size("path").cast("bigint").alias("nodes"))
+    found = graph.weighted_paths(a.import_edges(spark, d), first_part(spark, d).first().id, {"imports": 1})
+    return found.select("id", "cost", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {a.EDGES}, steps AS (SELECT source_id, target_id, CASE WHEN source_id LIKE 'p%' THEN 1 ELSE 2 END AS w FROM edges),
-x AS (SELECT id, 0 AS cost FROM {ROOT} UNION SELECT s.target_id, x.cost + s.w FROM x JOIN steps s ON s.source_id = x.id WHERE x.cost + s.w <= 7) SELECT id, min(cost)::BIGINT AS cost FROM x GROUP BY id""")
+@query(f"""SELECT id, best.cost AS cost, array_to_string(best.path, '>') AS path FROM (WITH RECURSIVE {a.EDGES}, steps AS (SELECT source_id, target_id, CASE WHEN source_id LIKE 'p%' THEN 1 ELSE 2 END AS w FROM edges),
+x(id, best) USING KEY (id) AS (SELECT id, {{'cost': 0::BIGINT, 'path': [id]}} FROM {ROOT}
+  UNION SELECT target_id, min({{'cost': x.best.cost + steps.w, 'path': list_append(x.best.path, target_id)}}) FROM x JOIN steps ON source_id = x.id LEFT JOIN recurring.x r ON r.id = target_id
+  WHERE r.id IS NULL OR {{'cost': x.best.cost + steps.w, 'path': list_append(x.best.path, target_id)}} < r.best GROUP BY target_id) SELECT * FROM x)""")
 def graph_weighted_path(spark, d):
     edges = a.import_edges(spark, d).withColumn("type", F.when(F.col("source_id").startswith("p"), "imports").otherwise("tests"))
-    return graph.weighted_paths(edges, first_part(spark, d).first().id, None, 7).select("id", "cost")
+    return graph.weighted_paths(edges, first_part(spark, d).first().id).select("id", "cost", F.array_join("path", ">").alias("path"))
+
+
+@query(f"WITH seen AS ({_walk_sql('source_id', 'target_id').replace('HAVING min(depth) > 0', '')}), {a.EDGES} SELECT source_id, target_id FROM edges WHERE source_id IN (SELECT id FROM seen WHERE depth < {_DEPTH})")
+def graph_walk(spark, d):
+    """The edges that a walk followed."""
+    edges = a.import_edges(spark, d)
+    return graph.walked_edges(edges, graph.walk(edges, first_part(spark, d), _DEPTH), _DEPTH).select("source_id", "target_id")
 
 
 @query(f"WITH {a.EDGES} SELECT source_id, target_id FROM edges WHERE source_id = (SELECT id FROM {ROOT}) OR target_id = (SELECT id FROM {ROOT})")
@@ -422,18 +565,32 @@ def dml_replace_scope(spark, d):
 
 
 @query(f"""WITH {a.MODULES} SELECT 'edge_' || substr(sha256('changed_in::' || id || '::g1'), 1, 24) AS id, id AS source_id, 1.0::DOUBLE AS confidence FROM modules WHERE changed
-UNION ALL SELECT 'edge_' || substr(sha256('changed_in::s' || id || '::g1'), 1, 24), 's' || id, 0.9::DOUBLE FROM modules WHERE changed""")
+UNION ALL SELECT 'edge_' || substr(sha256('changed_in::s' || id || '::g1'), 1, 24), 's' || id, 0.9::DOUBLE FROM modules WHERE changed UNION ALL SELECT 'edge_' || substr(sha256('changed_in::' || id || '::g2'), 1, 24), id, 1.0 FROM modules""")
 def dml_replace_change_group(spark, d):
+    """The edges of one group are replaced, those of another stay."""
     m = a.modules(spark, d)
     symbols = m.select(F.concat(F.lit("s"), "id").alias("id"), F.col("id").alias("module_id"))
-    return relational.changed_in("g1", m.where("changed"), symbols).select("id", "source_id", "confidence")
+    old = relational.changed_in("g1", m, symbols).unionByName(relational.changed_in("g2", m, symbols.limit(0)))
+    return relational.replace_change_group(old, relational.changed_in("g1", m.where("changed"), symbols), "g1").select("id", "source_id", "confidence")
 
 
-@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("""WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT 'edge' AS what, l_orderkey AS id, l_partkey AS other FROM lineitem WHERE l_orderkey NOT IN (FROM gone) UNION ALL SELECT 'suite', o_orderkey, NULL FROM orders WHERE o_orderkey NOT IN (FROM gone)
+UNION ALL SELECT 'case', l_orderkey * 10 + l_linenumber, l_orderkey FROM lineitem WHERE l_orderkey NOT IN (FROM gone) UNION ALL SELECT 'result', l_orderkey * 10 + l_linenumber, NULL FROM lineitem WHERE l_orderkey NOT IN (FROM gone)""")
 def dml_delete_file_cascade(spark, d):
-    li = a.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_orderkey").alias("owner_file_path"))
-    gone = a.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path"))
-    return relational.delete_files({"edges": li}, gone)["edges"].select("l_orderkey", "l_partkey")
+    """Files of finished orders go with their edges, suites, cases and results."""
+    li, o = a.table(spark, d, "lineitem"), a.table(spark, d, "orders")
+    case = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    tables = {
+        "edges": li.select(F.col("l_orderkey").alias("owner_file_path"), "l_partkey"), "suites": o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("file_path")),
+        "cases": li.select(case, F.col("l_orderkey").alias("suite_id")), "results": li.select(case.alias("case_id")),
+    }
+    left = relational.delete_files(tables, o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path")))
+    none = F.lit(None).cast("bigint").alias("other")
+    legs = [
+        left["edges"].select(F.lit("edge").alias("what"), F.col("owner_file_path").alias("id"), F.col("l_partkey").alias("other")), left["suites"].select(F.lit("suite").alias("what"), "id", none),
+        left["cases"].select(F.lit("case").alias("what"), "id", F.col("suite_id").alias("other")), left["results"].select(F.lit("result").alias("what"), F.col("case_id").alias("id"), none),
+    ]
+    return legs[0].unionByName(legs[1]).unionByName(legs[2]).unionByName(legs[3])
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 0 OR lang = 'en'")
@@ -449,11 +606,15 @@ _TERMS = ("the", "and")
 _TOK = "list_filter(regexp_split_to_array(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-def _bm25_sql(terms: tuple[str, ...]) -> str:
+def _bm25_sql(terms: tuple[str, ...], table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     tf = [f"len(list_filter(tokens, lambda x: x = '{w}'))" for w in sorted(terms)]
     rank = " ".join(f"- greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avg_len))" for i in range(len(tf)))
-    return f"""SELECT key, 0 {rank} AS rank FROM (SELECT doc_id AS key, len(tokens) AS len, {', '.join(f'{x} AS tf{i}' for i, x in enumerate(tf))} FROM (SELECT doc_id, {_TOK.format('text')} AS tokens FROM documents)),
-(SELECT count(*) AS n, avg(len(tokens)) AS avg_len, {', '.join(f'count(*) FILTER ({x} > 0) AS df{i}' for i, x in enumerate(tf))} FROM (SELECT {_TOK.format('text')} AS tokens FROM documents)) WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(tf)))}"""
+    return f"""SELECT key, 0 {rank} AS rank FROM (SELECT key, len(tokens) AS len, {', '.join(f'{x} AS tf{i}' for i, x in enumerate(tf))} FROM (SELECT {key} AS key, {_TOK.format(text)} AS tokens FROM {table})),
+(SELECT count(*) AS n, avg(len(tokens)) AS avg_len, {', '.join(f'count(*) FILTER ({x} > 0) AS df{i}' for i, x in enumerate(tf))} FROM (SELECT {_TOK.format(text)} AS tokens FROM {table})) WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(tf)))}"""
+
+
+def _index(spark, d, table: str, key: str, *columns: str, rows: DataFrame | None = None) -> search.Index:
+    return search.index_of(f"{d}/{table}.parquet", a.table(spark, d, table) if rows is None else rows, key, columns, shared_dir(spark))
 
 
 @query("SELECT doc_id AS key, token, len(tokens)::INT AS doc_len, count(*) AS tf FROM (SELECT doc_id, tokens, unnest(tokens) AS token FROM (SELECT doc_id, " + _TOK.format("text") + " AS tokens FROM documents)) GROUP BY ALL")
@@ -463,46 +624,128 @@ def fts_index(spark, d):
 
 @query(f"SELECT key, round(rank, 6) AS rank FROM ({_bm25_sql(_TERMS)})")
 def fts_bm25(spark, d):
-    return search.bm25(a.table(spark, d, "documents"), "doc_id", ("text",), list(_TERMS)).select("key", F.round("rank", 6).alias("rank"))
+    return search.bm25(_index(spark, d, "documents", "doc_id", "text"), list(_TERMS)).select("key", F.round("rank", 6).alias("rank"))
+
+
+#: The three corpora of a search: symbols from page addresses, modules from documents, files from conversations.
+_CORPORA = {"symbol": ("pages", "'s' || page_id", "url"), "module": ("documents", "'m' || doc_id", "text"), "file": ("conversations", "'f' || conv_id || '_' || turn", "text")}
 
 
-@query(f"""SELECT kind, key, round(rank, 6) AS rank, round(greatest(0.01, 1 / (1 + abs(rank))), 6) AS score FROM (SELECT 'documents' AS kind, key::VARCHAR AS key, rank FROM ({_bm25_sql(('und', 'der'))})
-UNION ALL SELECT 'files', key::VARCHAR, rank FROM ({_bm25_sql(('la',))})) ORDER BY rank, kind, key LIMIT 10""")
+def _indexes(spark, d) -> dict[str, search.Index]:
+    key = {"symbol": F.concat(F.lit("s"), "page_id"), "module": F.concat(F.lit("m"), "doc_id"), "file": F.concat(F.lit("f"), "conv_id", F.lit("_"), "turn")}
+    return {kind: _index(spark, d, name, "key", text, rows=a.table(spark, d, name).select(key[kind].alias("key"), text)) for kind, (name, _, text) in _CORPORA.items()}
+
+
+def _search_sql(query: str, limit: int) -> str:
+    legs = " UNION ALL ".join(f"SELECT '{kind}' AS kind, key, round(rank, 9) AS rank, greatest(0.01, 1 / (1 + abs(rank))) AS score FROM ({_bm25_sql(tuple(search.query_tokens(query)), *where)})" for kind, where in _CORPORA.items())
+    return f"SELECT * FROM ({legs}) ORDER BY rank, kind, key LIMIT {limit}"
+
+
+@query(f"SELECT kind, key, round(rank, 6) AS rank, round(score, 6) AS score FROM ({_search_sql('que en', 10)})")
 def fts_search(spark, d):
-    docs = a.table(spark, d, "documents")
-    found = search.union_search({"documents": search.bm25(docs, "doc_id", ("text",), ["und", "der"]), "files": search.bm25(docs, "doc_id", ("text",), ["la"])})
-    return found.select("kind", "key", F.round("rank", 6).alias("rank"), F.round("score", 6).alias("score"))
+    return search.search(_indexes(spark, d), "que en").select("kind", "key", F.round("rank", 6).alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {a.LOGS} SELECT id, timestamp FROM logs WHERE service = 'svc2' AND len(list_intersect(regexp_split_to_array(message, '[^a-z0-9]+'), ['7'])) > 0 ORDER BY timestamp DESC, id DESC LIMIT 50")
 def fts_logs(spark, d):
-    return incidents.newest(incidents.filtered(a.log_events(spark, d), "svc2", None, ["7"]), 50).select("id", "timestamp")
+    return incidents.newest(incidents.filtered(a.log_events(spark, d), "svc2", None, search.checked("7")), 50).select("id", "timestamp")
 
 
 @query(r"SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(text, '[\s(),:{}\[\]]+'), lambda x: x <> '')).list_sort().array_to_string('|') AS words FROM conversations")
 def rank_tokenize(spark, d):
-    tokens = F.array_distinct(F.filter(F.split("text", r"[\s(),:{}\[\]]+"), lambda x: x != ""))
-    return a.table(spark, d, "conversations").select("conv_id", "turn", joined(tokens).alias("words"))
+    return a.table(spark, d, "conversations").select("conv_id", "turn", joined(t.search_words(F.col("text"))).alias("words"))
+
+
+_HYBRID = "en fr html"
+_WORDS = t.words(_HYBRID)
+
 
+def _named_sql(i: int, w: str) -> str:
+    seq = f"{2 * i + 2} AS seq"
+    named = f"SELECT 's' || page_id AS id, 'm' || page_id AS module_id, regexp_replace(url, '^.*/', '') = '{w}' AS exact FROM pages WHERE regexp_replace(url, '^.*/', '') = '{w}' OR contains(lower(url), '{w}')"
+    return f"""SELECT id, {seq}, CASE WHEN exact THEN 0.99 ELSE 0.82 END AS score, CASE WHEN exact THEN 0.45 ELSE 0.2 END AS bonus, '{w}' AS token, 1 AS n FROM ({named})
+UNION ALL SELECT module_id, {seq}, 0.65, 0.18, '{w}', count(*) FROM ({named}) JOIN documents ON 'm' || doc_id = module_id GROUP BY module_id"""
 
-@query()
+
+def _hybrid_sql(limit: int) -> str:
+    leg = lambda query, most, seq, bonus, token: f"SELECT key AS id, {seq} AS seq, score, {bonus} AS bonus, {token} AS token, 1 AS n FROM ({_search_sql(query, most)})"
+    legs = [leg(_HYBRID, limit, 0, 0.5, "NULL::VARCHAR")]
+    for i, w in enumerate(_WORDS):
+        legs += [leg(w, max(limit, 10), 2 * i + 1, 0.0, f"'{w}'"), _named_sql(i, w)]
+    first = "list_transform(h, lambda x, i: {'seq': x.seq, 'score': x.score, 'bonus': x.bonus, 'n': x.n - (i = 1)::BIGINT})"
+    fold = f"list_reduce({first}, lambda s, x: {{'seq': x.seq, 'score': greatest(s.score, x.score + x.bonus) + x.n * x.bonus, 'bonus': 0.0::DOUBLE, 'n': 0::BIGINT}}, {{'seq': 0, 'score': 0.0::DOUBLE, 'bonus': 0.0::DOUBLE, 'n': 0::BIGINT}}).score"
+    labels = "SELECT 's' || page_id AS id, url AS label FROM pages UNION ALL SELECT 'm' || doc_id, source || '/' || doc_id FROM documents UNION ALL SELECT 'f' || conv_id || '_' || turn, role || '/' || conv_id || '/' || turn FROM conversations"
+    return f"""SELECT id, label, tokens, round({fold} + 0.25 * tokens, 9) AS score FROM (
+  SELECT id, list({{'seq': seq::INT, 'score': score::DOUBLE, 'bonus': bonus::DOUBLE, 'n': n::BIGINT}} ORDER BY seq) AS h, count(DISTINCT token) AS tokens FROM ({' UNION ALL '.join(legs)}) GROUP BY id) JOIN ({labels}) USING (id)
+ORDER BY tokens DESC, score DESC, label, id LIMIT {limit}"""
+
+
+def _entities(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbols, modules and the labels of all three kinds."""
+    url = F.col("url")
+    symbols = a.table(spark, d, "pages").select(F.concat(F.lit("s"), "page_id").alias("id"), url.alias("label"), t.basename(url).alias("name"), F.concat(F.lit("m"), "page_id").alias("module_id"))
+    modules = a.table(spark, d, "documents").select(F.concat(F.lit("m"), "doc_id").alias("id"), F.concat("source", F.lit("/"), "doc_id").alias("label"))
+    files = a.table(spark, d, "conversations").select(F.concat(F.lit("f"), "conv_id", F.lit("_"), "turn").alias("id"), F.concat("role", F.lit("/"), "conv_id", F.lit("/"), "turn").alias("label"))
+    return symbols, modules, symbols.select("id", "label").unionByName(modules).unionByName(files)
+
+
+@query(_hybrid_sql(20))
 def rank_hybrid(spark, d):
-    docs = a.table(spark, d, "documents")
-    symbols = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("label"), F.regexp_extract("text", r"^(\S+)", 1).alias("name"))
-    leg = lambda *w: search.bm25(docs, "doc_id", ("text",), list(w))
-    return search.hybrid(search.hybrid_hits(symbols, "the thand", {"the thand": leg("the", "thand"), "the": leg("the"), "thand": leg("thand")}), 20)
+    symbols, modules, labels = _entities(spark, d)
+    return search.hybrid(search.hybrid_hits(_indexes(spark, d), symbols, modules, _HYBRID, 20), labels, 20)
 
 
 # classification
 
 
-@query(r"""SELECT page_id, CASE WHEN k > 0 AND k >= cfg THEN 'doc' WHEN cfg > 0 THEN 'config' WHEN l THEN 'source' ELSE 'unknown' END AS kind FROM (
-  SELECT page_id, CASE WHEN regexp_matches(lower(url), '(^|/)docs?/') THEN 0.75 ELSE 0 END AS k,
-  CASE WHEN regexp_matches(regexp_replace(lower(url), '^.*/', ''), 'config|settings|compose|workspace|project') THEN 0.7 ELSE 0 END AS cfg,
-  lower(regexp_extract(regexp_replace(url, '^.*/', ''), '[^.]\.([^.]+)$', 1)) IN ('html') AS l FROM pages)""")
+def _votes_sql(rows: str, path: str = "path", content: str = "content") -> str:
+    """``votes(path, o, k, c)`` of ``rows``: every signal for a kind, in the order of the detectors."""
+    q = lambda x: x.replace("'", "''")
+    any_of = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+    like = lambda column, pattern: f"regexp_matches({column}, '{q(pattern)}')"
+    log = " OR ".join([like("name", c.LOG_NAME), like("low", "(" + "|".join(c.LOG_FOLDERS) + ")/"), like("name", r"\.(" + "|".join(c.LOG_EXTENSIONS) + ")$"), like("substr(body, 1, 512)", c.LEVEL_WORD)])
+    test = like("low", t.any_glob(c.TEST_GLOBS)) + " OR " + like("low", c.TEST_FOLDER)
+    signals = [
+        ("'generated'", 0.95, like("path", t.any_glob(c.GENERATED_GLOBS))), ("'manifest'", 0.95, like("path", t.any_glob(c.MANIFEST_GLOBS))), ("'source'", 0.45, like("path", t.any_glob(c.SOURCE_GLOBS))),
+        (f"CASE WHEN ext IN {any_of(c.DOCS)} THEN 'doc' ELSE 'config' END", 0.4, like("path", t.any_glob(c.EVIDENCE_GLOBS))),
+        ("'generated'", 0.98, like("array_to_string(regexp_split_to_array(body, '\r?\n')[1:20], chr(10))", "(?i)" + "|".join(c.BANNERS))), ("'binary'", 1.0, f"ext IN {any_of(c.BINARY)}"),
+        ("'test'", 0.9, test), ("'test'", 0.75, like("body", c.TEST_MARK)), ("'log'", 0.8, log), ("'doc'", 0.7, f"ext IN {any_of(c.DOCS)}"), ("'doc'", 0.75, like("low", c.DOC_FOLDER)), ("'doc'", 0.45, like("substr(body, 1, 500)", r"(?m)^#\s+")),
+        ("'config'", 0.65, f"ext IN {any_of(c.CONFIGS)}"), ("'config'", 0.7, f"name IN {any_of(c.CONFIG_NAMES)} OR " + like("name", c.CONFIG_WORD)), ("'config'", 0.55, like("substr(body, 1, 800)", c.CONFIG_MARK)),
+    ]
+    listed = ", ".join(f"{{'o': {o}, 'k': {k}, 'c': {sure}::DOUBLE, 'yes': {when}}}" for o, (k, sure, when) in enumerate(signals))
+    named = f"""named AS (SELECT {path} AS path, lower({path}) AS low, regexp_replace(lower({path}), '^.*/', '') AS name, lower(regexp_extract(regexp_replace({path}, '^.*/', ''), '[^.][.]([^.]+)$', 1)) AS ext, coalesce({content}, '') AS body FROM {rows})"""
+    test_role = f"({test}) AS test_role"
+    return f"""{named}, votes AS (SELECT path, s.o AS o, s.k AS k, s.c AS c FROM (SELECT path, unnest([{listed}]) AS s FROM named) WHERE s.yes), roles AS (SELECT path, ext, {test_role} FROM named)"""
+
+
+def _classes_sql(rows: str, path: str = "path", content: str = "content") -> str:
+    """``classes(path, kind, language, confidence)`` of ``rows``."""
+    languages = ", ".join(f"('{e}', '{name}')" for e, name in c.LANGUAGES.items())
+    return f"""{_votes_sql(rows, path, content)}, sums AS (SELECT path, k, sum(c ORDER BY o) AS score, min(o) AS first FROM votes GROUP BY path, k),
+best AS (SELECT path, arg_max(k, (score, -first)) AS k, max(score) AS score, bool_or(k = 'generated' AND score >= 0.9) AS generated FROM sums GROUP BY path),
+classes AS (SELECT roles.path, CASE WHEN generated THEN 'generated' WHEN best.k IS NOT NULL THEN best.k WHEN language IS NOT NULL AND test_role THEN 'test' WHEN language IS NOT NULL THEN 'source' ELSE 'unknown' END AS kind,
+  language, round(greatest(coalesce(score, 0), CASE WHEN language IS NOT NULL THEN 0.5 ELSE 0 END, 0.05), 2) AS confidence FROM roles LEFT JOIN best USING (path) LEFT JOIN (VALUES {languages}) l(ext, language) USING (ext))"""
+
+
+@query(f"WITH {tree.TREE}, {_classes_sql('tree')} SELECT path, kind, language, confidence::DOUBLE AS confidence FROM classes")
 def cls_classify(spark, d):
-    rows = a.table(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.lit("").alias("content"))
-    return classify.classify(rows).select("page_id", "kind")
+    return classify.classify(tree.source_tree(spark, d)).select("path", "kind", "language", "confidence")
+
+
+@query(f"WITH {_classes_sql('(SELECT DISTINCT url, html FROM pages)', 'url', 'html')} SELECT path, kind, count(*) AS n FROM classes GROUP BY ALL")
+def cls_pages(spark, d):
+    pages = a.table(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("content")).distinct()
+    return classify.classify(pages).groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {tree.TREE}, {_classes_sql('tree')} SELECT path FROM classes WHERE kind IN ('source', 'test', 'config', 'manifest', 'doc')")
+def flt_indexable(spark, d):
+    return classify.indexable(classify.classify(tree.source_tree(spark, d))).select("path")
+
+
+@query(f"WITH {tree.TREE}, {_classes_sql('tree')} SELECT path FROM classes WHERE kind = 'test' AND language IN ('typescript', 'javascript')")
+def flt_test_extractable(spark, d):
+    return classify.test_extractable(classify.classify(tree.source_tree(spark, d))).select("path")
 
 
 # composites
@@ -510,7 +753,7 @@ def cls_classify(spark, d):
 _RISK = f"""WITH {a.MODULES}, {a.EDGES}, {a.TESTS}, m AS (SELECT id FROM modules WHERE changed), fi AS (SELECT target_id AS id, count(*) AS fan_in FROM edges GROUP BY 1),
 te AS (SELECT target_id AS id, count(DISTINCT source_id) AS tests FROM tests GROUP BY 1), vi AS (SELECT source_id AS id, count(*) AS violations FROM edges GROUP BY 1)
 SELECT id, coalesce(fan_in, 0) AS fan_in, coalesce(tests, 0) AS tests, coalesce(violations, 0) AS violations,
-  round((coalesce(fan_in, 0) + 1) * 1.5::DOUBLE * CASE WHEN coalesce(tests, 0) > 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END * (1 + 0.3::DOUBLE * coalesce(violations, 0)), 2) AS risk
+  floor((coalesce(fan_in, 0) + 1) * 1.5::DOUBLE * CASE WHEN coalesce(tests, 0) > 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END * (1 + 0.3::DOUBLE * coalesce(violations, 0)) * 100 + 0.5) / 100 AS risk
 FROM m LEFT JOIN fi USING (id) LEFT JOIN te USING (id) LEFT JOIN vi USING (id)"""
 
 
@@ -521,9 +764,19 @@ def _risk(spark, d):
     return review.risk(m, fan_in, relational.coverage(m, a.test_edges(spark, d)), broken, 5)
 
 
-@query(_RISK)
+_BROKEN = "(SELECT edge_id AS id, 'p' || edge_id AS source_id, 'p' || (edge_id::BIGINT + 3) AS target_id FROM pe WHERE regexp_matches(source_path, '/en/') AND regexp_matches(target_path, '/fr/'))"
+
+
+@query(f"""WITH RECURSIVE {a.MODULES}, {a.EDGES}, {a.TESTS}, {_PAGE_EDGES}, v AS {_BROKEN}, m AS (SELECT id FROM modules WHERE changed), touching AS (SELECT * FROM v WHERE source_id IN (FROM m) OR target_id IN (FROM m)),
+w AS (SELECT id, 0 AS depth FROM m UNION SELECT e.source_id, w.depth + 1 FROM w JOIN edges e ON e.target_id = w.id WHERE w.depth < 2),
+fi AS (SELECT target_id AS id, count(*) AS fan_in FROM edges GROUP BY 1), te AS (SELECT target_id AS id, count(DISTINCT source_id) AS tests FROM tests GROUP BY 1),
+vi AS (SELECT x AS id, count(*) AS violations FROM (SELECT source_id AS x FROM touching UNION ALL SELECT target_id FROM touching) GROUP BY x)
+SELECT 'risk' AS kind, id, floor((coalesce(fan_in, 0) + 1) * 1.5::DOUBLE * CASE WHEN coalesce(tests, 0) > 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END * (1 + 0.3::DOUBLE * coalesce(violations, 0)) * 100 + 0.5) / 100 AS value FROM m LEFT JOIN fi USING (id) LEFT JOIN te USING (id) LEFT JOIN vi USING (id)
+UNION ALL SELECT 'impacted', id, min(depth)::DOUBLE FROM w GROUP BY id HAVING min(depth) > 0 UNION ALL SELECT 'gap', id, 0 FROM m WHERE id NOT IN (SELECT id FROM te) UNION ALL SELECT 'violation', id, 1 FROM touching""")
 def tool_get_review_context(spark, d):
-    return _risk(spark, d)
+    broken = _page_edges(spark, d).where("source_path RLIKE '/en/' AND target_path RLIKE '/fr/'")
+    broken = broken.select(F.col("edge_id").alias("id"), F.concat(F.lit("p"), "edge_id").alias("source_id"), F.concat(F.lit("p"), F.col("edge_id").cast("bigint") + 3).alias("target_id"))
+    return tools.review_context(a.modules(spark, d).where("changed"), a.import_edges(spark, d), a.test_edges(spark, d), broken, 5)
 
 
 @query(f"SELECT * FROM ({_RISK}) ORDER BY risk DESC, id LIMIT 10")
@@ -531,11 +784,15 @@ def topk_risk(spark, d):
     return _risk(spark, d).orderBy(F.desc("risk"), "id").limit(10)
 
 
-@query(f"""SELECT 'incident' AS kind, id AS key, last_seen AS at FROM (SELECT * FROM ({_INC}) ORDER BY last_seen DESC, id LIMIT 10)
-UNION ALL SELECT 'log', id::VARCHAR, timestamp FROM (WITH {a.LOGS} SELECT * FROM logs ORDER BY timestamp DESC, id DESC LIMIT 20)
-UNION ALL SELECT 'commit', sha::VARCHAR, authored_at FROM (WITH {a.COMMITS} SELECT * FROM commits ORDER BY authored_at DESC, sha LIMIT 5)""")
+_BRANCH = f"SELECT 'package' AS kind, package_id AS key, count(*)::VARCHAR AS value FROM modules WHERE changed GROUP BY package_id UNION ALL SELECT 'commit', sha::VARCHAR, authored_at FROM (SELECT * FROM commits ORDER BY authored_at DESC, sha LIMIT 5)"
+
+
+@query(f"""WITH {a.MODULES}, {a.COMMITS}, {a.LOGS} SELECT kind, key, "at" FROM (SELECT 0 AS o, 'branch_' || kind AS kind, key, value AS "at" FROM ({_BRANCH})
+UNION ALL SELECT 1, 'test', id, score::VARCHAR FROM (SELECT * FROM ({_CAND}) ORDER BY score DESC, suite_path, id LIMIT 10) UNION ALL SELECT 2, 'incident', id, last_seen FROM (SELECT * FROM ({_INC}) ORDER BY last_seen DESC, id LIMIT 10)
+UNION ALL SELECT 3, 'log', id::VARCHAR, timestamp FROM (SELECT * FROM logs ORDER BY timestamp DESC, id DESC LIMIT 60)) ORDER BY o, kind, "at" DESC, key LIMIT 60""")
 def tool_build_incident_timeline(spark, d):
-    return tools.incident_timeline(a.log_events(spark, d), a.commits(spark, d))
+    candidates = relational.test_candidates(a.modules(spark, d).where("changed"), a.test_edges(spark, d), a.test_cases(spark, d))
+    return tools.incident_timeline(a.log_events(spark, d), a.commits(spark, d), a.modules(spark, d).where("changed"), candidates, 60)
 
 
 @query(f"WITH {a.LOGS} SELECT 'event' AS kind, id::VARCHAR AS key FROM (SELECT * FROM logs WHERE service = 'svc3' ORDER BY timestamp DESC, id DESC LIMIT 20) UNION ALL SELECT 'incident', id FROM (SELECT * FROM ({_INC}) WHERE service = 'svc3' ORDER BY last_seen DESC, id LIMIT 20)")
@@ -543,9 +800,18 @@ def tool_query_logs(spark, d):
     return tools.query_logs(a.log_events(spark, d), service="svc3")
 
 
-@query(f"""WITH {a.MODULES}, {a.EDGES}, root AS {ROOT} SELECT 'out' AS direction, target_id AS id FROM edges, root WHERE source_id = root.id UNION ALL SELECT 'in', source_id FROM edges, root WHERE target_id = root.id""")
+_NODES = "n AS (SELECT id, canonical_path FROM modules UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0)"
+
+
+def _nodes(spark, d):
+    """Parts and the suppliers of even key as modules, so that some edges dangle."""
+    supplier = a.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("canonical_path"))
+    return a.modules(spark, d).select("id", "canonical_path").unionByName(supplier)
+
+
+@query(f"""WITH {a.MODULES}, {a.EDGES}, {_NODES}, root AS {ROOT} SELECT direction, n.id, canonical_path, 0.83::DOUBLE AS confidence FROM (SELECT 'out' AS direction, target_id AS id FROM edges, root WHERE source_id = root.id UNION ALL SELECT 'in', source_id FROM edges, root WHERE target_id = root.id UNION ALL SELECT 'self', id FROM root) JOIN n USING (id)""")
 def tool_explain_module(spark, d):
-    return tools.explain_module(a.import_edges(spark, d), first_part(spark, d).first().id)
+    return tools.explain_module(a.import_edges(spark, d), _nodes(spark, d), first_part(spark, d).first().id)
 
 
 @query(_walk_sql("target_id", "source_id").replace("SELECT id, min(depth) AS depth", "SELECT id, min(depth) AS depth, 0.88::DOUBLE AS confidence"))
@@ -553,19 +819,23 @@ def tool_estimate_blast_radius(spark, d):
     return tools.blast_radius(a.import_edges(spark, d), first_part(spark, d), _DEPTH)
 
 
-@query(f"WITH {a.MODULES} SELECT package_id, count(*) AS modules FROM modules WHERE changed GROUP BY 1")
+@query(f"WITH {a.MODULES}, {a.COMMITS} {_BRANCH}")
 def tool_summarize_branch_changes(spark, d):
-    return tools.branch_changes(a.modules(spark, d).where("changed"))
+    return tools.branch_changes(a.modules(spark, d).where("changed"), a.commits(spark, d))
 
 
-@query(f"WITH {a.MODULES} SELECT *, 0.92::DOUBLE AS confidence FROM (SELECT id, canonical_path FROM modules WHERE contains(canonical_path, 'gear-') ORDER BY canonical_path LIMIT 1)")
+@query(f"WITH {a.MODULES} SELECT id, canonical_path, symbol, exported, 0.92::DOUBLE AS confidence FROM (SELECT id, canonical_path FROM modules WHERE contains(lower(canonical_path), 'gear-') ORDER BY canonical_path LIMIT 1) LEFT JOIN (SELECT DISTINCT 'p' || l_partkey AS id, 'line' || l_linenumber AS symbol, l_linenumber = 1 AS exported FROM lineitem) USING (id)")
 def tool_find_module(spark, d):
-    return tools.find_module(a.modules(spark, d).select("id", "canonical_path"), "gear-")
+    symbols = a.table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("module_id"), F.concat(F.lit("line"), "l_linenumber").alias("name"), (F.col("l_linenumber") == 1).alias("exported")).distinct()
+    return tools.find_module(a.modules(spark, d).select("id", "canonical_path"), symbols, "GEAR-")
 
 
-@query("SELECT p_partkey AS id, p_name AS name, p_size > 25 AS exported, 0.88::DOUBLE AS confidence FROM part WHERE contains(lower(p_name), 'gear')")
+@query(f"""WITH {a.MODULES}, {a.EDGES} SELECT s.id, p_name AS name, p_size > 25 AS exported, canonical_path, coalesce(array_to_string(list_sort(list_sort(t)[1:10]), '|'), '') AS targets, 0.88::DOUBLE AS confidence FROM (SELECT 'p' || p_partkey AS id, * FROM part WHERE contains(lower(p_name), 'gear')) s
+LEFT JOIN modules m ON m.id = CASE WHEN p_size > 40 THEN 'none' ELSE s.id END LEFT JOIN (SELECT source_id, list(target_id) AS t FROM edges GROUP BY 1) e ON e.source_id = s.id""")
 def tool_find_symbol(spark, d):
-    return tools.find_symbol(a.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("exported")), "Gear")
+    id_ = F.concat(F.lit("p"), "p_partkey")
+    symbols = a.table(spark, d, "part").select(id_.alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("exported"), F.when(F.col("p_size") > 40, "none").otherwise(id_).alias("module_id"))
+    return tools.find_symbol(symbols, a.modules(spark, d), a.import_edges(spark, d), "Gear").withColumn("targets", F.array_join("targets", "|"))
 
 
 @query(f"SELECT id, canonical_path, depth, 0.9::DOUBLE AS confidence FROM ({_walk_sql('source_id', 'target_id')}) JOIN (WITH {a.MODULES} SELECT * FROM modules) USING (id)")
@@ -583,41 +853,70 @@ def tool_analyze_test_failures(spark, d):
     return tools.analyze_test_failures(a.modules(spark, d).where("changed"), a.test_edges(spark, d), a.test_cases(spark, d)).withColumn("modules", joined("modules"))
 
 
-@query(f"WITH {_PAGE_EDGES} SELECT edge_id, 'fr-only-fr' AS rule_id, 0.9::DOUBLE AS confidence FROM pe WHERE regexp_matches(source_path, '{_re('**/fr/**')}') AND NOT (regexp_matches(target_path, '{_re('**/fr/**')}') OR regexp_matches(target_path, '{_re('**.net/**')}'))")
+@query(f"""WITH {_PAGE_EDGES}, m AS (SELECT url AS canonical_path, min('m' || page_id) AS id FROM pages WHERE page_id % 2 = 0 GROUP BY url) SELECT edge_id, 'fr-only-fr' AS rule_id, x.id AS source_id, y.id AS target_id, 0.9::DOUBLE AS confidence FROM pe LEFT JOIN m x ON x.canonical_path = source_path LEFT JOIN m y ON y.canonical_path = target_path
+WHERE regexp_matches(source_path, '{_re('**/fr/**')}') AND NOT (regexp_matches(target_path, '{_re('**/fr/**')}') OR regexp_matches(target_path, '{_re('**.net/**')}'))""")
 def tool_check_architecture_violations(spark, d):
-    return tools.architecture_violations(rules.violations(_page_edges(spark, d), rules.table(spark, _RULES)), "warning").select("edge_id", "rule_id", "confidence")
+    """Violations with the modules of both sides; only even pages are known modules."""
+    known = a.table(spark, d, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("m"), "page_id").alias("id"), F.col("url").alias("canonical_path"))
+    return tools.architecture_violations(rules.violations(_page_edges(spark, d), rules.table(spark, _RULES)), "warning", known).select("edge_id", "rule_id", "source_id", "target_id", "confidence")
+
 
+_BUNDLE = f"""WITH RECURSIVE {a.MODULES}, {a.EDGES}, {a.TESTS}, {a.COMMITS}, {_NODES}, root AS {ROOT}, chunks AS (
+SELECT 'source' AS kind, id::VARCHAR AS id, 1 AS priority, canonical_path AS text FROM n JOIN root USING (id)
+UNION ALL SELECT 'dependency', id, 9 + row_number() OVER (ORDER BY canonical_path, id), canonical_path FROM (SELECT DISTINCT target_id AS id FROM edges JOIN root ON source_id = root.id) JOIN n USING (id)
+UNION ALL SELECT 'dependent', id, 49 + row_number() OVER (ORDER BY canonical_path, id), canonical_path FROM (SELECT DISTINCT source_id AS id FROM edges JOIN root ON target_id = root.id) JOIN n USING (id)
+UNION ALL SELECT 'test', id, 69 + row_number() OVER (ORDER BY suite_path, id), suite_path || title FROM (SELECT DISTINCT source_id AS id FROM tests JOIN root ON target_id = root.id) JOIN cases USING (id)
+UNION ALL SELECT 'change', sha::VARCHAR, 90, authored_at || ' ' || author FROM (SELECT * FROM commits ORDER BY authored_at DESC, sha LIMIT 5)),
+c AS (SELECT kind, kind || ':' || id AS id, priority, ceil(length(text) / 3.5)::BIGINT AS tokens, row_number() OVER (ORDER BY priority, kind || ':' || id) AS r FROM chunks),
+f AS (SELECT kind, id, priority, r, CASE WHEN tokens <= 120 THEN tokens ELSE 0 END AS used, tokens <= 120 AS included FROM c WHERE r = 1
+  UNION ALL SELECT c.kind, c.id, c.priority, c.r, f.used + CASE WHEN f.used + c.tokens <= 120 THEN c.tokens ELSE 0 END, f.used + c.tokens <= 120 FROM f JOIN c ON c.r = f.r + 1)
+SELECT kind, id, priority, included FROM f"""
 
-@query(_PACK.replace("source AS grp", "lang AS bundle").replace("PARTITION BY source", "PARTITION BY lang").replace("grp", "bundle"))
+
+@query(_BUNDLE)
 def tool_get_context_bundle(spark, d):
-    rows = a.table(spark, d, "documents").select(F.col("lang").alias("bundle"), F.col("n_chars").alias("priority"), F.col("doc_id").alias("id"), "text")
-    return tools.context_bundle(rows)
+    """The bundle of one module: itself, what it needs, what needs it, its tests and the newest changes."""
+    root, edges, n = first_part(spark, d).first().id, a.import_edges(spark, d), _nodes(spark, d)
+    placed = lambda ids, order, text: ids.withColumn("pos", F.row_number().over(Window.orderBy(order, "id")) - 1).select("pos", "id", text.alias("text"))  # noqa: E731  the neighbours of one module
+    near = lambda here, there: placed(edges.where(F.col(here) == root).select(F.col(there).alias("id")).distinct().join(n, "id"), "canonical_path", F.col("canonical_path"))
+    own = n.where(F.col("id") == root).select(F.lit(0).alias("pos"), "id", F.col("canonical_path").alias("text"))
+    cases = a.test_edges(spark, d).where(F.col("target_id") == root).select(F.col("source_id").alias("id")).distinct().join(a.test_cases(spark, d), "id")
+    changes = a.commits(spark, d).orderBy(F.desc("authored_at"), "sha").limit(5).select(F.lit(0).alias("pos"), F.col("sha").alias("id"), F.concat_ws(" ", "authored_at", "author").alias("text"))
+    return tools.context_bundle(own, near("source_id", "target_id"), near("target_id", "source_id"), placed(cases, "suite_path", F.concat("suite_path", "title")), changes, 120)
 
 
-@query(f"WITH {a.CALLS} SELECT session, seq FROM calls WHERE tool = 'assistant' QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 2")
+@query(f"WITH {a.CALLS} SELECT * FROM (SELECT session, seq, tool FROM calls WHERE tool = 'assistant' QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 2) JOIN (SELECT session, count(*) AS total, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed FROM calls GROUP BY session) USING (session)")
 def tool_get_retrospect_log(spark, d):
-    return tools.retrospect_log(a.calls(spark, d), tool="assistant", limit=2)[0].select("session", "seq")
+    return tools.retrospect_log(a.calls(spark, d), tool="assistant", limit=2).select("session", "seq", "tool", "total", "succeeded", "failed")
+
+
+_SHORT = "CASE WHEN length(output) > 800 THEN substr(output, 1, 800) ELSE output END"
 
 
-@query("SELECT o_custkey AS workspace_id, arg_max(status, (o_orderdate, status, o_orderkey)) AS status, CASE arg_max(status, (o_orderdate, status, o_orderkey)) WHEN 'completed' THEN 0.95 WHEN 'running' THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'queued' END AS status FROM orders) GROUP BY 1")
+@query(f"WITH {a.CALLS} SELECT session, string_agg('- #' || seq || ' ' || tool || ' ' || CASE WHEN success THEN 'ok' ELSE 'failed' END || ' ' || {_SHORT}, chr(10) ORDER BY seq) AS markdown, to_json(list({{'seq': seq, 'tool': tool, 'success': success, 'duration_ms': duration_ms, 'output': {_SHORT}}} ORDER BY seq))::VARCHAR AS json FROM calls GROUP BY session")
+def sink_retrospect_export(spark, d):
+    """The report of each session as markdown and as JSON."""
+    rows = a.calls(spark, d)
+    return telemetry.report(rows).join(telemetry.exported(rows), "session")
+
+
+@query("SELECT o_custkey AS workspace_id, arg_max(status, (o_orderdate, status, o_orderkey)) AS status, coalesce(any_value(hashes), 0) AS hashes, CASE arg_max(status, (o_orderdate, status, o_orderkey)) WHEN 'completed' THEN 0.95 WHEN 'running' THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'queued' END AS status FROM orders) LEFT JOIN (SELECT user_id, count(*) AS hashes FROM events GROUP BY 1) ON user_id = o_custkey GROUP BY 1")
 def tool_get_index_status(spark, d):
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("queued")
     jobs = a.table(spark, d, "orders").select(F.col("o_custkey").alias("workspace_id"), F.col("o_orderdate").alias("updated_at"), status.alias("status"), F.col("o_orderkey").alias("id"))
-    return tools.index_status(jobs).select("workspace_id", "status", "confidence")
+    return tools.index_status(jobs, a.table(spark, d, "events").select(F.col("user_id").alias("workspace_id"))).select("workspace_id", "status", "hashes", "confidence")
 
 
-@query()
+@query(f"SELECT p.pos::INT AS pos, p.id, 0.87::DOUBLE AS confidence FROM (SELECT unnest(list_transform(path, lambda x, i: {{'pos': i - 1, 'id': x}})) AS p FROM (SELECT path FROM ({_HOPS}) WHERE cost <= 4 ORDER BY cost DESC, id LIMIT 1))")
 def tool_trace_dependency_path(spark, d):
     edges, root = a.import_edges(spark, d), first_part(spark, d).first().id
     far = graph.walk(edges, first_part(spark, d), 4).orderBy(F.desc("depth"), "id").first().id
     return tools.trace_path(edges, root, far)
 
 
-@query()
+@query(f"SELECT *, 0.86::DOUBLE AS confidence FROM ({_hybrid_sql(10)})")
 def tool_search_code(spark, d):
-    docs = a.table(spark, d, "documents")
-    symbols = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("label"), F.regexp_extract("text", r"^(\S+)", 1).alias("name"))
-    return tools.search_code(symbols, docs.select(F.col("doc_id").alias("id"), "text"), "und der", 20)
+    return tools.search_code(_indexes(spark, d), *_entities(spark, d), _HYBRID, 10)
 
 
 # extraction, over the documents as source text
@@ -634,13 +933,99 @@ def ext_evidence(spark, d):
     return extract.evidence(rows)["modules"].select("id", "canonical_path")
 
 
-# more of the relational core
+@query(f"""WITH {tree.TREE}, ts AS (SELECT *, doc_id AS i, doc_id - {tree.STEP} AS p, doc_id >= {tree.STEP} AS linked FROM tree WHERE k = 0)
+SELECT path, 'symbol' AS what, name || i AS name, kind AS detail, exported::VARCHAR AS more, 0.0::DOUBLE AS confidence FROM ts, (VALUES ('helper', 'function', true), ('local', 'function', false), ('Box', 'class', true), ('grow', 'method', false)) v(name, kind, exported)
+UNION ALL SELECT path, 'symbol', 'size', 'field', 'false', 0 FROM ts UNION ALL SELECT path, 'symbol', 'both' || i, 'function', 'true', 0 FROM ts WHERE linked
+UNION ALL SELECT path, v.type, v.caller || CASE WHEN v.caller = '' THEN '' ELSE i::VARCHAR END, v.name || CASE WHEN v.name = 'size' THEN '' ELSE i::VARCHAR END, '', v.sure FROM ts, (VALUES ('calls', 'helper', 'local', 0.95), ('references', 'helper', 'local', 0.9), ('references', 'Box', 'size', 0.9), ('calls', 'grow', 'local', 0.95), ('references', 'grow', 'local', 0.9)) v(type, caller, name, sure)
+UNION ALL SELECT path, v.type, 'both' || i, 'helper' || p, '../pkg' || (p % 3) || '/mod' || p || '.js', v.sure FROM ts, (VALUES ('calls', 0.65), ('references', 0.6)) v(type, sure) WHERE linked""")
+def ext_ts(spark, d):
+    """Symbols, calls and references of TypeScript files."""
+    rows = extract.lines(tree.source_tree(spark, d).where("path LIKE '%/mod%.ts'"))
+    symbols, imports = extract.ts_symbols(rows), extract.ts_imports(rows)
+    uses = extract.ts_uses(rows, symbols, imports).select("path", F.col("type").alias("what"), F.col("caller").alias("name"), F.col("name").alias("detail"), F.coalesce("spec", F.lit("")).alias("more"), "confidence")
+    return symbols.select("path", F.lit("symbol").alias("what"), "name", F.col("kind").alias("detail"), F.col("exported").cast("string").alias("more"), F.lit(0.0).alias("confidence")).unionByName(uses)
 
 
-def _nodes(spark, d):
-    """Parts and the suppliers of even key as modules, so that some edges dangle."""
-    supplier = a.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("canonical_path"))
-    return a.modules(spark, d).select("id", "canonical_path").unionByName(supplier)
+@query(f"""WITH {tree.TREE}, lua AS (SELECT *, 'M' || doc_id AS m FROM tree WHERE k = 1)
+SELECT path, 'symbol' AS what, key AS name, kind AS detail, true AS exported, 0.0::DOUBLE AS confidence FROM lua, LATERAL (SELECT unnest([{{'key': 'table:' || m, 'kind': 'constant'}}, {{'key': 'member:' || m || '.run', 'kind': 'method'}}, {{'key': 'member:' || m || '.step', 'kind': 'method'}}], recursive := true))
+UNION ALL SELECT path, 'calls', 'member:' || m || '.run', 'member:' || m || '.step', NULL, 0.72 FROM lua
+UNION ALL SELECT path, how, CASE how WHEN 'require' THEN 'game.area' || ((doc_id - {tree.STEP}) % 3) || '.m' ELSE 'm' END || (doc_id - {tree.STEP}), '', NULL, sure FROM lua, (VALUES ('require', 0.75), ('catalog', 0.72)) v(how, sure) WHERE doc_id >= {tree.STEP}""")
+def ext_lua(spark, d):
+    """Symbols, calls and imports of Lua files."""
+    rows = extract.lines(tree.source_tree(spark, d).where("path LIKE '%.lua'"))
+    symbols = extract.lua_symbols(rows)
+    none = F.lit(None).cast("boolean")
+    calls = extract.lua_calls(rows, symbols).select("path", F.lit("calls").alias("what"), F.col("caller").alias("name"), F.col("callee").alias("detail"), none.alias("exported"), "confidence")
+    imports = extract.lua_imports(rows).select("path", F.col("how").alias("what"), F.col("reference").alias("name"), F.lit("").alias("detail"), none.alias("exported"), "confidence")
+    return symbols.select("path", F.lit("symbol").alias("what"), F.col("key").alias("name"), F.col("kind").alias("detail"), "exported", F.lit(0.0).alias("confidence")).unionByName(calls).unionByName(imports)
+
+
+@query(f"""WITH {tree.TREE}, cs AS (SELECT path, 'module_' || substr(sha256('ws::' || path), 1, 24) AS module, 'file_' || substr(sha256('ws::' || path), 1, 24) AS file FROM tree WHERE k = 2)
+SELECT file AS source_id, module AS target_id, 'contains' AS type, 'csharp source file indexed as file-level evidence for ' || path || '.' AS summary FROM cs UNION ALL SELECT module, 'pkg1', 'belongs_to_package', 'csharp source file indexed as file-level evidence for ' || path || '.' FROM cs""")
+def ext_csharp(spark, d):
+    """C# files as evidence: a module each, in its file and its package."""
+    rows = tree.source_tree(spark, d).where("path LIKE '%.cs'").select("path", F.lit("csharp").alias("language"), F.lit("source").alias("kind"), F.lit("pkg1").alias("package_id"))
+    found = extract.evidence(rows)
+    owner = found["modules"].select(F.col("canonical_path").alias("owner_file_path"), "summary")
+    return found["edges"].join(owner, "owner_file_path").select("source_id", "target_id", "type", "summary")
+
+
+@query(f"WITH {tree.TREE} SELECT path, line_no, 'suite ' || doc_id AS suite, word || ' ' || doc_id AS title, 'vitest' AS framework FROM tree, (VALUES ('works', 5), ('later', 8)) v(word, line_no) WHERE k = 3")
+def ext_tests(spark, d):
+    files = tree.source_tree(spark, d).where(extract.is_test_path(F.col("path")) & F.col("path").endswith(".ts"))
+    return extract.tests(extract.lines(files), files).select("path", "line_no", "suite", "title", "framework")
+
+
+# indexing
+
+_INDEXED = f"""{tree.TREE}, {_classes_sql('tree')}, own AS (SELECT tree.*, kind, coalesce(language, '') AS language FROM tree JOIN classes USING (path) WHERE kind IN ('source', 'test', 'config', 'manifest', 'doc'))"""
+_LINKS = f"""SELECT s.doc_id, s.lang, t.doc_id AS target, s.k FROM own s JOIN tree t ON (s.k IN (0, 1) AND t.doc_id = s.doc_id - {tree.STEP} OR s.k = 3 AND t.doc_id = s.doc_id - 3) WHERE s.kind IN ('source', 'test')"""
+
+
+def _report_sql(own: str, links: str, extra: str = "0") -> str:
+    return f"""SELECT path, kind, language, (CASE WHEN kind NOT IN ('source', 'test') THEN 0 WHEN k = 0 THEN 5 + (doc_id >= {tree.STEP})::INT + {extra} WHEN k = 1 THEN 3 ELSE 0 END)::BIGINT AS symbols, (CASE WHEN kind NOT IN ('source', 'test') THEN 0 WHEN k = 0 THEN 2 + (doc_id >= {tree.STEP})::INT + {extra} WHEN k = 1 THEN 3 ELSE 0 END)::BIGINT AS exports,
+(SELECT count(*) FROM ({links}) l WHERE l.doc_id = own.doc_id) + 0 AS outbound, (SELECT count(*) FROM ({links}) l WHERE l.target = own.doc_id) AS inbound, 2 * (SELECT count(*) FROM ({links}) l WHERE l.target = own.doc_id AND l.k = 3) AS tests FROM {own} own"""
+
+
+@query(f"WITH {_INDEXED}, links AS ({_LINKS}) {_report_sql('own', 'SELECT * FROM links')}")
+def tool_index_workspace(spark, d):
+    """Every module of a workspace with its symbols, exports, degrees and tests."""
+    return indexing.report(indexing.facts(tree.source_tree(spark, d).select("path", "content")))
+
+
+def _status(spark, d) -> DataFrame:
+    """English files are modified, French ones deleted."""
+    return tree.source_tree(spark, d).where("lang IN ('en', 'fr')").select("path", F.when(F.col("lang") == "fr", "deleted").otherwise("modified").alias("status"))
+
+
+def _changed(spark, d) -> indexing.Facts:
+    old = tree.source_tree(spark, d).select("path", "content")
+    return indexing.changed(indexing.facts(old), tree.source_tree(spark, d, newer=True).select("path", "content"), _status(spark, d))
+
+
+_AFTER = f"""{_INDEXED}, links AS (SELECT l.* FROM ({_LINKS}) l JOIN tree t ON t.doc_id = l.target WHERE coalesce(l.lang, '') <> 'fr' AND (coalesce(l.lang, '') <> 'en' OR l.k <> 0 OR coalesce(t.lang, '') <> 'fr')), now AS (SELECT * FROM own WHERE coalesce(lang, '') <> 'fr')"""
+
+
+@query(f"WITH {_AFTER} {_report_sql('now', 'SELECT * FROM links', '(lang = $$en$$)::INT')}".replace("$$", "'"))
+def tool_index_changed(spark, d):
+    """The same after a change: deleted files are gone, changed ones are read again, the rest keeps its facts."""
+    return indexing.report(_changed(spark, d))
+
+
+@query(f"WITH {_AFTER} SELECT path, 'extra' || doc_id AS name FROM now WHERE k = 0 AND kind IN ('source', 'test') AND lang = 'en'")
+def dml_replace_file_fact(spark, d):
+    """The symbols that only the changed files have."""
+    return _changed(spark, d)["symbols"].where("name LIKE 'extra%'").select(F.col("owner_file_path").alias("path"), "name")
+
+
+@query(f"WITH {_AFTER} SELECT path, word || ' ' || doc_id AS title FROM now, (VALUES ('works'), ('later')) v(word) WHERE k = 3 AND kind = 'test'")
+def dml_replace_test_fact(spark, d):
+    """Test cases after the change: those of deleted files are gone with their suites."""
+    found = _changed(spark, d)
+    return found["cases"].join(found["suites"].select(F.col("id").alias("suite_id")), "suite_id").select(F.col("owner_file_path").alias("path"), "title")
+
+
+# more of the relational core
 
 
 @query(f"WITH {a.EDGES}, {a.MODULES}, n AS (SELECT id, canonical_path FROM modules UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0) SELECT source_id, target_id, x.canonical_path AS source_path, y.canonical_path AS target_path FROM edges JOIN n x ON x.id = source_id JOIN n y ON y.id = target_id")
@@ -650,9 +1035,9 @@ def join_edges_modules(spark, d):
 
 @query(f"SELECT doc_id, source, round(rank, 6) AS rank FROM ({_bm25_sql(('with',))}) JOIN documents ON doc_id = key ORDER BY round(rank, 6), doc_id LIMIT 15")
 def join_fts_modules(spark, d):
-    docs = a.table(spark, d, "documents")
-    found = search.bm25(docs, "doc_id", ("text",), ["with"]).withColumn("rank", F.round("rank", 6))
-    return found.join(docs.select("doc_id", "source"), F.col("key") == F.col("doc_id")).select("doc_id", "source", "rank").orderBy("rank", "doc_id").limit(15)
+    found = search.bm25(_index(spark, d, "documents", "doc_id", "text"), ["with"]).withColumn("rank", F.round("rank", 6))
+    docs = a.table(spark, d, "documents").select("doc_id", "source")
+    return found.join(docs, F.col("key") == F.col("doc_id")).select("doc_id", "source", "rank").orderBy("rank", "doc_id").limit(15)
 
 
 @query("SELECT l_partkey, l_suppkey, max(l_discount) AS confidence, arg_min(l_returnflag, pos) FILTER (l_returnflag <> 'N') AS metadata FROM (SELECT *, l_orderkey * 100000 + l_linenumber * 10000 + l_quantity * 100 + ascii(l_returnflag) AS pos FROM lineitem) GROUP BY ALL")
@@ -733,14 +1118,10 @@ def dml_refresh_fts(spark, d):
 
 @query(_INC)
 def stream_incidents(spark, d):
-    from factloom.plans.lineage import shared_dir
-
     e = log_stream.read(spark, d)
     return log_stream.run_once(log_stream.roll_up(a.log_events_of(e)), "complete", shared_dir(spark))
 
 
 @query("WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_windows(spark, d):
-    from factloom.plans.lineage import shared_dir
-
     return log_stream.run_once(log_stream.windows(log_stream.read(spark, d)), "append", shared_dir(spark))

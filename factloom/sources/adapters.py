@@ -44,16 +44,14 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic two-sided graph of parts and suppliers: ``source_id, target_id, type``."""
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0 AND l_linenumber IN (1, 7)")
+    """A cyclic two-sided graph of parts and suppliers, from every order line: ``source_id, target_id, type``."""
     part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
-    out = F.col("l_linenumber") == 1
-    return rows.select(F.when(out, part).otherwise(supplier).alias("source_id"), F.when(out, supplier).otherwise(part).alias("target_id"), F.lit("imports").alias("type")).distinct()
+    out = F.col("l_linenumber") % 2 == 1
+    return table(spark, sf_dir, "lineitem").select(F.when(out, part).otherwise(supplier).alias("source_id"), F.when(out, supplier).otherwise(part).alias("target_id"), F.lit("imports").alias("type")).distinct()
 
 
-EDGES = """edges AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS source_id,
-  CASE WHEN l_linenumber = 1 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS target_id, 'imports' AS type
-  FROM lineitem WHERE l_partkey % 5 = 0 AND l_linenumber IN (1, 7))"""
+EDGES = """edges AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 1 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS source_id,
+  CASE WHEN l_linenumber % 2 = 1 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS target_id, 'imports' AS type FROM lineitem)"""
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import conventions as c
 from factloom.functions import text as t
 
-#: Fields that may hold each part of a JSON log record, first match first (fixed values).
-FIELDS = {"timestamp": ("timestamp", "time", "ts"), "level": ("level", "severity"), "service": ("service", "logger", "name"), "message": ("message", "msg")}
-
 
 def lines(files: DataFrame) -> DataFrame:
     """``files(source_name, service, path, mtime, content)`` to non-empty lines ``(…, line_no, line)`` numbered from 1."""
     kept = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(x) != "")
-    return files.select("source_name", "service", "path", "mtime", F.posexplode(kept).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1).drop("pos")
+    return files.select(*[x for x in files.columns if x != "content"], F.posexplode(kept).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1).drop("pos")
 
 
 def parse_lines(rows: DataFrame) -> DataFrame:
     """``timestamp level service message`` of plain lines; what doesn't fit is a message of unknown level at the file's time."""
-    part = lambda i: F.nullif(F.regexp_extract("line", t.LINE, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract("line", c.LOG_LINE, i), F.lit(""))
     configured = F.coalesce("service", part(3), F.col("source_name"))
     return rows.select(
         "source_name", "path", "line_no", F.coalesce(part(1), F.col("mtime")).alias("timestamp"), t.level(F.coalesce(part(2), F.lit(""))).alias("level"),
@@ -38,25 +36,53 @@ def parse_jsonl(rows: DataFrame) -> DataFrame:
     """JSON lines; a line that is no JSON object is dropped."""
     read = rows.withColumn("v", F.try_parse_json("line")).where("v IS NOT NULL")
     return read.select(
-        "source_name", "path", "line_no", F.coalesce(_first_string(FIELDS["timestamp"]), F.col("mtime")).alias("timestamp"), t.level(F.coalesce(_first_string(FIELDS["level"]), F.lit(""))).alias("level"),
-        F.coalesce(_first_string(FIELDS["service"]), F.col("service"), F.col("source_name")).alias("service"), F.coalesce(_first_string(FIELDS["message"]), F.col("line")).alias("message"),
+        "source_name", "path", "line_no", F.coalesce(_first_string(c.LOG_FIELDS["timestamp"]), F.col("mtime")).alias("timestamp"), t.level(F.coalesce(_first_string(c.LOG_FIELDS["level"]), F.lit(""))).alias("level"),
+        F.coalesce(_first_string(c.LOG_FIELDS["service"]), F.col("service"), F.col("source_name")).alias("service"), F.coalesce(_first_string(c.LOG_FIELDS["message"]), F.col("line")).alias("message"),
     )
 
 
 def looks_like_log(path: Column) -> Column:
     """By folder, by name or by extension."""
-    return path.rlike("(?i)(^|/)logs?/") | t.basename(path).rlike(r"(?i)(^|[-._])(log|logs|stdout|stderr|trace)([-._]|$)") | t.extension(path).isin("log", "jsonl", "ndjson")
+    folder = path.rlike("(?i)(^|/)(" + "|".join(c.LOG_FOLDERS) + ")/")
+    return folder | t.basename(path).rlike(c.LOG_NAME) | F.lower(t.basename(path)).rlike(r"\.(" + "|".join(c.LOG_EXTENSIONS) + ")$")
 
 
 def inferred_source(path: Column) -> Column:
-    """A service's name from where its log lies: the folder before ``logs``, the one after, the last telling folder, or the file's stem."""
-    parts = F.split(path, "/")
-    dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    at = F.array_position(F.transform(dirs, F.lower), "logs")
-    pick = lambda i: F.get(dirs, i.cast("int"))
-    telling = F.filter(dirs, lambda d: ~F.lower(d).isin("logs", "log", "var", "tmp", "services", "apps", "packages", "src", ""))
-    stem = F.element_at(F.split(F.element_at(parts, -1), "[.-]"), 1)
-    return F.coalesce(F.when(at > 1, pick(at - 2)), F.when(at > 0, pick(at)), F.get(telling, F.size(telling) - 1), F.nullif(stem, F.lit("")), F.lit("workspace"))
+    """``name, service, format`` of a log from where it lies.
+
+    The service is the folder before the log folder, else the one after it, else the last telling folder, else the first
+    part of the file's stem. The name has the last two telling folders, else the service, and the stem.
+    """
+    generic = ("logs", "log", "var")
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    dirs = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    file = F.coalesce(F.get(parts, F.size(parts) - 1), path)
+    stem = F.regexp_replace(file, r"(?i)\.(jsonl|ndjson|log|txt|out)$", "")
+    at = F.array_position(F.transform(dirs, lambda d: F.lower(d).isin("logs", "log")), True).cast("int")
+    telling = F.filter(dirs, lambda d: ~F.lower(d).isin(*generic) & ~d.startswith("."))
+    told = lambda i: F.when(~F.lower(F.get(dirs, i)).isin(*generic), F.get(dirs, i))
+    service = F.coalesce(F.when(at > 1, told(at - 2)), F.when(at > 0, told(at)), F.get(telling, F.size(telling) - 1), F.get(F.split(stem, "[.-]"), F.lit(0)), F.lit("workspace"))
+    context = F.array_join(F.slice(telling, F.greatest(F.size(telling) - 1, F.lit(1)), F.lit(2)), "-")
+    return F.struct(
+        F.concat_ws("-", F.lit("auto"), F.when(context != "", context).otherwise(service), stem).alias("name"), service.alias("service"),
+        F.when(F.lower(file).rlike(r"\.(jsonl|ndjson)$"), "jsonl").otherwise("line").alias("format"),
+    )
+
+
+def collected(sources: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of ``sources(path, source_name, service, format)`` over ``files(path, mtime, content)``, and a warning for each source without a readable file."""
+    met = sources.join(files, "path", "left")
+    warnings = met.where("content IS NULL").select("source_name", "path", F.concat(F.lit("could not read log source "), "path").alias("warning"))
+    rows = lines(met.where("content IS NOT NULL").select("source_name", "service", "path", "mtime", "content", "format"))
+    events = parse_lines(rows.where("format = 'line'")).unionByName(parse_jsonl(rows.where("format = 'jsonl'")))
+    return events.withColumn("id", t.stable_id("log", F.lit("ws"), "path", F.col("line_no").cast("string"), "timestamp", "message")), warnings
+
+
+def config(content: str) -> list[dict]:
+    """Log sources from JSON, or from YAML of one list of scalars: dictionaries of ``name, path, service, format``."""
+    from factloom.operators.rules import parsed_entries
+
+    return [{"name": e.get("name", e["path"]), "path": e["path"], "service": e.get("service"), "format": e.get("format", "line")} for e in parsed_entries(content, "sources") if e.get("path")]
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -65,7 +91,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     name = inferred_source(F.col("rel"))
     rel = F.regexp_replace("path", "^file:/*", "/")
     return files.withColumn("rel", t.relative(rel, F.lit(root.rstrip("/")))).where(looks_like_log(F.col("rel"))).select(
-        name.alias("source_name"), name.alias("service"), F.col("rel").alias("path"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"), F.decode("content", "UTF-8").alias("content"),
+        name["name"].alias("source_name"), name["service"].alias("service"), name["format"].alias("format"), F.col("rel").alias("path"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"), F.decode("content", "UTF-8").alias("content"),
     )
 
 
@@ -85,7 +111,7 @@ def git_status(rows: DataFrame) -> DataFrame:
 
 def git_log(rows: DataFrame) -> DataFrame:
     """Log output, records parted by U+001E and fields by U+001F, to commits."""
-    record = F.explode(F.filter(F.split("raw", "\u001e"), lambda x: F.trim(x) != ""))
+    record = F.explode(F.filter(F.split("raw", "\u001e"), lambda x: x.rlike(r"\S")))
     fields = F.transform(F.split(F.col("record"), "\u001f"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     names = ("sha", "author", "authored_at", "summary")
     return rows.select(record.alias("record")).withColumn("f", fields).select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)))
