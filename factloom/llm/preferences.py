@@ -33,38 +33,47 @@ def _body(text: str) -> Column:
     return F.concat(text, F.lit("<|end|>\n"))
 
 
-def _messages(df: DataFrame, key: str, side: str) -> DataFrame:
-    """``df`` as ``src, src_side, src_turn, role, text``, without nulls."""
+def _messages(df: DataFrame, key: str, side: int) -> DataFrame:
+    """``df`` as ``src, side, src_turn, role, text``, without nulls."""
     id_, turn = (F.coalesce(F.col(c).cast("bigint"), F.lit(v)) for c, v in ((key, frames.NULL_ID), ("turn", LAST)))
-    return df.select(id_.alias("src"), F.lit(side).alias("src_side"), turn.alias("src_turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return df.select(id_.alias("src"), F.lit(side).alias("side"), turn.alias("src_turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _turns(messages: DataFrame) -> DataFrame:
     """One row for each turn: a hash of its distinct messages that doesn't see their order, and whether one is an assistant's."""
-    key = ["src", "src_side", "src_turn"]
+    key = ["src", "side", "src_turn"]
     once = messages.select(*key, F.xxhash64("role", "text").alias("h"), (F.col("role") == "assistant").alias("a")).groupBy(*key, "h").agg(F.bool_or("a").alias("a"))
     return once.groupBy(*key).agg(F.bit_xor(F.xxhash64("h")).alias("h"), F.bool_or("a").alias("assistant"))
 
 
-def _routes(keys: DataFrame) -> DataFrame:
-    """``(src, src_side, src_turn, pair_id, part, turn)``: the part of each pair that shows a turn.
+def _salt(turn: str) -> Column:
+    return F.pmod(turn, F.lit(SALT)).cast("int")
 
-    ``keys(pair_id, turn, side, src, src_side, src_turn, h)``: the turns of both sides, one row for each turn of a side.
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def _routes(turns: DataFrame) -> DataFrame:
+    """``(src, side, src_turn, pair_id, part, turn)``: the part of each pair that shows a turn.
+
+    ``turns(pair_id, salt, turn, c, r, r_src, r_side, r_turn)``: hashes of both sides' turns, null where a side has none, and
+    where the rejected one stands; the chosen one stands under the pair's id on side 0.
     """
-    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    turns = keys.groupBy("pair_id", "turn").agg(of("chosen", "h").alias("c"), of("rejected", "h").alias("r"))
     differ = ~F.col("c").eqNullSafe(F.col("r"))
     border = turns.groupBy("pair_id").agg(F.min(F.when(differ, F.col("turn"))).alias("border"), *(F.max(F.when(F.col(x).isNotNull(), F.col("turn"))).alias(f"{x}_last") for x in "cr"))
-    border = border.where("border <= c_last AND border <= r_last").select("pair_id", "border")
-    salted = border.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    met = keys.withColumn("salt", F.pmod("turn", F.lit(SALT)).cast("int")).join(salted, ["pair_id", "salt"])
-    part = F.when(F.col("turn") < F.col("border"), "prompt").otherwise(F.col("side"))
-    return met.withColumn("part", part).where("part <> 'prompt' OR side = 'chosen'").select("src", "src_side", "src_turn", "pair_id", "part", "turn")
+    border = _salted(border.where("border <= c_last AND border <= r_last").select("pair_id", "border"))
+    met = turns.join(border, ["pair_id", "salt"])
+    early = F.col("turn") < F.col("border")
+    shown = lambda src, side, turn, part: F.struct(src.alias("src"), side.alias("side"), turn.alias("src_turn"), part.alias("part"))
+    chosen = F.when(F.col("c").isNotNull(), shown(F.col("pair_id"), F.lit(0), F.col("turn"), F.when(early, "prompt").otherwise("chosen")))
+    rejected = F.when(~early & F.col("r").isNotNull(), shown(F.col("r_src"), F.col("r_side"), F.col("r_turn"), F.lit("rejected")))
+    return met.select("pair_id", "turn", F.explode(F.array_compact(F.array(chosen, rejected))).alias("x")).select("x.src", "x.side", "x.src_turn", "pair_id", "x.part", "turn")
 
 
 def _rendered(messages: DataFrame, routes: DataFrame) -> DataFrame:
-    shown = messages.join(routes, ["src", "src_side", "src_turn"])
-    inside = Window.partitionBy("src", "src_side", "src_turn", "pair_id", "part").orderBy("role", "text")
+    shown = messages.join(routes, ["src", "side", "src_turn"])
+    inside = Window.partitionBy("src", "side", "src_turn", "pair_id", "part").orderBy("role", "text")
     m = F.struct("role", "text")
     rows = shown.withColumns({"message": F.dense_rank().over(inside) - 1, "again": F.coalesce(F.lag(m).over(inside) == m, F.lit(False))}).where("NOT again")
     learnt = (F.col("part") != "prompt") & (F.col("role") == "assistant")
@@ -80,26 +89,29 @@ def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     ``part`` is prompt, chosen or rejected. In a completion the content and end mark of assistant messages count for the
     loss: ``mask_length`` characters of ``rendered`` from ``mask_start`` on (0 and 0 elsewhere).
     """
-    messages = _messages(chosen, "pair_id", "chosen").unionByName(_messages(rejected, "pair_id", "rejected"))
-    turns = frames.cut(_turns(messages))
-    return _rendered(messages, _routes(turns.select(F.col("src").alias("pair_id"), F.col("src_turn").alias("turn"), F.col("src_side").alias("side"), "src", "src_side", "src_turn", "h")))
+    messages = _messages(chosen, "pair_id", 0).unionByName(_messages(rejected, "pair_id", 1))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("h")))
+    both = _turns(messages).groupBy(F.col("src").alias("pair_id"), F.col("src_turn").alias("turn")).agg(of(0).alias("c"), of(1).alias("r"))
+    turns = frames.cut(both.select("pair_id", _salt("turn").alias("salt"), "turn", "c", "r", F.col("pair_id").alias("r_src"), F.lit(1).alias("r_side"), F.col("turn").alias("r_turn")))
+    return _rendered(messages, _routes(turns))
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
     """The segments of pairs made from plain conversations ``(conv_id, turn, role, text)``: chosen is a conversation,
     rejected the same one up to its last assistant turn, which is that of its partner instead, the conversation whose id
     differs in the lowest bit. No partner, no assistant turn or equal last turns: no pair."""
-    messages = _messages(conversations, "conv_id", "")
+    messages = _messages(conversations, "conv_id", 0)
     turns = frames.cut(_turns(messages))
     last = turns.where("assistant").groupBy("src").agg(F.max(F.struct("src_turn", "h")).alias("x")).select("src", F.col("x.src_turn").alias("last"), F.col("x.h").alias("h")).where(F.col("src") != frames.NULL_ID)
     partner = last.select(F.col("src").bitwiseXOR(F.lit(1)).alias("src"), F.col("src").alias("other"), F.col("last").alias("other_last"), F.col("h").alias("other_h"))
     pairs = frames.cut(last.join(partner, "src").where("h <> other_h").select("src", "last", "other", "other_last", "other_h"))
-    salted = pairs.select("src", "last", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    own = turns.withColumn("salt", F.pmod("src_turn", F.lit(SALT)).cast("int")).join(salted, ["src", "salt"])
-    sides = F.when(F.col("src_turn") < F.col("last"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
-    keys = own.select(F.col("src").alias("pair_id"), F.col("src_turn").alias("turn"), F.explode(sides).alias("side"), "src", "src_side", "src_turn", "h")
-    swapped = pairs.select(F.col("src").alias("pair_id"), F.col("last").alias("turn"), F.lit("rejected").alias("side"), F.col("other").alias("src"), F.lit("").alias("src_side"), F.col("other_last").alias("src_turn"), F.col("other_h").alias("h"))
-    return _rendered(messages, _routes(keys.unionByName(swapped)))
+    own = turns.select("src", _salt("src_turn").alias("salt"), "src_turn", "h").join(_salted(pairs), ["src", "salt"])
+    swapped = F.col("src_turn") == F.col("last")
+    both = own.select(
+        F.col("src").alias("pair_id"), "salt", F.col("src_turn").alias("turn"), F.col("h").alias("c"), F.when(swapped, F.col("other_h")).when(F.col("src_turn") < F.col("last"), F.col("h")).alias("r"),
+        F.when(swapped, F.col("other")).otherwise(F.col("src")).alias("r_src"), F.lit(0).alias("r_side"), F.when(swapped, F.col("other_last")).otherwise(F.col("src_turn")).alias("r_turn"),
+    )
+    return _rendered(messages, _routes(both))
 
 
 def joined(parts: DataFrame) -> DataFrame:
