@@ -10,7 +10,8 @@ The sets move to the buckets of the first bands, then to those buckets of the ot
 yet. A bucket whose sets take more than ``BLOCK`` bytes is cut into blocks, and each two of them meet in a task of their own.
 
 Defined results: words are as in SimHash; a text of fewer words is one shingle; texts without words are copies of each
-other. Shingles of one 64-bit hash count as equal, and so do sets of one 64-bit hash. Other columns come back as they
+other. Shingles whose 64-bit hashes begin with the same 40 bits count as equal in a comparison (for two texts of 1,000
+shingles one such accident in a million comparisons), and sets of one 64-bit hash are the same. Other columns come back as they
 are, whatever their names.
 """
 
@@ -89,6 +90,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The first 40 bits of each hash, in order."""
+    return found.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.view(_U)[:, 0]
+
+
 def print_of(found: np.ndarray) -> int:
     """The SimHash of a shingle set: a bit is 1 if set in over half the hashes."""
     votes = np.zeros(64, dtype=np.int64)
@@ -144,7 +156,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             for part in frames.slices(batch, "text", TEXTS):
                 found = [shingles(t) for t in part.column(0).to_pylist()]
                 columns = [pa.array(_signed(np.array([of(x) for x in found], dtype=_U)), pa.int64()) for of in (node_of, print_of)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "fp", "found"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([packed(x) for x in found], pa.binary())], names=["node", "fp", "found"])
 
     return rows.select(F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, "node bigint, fp bigint, found binary")
 
@@ -168,7 +180,7 @@ def _compared(members: DataFrame) -> DataFrame:
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
                     prints.append(fp)
-                    sets.append(np.frombuffer(found, dtype=_U))
+                    sets.append(unpacked(found))
         if len(nodes) > 1:
             yield settle()
 
