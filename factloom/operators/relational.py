@@ -176,6 +176,22 @@ def unchanged(candidates: DataFrame, hashes: DataFrame) -> DataFrame:
     return candidates.join(hashes, ["workspace_id", "path", "content_hash", "extractor_version", "parser_version"], "left_anti")
 
 
+def symbol_records(rows: DataFrame) -> DataFrame:
+    """Stored symbols ``(id, name, exported, start_line, start_column, end_line, end_column, metadata_json)`` as records: the
+    flag as a boolean, the range nested, the metadata a map, and empty texts as null."""
+    place = lambda side: F.struct(F.col(f"{side}_line").alias("line"), F.col(f"{side}_column").alias("column"))
+    return rows.select(
+        "id", F.nullif("name", F.lit("")).alias("name"), (F.col("exported") == 1).alias("exported"), F.struct(place("start").alias("start"), place("end").alias("end")).alias("range"),
+        F.coalesce(F.from_json("metadata_json", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("metadata"),
+    )
+
+
+def job_log(log: DataFrame, updates: DataFrame) -> DataFrame:
+    """The append-only log ``(id, workspace_id, status, updated_at)`` with ``updates``; see :func:`latest` for its state. A job that is done takes no further update."""
+    done = log.where("status IN ('completed', 'failed')").select("id").distinct()
+    return log.unionByName(updates.join(done, "id", "left_anti").select(*log.columns))
+
+
 def latest(rows: DataFrame, by: str, when: str) -> DataFrame:
     """The latest row of each ``by``."""
     cols = [c for c in rows.columns if c != by]

@@ -74,6 +74,14 @@ def parse(content: str) -> list[dict]:
     return [{"kind": "forbid", **r} for r in found] if yaml else found
 
 
+def load(spark: SparkSession, root: str) -> DataFrame | None:
+    """The rules of the first rule file below ``root``; None if there is none."""
+    from factloom.sources.files import first_config
+
+    content = first_config(spark, root, c.RULE_FILES)
+    return None if content is None else table(spark, parse(content))
+
+
 def generated(column: str) -> F.Column:
     return F.col(column).rlike(t.any_glob(c.GENERATED_GLOBS))
 

@@ -1113,6 +1113,43 @@ def dml_refresh_fts(spark, d):
     return search.postings(a.table(spark, d, "part"), "p_partkey", "p_name", "p_type")
 
 
+_GENERATED = t.any_glob(c.GENERATED_GLOBS).replace("'", "''")
+
+
+@query(f"WITH {tree.TREE} SELECT path, regexp_matches(path, '{_GENERATED}') AS generated FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'x/dist/' || path WHEN 1 THEN path || '.min.js' WHEN 2 THEN 'x/' || doc_id || '.pb.go' WHEN 3 THEN 'dist/' || doc_id ELSE path END AS path FROM tree)")
+def rule_generated(spark, d):
+    n = F.col("doc_id") % 5
+    path = F.when(n == 0, F.concat(F.lit("x/dist/"), "path")).when(n == 1, F.concat("path", F.lit(".min.js"))).when(n == 2, F.concat(F.lit("x/"), "doc_id", F.lit(".pb.go"))).when(n == 3, F.concat(F.lit("dist/"), "doc_id")).otherwise(F.col("path"))
+    return tree.source_tree(spark, d).select(path.alias("path")).select("path", rules.generated("path").alias("generated"))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, nullif(l_returnflag, 'N') AS name, l_linestatus = 'F' AS exported, l_linenumber AS start_line, l_quantity::BIGINT AS end_column, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_returnflag END AS flag FROM lineitem")
+def prj_row_mappers(spark, d):
+    """Stored rows as records, their nested fields read back; broken and missing JSON is an empty map."""
+    li, n = a.table(spark, d, "lineitem"), F.col("l_linenumber")
+    json = F.when(n % 3 != 0, F.concat(F.lit('{"flag":"'), "l_returnflag", F.lit('"}'))).when(n == 3, F.lit("{broken"))
+    rows = li.select(
+        (F.col("l_orderkey") * 10 + n).alias("id"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("name"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("exported"),
+        n.alias("start_line"), F.lit(1).alias("start_column"), n.alias("end_line"), F.col("l_quantity").cast("bigint").alias("end_column"), json.alias("metadata_json"),
+    )
+    return relational.symbol_records(rows).select("id", "name", "exported", F.col("range.start.line").alias("start_line"), F.col("range.end.column").alias("end_column"), F.try_element_at("metadata", F.lit("flag")).alias("flag"))
+
+
+@query("SELECT o_custkey AS workspace_id, arg_max(status, (updated_at, id)) AS status FROM (SELECT o_orderkey AS id, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS updated_at, CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'running' END AS status FROM orders UNION ALL SELECT o_orderkey, o_custkey, '9999', 'failed' FROM orders WHERE o_orderstatus = 'O') GROUP BY o_custkey")
+def dml_index_job(spark, d):
+    """Jobs start, and open ones fail later; a job that is done keeps its state."""
+    o = a.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("workspace_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"), "o_orderstatus")
+    later = o.where("o_orderstatus IN ('O', 'F')").withColumns({"status": F.lit("failed"), "updated_at": F.lit("9999")})
+    return relational.latest(relational.job_log(o.drop("o_orderstatus"), later).select("workspace_id", "updated_at", "id", "status"), "workspace_id", "updated_at").select("workspace_id", "status")
+
+
+@query(f"WITH {a.MODULES}, {tree.TREE} SELECT page_id, content FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'docs/d' || page_id || '.md' ELSE url END AS canonical_path FROM pages) LEFT JOIN tree ON path = canonical_path")
+def src_module_source(spark, d):
+    """The sources of modules; some have no file."""
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("docs/d"), "page_id", F.lit(".md"))).otherwise(F.col("url"))
+    return files_source.module_source(a.table(spark, d, "pages").select("page_id", path.alias("canonical_path")), tree.source_tree(spark, d)).select("page_id", "content")
+
+
 # streaming
 
 

@@ -91,3 +91,15 @@ def packages(hints: DataFrame, workspace: str) -> DataFrame:
     spark = hints.sparkSession
     fallback = spark.createDataFrame([("", workspace, "unknown")], "root string, name string, language string").join(first.where("root = ''"), "root", "left_anti")
     return first.unionByName(fallback.select(t.stable_id("package", F.lit(workspace), "root").alias("id"), "root", "name", "language"))
+
+
+def first_config(spark: SparkSession, root: str, names: tuple[str, ...]) -> str | None:
+    """The text of the first of the configuration files ``names`` below ``root`` that is there."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
+    found = {r["name"]: r["text"] for r in read.select(t.basename(F.col("path")).alias("name"), F.decode("content", "UTF-8").alias("text")).collect()}  # at most one for each name
+    return next((found[n] for n in names if n in found), None)
+
+
+def module_source(modules: DataFrame, files: DataFrame) -> DataFrame:
+    """``modules(canonical_path, ...)`` with the ``content`` of their files ``(path, content)``; null where there is none."""
+    return modules.join(files.select(F.col("path").alias("canonical_path"), "content"), "canonical_path", "left")

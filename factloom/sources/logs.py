@@ -85,6 +85,14 @@ def config(content: str) -> list[dict]:
     return [{"name": e.get("name", e["path"]), "path": e["path"], "service": e.get("service"), "format": e.get("format", "line")} for e in parsed_entries(content, "sources") if e.get("path")]
 
 
+def load_config(spark: SparkSession, root: str) -> list[dict]:
+    """The sources that the first log configuration below ``root`` lists; none if there is none."""
+    from factloom.sources.files import first_config
+
+    content = first_config(spark, root, c.LOG_FILES)
+    return [] if content is None else config(content)
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """Log files below ``root`` with what is known of them, contents included."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

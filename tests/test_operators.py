@@ -64,6 +64,15 @@ def test_git(spark):
     assert [tuple(r) for r in g.collect()] == [("s1", "ann", "2024", "fix"), ("s2", "bob", "2023", "add")]
 
 
+def test_configurations(spark, tmp_path):
+    assert rules.load(spark, str(tmp_path)) is None and logs.load_config(spark, str(tmp_path)) == []
+    (tmp_path / "architecture-rules.yml").write_text("rules:\n  - id: late\n")
+    (tmp_path / "architecture-rules.json").write_text(json.dumps({"rules": [{"id": "first", "kind": "forbid"}]}))
+    (tmp_path / "log-intel.yaml").write_text("sources:\n  - path: a.log\n")
+    assert [r.id for r in rules.load(spark, str(tmp_path)).collect()] == ["first"]
+    assert logs.load_config(spark, str(tmp_path)) == [{"name": "a.log", "path": "a.log", "service": None, "format": "line"}]
+
+
 def test_incident_ties_and_ids(spark):
     long = "x" * 130
     rows = [(1, 1, "a", "error", long + "1", "t1"), (2, 2, "a", "fatal", long + "2", "t1"), (3, 3, "a", "info", long, "t9"), (4, 4, "b", "error", "m", "t0")]
