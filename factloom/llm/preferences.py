@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from factloom.llm import frames
 
 LAST = (1 << 63) - 1
-#: Copies of a pair's one border, so that the turns of a very long conversation meet it in several tasks.
-SALT = 8
+#: Copies of a pair's one border, so that the turns of a very long conversation meet it in several tasks, by runs of turns.
+SALT, RUN = 8, 64
 PARTS = ("prompt", "chosen", "rejected")
 
 
@@ -46,12 +46,15 @@ def _turns(messages: DataFrame) -> DataFrame:
     return once.groupBy(*key).agg(F.bit_xor(F.xxhash64("h")).alias("h"), F.bool_or("a").alias("assistant"))
 
 
-def _salt(turn: str) -> Column:
-    return F.pmod(turn, F.lit(SALT)).cast("int")
+def _salt(turn: Column) -> Column:
+    """Which of the copies of a conversation's one row a turn meets: runs of ``RUN`` turns take turns."""
+    return F.pmod(F.floor(turn / RUN), F.lit(SALT)).cast("int")
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+def _salted(df: DataFrame, least: str = "least", most: str = "most") -> DataFrame:
+    """``df`` once for each copy that the turns from ``least`` to ``most`` may ask for: one where they are few."""
+    last = F.when((F.col(least) < 0) | (F.col(most) >= RUN * SALT), SALT - 1).otherwise(_salt(F.col(most)))
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop(least, most)
 
 
 def _routes(turns: DataFrame) -> DataFrame:
@@ -61,8 +64,8 @@ def _routes(turns: DataFrame) -> DataFrame:
     where the rejected one stands; the chosen one stands under the pair's id on side 0.
     """
     differ = ~F.col("c").eqNullSafe(F.col("r"))
-    border = turns.groupBy("pair_id").agg(F.min(F.when(differ, F.col("turn"))).alias("border"), *(F.max(F.when(F.col(x).isNotNull(), F.col("turn"))).alias(f"{x}_last") for x in "cr"))
-    border = _salted(border.where("border <= c_last AND border <= r_last").select("pair_id", "border"))
+    border = turns.groupBy("pair_id").agg(F.min(F.when(differ, F.col("turn"))).alias("border"), *(F.max(F.when(F.col(x).isNotNull(), F.col("turn"))).alias(f"{x}_last") for x in "cr"), F.min("turn").alias("least"), F.max("turn").alias("most"))
+    border = _salted(border.where("border <= c_last AND border <= r_last").select("pair_id", "border", "least", "most"))
     met = turns.join(border, ["pair_id", "salt"])
     early = F.col("turn") < F.col("border")
     shown = lambda src, side, turn, part: F.struct(src.alias("src"), side.alias("side"), turn.alias("src_turn"), part.alias("part"))
@@ -92,7 +95,7 @@ def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     messages = _messages(chosen, "pair_id", 0).unionByName(_messages(rejected, "pair_id", 1))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("h")))
     both = _turns(messages).groupBy(F.col("src").alias("pair_id"), F.col("src_turn").alias("turn")).agg(of(0).alias("c"), of(1).alias("r"))
-    turns = frames.cut(both.select("pair_id", _salt("turn").alias("salt"), "turn", "c", "r", F.col("pair_id").alias("r_src"), F.lit(1).alias("r_side"), F.col("turn").alias("r_turn")))
+    turns = frames.cut(both.select("pair_id", _salt(F.col("turn")).alias("salt"), "turn", "c", "r", F.col("pair_id").alias("r_src"), F.lit(1).alias("r_side"), F.col("turn").alias("r_turn")))
     return _rendered(messages, _routes(turns))
 
 
@@ -102,10 +105,11 @@ def from_conversations(conversations: DataFrame) -> DataFrame:
     differs in the lowest bit. No partner, no assistant turn or equal last turns: no pair."""
     messages = _messages(conversations, "conv_id", 0)
     turns = frames.cut(_turns(messages))
-    last = turns.where("assistant").groupBy("src").agg(F.max(F.struct("src_turn", "h")).alias("x")).select("src", F.col("x.src_turn").alias("last"), F.col("x.h").alias("h")).where(F.col("src") != frames.NULL_ID)
+    answer = F.max(F.when(F.col("assistant"), F.struct("src_turn", "h"))).alias("x")
+    last = turns.where(F.col("src") != frames.NULL_ID).groupBy("src").agg(answer, F.min("src_turn").alias("least"), F.max("src_turn").alias("most")).where("x IS NOT NULL").select("src", F.col("x.src_turn").alias("last"), F.col("x.h").alias("h"), "least", "most")
     partner = last.select(F.col("src").bitwiseXOR(F.lit(1)).alias("src"), F.col("src").alias("other"), F.col("last").alias("other_last"), F.col("h").alias("other_h"))
-    pairs = frames.cut(last.join(partner, "src").where("h <> other_h").select("src", "last", "other", "other_last", "other_h"))
-    own = turns.select("src", _salt("src_turn").alias("salt"), "src_turn", "h").join(_salted(pairs), ["src", "salt"])
+    pairs = frames.cut(last.join(partner, "src").where("h <> other_h").select("src", "last", "other", "other_last", "other_h", "least", "most"))
+    own = turns.select("src", _salt(F.col("src_turn")).alias("salt"), "src_turn", "h").join(_salted(pairs), ["src", "salt"])
     swapped = F.col("src_turn") == F.col("last")
     both = own.select(
         F.col("src").alias("pair_id"), "salt", F.col("src_turn").alias("turn"), F.col("h").alias("c"), F.when(swapped, F.col("other_h")).when(F.col("src_turn") < F.col("last"), F.col("h")).alias("r"),

@@ -521,7 +521,7 @@ def test_preferences_against_brute_force(spark):
 def test_pairs_from_conversations(spark):
     rnd = random.Random(3)
     t = [(c, i, "user" if i % 2 == 0 else "assistant", f"{c % 5} {rnd.randrange(4)}") for c in range(30) for i in range(rnd.randrange(6))]
-    t += [*t[:9], (None, 0, "user", "x"), (None, 1, "assistant", "y"), (40, 0, "user", "alone"), (40, 1, "assistant", "z"), (50, None, "assistant", "late"), (51, None, None, None), (50, 0, "user", "u"), (51, 0, "assistant", "v"), (60, 1, "assistant", "two"), (60, 1, "tool", "messages"), (61, 2, "assistant", "one")]
+    t += [*t[:9], (None, 0, "user", "x"), (None, 1, "assistant", "y"), (40, 0, "user", "alone"), (40, 1, "assistant", "z"), (50, None, "assistant", "late"), (51, None, None, None), (50, 0, "user", "u"), (51, 0, "assistant", "v"), (60, 1, "assistant", "two"), (60, 1, "tool", "messages"), (61, 2, "assistant", "one"), *[(70, i, "assistant", f"a{i}") for i in range(-3, 200)], *[(71, 5 * i, "assistant", f"b{i}") for i in range(120)], *[(72, i, "user", "u") for i in range(70)], (72, 70, "assistant", "p"), (73, 3, "assistant", "q")]
     c, r = [], []
     turns = defaultdict(lambda: defaultdict(set))
     for conv, turn, role, text in t:
