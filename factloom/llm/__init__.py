@@ -26,7 +26,7 @@ TARGETS, REST = {f"src{i}": {0: 4.0, 1: 0.5, 2: 2.0}.get(i, 1.0) for i in range(
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), TARGETS, REST)
+    rows = mixing.mixed(table(spark, sf_dir, "documents"), TARGETS, REST, keep=["doc_id", "source"])
     return rows.select("row.doc_id", "row.source", rows["source"].alias("target"), "slot", "release", "deadline", "block", "start")
 
 

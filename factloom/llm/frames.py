@@ -93,9 +93,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def packed(docs: DataFrame, name: str = "row") -> DataFrame:
-    """``docs`` as one struct column, so that no column of it can clash with those that an operator adds."""
-    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias(name))
+def quoted(name: str) -> F.Column:
+    """The column of exactly this name."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(docs: DataFrame, keep: list[str] | None = None, **others: F.Column) -> DataFrame:
+    """``row``, a struct of the columns ``keep`` of ``docs`` (by default all), so that none of them can clash with those that
+    an operator adds, and ``others``."""
+    return docs.select(F.struct(*map(quoted, docs.columns if keep is None else keep)).alias("row"), *(c.alias(n) for n, c in others.items()))
 
 
 def crc(column: str) -> F.Column:

@@ -94,16 +94,16 @@ def plan_of(blocks: Mapping[str, int], quota: Mapping[str, int]) -> Iterator[tup
 PLAN = ("source", "first", "end", "quota", "k", "from_slot", "width", "p_slot", "p_release", "p_deadline")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float], rest: float = 1.0, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """``row`` (a row of ``docs``) with ``source, start, block, slot, release, deadline``; the mix is the order by ``slot, start``.
+def mixed(docs: DataFrame, weights: Mapping[str, float], rest: float = 1.0, block_chars: int = BLOCK_CHARS, period: int = PERIOD, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``keep`` of ``docs``, by default all) with ``source, start, block, slot, release, deadline``; the mix is the order by ``slot, start``.
 
     ``weights``: target weight of each source to mix, ``rest`` of all others together.
     """
     spark = docs.sparkSession
     quota = quotas({**weights, POOL: rest}, period)
-    named = F.when(F.col("row.source").isin(*weights), F.col("row.source")).otherwise(POOL) if weights else F.lit(POOL)
-    rows = frames.packed(docs).withColumns({"source": named, "chars": (F.length(F.coalesce("row.text", F.lit(""))) + 1).cast("bigint"), "mark": frames.crc("row.text")})
-    rows = rows.withColumn("hash", F.xxhash64(F.lit("mix"), F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(frames.NULL_ID)), "mark"))
+    named = F.when(F.col("source").isin(*weights), F.col("source")).otherwise(POOL) if weights else F.lit(POOL)
+    rows = frames.packed(docs, keep, source=named, chars=(F.length(F.coalesce("text", F.lit(""))) + 1).cast("bigint"), mark=frames.crc("text"), id=F.coalesce(F.col("doc_id").cast("bigint"), F.lit(frames.NULL_ID)))
+    rows = rows.withColumn("hash", F.xxhash64(F.lit("mix"), "id", "mark"))
     rows = rows.withColumn("chunk", F.shiftrightunsigned("hash", 64 - CHUNKS.bit_length() + 1))
     sums = frames.cut(rows.groupBy("source", "chunk").agg(F.sum("chars").alias("sum")))
     blocks = {r.source: -(-r.chars // block_chars) for r in sums.groupBy("source").agg(F.sum("sum").alias("chars")).collect()}  # one row for each target, and the pool's
@@ -114,7 +114,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float], rest: float = 1.0, bloc
     runs = spark.createDataFrame([(s, [r[1:] for r in of if r[0] == s]) for s in sorted({r[0] for r in of})], "source string, runs array<struct<first bigint, end bigint, quota bigint>>")
     before = F.sum("sum").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("source", "chunk", F.coalesce(before, F.lit(0)).alias("before"))  # dealt as the window is, so only these few move
-    inside = Window.partitionBy("source", "chunk").orderBy("hash", "row.doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "chunk").orderBy("hash", "id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("chars").over(inside), F.lit(0))).join(offsets, ["source", "chunk"])
     placed = placed.withColumn("start", F.col("before") + F.col("inside")).withColumn("block", F.floor(F.col("start") / block_chars).cast("bigint"))
     run = F.get(F.filter("runs", lambda x: x["end"] > F.col("block")), F.lit(0))

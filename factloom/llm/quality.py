@@ -117,9 +117,7 @@ def _repeats(df: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, columns: list[str], text: str, lang: str) -> DataFrame:
     """``row`` (those ``columns`` of ``docs``) with the base counts, ``base_failed``, both distances and ``kept``."""
-    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
-    rows = docs.select(F.struct(*map(name, columns)).alias("row"), name(text).alias("text"), name(lang).alias("lang"))
-    counted = frames.cut(_counted(rows))
+    counted = frames.cut(_counted(frames.packed(docs, columns, text=frames.quoted(text), lang=frames.quoted(lang))))
     df = counted.join(F.broadcast(references(counted)), "lang", "left")  # a row for each listed language and one more
     return df.withColumns({
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
