@@ -95,14 +95,6 @@ def test_fingerprints_of_alike_sets_are_near():
         assert (likeness.print_of(a) ^ likeness.print_of(b)).bit_count() <= likeness.RADIUS
 
 
-def test_packed_sets():
-    rng = likeness.np.random.default_rng(6)
-    found = likeness.np.sort(rng.integers(0, 1 << 63, 500, dtype=likeness.np.uint64))
-    back = likeness.unpacked(likeness.packed(found))
-    assert (back == found >> likeness.np.uint64(24) << likeness.np.uint64(24)).all() and len(likeness.packed(found)) == 2500
-    assert len(likeness.unpacked(b"")) == 0
-
-
 def test_buckets_in_blocks(spark, none, monkeypatch):
     """Blocks of a bucket change nothing."""
     rnd = random.Random(13)
