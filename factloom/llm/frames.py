@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.plans.lineage import cut, shared_dir
 
@@ -104,6 +105,11 @@ def packed(docs: DataFrame, keep: list[str] | None = None, **others: F.Column) -
     return docs.select(F.struct(*map(quoted, docs.columns if keep is None else keep)).alias("row"), *(c.alias(n) for n, c in others.items()))
 
 
+def row_and(rows: DataFrame, ddl: str) -> StructType:
+    """The schema of the ``row`` of :func:`packed` followed by the columns of ``ddl``."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(ddl)])
+
+
 def crc(column: str) -> F.Column:
     """Tells rows of the same id and other text apart; null counts as empty."""
     return F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary"))
