@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import fingerprints, mixing, periods, pieces, preferences, quality, sharding, simhash, substrings, tokens, urls
+from factloom.llm import fingerprints, languages, mixing, periods, pieces, preferences, quality, sharding, simhash, substrings, tokens, urls
 from factloom.llm.frames import fresh_path, table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -67,6 +67,10 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predicted(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_fingerprints, op2_simhash, op3_mixing, op4_quality, op5_token_ids, op6_substrings, op7_preferences, op8_sharding, op9_urls, op10_pieces, op11_periods, pipeline)
+    ops = (op1_fingerprints, op2_simhash, op3_mixing, op4_quality, op5_token_ids, op6_substrings, op7_preferences, op8_sharding, op9_urls, op10_pieces, op11_periods, op13_languages, pipeline)
     return {f.__name__: f for f in ops}
 
 

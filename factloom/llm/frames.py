@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from factloom.plans.lineage import cut, shared_dir
 
@@ -105,9 +105,14 @@ def packed(docs: DataFrame, keep: list[str] | None = None, **others: F.Column) -
     return docs.select(F.struct(*map(quoted, docs.columns if keep is None else keep)).alias("row"), *(c.alias(n) for n, c in others.items()))
 
 
+def schema_of(fields: list[StructField], ddl: str) -> StructType:
+    """``fields``, which may be of any names, followed by those of ``ddl``."""
+    return StructType([*fields, *StructType.fromDDL(ddl)])
+
+
 def row_and(rows: DataFrame, ddl: str) -> StructType:
     """The schema of the ``row`` of :func:`packed` followed by the columns of ``ddl``."""
-    return StructType([rows.schema["row"], *StructType.fromDDL(ddl)])
+    return schema_of([rows.schema["row"]], ddl)
 
 
 def crc(column: str) -> F.Column:
