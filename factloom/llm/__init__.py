@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import fingerprints, languages, mixing, periods, pieces, preferences, quality, sharding, simhash, substrings, tokens, urls
+from factloom.llm import fingerprints, languages, mixing, periods, pieces, preferences, quality, sharding, simhash, substrings, tokens, tries, urls
 from factloom.llm.frames import fresh_path, table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -67,6 +67,10 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.from_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predicted(table(spark, sf_dir, "documents"))
 
@@ -78,13 +82,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_fingerprints, op2_simhash, op3_mixing, op4_quality, op5_token_ids, op6_substrings, op7_preferences, op8_sharding, op9_urls, op10_pieces, op11_periods, op13_languages, pipeline)
+    ops = (op1_fingerprints, op2_simhash, op3_mixing, op4_quality, op5_token_ids, op6_substrings, op7_preferences, op8_sharding, op9_urls, op10_pieces, op11_periods, op12_tries, op13_languages, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
-    return {"op4_quality": quality.ORACLE, "op6_substrings": substrings.ORACLE, "op7_preferences": preferences.ORACLE, "op9_urls": urls.ORACLE}
+    return {"op4_quality": quality.ORACLE, "op6_substrings": substrings.ORACLE, "op7_preferences": preferences.ORACLE, "op9_urls": urls.ORACLE, "op12_tries": tries.ORACLE}
 
 
 def model_names() -> tuple[str, str]:
