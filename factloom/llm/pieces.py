@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from factloom.llm import frames
 
 MARK = "▁"
-#: Distinct cuts whose ids one worker keeps at hand.
-CACHE = 500_000
+#: Cuts whose ids one worker keeps at hand, and their characters at most; so it holds at most some 250 MB of them.
+CACHE, KEPT_CHARS = 500_000, 32
 #: Bytes of text worked on at once.
 PIECE = 8 << 20
 
+#: Columns that :func:`with_ids` makes.
+MADE = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
 
@@ -170,7 +173,7 @@ class Codec:
         return out
 
     def _backtracked(self, ids: list[int], pos: int, end: int) -> list[int]:
-        dead = 0  # a bit for each position from which nothing goes on
+        dead = bytearray((end - pos) // 8 + 1)  # a bit for each position from which nothing goes on
         out: list[int] = []
         fits, size = self.fits, self.text
         first, piece = pos, ids[pos]
@@ -179,7 +182,7 @@ class Codec:
             at: int | None = piece
             while at is not None:
                 to = pos + len(size[at])
-                if not dead >> (to - first) & 1:
+                if not dead[(to - first) >> 3] >> (to - first & 7) & 1:
                     ok = last < 0 or fits.get((last, at))
                     if ok is None:
                         ok = self.compatible(last, at)
@@ -191,7 +194,7 @@ class Codec:
                 pos = to
                 piece = ids[pos] if pos < end else -1
             else:
-                dead |= 1 << (pos - first)
+                dead[(pos - first) >> 3] |= 1 << (pos - first & 7)
                 piece = out.pop()
                 pos -= len(size[piece])
         return out
@@ -205,14 +208,16 @@ class Codec:
         """Ids of each text; a cut seen before is looked up."""
         cut = [self.cuts(t) for t in texts]
         new = [c for c in set().union(*cut) if c not in self.known]
-        before = len(self.known)
         for c in new:
             self.known[c] = self._cut_ids(c)
         get = self.known.__getitem__
         out = [list(chain.from_iterable(map(get, c))) for c in cut]
-        if before + len(new) > CACHE:
-            for c in new[max(0, CACHE - before) :]:
-                del self.known[c]
+        if len(self.known) > CACHE:  # the frequent ones soon come back
+            self.known.clear()
+        else:
+            for c in new:
+                if len(c) > KEPT_CHARS:
+                    del self.known[c]
         if len(self.fits) > 2_000_000:
             self.fits.clear()
         return out
@@ -245,24 +250,43 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     return _over(docs, model, "doc_id bigint, ids array<int>", [pa.list_(pa.int32())], lambda codec, ids: (ids,))
 
 
+def _sums(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
+    listed = ",".join(map(codec.names.__getitem__, ids))
+    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+
+
 def round_trips(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs(doc_id, text)``."""
+    return _over(docs, model, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], _sums)
 
-    def sums(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
-        listed = ",".join(map(codec.names.__getitem__, ids))
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
-    return _over(docs, model, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], sums)
+def _over(docs: DataFrame, model: str, schema: str, kinds: list[pa.DataType], made) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(_mapped(model, [f.split()[0] for f in schema.split(", ")][1:], kinds, made), schema)
 
 
-def _over(docs: DataFrame, model: str, schema: str, kinds: list[pa.DataType], made) -> DataFrame:
+def _mapped(model: str, names: list[str], kinds: list[pa.DataType], made):
+    """Batches without ``text`` and with what ``made`` says of each text's ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "text"]
             for part in frames.slices(batch, "text", PIECE):
                 rows = [made(codec, ids) for ids in codec.encode(part.column("text").to_pylist())]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *cols], names=[*(part.schema.names[i] for i in kept), *names])
+
+    return run
+
+
+def with_ids(rows: DataFrame, model: str) -> DataFrame:
+    """``rows(row, ..., text)`` with the columns ``MADE`` in place of ``text``, which must not be null."""
+    fields = [f for f in rows.schema if f.name != "text"]
+
+    def made(codec: Codec, ids: list[int]) -> tuple[int, list[int], str, str]:
+        n, *sums = _sums(codec, ids)
+        return n, ids, *sums
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string()]
+    return rows.mapInArrow(_mapped(model, list(MADE), kinds, made), frames.schema_of(fields, "n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"))

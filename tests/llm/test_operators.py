@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from factloom.llm import fingerprints, mixing, model_names, pieces, preferences, quality, rans, sharding, simhash, substrings, tokens, urls
 from factloom.llm.components import connected_components
@@ -280,49 +282,86 @@ def test_without_repeats(docs, rows):
 # mixing
 
 
-def brute_plan(blocks, quota):
-    """Slots of all blocks, one after another: every period by trying each released block, the earliest deadline first."""
-    left, done, out = dict(blocks), Counter(), []
-    while any(left.values()):
-        now = {s: min(quota[s], n) for s, n in left.items() if n}
-        width, served = sum(now.values()), Counter()
-        for slot in range(width):
-            ready = [(-(-(served[s] + 1) * width // q), s) for s, q in now.items() if served[s] < q and served[s] * width // q <= slot]
-            _, s = min(ready)
-            out.append((s, done[s], len(out), len(out) - slot + served[s] * width // now[s], len(out) - slot + min(ready)[0]))
-            served[s] += 1
-            done[s] += 1
-        left = {s: n - now.get(s, 0) for s, n in left.items()}
+def brute_fluid(blocks, weights):
+    """``f(t)``: each source's exact progress at time ``t``, by weights among those that have blocks left."""
+    marks, now, done = [], Fraction(0), {s: Fraction(0) for s, n in blocks.items() if n}
+    left = set(done)
+    while left:
+        rate = {s: Fraction(str(weights[s])) / sum(Fraction(str(weights[x])) for x in left) for s in left}
+        marks.append((now, dict(done), rate))
+        step = min((blocks[s] - done[s]) / rate[s] for s in left)
+        now += step
+        for s in left:
+            done[s] += step * rate[s]
+        left = {s for s in left if done[s] < blocks[s]}
+    marks.append((now, done, {}))
+
+    def f(t):
+        at, was, rate = [m for m in marks if m[0] <= t][-1]
+        return {s: was[s] + (t - at) * rate.get(s, 0) for s in was}
+
+    def when(s, k):
+        for (at, was, rate), (_, then, _) in zip(marks, marks[1:]):
+            if was[s] <= k <= then[s] and rate.get(s):
+                return at + (k - was[s]) / rate[s]
+
+    return f, when
+
+
+def brute_plan(blocks, weights):
+    """Slots of all blocks: each released block is tried, the earliest deadline first."""
+    _, when = brute_fluid(blocks, weights)
+    done, out = Counter(), []
+    windows = {(s, k): (math.floor(when(s, k)), math.ceil(when(s, k + 1))) for s, n in blocks.items() for k in range(n)}
+    for slot in range(sum(blocks.values())):
+        deadline, s = min((windows[s, done[s]][1], s) for s, n in blocks.items() if done[s] < n and windows[s, done[s]][0] <= slot)
+        out.append((s, done[s], slot, windows[s, done[s]][0], deadline))
+        done[s] += 1
     return out
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_periods_against_brute_force(seed):
-    """Past every exhaustion of a source; each is less than a block off its share at every slot."""
-    rnd = random.Random(seed)
-    blocks = {f"s{i}": rnd.randrange(0, 120) for i in range(8)}
-    quota = mixing.quotas({s: rnd.choice([1, 2, 0.5, 7, 3.25]) for s in blocks}, 24)
-    got = []
-    for s, first, end, q, k, start, width, slot, release, deadline in mixing.plan_of(blocks, quota):
+def unrolled(plan):
+    for s, first, end, q, k, start, width, slot, release, deadline in plan:
         for turn in range((end - first) // q):
-            got.append((s, first + turn * q + k, *(start + turn * width + x for x in (slot, release, deadline))))
-    plan = brute_plan(blocks, quota)
-    assert sorted(got, key=lambda x: x[2]) == plan
-    assert [p[2] for p in plan] == list(range(sum(blocks.values()))) and Counter(p[0] for p in plan) == Counter(blocks)
-    assert all(r <= slot < d for _, _, slot, r, d in plan)
-    for start, times, now, first in mixing.phases(blocks, quota):
-        done, width = Counter(), sum(now.values())
-        for at, (s, *_) in enumerate(plan[start : start + times * width], 1):
-            done[s] += 1
-            assert all(abs(done[x] - at * q / width) < 1 for x, q in now.items())
-    assert len(list(mixing.phases(blocks, quota))) <= 2 * len(blocks)
-
-
-def test_quotas():
-    assert mixing.quotas({"a": 1, "b": 3}, 16) == {"a": 4, "b": 12}
-    assert mixing.quotas({"a": 1e-9, "b": 1}, 16)["a"] == 1
+            yield (s, first + turn * q + k, *(start + turn * width + x for x in (slot, release, deadline)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_schedule_against_brute_force(seed):
+    """Past every exhaustion of a source; each is less than a block off its target at every slot."""
+    rnd = random.Random(seed)
+    blocks = {f"s{i}": rnd.randrange(0, 150) for i in range(8)}
+    weights = {s: rnd.choice([1, 2, 0.5, 7, 0.1, 3.25]) for s in blocks}
+    got = sorted(unrolled(mixing.plan_of(mixing.schedule(blocks, mixing.whole(weights)))), key=lambda x: x[2])
+    assert got == brute_plan(blocks, weights)
+    assert all(r <= slot < d for _, _, slot, r, d in got)
+    f, _ = brute_fluid(blocks, weights)
+    done = Counter()
+    for at, (s, *_) in enumerate(got, 1):
+        done[s] += 1
+        assert all(abs(done[x] - y) < 1 for x, y in f(at).items())
+
+
+def test_a_long_schedule_is_few_stretches():
+    blocks = {f"s{i}": 10_000 * (i + 1) + 7 * i for i in range(20)}
+    weight = mixing.whole({s: {"s0": 4.0, "s1": 0.5, "s2": 2.0}.get(s, 1.0) for s in blocks})
+    assert sum(weight.values()) == 47
+    made = list(mixing.schedule(blocks, weight))
+    assert len(made) < 7 * len(blocks) and sum(s.times * len(s.slots) for s in made) == sum(blocks.values())
+    ends = defaultdict(list)
+    for s, first, end, q, k, *_ in mixing.plan_of(made):
+        if k == 0:
+            ends[s].append((first, end))
+    for s, own in ends.items():
+        assert [a for a, _ in own] == [0, *(b for _, b in own)][:-1] and own[-1][1] == blocks[s]
+
+
+def test_whole_weights():
+    assert mixing.whole({"a": 1, "b": 3}) == {"a": 1, "b": 3} and mixing.whole({"a": 0.5, "b": 0.1}) == {"a": 5, "b": 1}
     with pytest.raises(ValueError):
-        mixing.quotas({"a": 0}, 16)
+        mixing.whole({"a": 0})
+    with pytest.raises(ValueError):
+        mixing.whole({"a": 1e-9, "b": 1})
 
 
 def spark_hash(doc_id, text):
@@ -346,10 +385,9 @@ def test_mixed_against_brute_force(docs, rows, none):
             spots.append((r, s, at, at // size))
             at += len(r[1] or "") + 1
         ends[s] = -(-at // size)
-    quota = mixing.quotas({**weights, "": rest}, 40)
-    slots = {(s, b): rest_ for s, b, *rest_ in brute_plan(ends, quota)}
+    slots = {(s, b): rest_ for s, b, *rest_ in brute_plan(ends, {**weights, "": rest})}
     want = sorted(((r, s, at, b, *slots[s, b]) for r, s, at, b in spots), key=repr)
-    got = mixing.mixed(docs, weights, rest, size, 40)
+    got = mixing.mixed(docs, weights, rest, size)
     assert got.columns == ["row", "source", "start", "block", "slot", "release", "deadline"]
     assert sorted(((tuple(x.row), *x[1:]) for x in got.collect()), key=repr) == want
     order = [tuple(x.row)[:2] for x in sorted(got.collect(), key=lambda x: (x.slot, x.start))]
@@ -364,20 +402,29 @@ def test_mixed_stays_near_the_targets_in_characters(spark):
     rnd = random.Random(2)
     made = [(i, "x" * rnd.randrange(200), rnd.choice("aab")) for i in range(3000)]
     weights, size = {"a": 1.0, "b": 3.0}, 1000
-    got = mixing.mixed(spark.createDataFrame(made, "doc_id bigint, text string, source string"), weights, 1.0, size, 16).collect()
-    chars, done, slot = Counter(), Counter(), -1
-    quota = mixing.quotas({**weights, "": 1.0}, 16)
-    (_, times, now, _), *_ = mixing.phases({s: max(x.block for x in got if x.source == s) + 1 for s in "ab"}, quota)
+    got = mixing.mixed(spark.createDataFrame(made, "doc_id bigint, text string, source string"), weights, 1.0, size).collect()
+    chars, slot = Counter(), -1
+    f, _ = brute_fluid({s: max(x.block for x in got if x.source == s) + 1 for s in "ab"}, weights)
     for x in sorted(got, key=lambda x: (x.slot, x.start)):
-        if x.slot >= times * sum(now.values()):
-            break
         if x.slot != slot:
             slot = x.slot
-            assert all(abs(chars[s] - size * slot * now[s] / sum(now.values())) < 2 * size + 201 for s in "ab")
+            assert all(abs(chars[s] - size * y) < 2 * size + 201 for s, y in f(slot).items())
         chars[x.source] += len(x.row.text) + 1
     assert slot > 50
 
 
+def test_positions_of_a_written_mix(docs, spark, tmp_path):
+    """The order survives a write and a read, whatever order the rows come back in."""
+    weights = {"hot": 3.0, "a": 0.5}
+    rows = docs.drop("starts").withColumn("position", F.lit("own"))
+    mixing.in_mixed_order(rows, weights).write.parquet(str(tmp_path / "laid"))
+    got = mixing.with_positions(spark.read.parquet(str(tmp_path / "laid")))
+    got = sorted(got.collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(docs.count()))
+    want = sorted(mixing.mixed(rows, weights).collect(), key=lambda r: (r.slot, r.start))
+    assert [tuple(r.row) for r in got] == [tuple(r.row) for r in want]
+
+
 # sharding
 
 
