@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import REST, TARGETS, likeness, mixing, pieces, quality, substrings
 from factloom.llm.frames import fresh_path, table
@@ -24,13 +25,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are laid out in the order of the mix."""
+    """Documents are laid out in the order of the mix, which the files' names and the rows' places in them keep."""
     return mixing.in_mixed_order(docs, TARGETS, REST)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text and the checksums of ids and decoded text."""
-    return pieces.round_trips(docs, pieces.model_file("piece_bpe_32k.model"))
+    """Every document with its ``position`` in the mix, gapless from 0, the ``ids`` of its text (null: none), their number
+    and the checksums of ids and decoded text. Columns of these names are replaced. ``docs`` must be read from files."""
+    rows = mixing.with_positions(docs, text=F.coalesce("text", F.lit("")))
+    made = pieces.with_ids(rows, pieces.model_file("piece_bpe_32k.model"))
+    kept = [c for c in docs.columns if c not in ("position", *pieces.MADE)]
+    return made.select(*(F.col("row").getField(c).alias(c) for c in kept), "position", *pieces.MADE)
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("source_mix", source_mix), ("piece_ids", piece_ids)]
