@@ -10,14 +10,12 @@ from factloom.functions import text as t
 TITLE = 120
 
 
-def filtered(logs: DataFrame, service: str | None = None, level: str | None = None, tokens: list[str] | None = None) -> DataFrame:
-    """Events of a service, a level and with all of some words; what is None does not filter. No ``tokens`` of a pattern: see :func:`factloom.operators.search.checked`."""
+def filtered(logs: DataFrame, service: str | None = None, level: str | None = None) -> DataFrame:
+    """Events of a service and a level; what is None does not filter. For a pattern see :func:`factloom.operators.search.matching`."""
     if service is not None:
         logs = logs.where(F.col("service") == service)
     if level is not None:
         logs = logs.where(F.col("level") == level)
-    for token in tokens or []:
-        logs = logs.where(F.array_contains(t.index_tokens(F.concat_ws(" ", "service", "level", "message")), token))
     return logs
 
 

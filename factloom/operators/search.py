@@ -1,93 +1,25 @@
-"""Full-text search: a stored index of postings, BM25 over it, and the hybrid ranking.
+"""Search over several indexes at once, and the hybrid ranking.
 
-An index is written once: postings ``(bucket, token, key, tf, doc_len)`` in a folder for each bucket of tokens, sorted by
-token, and one row of statistics. A query reads the folders of its own tokens, and of their files the row groups that hold
-them; the number of documents, their mean length and each token's count are known before the ranking, so hits meet in one
-aggregation by key.
+The indexes and their patterns are :mod:`factloom.operators.fulltext`; a query reads the folders of its own tokens, and of
+their files the row groups that hold them.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-import re
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as t
-
-K1, B = 1.2, 0.75
-BUCKETS = 64
-
-
-def postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """``(key, token, tf, doc_len)`` over all the columns together."""
-    tokens = rows.select(F.col(key).alias("key"), F.flatten(F.array(*(t.index_tokens(F.col(c)) for c in columns))).alias("tokens"))
-    per = tokens.select("key", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    return per.groupBy("key", "token", "doc_len").agg(F.count("*").alias("tf"))
-
-
-def refreshed(old: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
-    """Postings ``old`` with those of ``changed`` in place of the same keys', and without the keys ``gone(key)``."""
-    return old.join(changed.select("key").unionByName(gone.select("key")).distinct(), "key", "left_anti").select(*old.columns).unionByName(changed.select(*old.columns))
-
-
-@dataclass(frozen=True)
-class Index:
-    postings: DataFrame
-    n: int
-    mean_len: float
-
-
-def _bucket(token: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
-
-
-def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
-    """The index of ``rows`` at ``path``; the statistics come last, so an index with statistics is whole. A token's postings may lie in many tasks."""
-    made = postings(rows, key, *columns).withColumn("bucket", _bucket(F.col("token")))
-    made.repartitionByRange("bucket", "token", "key").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths = rows.select(F.aggregate(F.array(*(F.size(t.index_tokens(F.col(c))) for c in columns)), F.lit(0), lambda a, x: a + x).alias("len"))
-    lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean_len")).write.mode("overwrite").parquet(f"{path}/statistics")
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    row = spark.read.parquet(f"{path}/statistics").first()
-    return Index(spark.read.parquet(f"{path}/postings"), row.n, row.mean_len)
-
-
-def index_of(table: str, rows: DataFrame, key: str, columns: tuple[str, ...], root: str) -> Index:
-    """The index of ``rows``, made from the files of ``table``, below ``root``: the stored one as long as these files stay the same."""
-    spark = rows.sparkSession
-    files = spark.read.format("binaryFile").load(table).select("path", "length", "modificationTime").agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()
-    made = hashlib.sha256(repr((table, tuple(files), key, columns, rows.schema.simpleString())).encode()).hexdigest()[:24]
-    path = f"{root.rstrip('/')}/index-{made}"
-    try:
-        return read_index(spark, path)
-    except AnalysisException:  # no such folder yet
-        write_index(rows, key, columns, path)
-        return read_index(spark, path)
+from factloom.operators import fulltext
+from factloom.operators.fulltext import BadPattern, Index
 
 
 def bm25(index: Index, query: list[str]) -> DataFrame:
     """``(key, rank)`` of what holds all query tokens; the lower the rank, the better. No token, no row."""
-    terms = sorted(set(query))
-    own = index.postings.where(F.col("token").isin(*terms) & F.col("bucket").isin(*[_bucket_of(index, w) for w in terms])) if terms else index.postings.where("false")
-    known = {r.token: r.df for r in own.groupBy("token").agg(F.count("*").alias("df")).collect()}  # a row for each query token
-    idf = {w: max(math.log((index.n - known.get(w, 0) + 0.5) / (known.get(w, 0) + 0.5)), 1e-6) for w in terms}
-    per = own.groupBy("key", "doc_len").agg(*(F.sum(F.when(F.col("token") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(terms)), F.count("*").alias("found"))
-    rank = F.lit(0.0)
-    for i, w in enumerate(terms):
-        tf = F.col(f"tf{i}").cast("double")
-        rank = rank - F.lit(idf[w]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(index.mean_len)))
-    return per.where(F.col("found") == len(terms)).select("key", rank.alias("rank"))
-
-
-def _bucket_of(index: Index, token: str) -> int:
-    return index.postings.sparkSession.range(1).select(_bucket(F.lit(token)).alias("b")).first().b
+    terms = [fulltext.Phrase(((w, False),)) for w in sorted(set(query))]
+    return fulltext.matched(index, reduce(fulltext.Both, terms) if terms else fulltext.Phrase(()))
 
 
 def scored(ranked: DataFrame) -> DataFrame:
@@ -95,31 +27,26 @@ def scored(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("score", F.greatest(F.lit(0.01), 1 / (1 + F.abs("rank"))))
 
 
-def search(indexes: dict[str, Index], query: str, limit: int = 10) -> DataFrame:
-    """``(kind, key, rank, score)``: the best of all legs together that hold every word of ``query``. Ranks count to nine places; ties go to kind and key."""
-    terms = query_tokens(query)
-    parts = [scored(bm25(index, terms)).select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), F.round("rank", 9).alias("rank"), "score") for kind, index in indexes.items()]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.orderBy("rank", "kind", "key").limit(limit)
-
+def _leg(index: Index, query: str, strict: bool) -> DataFrame:
+    try:
+        return fulltext.matched(index, query)
+    except BadPattern:  # any text is a query: what is no pattern is a bag of words, or nothing
+        return bm25(index, [] if strict else fulltext.tokens_of(query))
 
-def query_tokens(query: str) -> list[str]:
-    """The index tokens of a query, as the index folds them."""
-    folded = query.lower().translate(str.maketrans(t.ACCENTED, t.PLAIN))
-    return [w for w in re.split(r"[\W_]+", folded) if w]
 
+def search(indexes: dict[str, Index], query: str, limit: int = 10, strict: bool = False) -> DataFrame:
+    """``(kind, key, rank, score)``: the best of all legs together that match ``query``. Ranks count to nine places; ties go to kind and key.
 
-class BadPattern(ValueError):
-    """A search pattern with more than words in it."""
+    A query that is no pattern asks for all its words; with ``strict`` it finds nothing.
+    """
+    parts = [scored(_leg(index, query, strict)).select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), F.round("rank", 9).alias("rank"), "score") for kind, index in indexes.items()]
+    return reduce(DataFrame.unionByName, parts).orderBy("rank", "kind", "key").limit(limit)
 
 
-def checked(pattern: str) -> list[str]:
-    """The words of a pattern; anything that is more than a bag of words is an error, not an empty answer."""
-    if not re.fullmatch(r"[\w\s]+", pattern) or not query_tokens(pattern) or {"AND", "OR", "NOT", "NEAR"} & set(pattern.split()):
-        raise BadPattern(pattern)
-    return query_tokens(pattern)
+def matching(rows: DataFrame, key: str, index: Index, pattern: str) -> DataFrame:
+    """The ``rows`` whose ``key`` matches an explicit ``pattern``; an error if it is none."""
+    found = fulltext.matched(index, pattern).select(F.col("key").alias(key))
+    return rows.join(found, key, "left_semi")
 
 
 def hybrid_hits(indexes: dict[str, Index], symbols: DataFrame, modules: DataFrame, query: str, limit: int = 10) -> DataFrame:

@@ -34,9 +34,13 @@ def incident_timeline(logs: DataFrame, commits: DataFrame, changed: DataFrame, t
     return branch.unionByName(best).unionByName(found).unionByName(events).orderBy("o", "kind", F.desc("at"), "key").limit(limit).select("kind", "key", "at")
 
 
-def query_logs(logs: DataFrame, service: str | None = None, level: str | None = None, tokens: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """Filtered events, newest first, and incidents of the service; level and words don't filter incidents."""
-    events = incidents.newest(incidents.filtered(logs, service, level, tokens), limit).select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("key"))
+def query_logs(logs: DataFrame, service: str | None = None, level: str | None = None, pattern: tuple[search.Index, str] | None = None, limit: int = 20) -> DataFrame:
+    """Filtered events, newest first, and incidents of the service; level and pattern don't filter incidents.
+
+    ``pattern``: an index of the events by their ids, and what they must match; an error if that is no pattern.
+    """
+    events = search.matching(logs, "id", *pattern) if pattern else logs
+    events = incidents.newest(incidents.filtered(events, service, level), limit).select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("key"))
     found = incidents.top_incidents(incidents.incidents(logs), limit, service).select(F.lit("incident").alias("kind"), F.col("id").alias("key"))
     return events.unionByName(found)
 

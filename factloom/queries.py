@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import conventions as c
 from factloom.functions import text as t
-from factloom.operators import classify, extract, graph, incidents, relational, review, rules, search, telemetry
+from factloom.operators import classify, extract, fulltext, graph, incidents, relational, review, rules, search, telemetry
 from factloom.plans import indexing, tools
 from factloom.plans.lineage import shared_dir
 from factloom.sources import adapters as a
@@ -613,13 +614,13 @@ def _bm25_sql(terms: tuple[str, ...], table: str = "documents", key: str = "doc_
 (SELECT count(*) AS n, avg(len(tokens)) AS avg_len, {', '.join(f'count(*) FILTER ({x} > 0) AS df{i}' for i, x in enumerate(tf))} FROM (SELECT {_TOK.format(text)} AS tokens FROM {table})) WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(tf)))}"""
 
 
-def _index(spark, d, table: str, key: str, *columns: str, rows: DataFrame | None = None) -> search.Index:
-    return search.index_of(f"{d}/{table}.parquet", a.table(spark, d, table) if rows is None else rows, key, columns, shared_dir(spark))
+def _index(spark, d, table: str, key: str, *columns: str, rows: DataFrame | None = None) -> fulltext.Index:
+    return fulltext.index_of(f"{d}/{table}.parquet", a.table(spark, d, table) if rows is None else rows, key, columns, shared_dir(spark))
 
 
 @query("SELECT doc_id AS key, token, len(tokens)::INT AS doc_len, count(*) AS tf FROM (SELECT doc_id, tokens, unnest(tokens) AS token FROM (SELECT doc_id, " + _TOK.format("text") + " AS tokens FROM documents)) GROUP BY ALL")
 def fts_index(spark, d):
-    return search.postings(a.table(spark, d, "documents"), "doc_id", "text")
+    return fulltext.postings(a.table(spark, d, "documents"), "doc_id", "text").where("token <> ''").drop("positions")
 
 
 @query(f"SELECT key, round(rank, 6) AS rank FROM ({_bm25_sql(_TERMS)})")
@@ -631,13 +632,13 @@ def fts_bm25(spark, d):
 _CORPORA = {"symbol": ("pages", "'s' || page_id", "url"), "module": ("documents", "'m' || doc_id", "text"), "file": ("conversations", "'f' || conv_id || '_' || turn", "text")}
 
 
-def _indexes(spark, d) -> dict[str, search.Index]:
+def _indexes(spark, d) -> dict[str, fulltext.Index]:
     key = {"symbol": F.concat(F.lit("s"), "page_id"), "module": F.concat(F.lit("m"), "doc_id"), "file": F.concat(F.lit("f"), "conv_id", F.lit("_"), "turn")}
     return {kind: _index(spark, d, name, "key", text, rows=a.table(spark, d, name).select(key[kind].alias("key"), text)) for kind, (name, _, text) in _CORPORA.items()}
 
 
 def _search_sql(query: str, limit: int) -> str:
-    legs = " UNION ALL ".join(f"SELECT '{kind}' AS kind, key, round(rank, 9) AS rank, greatest(0.01, 1 / (1 + abs(rank))) AS score FROM ({_bm25_sql(tuple(search.query_tokens(query)), *where)})" for kind, where in _CORPORA.items())
+    legs = " UNION ALL ".join(f"SELECT '{kind}' AS kind, key, round(rank, 9) AS rank, greatest(0.01, 1 / (1 + abs(rank))) AS score FROM ({_bm25_sql(tuple(fulltext.tokens_of(query)), *where)})" for kind, where in _CORPORA.items())
     return f"SELECT * FROM ({legs}) ORDER BY rank, kind, key LIMIT {limit}"
 
 
@@ -648,7 +649,72 @@ def fts_search(spark, d):
 
 @query(f"WITH {a.LOGS} SELECT id, timestamp FROM logs WHERE service = 'svc2' AND len(list_intersect(regexp_split_to_array(message, '[^a-z0-9]+'), ['7'])) > 0 ORDER BY timestamp DESC, id DESC LIMIT 50")
 def fts_logs(spark, d):
-    return incidents.newest(incidents.filtered(a.log_events(spark, d), "svc2", None, search.checked("7")), 50).select("id", "timestamp")
+    events = a.log_events(spark, d)
+    return incidents.newest(incidents.filtered(search.matching(events, "id", _log_index(spark, d, events), "7"), "svc2"), 50).select("id", "timestamp")
+
+
+_LOG_COLUMNS = ("service", "level", "message")
+
+
+def _log_index(spark, d, events: DataFrame) -> fulltext.Index:
+    return _index(spark, d, "events", "id", *_LOG_COLUMNS, rows=events)
+
+
+@query(f"""WITH {a.LOGS}, w AS (SELECT id, timestamp, level, regexp_split_to_array(message, '[^a-z0-9]+') AS m FROM logs)
+SELECT id, timestamp FROM w WHERE level IN ('error', 'warn') AND len(list_filter(m, lambda x: starts_with(x, '1'))) > 0 AND NOT list_contains(m, '7') ORDER BY timestamp DESC, id DESC LIMIT 50""")
+def fts_logs_pattern(spark, d):
+    events = a.log_events(spark, d)
+    found = search.matching(events, "id", _log_index(spark, d, events), "((level : error OR level : warn) AND message : 1*) NOT message : 7")
+    return incidents.newest(found, 50).select("id", "timestamp")
+
+
+def _at_sql(words: tuple[str, ...], tokens: str = "tokens") -> str:
+    """Where a phrase begins; its last word may be the start of one (``x*``)."""
+    one = lambda i, w: f"starts_with({tokens}[i + {i}], '{w[:-1]}')" if w.endswith("*") else f"{tokens}[i + {i}] = '{w}'"
+    return f"list_filter(range(1, len({tokens}) - {len(words) - 2}), lambda i: {' AND '.join(one(i, w) for i, w in enumerate(words))})"
+
+
+def _match_sql(counts: list[str], found: str, extra: str = "") -> str:
+    """Rows of ``documents`` for which ``found`` holds of the phrase counts ``f0, f1, ...``, ranked."""
+    n = range(len(counts))
+    rank = " ".join(f"- greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avg_len))" for i in n)
+    return f"""WITH w AS (SELECT doc_id AS key, {_TOK.format("text")} AS tokens FROM documents), x AS (SELECT *{extra} FROM w), f AS (SELECT key, len(tokens) AS len, {', '.join(f'{c} AS f{i}' for i, c in enumerate(counts))} FROM x),
+s AS (SELECT count(*) AS n, avg(len) AS avg_len, {', '.join(f'count(*) FILTER (f{i} > 0) AS d{i}' for i in n)} FROM f) SELECT key, round(0 {rank}, 6) AS rank FROM f, s WHERE {found}"""
+
+
+def _matched(spark, d, pattern: str) -> DataFrame:
+    return fulltext.matched(_index(spark, d, "documents", "doc_id", "text"), pattern).select("key", F.round("rank", 6).alias("rank"))
+
+
+@query(_match_sql([f"len({_at_sql(('of', 'the'))})"], "f0 > 0"))
+def flt_fts_phrase(spark, d):
+    return _matched(spark, d, '"of the"')
+
+
+@query(_match_sql([f"len({_at_sql(('the*',))})", f"len({_at_sql(('and', 'th*'))})"], "f0 > 0 AND f1 > 0"))
+def flt_fts_prefix(spark, d):
+    return _matched(spark, d, "the* AND and + th*")
+
+
+@query(_match_sql([f"len({_at_sql((w,))})" for w in ("with", "avec", "the")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0").replace("greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * f2 *", "0 *"))
+def flt_fts_boolean(spark, d):
+    return _matched(spark, d, "(with OR avec) NOT the")
+
+
+_NEAR_A, _NEAR_B = _at_sql(("with",)), _at_sql(("of", "the"))
+
+
+@query(_match_sql(["len(list_filter(pa, lambda i: len(list_filter(pb, lambda j: (j <= i AND i - j - 2 <= 4) OR (i < j AND j - i - 1 <= 4))) > 0))", "len(list_filter(pb, lambda j: len(list_filter(pa, lambda i: (j <= i AND i - j - 2 <= 4) OR (i < j AND j - i - 1 <= 4))) > 0))"], "f0 > 0 AND f1 > 0", f", {_NEAR_A} AS pa, {_NEAR_B} AS pb"))
+def flt_fts_near(spark, d):
+    return _matched(spark, d, 'NEAR(with "of the", 4)')
+
+
+@query(f"""WITH w AS (SELECT p_partkey AS key, {_TOK.format("p_name")} AS a, {_TOK.format("p_type")} AS b FROM part),
+f AS (SELECT key, len(a) + len(b) AS len, len(list_filter(b, lambda x: x = 'economy')) AS f0, (a[1] = 'small')::INT AS f1 FROM w), s AS (SELECT count(*) AS n, avg(len) AS avg_len, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM f)
+SELECT key, round(0 {' '.join(f'- greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avg_len))' for i in (0, 1))}, 6) AS rank FROM f, s WHERE f0 > 0 AND f1 > 0""")
+def flt_fts_columns(spark, d):
+    index = _index(spark, d, "part", "p_partkey", "p_name", "p_type")
+    return fulltext.matched(index, "- p_name : economy AND {p_name} : ^small").select("key", F.round("rank", 6).alias("rank"))
 
 
 @query(r"SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(text, '[\s(),:{}\[\]]+'), lambda x: x <> '')).list_sort().array_to_string('|') AS words FROM conversations")
@@ -1110,7 +1176,13 @@ def graph_callers(spark, d):
 
 @query("SELECT p_partkey AS key, token, len(tokens)::INT AS doc_len, count(*) AS tf FROM (SELECT p_partkey, tokens, unnest(tokens) AS token FROM (SELECT p_partkey, " + _TOK.format("p_name || ' ' || p_type") + " AS tokens FROM part)) GROUP BY ALL")
 def dml_refresh_fts(spark, d):
-    return search.postings(a.table(spark, d, "part"), "p_partkey", "p_name", "p_type")
+    parts = a.table(spark, d, "part")
+    old = F.crc32(F.col("p_name").cast("binary")) % 3  # a third had another name before, a third was not there
+    before = parts.where(old < 2).withColumn("p_name", F.when(old == 0, F.reverse("p_name")).otherwise(F.col("p_name")))
+    lost = spark.createDataFrame([(-1, "gone with the wind", "economy")], "p_partkey bigint, p_name string, p_type string")
+    index = fulltext.write_index(before.select("p_partkey", "p_name", "p_type").unionByName(lost), "p_partkey", ("p_name", "p_type"), f"{shared_dir(spark).rstrip('/')}/refresh-{uuid.uuid4().hex}")
+    index = fulltext.refreshed(index, parts.where(old != 1), "p_partkey", lost.select(F.col("p_partkey").alias("key")))
+    return index.postings(F.col("token") != "").select("key", "token", "doc_len", "tf")
 
 
 _GENERATED = t.any_glob(c.GENERATED_GLOBS).replace("'", "''")

@@ -110,30 +110,6 @@ def test_hybrid_fold(spark):
     assert got == [("e", 2, round(1.44 + 0.45 + 0.5, 6)), ("m", 1, round(0.83 + 0.36 + 0.25, 6)), ("f", 1, 0.55)]
 
 
-def test_stored_index(spark, tmp_path):
-    def put(rows):
-        spark.createDataFrame(rows, "id bigint, text string").write.mode("overwrite").parquet(str(tmp_path / "t"))
-        return spark.read.parquet(str(tmp_path / "t"))
-
-    made = lambda df: search.index_of(str(tmp_path / "t"), df, "id", ("text",), str(tmp_path / "i"))
-    index = made(put([(1, "École of the cat"), (2, "the cat"), (3, None), (4, "the")]))
-    assert index.n == 4 and {r.key for r in search.bm25(index, search.query_tokens("ecole CAT")).collect()} == {1}
-    assert search.bm25(index, ["none"]).count() == 0 and search.bm25(index, []).count() == 0
-    found = search.search({"x": index}, "the", 2).collect()
-    assert len(found) == 2 and found[0]["rank"] <= found[1]["rank"]
-    assert len(os.listdir(tmp_path / "i")) == 1 and made(spark.read.parquet(str(tmp_path / "t"))).n == 4 and len(os.listdir(tmp_path / "i")) == 1
-    assert made(put([(1, "new")])).n == 1  # other files: another index
-    old, new = search.postings(spark.createDataFrame([(1, "a b"), (2, "c")], "id bigint, text string"), "id", "text"), search.postings(spark.createDataFrame([(1, "d")], "id bigint, text string"), "id", "text")
-    assert {(r.key, r.token) for r in search.refreshed(old, new, spark.createDataFrame([(2,)], "key bigint")).collect()} == {(1, "d")}
-    assert search.checked("Foo bar") == ["foo", "bar"]
-    for bad in ("foo(", "a/b.ts", "x-y", "a OR b", "", "  "):
-        try:
-            search.checked(bad)
-        except search.BadPattern:
-            continue
-        raise AssertionError(bad)
-
-
 def test_resolve_and_candidates(spark):
     cat = spark.createDataFrame([("src/game/Spells/Pipeline.lua", "lua"), ("src/other/Pipeline.ts", "typescript"), ("src/game/core/init.lua", "lua")], "path string, language string")
     refs = spark.createDataFrame([(1, "Pipeline", "src/game/Spells/Use.lua", "lua"), (2, "other.Pipeline", "src/x.ts", "typescript"), (3, "Nothing", "a", "lua")], "ref_id int, reference string, from_path string, language string")
