@@ -1,22 +1,24 @@
-"""Facts from source text, line by line: symbols, imports, calls and tests as typed rows and edges.
+"""Facts from source text: symbols, imports, calls and tests as typed rows and edges.
 
-There is no parser on a cluster's workers, so these are line patterns with a carried scope. Comments and string contents
-are blanked first; constructs that span lines are seen only where their first line tells enough.
+TypeScript, JavaScript and their tests are read by :mod:`factloom.functions.scripts`, a text at a time. Lua is read by line
+patterns with a carried scope.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import scripts
 from factloom.functions import text as t
 
-NAME = r"[A-Za-z_$][\w$]*"
 LUA_NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 LUA_PATH = rf"{LUA_NAME}(?:\.{LUA_NAME})*"
 #: Words before a parenthesis that are no call (fixed values).
 LUA_WORDS = ("function", "if", "for", "while", "return", "local")
-TS_WORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new", "super", "import")
 TABLE = rf"^\s*(local\s+)?({LUA_NAME})\s*=\s*(?:\{{\s*\}}|Create(?:AndInit)?FromMixins\b.*|setmetatable\b.*)$"
 FUNCTION = rf"^\s*(local\s+)?function\s+({LUA_NAME})\s*\("
 MEMBER = rf"^\s*(?:function\s+({LUA_PATH})[:.]({LUA_NAME})\s*\(|({LUA_PATH})[:.]({LUA_NAME})\s*=\s*function\s*\()"
@@ -105,91 +107,82 @@ def lua_calls(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.where("callee IS NOT NULL AND callee <> caller").groupBy("path", "caller", "callee").agg(F.max("confidence").alias("confidence"))
 
 
-def _blanked(line: Column) -> Column:
-    """Without line comments and without the insides of quotes."""
-    return F.regexp_replace(F.regexp_replace(line, r"\x22[^\x22]*\x22|'[^']*'|`[^`]*`", "''"), r"//.*$", "")
+SCRIPT = "path string, what string, name string, line_no bigint, kind string, exported boolean, caller string, type string, confidence double, spec string, names array<struct<local: string, there: string>>, suite string, framework string"
+#: Facts that leave a task together.
+EMITTED = 1 << 14
 
 
-def ts_imports(rows: DataFrame) -> DataFrame:
-    """Imports at the top of lines, relative ones: ``(path, line_no, spec, names)``; ``names``: local names of the default and the named bindings."""
-    found = _found(rows, r"^import\s+(?:type\s+)?(?:(.*?)\s*from\s+)?[\x22'](\.[^\x22']*)[\x22']", "what", "spec")
-    named = F.split(F.regexp_extract("what", r"\{([^}]*)\}", 1), ",")
-    local = F.transform(named, lambda x: F.element_at(F.split(F.trim(F.regexp_replace(x, r"^\s*type\s", "")), r"\s+as\s+"), -1))
-    default = F.regexp_extract("what", rf"^({NAME})\s*(?:,|$)", 1)
-    return found.select("path", "line_no", "spec", F.array_distinct(F.filter(F.concat(F.array(default), local), lambda x: x != "")).alias("names"))
+def _script_rows(path: str, text: str) -> Iterator[dict]:
+    found = scripts.facts(text)
+    known = {}
+    for name, kind, exported, line in found.symbols:  # of a name's declarations the last holds
+        known[name] = {"what": "symbol", "name": name, "kind": kind, "exported": exported, "line_no": line}
+    bound = {}
+    for spec, names, line in found.imports:
+        local = spec.startswith(".")
+        if local:
+            bound.update((here, (spec, there)) for here, there in names)
+        yield {"path": path, "what": "import", "spec": spec, "line_no": line, "names": [{"local": h, "there": x} for h, x in names]}
+    for row in known.values():
+        yield {"path": path, **row}
+    for caller, name, type_ in sorted(found.uses):
+        call = type_ == "calls"
+        if name in known and (call or name != caller):
+            yield {"path": path, "what": "use", "caller": caller, "name": name, "type": type_, "confidence": 0.95 if call else 0.9}
+        elif name in bound and (not call or name not in known):
+            yield {"path": path, "what": "use", "caller": caller, "name": bound[name][1], "type": type_, "confidence": 0.65 if call else 0.6, "spec": bound[name][0]}
+    framework = found.framework(text)
+    for title, suites, line in found.cases or [(path.rpartition("/")[2], (), 1)]:
+        yield {"path": path, "what": "case", "name": title, "suite": " > ".join(suites), "line_no": line, "framework": framework}
 
 
-DECLARED = rf"^\s*(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|const|let|var)\s+({NAME})"
-_MODIFIERS = r"(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)\s+)*"
-METHOD = rf"^\s+{_MODIFIERS}\*?({NAME})\s*(?:<[^>]*>)?\([^;]*\{{\s*$"
-FIELD = rf"^\s+{_MODIFIERS}({NAME})\s*[?!]?\s*(?::|=[^=>]|;)"
+def script_facts(files: DataFrame) -> DataFrame:
+    """Everything that TypeScript and JavaScript texts ``(path, content)`` say, in one pass without a shuffle: rows of
+    ``SCRIPT``, ``what`` one of import, symbol, use and case. A text is met whole in a task, one at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows += _script_rows(batch.column("path")[i].as_py(), batch.column("content")[i].as_py() or "")
+                if len(rows) >= EMITTED:
+                    yield _script_batch(rows)
+                    rows = []
+        if rows:
+            yield _script_batch(rows)
 
-def _ts_around(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``outer`` (the function, class or interface around, ``kind name``) and ``inner`` (the method around), told from braces at the margin and one step in."""
-    top = F.when(F.col("line").rlike(rf"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface)\s+{NAME}"), F.regexp_extract("line", r"\b((?:function\*?|class|interface)\s+[\w$]+)", 1)).otherwise("")
-    outer = scoped(rows, top, F.col("line").rlike(r"^\}")).withColumnRenamed("scope", "outer")
-    in_class = F.coalesce(F.col("outer").startswith("class"), F.lit(False))
-    method = F.when(in_class & F.col("line").rlike(METHOD) & ~F.regexp_extract("line", METHOD, 1).isin(*TS_WORDS), F.regexp_extract("line", METHOD, 1)).otherwise("")
-    return scoped(outer, method, F.col("line").rlike(r"^(?:  |    |\t)?\}")).withColumnRenamed("scope", "inner").withColumn("is_method", method != "")
+    return files.where("path IS NOT NULL").select("path", "content").mapInArrow(run, SCRIPT)
 
 
-def ts_symbols(rows: DataFrame) -> DataFrame:
-    """``(path, name, line_no, kind, exported)``; of a name's declarations in a file the last holds.
+def _script_batch(rows: list[dict]) -> pa.RecordBatch:
+    name = pa.list_(pa.struct([("local", pa.string()), ("there", pa.string())]))
+    kinds = {"line_no": pa.int64(), "exported": pa.bool_(), "confidence": pa.float64(), "names": name}
+    columns = [f.split()[0] for f in SCRIPT.partition(", names")[0].split(", ")] + ["names", "suite", "framework"]
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.string())) for c in columns]))
 
-    Declarations on lines of their own, methods of classes, and fields of classes and interfaces.
-    """
-    inside = _ts_around(rows)
-    declared = F.col("line").rlike(DECLARED)
-    member = F.col("outer").rlike("^(class|interface)") & F.col("inner").isNull() & ~declared
-    word, name = F.regexp_extract("line", DECLARED, 3), F.regexp_extract("line", DECLARED, 4)
-    kind = F.when(word.startswith("function"), "function").when(word.isin("const", "let", "var"), "constant").otherwise(word)
-    exported = (F.regexp_extract("line", DECLARED, 1) != "") | (F.regexp_extract("line", DECLARED, 2) != "")
-    plain = inside.where(declared).select("path", "line_no", name.alias("name"), kind.alias("kind"), exported.alias("exported"))
-    methods = inside.where("is_method").select("path", "line_no", F.regexp_extract("line", METHOD, 1).alias("name"), F.lit("method").alias("kind"), F.lit(False).alias("exported"))
-    fields = inside.where(member & F.col("line").rlike(FIELD)).select("path", "line_no", F.regexp_extract("line", FIELD, 1).alias("name"), F.lit("field").alias("kind"), F.lit(False).alias("exported"))
-    found = plain.unionByName(methods).unionByName(fields)
-    return found.groupBy("path", "name").agg(F.max("line_no").alias("line_no"), F.max_by("kind", "line_no").alias("kind"), F.max_by("exported", "line_no").alias("exported"))
-
-
-def ts_uses(rows: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+
+def ts_imports(facts: DataFrame) -> DataFrame:
+    """Relative imports at the top of files: ``(path, line_no, spec, names)``; ``names``: local names of the default and the named bindings."""
+    return facts.where("what = 'import' AND startswith(spec, '.')").select("path", "line_no", "spec", F.array_distinct("names.local").alias("names"))
+
+
+def ts_symbols(facts: DataFrame) -> DataFrame:
+    """``(path, name, line_no, kind, exported)``; of a name's declarations in a file the last holds."""
+    return facts.where("what = 'symbol'").select("path", "name", "line_no", "kind", "exported")
+
+
+def ts_uses(facts: DataFrame) -> DataFrame:
     """``(path, caller, name, type, confidence, spec)``: calls (0.95 local, 0.65 imported) and references (0.9 and 0.6) of known names.
 
-    The caller is the method, function or class that a line lies in. What is called is referred to as well. ``spec``: where
-    an imported name comes from.
-    """
-    inside = _ts_around(rows).withColumn("scope", F.coalesce("inner", F.element_at(F.split("outer", r"\s+"), -1))).where("scope IS NOT NULL")
-    body = inside.where(~F.col("outer").startswith("interface")).withColumn("line", _blanked(F.col("line")))
-    local = symbols.select("path", "name", F.lit(True).alias("local"), F.lit(None).cast("string").alias("spec"))
-    bound = imports.select("path", F.explode("names").alias("name"), F.lit(False).alias("local"), "spec")
-    known = local.unionByName(bound).groupBy("path", "name").agg(F.bool_or("local").alias("local"), F.max("spec").alias("spec"))
-    calls = _all(body, rf"({NAME})\s*\(", "name", "scope").where(~F.col("name").isin(*TS_WORDS)).withColumn("type", F.lit("calls"))
-    others = _all(body, rf"({NAME})", "name", "scope").withColumn("type", F.lit("references"))
-    declared = F.col("line").rlike(DECLARED) & (F.regexp_extract("line", DECLARED, 4) == F.col("scope"))
-    calls = calls.join(inside.where(declared | F.col("is_method")).select("path", "line_no", "scope", F.col("scope").alias("name")).distinct(), ["path", "line_no", "scope", "name"], "left_anti")
-    sure = F.when(F.col("type") == "calls", F.when(F.col("local"), 0.95).otherwise(0.65)).otherwise(F.when(F.col("local"), 0.9).otherwise(0.6))
-    met = calls.select("path", "scope", "name", "type").unionByName(others.select("path", "scope", "name", "type")).distinct().join(known, ["path", "name"])
-    return met.where((F.col("type") == "calls") | (F.col("name") != F.col("scope"))).select("path", F.col("scope").alias("caller"), "name", "type", sure.alias("confidence"), F.when(~F.col("local"), F.col("spec")).alias("spec"))
-
-
-def tests(rows: DataFrame, content: DataFrame) -> DataFrame:
-    """``(path, line_no, suite, title, framework)``: test cases with the titles of the suites around them.
-
-    Nesting is told from indentation: a suite holds what is indented deeper than it. A test file without a case is one case.
+    The caller is the innermost function, method or class around. What is called is referred to as well. ``spec``: where an
+    imported name comes from; ``name`` is then what it is called there.
     """
-    pattern = r"^(\s*)(describe|it|test|specify)(?:\.(?:only|skip))?\s*\(\s*[\x22'`]([^\x22'`]*)"
-    marks = _found(rows, pattern, "indent", "word", "title").withColumn("depth", F.length("indent"))
-    suites = marks.where("word = 'describe'").select("path", F.col("line_no").alias("s_line"), F.col("depth").alias("s_depth"), F.col("title").alias("s_title"))
-    cases = marks.where("word <> 'describe'")
-    around = cases.join(suites, "path", "left").where("s_line IS NULL OR (s_line < line_no AND s_depth < depth)")
-    nearest = around.groupBy("path", "line_no", "title", "s_depth").agg(F.max_by("s_title", "s_line").alias("s_title"))
-    named = nearest.groupBy("path", "line_no", "title").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_depth", "s_title"))), lambda x: x["s_title"]), " > ").alias("suite"))
-    named = cases.select("path", "line_no", "title").join(named, ["path", "line_no", "title"], "left").na.fill("", ["suite"])
-    whole = content.select("path", t.basename(F.col("path")).alias("title")).join(named.select("path").distinct(), "path", "left_anti").select("path", F.lit(1).alias("line_no"), "title", F.lit("").alias("suite"))
-    body = F.col("content")
-    imported = lambda name: body.rlike(rf"(?m)^import\s[^;\n]*[\x22']({name})[\x22']")
-    framework = F.when(imported("@playwright/test"), "playwright").when(imported("vitest"), "vitest").when(imported("@jest/globals|jest") | body.rlike(r"\b(describe|it|test)\s*\("), "jest").otherwise("unknown")
-    return named.unionByName(whole).join(content.select("path", framework.alias("framework")), "path")
+    return facts.where("what = 'use'").select("path", "caller", "name", "type", "confidence", "spec")
+
+
+def tests(facts: DataFrame) -> DataFrame:
+    """``(path, line_no, suite, title, framework)``: test cases with the titles of the suites around them. A test file without a case is one case."""
+    return facts.where("what = 'case'").select("path", "line_no", F.col("name").alias("title"), "suite", "framework")
 
 
 def is_test_path(path: Column) -> Column:

@@ -38,12 +38,12 @@ def facts(files: DataFrame, known: DataFrame | None = None, ws: str = "ws") -> F
     module = _id("module", ws, "path")
 
     ts = code.where(F.col("language").isin("typescript", "javascript"))
-    ts_rows = extract.lines(ts)
-    ts_symbols, imports = extract.ts_symbols(ts_rows), extract.ts_imports(ts_rows)
+    facts = cut(extract.script_facts(ts))
+    ts_symbols, imports = extract.ts_symbols(facts), extract.ts_imports(facts)
     resolved = relational.import_candidates(imports.select(F.concat_ws("\u001f", "path", "spec").alias("import_id"), F.col("path").alias("from_path"), "spec").distinct(), known)
     resolved = cut(resolved.select(F.split("import_id", "\u001f")[0].alias("path"), F.split("import_id", "\u001f")[1].alias("spec"), F.col("path").alias("target")))
     ts_ids = ts_symbols.select("path", _id("symbol", ws, "path", "name").alias("id"), "name", "kind", "exported", "line_no")
-    uses = extract.ts_uses(ts_rows, ts_symbols, imports).join(resolved, ["path", "spec"], "left").where("spec IS NULL OR target IS NOT NULL")
+    uses = extract.ts_uses(facts).join(resolved, ["path", "spec"], "left").where("spec IS NULL OR target IS NOT NULL")
     used = _id("symbol", ws, F.coalesce("target", "path"), "name")
     ts_uses = uses.select("path", _id("symbol", ws, "path", "caller").alias("source"), used.alias("used"), "type", "confidence")
 
@@ -61,8 +61,8 @@ def facts(files: DataFrame, known: DataFrame | None = None, ws: str = "ws") -> F
     symbols = cut(ts_ids.unionByName(lua_ids))
     imported = resolved.select("path", "target", F.lit(1.0).alias("confidence")).distinct().unionByName(lua_imports)
 
-    tested = classify.test_extractable(typed).where(extract.is_test_path(F.col("path")))
-    found = cut(extract.tests(extract.lines(tested), tested))
+    tested = classify.test_extractable(typed).where(extract.is_test_path(F.col("path"))).select("path")
+    found = extract.tests(facts).join(tested, "path", "left_semi")
     suite = _id("test-suite", ws, "path")
     case = _id("test-case", ws, "path", F.coalesce(F.nullif("suite", F.lit("")), t.basename(F.col("path"))), "title", F.col("line_no").cast("string"))
     cases = found.select(case.alias("id"), suite.alias("suite_id"), "title", "suite", "line_no", F.col("path").alias("owner_file_path"))

@@ -144,12 +144,22 @@ def src_packages(spark, d):
     return files_source.packages(hints, "ws").select("id", "root", F.col("name").startswith("n").alias("named"))
 
 
-@query(f"WITH {tree.TREE} SELECT path FROM tree WHERE k <> 2 AND NOT (k = 4 AND regexp_matches(path, '^docs/d[0-9]*5[.]md$'))")
+#: Ignore lines, and paths of documents with what these lines make of them; the verdicts are set down by hand.
+_IGNORE_LINES = ["# notes", "docs/*.md", "build/", "/src/b?.ts", "logs/", "!logs/keep/", "*.tmp", "!keep.tmp", "a/**/z[0-9]*.txt", "**/cache/**", "\\#x*", "out?/", "!out1/", "trail.* "]
+_IGNORE_PATHS = [
+    ("docs/{i}.md", True), ("x/docs/{i}.md", False), ("docs/x/{i}.md", False), ("build/{i}.o", True), ("a/build/{i}/o", True), ("{i}/build", False), ("src/b1.ts", True), ("src/b{i}x.ts", False), ("{i}/src/b1.ts", False), ("logs/keep/{i}", True),
+    ("{i}.TMP", True), ("{i}/keep.tmp", False), ("a/z{i}.txt", True), ("a/b/{i}/z1.txt", True), ("x/a/z{i}.txt", False), ("{i}/cache/x/y", True), ("cache", False), ("#x{i}", True), ("x#{i}", False), ("out1/{i}", False), ("out2/{i}", True), ("{i}/trail.", True), ("_{i}/.hidden", False),
+]
+_IGNORE_SQL = ", ".join(f"({k}, '{p}', {str(gone).lower()})" for k, (p, gone) in enumerate(_IGNORE_PATHS))
+
+
+@query(f"SELECT doc_id, replace(path, '{{i}}', doc_id::VARCHAR) AS path FROM documents JOIN (VALUES {_IGNORE_SQL}) v(k, path, gone) ON k = doc_id % {len(_IGNORE_PATHS)} WHERE NOT gone")
 def src_gitignore(spark, d):
-    """Rules with a folder, a star, one taken back, and a comment; the last that fits decides."""
-    rules_ = ["# comment", "src/cs/", "*.md", "!docs/*.md", "docs/*5.md", "", "/nowhere"]
-    patterns = spark.createDataFrame(list(enumerate(rules_)), "pos int, pattern string")
-    return files_source.not_ignored(tree.source_tree(spark, d).select("path", F.col("path").alias("rel_path")), patterns).select("path")
+    """Rules tied to the root or not, for folders only, with classes, escapes and what can't be taken back."""
+    made = F.array(*(F.lit(p) for p, _ in _IGNORE_PATHS))
+    path = F.replace(F.element_at(made, (F.col("doc_id") % len(_IGNORE_PATHS) + 1).cast("int")), F.lit("{i}"), F.col("doc_id").cast("string"))
+    rows = a.table(spark, d, "documents").select("doc_id", path.alias("path"), path.alias("rel_path"))
+    return files_source.not_ignored(rows, _IGNORE_LINES).select("doc_id", "path")
 
 
 @query(f"WITH {tree.TREE} SELECT path FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' || path WHEN doc_id % 13 = 0 THEN path || '.bak' ELSE path END AS path FROM tree) WHERE NOT starts_with(path, 'node_modules/') AND NOT ends_with(path, '.bak')")
@@ -309,7 +319,7 @@ _TS = tree.KINDS.index("ts")
 @query(f"WITH {tree.TREE} SELECT x.path AS import_id, y.path FROM tree x JOIN tree y ON x.k IN (0, 3) AND y.k = 0 AND y.doc_id = CASE x.k WHEN 0 THEN x.doc_id - {tree.STEP} ELSE x.doc_id - 3 END")
 def join_import_candidates(spark, d):
     files = tree.source_tree(spark, d)
-    imports = extract.ts_imports(extract.lines(files.where("path LIKE '%.ts'")))
+    imports = extract.ts_imports(extract.script_facts(files.where("path LIKE '%.ts'")))
     return relational.import_candidates(imports.select(F.col("path").alias("import_id"), F.col("path").alias("from_path"), "spec"), files)
 
 
@@ -1006,9 +1016,9 @@ UNION ALL SELECT path, v.type, v.caller || CASE WHEN v.caller = '' THEN '' ELSE
 UNION ALL SELECT path, v.type, 'both' || i, 'helper' || p, '../pkg' || (p % 3) || '/mod' || p || '.js', v.sure FROM ts, (VALUES ('calls', 0.65), ('references', 0.6)) v(type, sure) WHERE linked""")
 def ext_ts(spark, d):
     """Symbols, calls and references of TypeScript files."""
-    rows = extract.lines(tree.source_tree(spark, d).where("path LIKE '%/mod%.ts'"))
-    symbols, imports = extract.ts_symbols(rows), extract.ts_imports(rows)
-    uses = extract.ts_uses(rows, symbols, imports).select("path", F.col("type").alias("what"), F.col("caller").alias("name"), F.col("name").alias("detail"), F.coalesce("spec", F.lit("")).alias("more"), "confidence")
+    facts = extract.script_facts(tree.source_tree(spark, d).where("path LIKE '%/mod%.ts'"))
+    symbols = extract.ts_symbols(facts)
+    uses = extract.ts_uses(facts).select("path", F.col("type").alias("what"), F.col("caller").alias("name"), F.col("name").alias("detail"), F.coalesce("spec", F.lit("")).alias("more"), "confidence")
     return symbols.select("path", F.lit("symbol").alias("what"), "name", F.col("kind").alias("detail"), F.col("exported").cast("string").alias("more"), F.lit(0.0).alias("confidence")).unionByName(uses)
 
 
@@ -1036,10 +1046,10 @@ def ext_csharp(spark, d):
     return found["edges"].join(owner, "owner_file_path").select("source_id", "target_id", "type", "summary")
 
 
-@query(f"WITH {tree.TREE} SELECT path, line_no, 'suite ' || doc_id AS suite, word || ' ' || doc_id AS title, 'vitest' AS framework FROM tree, (VALUES ('works', 5), ('later', 8)) v(word, line_no) WHERE k = 3")
+@query(f"WITH {tree.TREE} SELECT path, len(string_split(split_part(content, mark, 1), chr(10))) AS line_no, 'suite ' || doc_id AS suite, word || ' ' || doc_id AS title, 'vitest' AS framework FROM tree, (VALUES ('works', '  it(''works'), ('later', '  it.skip(''later')) v(word, mark) WHERE k = 3")
 def ext_tests(spark, d):
     files = tree.source_tree(spark, d).where(extract.is_test_path(F.col("path")) & F.col("path").endswith(".ts"))
-    return extract.tests(extract.lines(files), files).select("path", "line_no", "suite", "title", "framework")
+    return extract.tests(extract.script_facts(files)).select("path", "line_no", "suite", "title", "framework")
 
 
 # indexing

@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import conventions as c
 from factloom.functions import text as t
+from factloom.functions.ignores import Matcher
+from factloom.sources.listing import files_below
+
+
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Source, evidence and manifest files below ``root``: paths, size, time, and text where there is any. Spark's reader lists no names that begin with a dot or an underscore."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    absolute = F.regexp_replace("path", "^file:/*", "/")
-    rows = read.select(absolute.alias("abs_path"), t.relative(absolute, F.lit(root.rstrip("/"))).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
-    rows = candidates(rows)
+def discover(spark: SparkSession, root: str, ignored: tuple[str, ...] = c.IGNORED, rules: tuple[str, ...] = ()) -> DataFrame:
+    """Source, evidence and manifest files below ``root``: paths, size, time, and text where there is any.
+
+    Folders of the names ``ignored``, and what the ignore lines ``rules`` exclude, are not listed at all.
+    """
+    wanted = t.listing_regex(c.SOURCE_GLOBS + c.EVIDENCE_GLOBS + c.MANIFEST_GLOBS)
+    rows = files_below(spark, root, (*rules, *(f"{escaped(name)}/" for name in ignored)), wanted)
     ext = t.extension(F.col("rel_path"))
-    return rows.select("abs_path", "rel_path", t.basename(F.col("rel_path")).alias("basename"), ext.alias("extension"), "size_bytes", "modified_at", F.when(~ext.isin(*c.BINARY), F.decode("content", "UTF-8")).alias("content"))
+    return rows.select(F.col("path").alias("abs_path"), "rel_path", t.basename(F.col("rel_path")).alias("basename"), ext.alias("extension"), F.col("length").alias("size_bytes"), "modified_at", F.when(~ext.isin(*c.BINARY), F.decode("content", "UTF-8")).alias("content"))
+
+
+def escaped(name: str) -> str:
+    """An ignore line for exactly this name."""
+    return re.sub(r"([\\*?\[\]!# ])", r"\\\1", name)
+
+
+def ignore_lines(spark: SparkSession, root: str, name: str = ".gitignore") -> tuple[str, ...]:
+    """The lines of the ignore file in ``root``; none if there is none."""
+    return tuple((first_config(spark, root, (name,)) or "").splitlines())
 
 
 def candidates(files: DataFrame, ignored: tuple[str, ...] = c.IGNORED) -> DataFrame:
@@ -24,16 +43,17 @@ def candidates(files: DataFrame, ignored: tuple[str, ...] = c.IGNORED) -> DataFr
     return files.where(F.col("rel_path").rlike(t.listing_regex(c.SOURCE_GLOBS + c.EVIDENCE_GLOBS + c.MANIFEST_GLOBS)) & ~F.exists(folders, lambda d: d.isin(*ignored)))
 
 
-def not_ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``files(rel_path)`` without those that the last matching rule of ``patterns(pos, pattern)`` ignores; ``!`` takes back."""
-    bare = F.regexp_replace(F.regexp_replace("pattern", "^!", ""), "/$", "")
-    literal = F.regexp_replace(bare, r"([.+^$(){}|\[\]])", r"\\$1")
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(literal, r"\*\*", "\u0000"), r"\*", "[^/]*"), "\u0000", ".*")
-    start = F.when(bare.startswith("/"), "^").otherwise("(^|/)")
-    rules = patterns.where("trim(pattern) <> '' AND NOT startswith(pattern, '#')")
-    rules = rules.select("pos", F.col("pattern").startswith("!").alias("back"), F.concat(start, F.regexp_replace(body, "^/", ""), F.lit("(/|$)")).alias("re"))
-    hits = files.select("rel_path").join(F.broadcast(rules), F.expr("rel_path RLIKE re")).groupBy("rel_path").agg(F.max_by("back", "pos").alias("back"))
-    return files.join(hits.where("NOT back"), "rel_path", "left_anti")
+def not_ignored(files: DataFrame, lines: list[str] | tuple[str, ...]) -> DataFrame:
+    """``files(rel_path)`` without those that the lines of an ignore file exclude, see :mod:`factloom.functions.ignores`."""
+    lines = list(lines)
+
+    @F.pandas_udf("boolean")
+    def ignored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(lines)
+        for paths in batches:
+            yield paths.map(lambda p: matcher.ignores(p or ""))
+
+    return files.where(~ignored("rel_path")) if lines else files
 
 
 def manifest_hints(files: DataFrame) -> DataFrame:
@@ -94,9 +114,9 @@ def packages(hints: DataFrame, workspace: str) -> DataFrame:
 
 
 def first_config(spark: SparkSession, root: str, names: tuple[str, ...]) -> str | None:
-    """The text of the first of the configuration files ``names`` below ``root`` that is there."""
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
-    found = {r["name"]: r["text"] for r in read.select(t.basename(F.col("path")).alias("name"), F.decode("content", "UTF-8").alias("text")).collect()}  # at most one for each name
+    """The text of the first of the configuration files ``names`` in ``root`` that is there."""
+    wanted = "^(" + "|".join(map(re.escape, names)) + ")$"
+    found = {r.rel_path: r["text"] for r in files_below(spark, root, ("*/",), wanted).select("rel_path", F.decode("content", "UTF-8").alias("text")).collect()}  # at most one for each name
     return next((found[n] for n in names if n in found), None)
 
 

@@ -93,13 +93,16 @@ def load_config(spark: SparkSession, root: str) -> list[dict]:
     return [] if content is None else config(content)
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Log files below ``root`` with what is known of them, contents included."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = inferred_source(F.col("rel"))
-    rel = F.regexp_replace("path", "^file:/*", "/")
-    return files.withColumn("rel", t.relative(rel, F.lit(root.rstrip("/")))).where(looks_like_log(F.col("rel"))).select(
-        name["name"].alias("source_name"), name["service"].alias("service"), name["format"].alias("format"), F.col("rel").alias("path"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"), F.decode("content", "UTF-8").alias("content"),
+def discover(spark: SparkSession, root: str, ignored: tuple[str, ...] = c.IGNORED) -> DataFrame:
+    """Log files below ``root``, outside folders of the names ``ignored``, with what is known of them, contents included."""
+    from factloom.sources.files import escaped
+    from factloom.sources.listing import files_below
+
+    wanted = f"(?i:(^|/)({'|'.join(c.LOG_FOLDERS)})/|{c.LOG_NAME.removeprefix('(?i)').replace('^', '(^|/)')}|[.]({'|'.join(c.LOG_EXTENSIONS)})$)"  # at least what looks like a log
+    files = files_below(spark, root, tuple(f"{escaped(name)}/" for name in ignored), wanted)
+    name = inferred_source(F.col("rel_path"))
+    return files.where(looks_like_log(F.col("rel_path"))).select(
+        name["name"].alias("source_name"), name["service"].alias("service"), name["format"].alias("format"), F.col("rel_path").alias("path"), F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"), F.decode("content", "UTF-8").alias("content"),
     )
 
 

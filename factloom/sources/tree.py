@@ -1,4 +1,7 @@
-"""The documents as a source tree: a file for each, of one of eight kinds, whose facts are known by construction."""
+"""The documents as a source tree: a file for each, of one of eight kinds, whose facts are known by construction.
+
+Every file holds the whole text of its document, as comments, prose, a string or log lines, which must yield no facts.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,9 @@ from factloom.sources.adapters import table
 
 KINDS = ("ts", "lua", "cs", "test", "md", "json", "log", "py")
 STEP = len(KINDS)
+#: What begins each line of a text in a file of a kind, so that it is all comment or prose. In JSON it is one string.
+LINES = {"ts": "// ", "lua": "-- ", "cs": "// ", "test": "// ", "md": "", "log": "svc note ", "py": "# "}
+BREAKS = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
 
 
 def _text(template: str) -> Column:
@@ -51,8 +57,13 @@ BODIES = {
 
 def source_tree(spark: SparkSession, sf_dir: str, newer: bool = False) -> DataFrame:
     """``doc_id, lang, path, content``. ``newer``: the tree after a change, without French files and with more code in English ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40).alias("note"))
     kind = F.col("doc_id") % STEP
+    plain = F.regexp_replace("text", BREAKS, "\n")
+    note = F.regexp_replace(plain, "[\\x00-\\x1f\"\\\\]", " ")
+    for n, k in enumerate(KINDS):
+        if k in LINES:
+            note = F.when(kind == n, F.replace(plain, F.lit("\n"), F.lit("\n" + LINES[k]))).otherwise(note)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", note.alias("note"))
     made = {}
     for column, parts in (("path", {k: (v,) for k, v in PATHS.items()}), ("content", BODIES)):
         value = F.lit(None).cast("string")
@@ -84,5 +95,6 @@ def _body_sql(kind: str) -> str:
 
 
 #: ``tree(doc_id, k, lang, path, content)``, the same files in SQL; ``k`` is the kind.
-TREE = f"""noted AS (SELECT doc_id, doc_id % {STEP} AS k, lang, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40) AS note FROM documents WHERE text IS NOT NULL),
+TREE = f"""plain AS (SELECT doc_id, doc_id % {STEP} AS k, lang, regexp_replace(text, '{BREAKS}', chr(10), 'g') AS plain FROM documents WHERE text IS NOT NULL),
+noted AS (SELECT doc_id, k, lang, CASE k {' '.join(f"WHEN {n} THEN replace(plain, chr(10), chr(10) || '{LINES[x]}')" for n, x in enumerate(KINDS) if x in LINES)} ELSE regexp_replace(plain, '[\\x00-\\x1f"\\\\]', ' ', 'g') END AS note FROM plain),
 tree AS (SELECT doc_id, k, lang, CASE k {' '.join(f'WHEN {n} THEN {_sql(PATHS[x])}' for n, x in enumerate(KINDS))} END AS path, CASE k {' '.join(f'WHEN {n} THEN {_body_sql(x)}' for n, x in enumerate(KINDS))} END AS content FROM noted)"""

