@@ -35,7 +35,7 @@ ROWS, BANDS = 4, 20
 #: Differing bits of a pair that is still compared exactly: over four deviations from the mean at the least similarity.
 RADIUS = 24
 #: Bytes of shingle sets in one block of a bucket, and pairs of a query and a word of 64 fingerprints compared at once.
-BLOCK, PAIRS = 64 << 20, 1 << 12
+BLOCK, PAIRS = 32 << 20, 1 << 12
 #: Bands that are compared first. Of the others only buckets whose nodes these have not yet all connected are left.
 FIRST = 5
 #: Shingles worked on at once.

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from factloom.llm import frames
 
 MARK = "▁"
-#: Cuts whose ids one worker keeps at hand, and their characters at most; so it holds at most some 250 MB of them.
-CACHE, KEPT_CHARS = 500_000, 32
+#: Cuts whose ids one worker keeps at hand, their characters at most, and pairs of pieces known to fit; at most some 300 MB in all.
+CACHE, KEPT_CHARS, FITS = 500_000, 32, 1 << 19
 #: Bytes of text worked on at once.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 #: Columns that :func:`with_ids` makes.
 MADE = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
@@ -218,7 +218,7 @@ class Codec:
             for c in new:
                 if len(c) > KEPT_CHARS:
                     del self.known[c]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > FITS:
             self.fits.clear()
         return out
 
