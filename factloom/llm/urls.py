@@ -21,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import frames
+
 #: Host and path rules with their verdicts; the longest that fits wins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: The method's own blocked globs, for URLs that no rule fits.
 BLOCKED = ("*.spam*/**", "*spam.*/**", "*casino*/**", "**.exe", "**.zip", "**/??/9*", "**/tracker/**", "**/*.html")
 #: URLs simulated together; longer ones are grouped with their like.
 TOGETHER = 4096
+#: Bytes of paths taken out of a batch at once.
+TEXTS = 1 << 22
 
 _U = np.uint64
 _SLASH = ord("/")
@@ -124,7 +128,10 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked: tuple[str, ...] = BLOCKED, url: str = "url") -> DataFrame:
-    """``pages`` with ``host, path, rule, verdict``: the longest fitting rule's verdict, else block if a blocked glob matches, else allow."""
+    """``pages`` with ``host, path, rule, verdict``: the longest fitting rule's verdict, else block if a blocked glob matches, else allow.
+
+    Columns of these names are replaced; all others come back as they are, whatever their names.
+    """
     ranked = sorted(rules, key=lambda r: -len(r[0]))
     for rule, _ in rules:
         if any(c in rule for c in "*?") or "/" not in rule:
@@ -133,7 +140,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton.of(patterns)
-        for batch in batches:
+        for batch in (part for whole in batches for part in frames.slices(whole, "path", TEXTS)):
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             hit = automaton.matches([f".{h}{p}".encode() if h or p else b"" for h, p in zip(hosts, paths, strict=True)])
             fits, bad = hit[:, : len(ranked)], hit[:, len(ranked) :].any(axis=1)
@@ -143,10 +150,13 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked
             names = [*batch.schema.names, "rule", "verdict"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=names)
 
-    host, path = host_and_path(url)
-    rows = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["rule string", "verdict string"])
-    return rows.mapInArrow(run, schema)
+    host, path = host_and_path("url")
+    names = pages.columns
+    rows = frames.packed(pages, names, url=frames.quoted(url))
+    rows = rows.select("row", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    found = rows.mapInArrow(run, frames.row_and(rows, "host string, path string, rule string, verdict string"))
+    own = ("host", "path", "rule", "verdict")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in names if c not in own), *own)
 
 
 def _like(glob: str) -> str:

@@ -439,52 +439,55 @@ def test_sharding_laws(docs, rows, none):
 
 
 def brute_shard(key, leaves):
-    """Down the tree, level by level: a node waits as long as the first shard below it."""
+    """Down the tree, level by level: each child draws a waiting time for the weight below it."""
 
-    def wait(leaf):
+    def wait(path, weight):
         seed = xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)
-        u = ((xxhash.xxh64_intdigest("/".join(map(str, leaf[:3])).encode(), seed) >> 11) + 0.5) / 2**53
-        return -math.log(u) / leaf[3]
+        u = ((xxhash.xxh64_intdigest(path.encode(), seed) >> 11) + 0.5) / 2**53
+        return -math.log(u) / weight
 
     for level in (0, 1, 2):
         nodes = defaultdict(list)
         for leaf in leaves:
-            nodes[leaf[level]].append(leaf)
-        leaves = min(nodes.values(), key=lambda own: min(map(wait, own)))
+            nodes[leaf[: level + 1]].append(leaf)
+        path = min(nodes, key=lambda p: wait("/".join(map(str, p)), sum(leaf[3] for leaf in nodes[p])))
+        leaves = nodes[path]
     return leaves[0][2]
 
 
 def test_sharding_against_brute_force(docs, rows):
     got = listed(sharding.placed(docs), "doc_id", "size", "text_crc32", "law", "shard", "grown_shard")
     id_ = lambda r: -(1 << 63) if r[0] is None else r[0]
-    want = [(r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode()), "key", brute_shard(id_(r), sharding.tree(40)), brute_shard(id_(r), sharding.tree(41))) for r in rows]
+    want = [(r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode()), "key", brute_shard(id_(r), sharding.tree(40)), brute_shard(id_(r), sharding.grown(sharding.tree(40)))) for r in rows]
     assert got == sorted(want, key=repr)
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
-    """For every count from 1 to 60."""
-    from pyspark.sql import functions as F
-
-    df = spark.range(600)
-    for n in range(1, 62):
-        df = sharding.shard_of(df, F.col("id"), sharding.tree(n), f"s{n}")
+    """For trees of every size, and shard after shard."""
+    df, trees = spark.range(600), {n: sharding.tree(n) for n in (1, 4, 5, 7, 10, 23, 40)}
+    for n, leaves in trees.items():
+        for more in range(5):
+            df = sharding.shard_of(df, F.col("id"), leaves, f"s{n}_{more}")
+            leaves = sharding.grown(leaves)
     got = df.toPandas()
-    for n in range(1, 61):
-        moved = got[got[f"s{n}"] != got[f"s{n + 1}"]]
-        assert (moved[f"s{n + 1}"] == n).all() and got[f"s{n}"].max() < n
-    assert got["s60"].nunique() == 60
+    for n in trees:
+        for more in range(4):
+            before, after = got[f"s{n}_{more}"], got[f"s{n}_{more + 1}"]
+            assert (after[before != after] == n + more).all() and before.max() < n + more
+        assert got[f"s{n}_4"].nunique() == n + 4
 
 
 def test_sharding_moves_stay_in_the_changed_subtree(spark):
-    from pyspark.sql import functions as F
-
+    """A shard that gets heavier takes keys into its region; inside the region into its rack; inside the rack into itself."""
     keys = spark.range(20_000)
     leaves = sharding.tree(20)
     heavy = [(r, k, s, 3.0 if s == 0 else w) for r, k, s, w in leaves]
     a = sharding.shard_of(keys, F.col("id"), leaves)
     b = sharding.shard_of(a, F.col("id"), heavy, "after")
     moved = b.where("shard <> after").toPandas()
-    assert len(moved) and (moved.after == 0).all()  # the others only give
+    assert len(moved) and (moved.after < 10).all()
+    inside = moved[moved.shard < 10]
+    assert len(inside) and (inside.after < 5).all() and (inside[inside.shard < 5].after == 0).all()
     counts = b.groupBy("after").count().toPandas().set_index("after")["count"]
     assert abs(counts[0] / 20_000 - 3 / 22) < 0.02 and abs(counts[15] / 20_000 - 1 / 22) < 0.02
 
@@ -513,6 +516,9 @@ def test_urls_against_sql(spark):
     clean = lambda rows: sorted(tuple(None if isinstance(x, float) else x for x in r) for r in rows)
     assert clean((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got.collect()) == clean((a, b, c, d or "", e) for a, b, c, d, e in con.sql("SELECT page_id, host, path, rule, verdict FROM (" + urls.ORACLE + ")").fetchall())
     assert urls.judged(df.limit(0)).count() == 0
+    odd = df.withColumns({"a.b": F.lit("x"), "`c`": F.lit(1), "row": F.lit(2), "url ": F.lit("y")})
+    assert urls.judged(odd).columns == ["page_id", "url", "html", "a.b", "`c`", "row", "url ", "host", "path", "rule", "verdict"]
+    assert {(r["a.b"], r["`c`"], r["row"], r["url "]) for r in urls.judged(odd).collect()} == {("x", 1, 2, "y")}
 
 
 # preferences
