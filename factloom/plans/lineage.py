@@ -23,3 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Write ``df`` to the shared folder, dealt and sorted by ``keys``, and go on from there: joins on the keys don't move it again.
+
+    Adaptive execution would forget how the rows are dealt, so it is off while they are written.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(n, *keys).sortWithinPartitions(*keys).checkpoint()
+    finally:
+        spark.conf.set(name, before)
