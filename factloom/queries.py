@@ -398,7 +398,7 @@ def agg_in_degree(spark, d):
 
 @query("SELECT source, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY source")
 def agg_count(spark, d):
-    return a.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    return a.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
 
 
 _INC = f"""WITH {a.LOGS}, e AS (SELECT *, substr(message, 1, 120) AS title FROM logs WHERE level IN ('error', 'fatal'))
@@ -876,12 +876,12 @@ def tool_query_logs(spark, d):
     return tools.query_logs(a.log_events(spark, d), service="svc3")
 
 
-_NODES = "n AS (SELECT id, canonical_path FROM modules UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0)"
+_NODES = "n AS (SELECT id, canonical_path FROM modules UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0)"
 
 
 def _nodes(spark, d):
-    """Parts and the suppliers of even key as modules, so that some edges dangle."""
-    supplier = a.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("canonical_path"))
+    """Parts and the suppliers in credit as modules, so that some edges dangle."""
+    supplier = a.table(spark, d, "supplier").where("s_acctbal >= 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("canonical_path"))
     return a.modules(spark, d).select("id", "canonical_path").unionByName(supplier)
 
 
@@ -929,11 +929,11 @@ def tool_analyze_test_failures(spark, d):
     return tools.analyze_test_failures(a.modules(spark, d).where("changed"), a.test_edges(spark, d), a.test_cases(spark, d)).withColumn("modules", joined("modules"))
 
 
-@query(f"""WITH {_PAGE_EDGES}, m AS (SELECT url AS canonical_path, min('m' || page_id) AS id FROM pages WHERE page_id % 2 = 0 GROUP BY url) SELECT edge_id, 'fr-only-fr' AS rule_id, x.id AS source_id, y.id AS target_id, 0.9::DOUBLE AS confidence FROM pe LEFT JOIN m x ON x.canonical_path = source_path LEFT JOIN m y ON y.canonical_path = target_path
+@query(f"""WITH {_PAGE_EDGES}, m AS (SELECT url AS canonical_path, min('m' || page_id) AS id FROM pages WHERE NOT contains(url, '?') GROUP BY url) SELECT edge_id, 'fr-only-fr' AS rule_id, x.id AS source_id, y.id AS target_id, 0.9::DOUBLE AS confidence FROM pe LEFT JOIN m x ON x.canonical_path = source_path LEFT JOIN m y ON y.canonical_path = target_path
 WHERE regexp_matches(source_path, '{_re('**/fr/**')}') AND NOT (regexp_matches(target_path, '{_re('**/fr/**')}') OR regexp_matches(target_path, '{_re('**.net/**')}'))""")
 def tool_check_architecture_violations(spark, d):
-    """Violations with the modules of both sides; only even pages are known modules."""
-    known = a.table(spark, d, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("m"), "page_id").alias("id"), F.col("url").alias("canonical_path"))
+    """Violations with the modules of both sides; only pages without a query are known modules."""
+    known = a.table(spark, d, "pages").where("NOT contains(url, '?')").select(F.concat(F.lit("m"), "page_id").alias("id"), F.col("url").alias("canonical_path"))
     return tools.architecture_violations(rules.violations(_page_edges(spark, d), rules.table(spark, _RULES)), "warning", known).select("edge_id", "rule_id", "source_id", "target_id", "confidence")
 
 
@@ -1104,7 +1104,7 @@ def dml_replace_test_fact(spark, d):
 # more of the relational core
 
 
-@query(f"WITH {a.EDGES}, {a.MODULES}, n AS (SELECT id, canonical_path FROM modules UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0) SELECT source_id, target_id, x.canonical_path AS source_path, y.canonical_path AS target_path FROM edges JOIN n x ON x.id = source_id JOIN n y ON y.id = target_id")
+@query(f"WITH {a.EDGES}, {a.MODULES}, n AS (SELECT id, canonical_path FROM modules UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0) SELECT source_id, target_id, x.canonical_path AS source_path, y.canonical_path AS target_path FROM edges JOIN n x ON x.id = source_id JOIN n y ON y.id = target_id")
 def join_edges_modules(spark, d):
     return relational.import_pairs(a.import_edges(spark, d), _nodes(spark, d))
 
@@ -1184,6 +1184,12 @@ def graph_callers(spark, d):
     return graph.walk(edges, spark.createDataFrame([("p1",)], "id string"), 2, ("calls", "references")).where("depth > 0")
 
 
+@query(f"WITH {a.TESTS}, root AS (SELECT min(source_id) AS id FROM tests), d1 AS (SELECT DISTINCT target_id AS id FROM tests JOIN root ON source_id = root.id) SELECT id, 1 AS depth FROM d1")
+def graph_callees(spark, d):
+    edges = a.test_edges(spark, d).withColumn("type", F.lit("calls"))
+    return graph.walk(edges, edges.agg(F.min("source_id").alias("id")), 2, ("calls", "references")).where("depth > 0")
+
+
 @query("SELECT p_partkey AS key, token, len(tokens)::INT AS doc_len, count(*) AS tf FROM (SELECT p_partkey, tokens, unnest(tokens) AS token FROM (SELECT p_partkey, " + _TOK.format("p_name || ' ' || p_type") + " AS tokens FROM part)) GROUP BY ALL")
 def dml_refresh_fts(spark, d):
     parts = a.table(spark, d, "part")
