@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -105,6 +106,12 @@ def packed(docs: DataFrame, keep: list[str] | None = None, **others: F.Column) -
     return docs.select(F.struct(*map(quoted, docs.columns if keep is None else keep)).alias("row"), *(c.alias(n) for n, c in others.items()))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop shuffles and checkpoints that nothing refers to any more, before more are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def schema_of(fields: list[StructField], ddl: str) -> StructType:
     """``fields``, which may be of any names, followed by those of ``ddl``."""
     return StructType([*fields, *StructType.fromDDL(ddl)])

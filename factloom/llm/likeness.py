@@ -204,16 +204,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = frames.cut(_sketches(keyed))
     order = F.struct(F.col("doc_key") == frames.NULL_ID, "doc_key", "check")
     nodes = frames.cut(rows.groupBy("node").agg(F.min(order).alias("first")))
+    frames.let_go(docs.sparkSession)
     met = rows.select("node", "size", F.posexplode("buckets").alias("band", "bucket")).distinct()
     # buckets of the same nodes are one
     sizes = met.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
     alone = frames.cut(sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b"), F.max("bytes").alias("bytes")).select("b.band", "b.bucket", "bytes"))
     members = frames.cut(met.select("bucket", "node").join(alone, "bucket"))
     groups = _connected(keyed, nodes, members.where(F.col("band") < FIRST))
+    frames.let_go(docs.sparkSession)
     later = members.where(F.col("band") >= FIRST).join(groups, "node", "left").withColumn("now", F.coalesce("component", "node"))
     apart = later.groupBy("bucket").agg(F.min("now").alias("a"), F.max("now").alias("z")).where("a <> z").select("bucket")
     more = frames.cut(members.where(F.col("band") >= FIRST).join(frames.cut(apart), "bucket", "left_semi").select("bucket", "bytes", "node"))
     groups = frames.cut(_connected(keyed, nodes, more, groups))
+    frames.let_go(docs.sparkSession)
     named = nodes.join(groups, "node", "left").select(F.coalesce("component", "node").alias("root"), "first")
     kept = frames.cut(named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_key", "first.check"))
     return keyed.join(kept, ["doc_key", "check"], "left_semi").dropDuplicates(["doc_key", "check"]).select("row.*")
