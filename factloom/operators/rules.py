@@ -14,13 +14,21 @@ from pyspark.sql import functions as F
 from factloom.functions import conventions as c
 from factloom.functions import text as t
 
-SCHEMA = "pos int, id string, kind string, from_re string, to_re string, severity string, allow_generated boolean, excepts array<struct<f:string,t:string>>"
+SCHEMA = "pos int, id string, kind string, from_re string, to_re string, severity string, allow_generated boolean, excepts array<struct<f:string,t:string>>, word string"
+
+
+def required_segment(glob: str) -> str:
+    """The longest name that a path must have between its slashes to match ``glob``; empty if there is none."""
+    names = [] if "?" in glob else [x for x in glob.split("/") if x and "*" not in x]
+    return max(names, key=len, default="")
+
+
 def table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules as a frame of regular expressions. YAML or JSON text is read by :func:`parse`."""
     rows = []
     for pos, r in enumerate(rules):
         excepts = [(t.glob_regex(e.get("from", "**")), t.glob_regex(e.get("to", "**"))) for e in r.get("except", [])]
-        rows.append((pos, r.get("id", f"rule{pos}"), r.get("kind"), t.glob_regex(r.get("from", "**")), t.glob_regex(r.get("to", "**")), r.get("severity", "error"), bool(r.get("allowGenerated", False)), excepts))
+        rows.append((pos, r.get("id", f"rule{pos}"), r.get("kind"), t.glob_regex(r.get("from", "**")), t.glob_regex(r.get("to", "**")), r.get("severity", "error"), bool(r.get("allowGenerated", False)), excepts, required_segment(r.get("from", "**"))))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -90,11 +98,14 @@ def violations(edges: DataFrame, rules: DataFrame, workspace: str = "ws") -> Dat
     """``id, rule_id, severity, edge_id, source_path, target_path``.
 
     A forbid rule charges every edge that both its globs match. If allow rules match an edge's source, one of them must
-    match its target; else the edge is charged once, to the first of them. Exceptions and generated files are let off. The
-    rules are a small configured table, so they are broadcast.
+    match its target; else the edge is charged once, to the first of them. Exceptions and generated files are let off.
+
+    An edge meets a rule by a name that the source must have between its slashes, and only then are expressions tried; rules
+    without such a name meet all edges. Spark broadcasts the rules if they are few.
     """
-    rules = F.broadcast(rules)
-    matched = edges.join(rules, F.expr("source_path RLIKE from_re AND (kind = 'allow' OR target_path RLIKE to_re)"))
+    names = F.array_distinct(F.concat(F.array(F.lit("")), F.split("source_path", "/")))
+    met = edges.select("edge_id", "source_path", "target_path", F.explode(names).alias("word")).join(rules, "word").drop("word")
+    matched = met.where("source_path RLIKE from_re AND (kind = 'allow' OR target_path RLIKE to_re)")
     listed = F.exists("excepts", lambda e: F.regexp_like("source_path", e["f"]) & F.regexp_like("target_path", e["t"]))
     excused = listed | (F.col("allow_generated") & (generated("source_path") | generated("target_path")))
     forbidden = matched.where("kind = 'forbid'").where(~excused).select("edge_id", "source_path", "target_path", F.col("id").alias("rule_id"), "severity")
