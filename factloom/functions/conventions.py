@@ -114,7 +114,7 @@ DOC_FOLDER = r"(^|/)(docs?|adr|architecture|decision)s?(/|$)"
 CONFIGS = ("json", "jsonc", "yaml", "yml", "toml", "ini", "conf", "config")
 CONFIG_NAMES = ("dockerfile", "makefile", "cmakelists.txt")
 CONFIG_WORD = r"config|settings|compose|workspace|project"
-CONFIG_MARK = r"(?i)(\x22scripts\x22\s*:|\[tool\.|<project>|plugins\s*\{|services\s*:|apiVersion\s*:)"
+CONFIG_MARK = r'''(?i)("scripts"\s*:|\[tool\.|<project>|plugins\s*\{|services\s*:|apiVersion\s*:)'''
 LEVEL_WORD = r"(?i)(trace|debug|info|warn|error|fatal)"
 LOG_FILES = ("log-intel.json", "log-intel.yaml", "log-intel.yml")
 LOG_FOLDERS = ("logs", "log", "var/log")
@@ -123,3 +123,17 @@ LOG_NAME = r"(?i)(access|error|server|app|api|combined|requests?|runtime|events?
 LOG_LINE = r"^(\S+)\s+([A-Z]+)\s+([a-zA-Z0-9._-]+)\s+(.*)$"
 LOG_FIELDS = {"timestamp": ("timestamp", "time"), "level": ("level", "lvl"), "service": ("service", "serviceName"), "message": ("message", "msg")}
 IMPORT_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
+# Lua: names, what declares a table, a function or a member, what brings a module in, and words before a parenthesis that are no call
+LUA_NAME = r'''[A-Za-z_][A-Za-z0-9_]*'''
+LUA_PATH = rf'''{LUA_NAME}(?:\.{LUA_NAME})*'''
+LUA_TABLE = rf'''^\s*(local\s+)?({LUA_NAME})\s*=\s*(?:\{{\s*\}}|Create(?:AndInit)?FromMixins\b.*|setmetatable\b.*)$'''
+LUA_FUNCTION = rf'''^\s*(local\s+)?function\s+({LUA_NAME})\s*\('''
+LUA_MEMBER = rf'''^\s*function\s+({LUA_PATH})[:.]({LUA_NAME})\s*\('''
+LUA_ASSIGNED_MEMBER = rf'''^\s*({LUA_PATH})[:.]({LUA_NAME})\s*=\s*function\s*\('''
+LUA_REQUIRE = r'''require\s*\(\s*["']([^"']+)["']\s*\)'''
+LUA_LOOKED_UP = r'''[:.]GetModule\s*\(\s*["']([^"']+)["']\s*\)'''
+LUA_WORDS = ("function", "if", "for", "while", "return", "local")
+# Tests: calls that hold cases, calls that are cases, and the frameworks that imports tell
+SUITE_CALLS = ("describe", "test.describe")
+CASE_CALLS = ("it", "test", "specify", "it.only", "it.skip", "test.only", "test.skip")
+FRAMEWORKS = {"@playwright/test": "playwright", "vitest": "vitest", "@jest/globals": "jest", "jest": "jest"}

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+from factloom.functions import conventions as c
+
 #: Words that are no names (fixed values of the language).
 RESERVED = frozenset(
     "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
@@ -20,9 +22,6 @@ RESERVED = frozenset(
 #: After these words an expression follows.
 BEFORE_VALUE = frozenset("return typeof instanceof in of new delete void throw case do else yield await default extends".split())
 MODIFIERS = frozenset("public private protected static readonly abstract override async declare accessor get set".split())
-CASES = frozenset(("it", "test", "specify", "it.only", "it.skip", "test.only", "test.skip"))
-SUITES = frozenset(("describe", "test.describe"))
-FRAMEWORKS = {"@playwright/test": "playwright", "vitest": "vitest", "@jest/globals": "jest", "jest": "jest"}
 
 _TOKEN = re.compile(
     r"""(?P<space>[\s﻿]+|//[^\n\r\u2028\u2029]*|/\*.*?(?:\*/|\Z))|(?P<id>[\w$#\\\u200c\u200d][\w$\\\u200c\u200d]*)|(?P<str>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?)|(?P<tpl>`)"""
@@ -46,11 +45,11 @@ class Token(NamedTuple):
 
 def _value(quoted: str) -> str:
     def plain(m: re.Match) -> str:
-        c = m[1]
-        if c[0] in "ux" and len(c) > 1:
-            code = int(c.strip("ux{}"), 16)
-            return chr(code) if code < 0x110000 else ""
-        return _PLAIN.get(c, c)
+        code = m[1]
+        if code[0] in "ux" and len(code) > 1:
+            point = int(code.strip("ux{}"), 16)
+            return chr(point) if point < 0x110000 else ""
+        return _PLAIN.get(code, code)
 
     return _ESCAPE.sub(plain, quoted)
 
@@ -129,7 +128,7 @@ class Facts:
     """``(title, suites around it, line)``."""
 
     def framework(self, text: str) -> str:
-        named = [FRAMEWORKS[s] for s, _, _ in self.imports if s in FRAMEWORKS]
+        named = [c.FRAMEWORKS[s] for s, _, _ in self.imports if s in c.FRAMEWORKS]
         return named[-1] if named else "jest" if re.search(r"\b(?:describe|it|test)\s*\(", text, re.ASCII) else "unknown"
 
 
@@ -349,9 +348,9 @@ class _Reader:
         called = "".join(self.tokens[j].text for j in range(head, i + 1))
         if after + 1 < len(self.tokens) and self.tokens[after + 1].kind in ("str", "tpl") and self.text(after + 2) in (",", ")"):
             title = self.tokens[after + 1].text
-            if called in SUITES and title:
+            if called in c.SUITE_CALLS and title:
                 self.suite = (after, title)
-            elif called in CASES and title:
+            elif called in c.CASE_CALLS and title:
                 self.facts.cases.append((title, tuple(self.suites), self.line(self.tokens[head].at)))
 
     def _past_angles(self, i: int) -> int:

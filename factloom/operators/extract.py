@@ -12,17 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import conventions as c
 from factloom.functions import scripts
 from factloom.functions import text as t
 
-LUA_NAME = r"[A-Za-z_][A-Za-z0-9_]*"
-LUA_PATH = rf"{LUA_NAME}(?:\.{LUA_NAME})*"
-#: Words before a parenthesis that are no call (fixed values).
-LUA_WORDS = ("function", "if", "for", "while", "return", "local")
-TABLE = rf"^\s*(local\s+)?({LUA_NAME})\s*=\s*(?:\{{\s*\}}|Create(?:AndInit)?FromMixins\b.*|setmetatable\b.*)$"
-FUNCTION = rf"^\s*(local\s+)?function\s+({LUA_NAME})\s*\("
-MEMBER = rf"^\s*(?:function\s+({LUA_PATH})[:.]({LUA_NAME})\s*\(|({LUA_PATH})[:.]({LUA_NAME})\s*=\s*function\s*\()"
-
 
 def lines(files: DataFrame) -> DataFrame:
     """``(path, line_no, line)`` of ``files(path, content)``; only lines with text count."""
@@ -49,10 +42,14 @@ def scoped(rows: DataFrame, opens: Column, closes: Column) -> DataFrame:
     return grouped.withColumn("scope", F.last("s_name", ignorenulls=True).over(inner)).drop("s_block", "s_name")
 
 
+def _member(i: int) -> Column:
+    """The table (1) or the name (2) of the member that a line declares, in either way of writing; null if it declares none."""
+    return F.coalesce(*(F.nullif(F.regexp_extract("line", pattern, i), F.lit("")) for pattern in (c.LUA_MEMBER, c.LUA_ASSIGNED_MEMBER)))
+
+
 def _members(rows: DataFrame) -> DataFrame:
-    """``(path, line_no, owner, name)`` of functions in tables, in both ways of writing."""
-    part = lambda i, j: F.coalesce(*(F.nullif(F.regexp_extract("line", MEMBER, k), F.lit("")) for k in (i, j)))
-    return rows.where(F.col("line").rlike(MEMBER) & ~F.col("line").rlike(FUNCTION)).select("path", "line_no", part(1, 3).alias("owner"), part(2, 4).alias("name"))
+    """``(path, line_no, owner, name)`` of functions in tables."""
+    return rows.select("path", "line_no", "line", _member(1).alias("owner"), _member(2).alias("name")).where(F.col("owner").isNotNull() & ~F.col("line").rlike(c.LUA_FUNCTION)).drop("line")
 
 
 def _last(path: str) -> Column:
@@ -66,23 +63,23 @@ def lua_symbols(rows: DataFrame) -> DataFrame:
     returns is exported, and with a table all its members.
     """
     none = F.lit(None).cast("string")
-    tables = _found(rows, TABLE, "local", "name").select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("table:"), "name").alias("key"), "name", F.lit("constant").alias("kind"), F.col("name").alias("container"), (F.col("local") == "").alias("exported"))
-    plain = _found(rows, FUNCTION, "local", "name").select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("function:"), "name").alias("key"), "name", F.lit("function").alias("kind"), none.alias("container"), (F.col("local") == "").alias("exported"))
+    tables = _found(rows, c.LUA_TABLE, "local", "name").select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("table:"), "name").alias("key"), "name", F.lit("constant").alias("kind"), F.col("name").alias("container"), (F.col("local") == "").alias("exported"))
+    plain = _found(rows, c.LUA_FUNCTION, "local", "name").select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("function:"), "name").alias("key"), "name", F.lit("function").alias("kind"), none.alias("container"), (F.col("local") == "").alias("exported"))
     members = _members(rows)
     owners = members.select("path", "line_no", F.lit(0).alias("o"), F.concat(F.lit("table:"), "owner").alias("key"), _last("owner").alias("name"), F.lit("constant").alias("kind"), _last("owner").alias("container"), F.lit(False).alias("exported"))
     own = members.select("path", "line_no", F.lit(1).alias("o"), F.concat(F.lit("member:"), "owner", F.lit("."), "name").alias("key"), "name", F.lit("method").alias("kind"), _last("owner").alias("container"), F.lit(False).alias("exported"))
     found = tables.unionByName(plain).unionByName(owners).unionByName(own)
     first = F.struct("line_no", "o")
     per = found.groupBy("path", "key").agg(F.min_by("name", first).alias("name"), F.min_by("kind", first).alias("kind"), F.min_by("container", F.when(F.col("container").isNotNull(), first)).alias("container"), F.bool_or("exported").alias("own"), F.min(first).alias("at"))
-    returned = _found(rows, rf"^\s*return\s+({LUA_NAME})\s*$", "table").select("path", "table").distinct().groupBy("path").agg(F.collect_set("table").alias("returned"))  # names of one file
+    returned = _found(rows, rf"^\s*return\s+({c.LUA_NAME})\s*$", "table").select("path", "table").distinct().groupBy("path").agg(F.collect_set("table").alias("returned"))  # names of one file
     shown = F.coalesce(F.array_contains("returned", F.col("name")) | F.coalesce(F.array_contains("returned", F.col("container")), F.lit(False)), F.lit(False))
     return per.join(returned, "path", "left").select("path", "key", "name", "kind", "container", (F.col("own") | shown).alias("exported"), F.col("at.line_no").alias("line_no"), F.col("at.o").alias("o"))
 
 
 def lua_imports(rows: DataFrame) -> DataFrame:
     """``(path, reference, confidence, how)``: modules required by name, and looked up in the catalog."""
-    required = _all(rows, r"require\s*\(\s*[\x22']([^\x22']+)[\x22']\s*\)", "reference").withColumns({"confidence": F.lit(0.75), "how": F.lit("require")})
-    looked_up = _all(rows, r"[:.]GetModule\s*\(\s*[\x22']([^\x22']+)[\x22']\s*\)", "reference").withColumns({"confidence": F.lit(0.72), "how": F.lit("catalog")})
+    required = _all(rows, c.LUA_REQUIRE, "reference").withColumns({"confidence": F.lit(0.75), "how": F.lit("require")})
+    looked_up = _all(rows, c.LUA_LOOKED_UP, "reference").withColumns({"confidence": F.lit(0.72), "how": F.lit("catalog")})
     return required.unionByName(looked_up).select("path", "reference", "confidence", "how").distinct()
 
 
@@ -92,11 +89,11 @@ def lua_calls(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     The caller is the function opened last, up to a line that is just ``end``. ``self`` is the caller's table; a name that
     is no member of what stands before it is the file's first symbol of that name.
     """
-    member = F.coalesce(*(F.concat(F.lit("member:"), F.nullif(F.regexp_extract("line", MEMBER, i), F.lit("")), F.lit("."), F.regexp_extract("line", MEMBER, i + 1)) for i in (1, 3)))
-    plain = F.concat(F.lit("function:"), F.nullif(F.regexp_extract("line", FUNCTION, 2), F.lit("")))
+    member = F.concat(F.lit("member:"), _member(1), F.lit("."), _member(2))
+    plain = F.concat(F.lit("function:"), F.nullif(F.regexp_extract("line", c.LUA_FUNCTION, 2), F.lit("")))
     inside = scoped(rows, F.coalesce(plain, member, F.lit("")), F.trim("line") == "end").where("scope IS NOT NULL")
-    pairs = inside.select("path", "scope", F.explode(F.expr(rf"regexp_extract_all(line, '({LUA_NAME}[:.]{LUA_NAME})\\s*\\(', 1)")).alias("x")).select("path", "scope", F.split("x", "[:.]")[0].alias("base"), F.split("x", "[:.]")[1].alias("name"), F.lit(0.72).alias("confidence"))
-    bare = _all(inside, rf"\b({LUA_NAME})\s*\(", "name", "scope").where(~F.col("name").isin(*LUA_WORDS)).select("path", "scope", F.lit(None).cast("string").alias("base"), "name", F.lit(0.65).alias("confidence"))
+    pairs = inside.select("path", "scope", F.explode(F.expr(rf"regexp_extract_all(line, '({c.LUA_NAME}[:.]{c.LUA_NAME})\\s*\\(', 1)")).alias("x")).select("path", "scope", F.split("x", "[:.]")[0].alias("base"), F.split("x", "[:.]")[1].alias("name"), F.lit(0.72).alias("confidence"))
+    bare = _all(inside, rf"\b({c.LUA_NAME})\s*\(", "name", "scope").where(~F.col("name").isin(*c.LUA_WORDS)).select("path", "scope", F.lit(None).cast("string").alias("base"), "name", F.lit(0.65).alias("confidence"))
     uses = pairs.unionByName(bare).distinct()
     own = symbols.select("path", F.col("key").alias("scope"), F.col("container").alias("own"))
     uses = uses.join(own, ["path", "scope"]).withColumn("base", F.when((F.col("base") == "self") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("base")))

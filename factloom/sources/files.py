@@ -73,8 +73,8 @@ def manifest_hints(files: DataFrame) -> DataFrame:
     members = F.transform(F.filter(F.transform("listed", lambda w: F.regexp_replace(w, r"[\\/]*\*.*$", "")), lambda w: w != ""), lambda w: F.concat_ws("/", F.nullif("root", F.lit("")), w))
     typed = F.coalesce(F.try_variant_get("json", "$.devDependencies.typescript", "string"), F.try_variant_get("json", "$.dependencies.typescript", "string")).isNotNull()
     tests = name.rlike("(?i)test")
-    src_layout = body.rlike(r"(?m)^\s*packages\s*=|^\s*package-dir\s*=|^\s*where\s*=\s*\[\x22src\x22\]")
-    backend = F.nullif(F.regexp_extract(body, r"build-backend\s*=\s*\x22([^\x22]+)\x22", 1), F.lit(""))
+    src_layout = body.rlike(r'''(?m)^\s*packages\s*=|^\s*package-dir\s*=|^\s*where\s*=\s*\["src"\]''')
+    backend = F.nullif(F.regexp_extract(body, r'''build-backend\s*=\s*"([^"]+)"''', 1), F.lit(""))
     strings = lambda *xs: F.array(*map(F.lit, xs))
 
     def by_kind(package_json, pyproject, cargo, go_mod, csproj):
