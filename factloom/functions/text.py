@@ -134,3 +134,13 @@ def folded(value: Column) -> Column:
 def index_tokens(value: Column) -> Column:
     """Tokens of a text index: folded, split at everything that is neither letter nor digit."""
     return F.filter(F.split(folded(F.coalesce(value, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+#: Stands after the end of a text, so that its last characters begin trigrams too.
+END = "\u0001\u0001"
+
+
+def trigrams(value: Column) -> Column:
+    """Three characters from each place of the lower-cased text on."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.length(low)), lambda i: i > 0), lambda i: F.substring(F.concat(low, F.lit(END)), i, F.lit(3)))

@@ -19,7 +19,7 @@ import hashlib
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -79,9 +79,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), token, pa.array(length[of]), tf, positions], names=["key", "token", "doc_len", "tf", "positions"])
 
 
-def postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """``(key, token, doc_len, tf, positions)`` of all the columns together, and for each row one of the empty token."""
-    tokens = rows.select(F.col(key).alias("key"), *(t.index_tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)))
+def postings(rows: DataFrame, key: str, *columns: str, cut: Callable[[Column], Column] = t.index_tokens) -> DataFrame:
+    """``(key, token, doc_len, tf, positions)`` of all the columns together, and for each row one of the empty token.
+
+    ``cut`` makes the tokens of a text: words, or for searches inside of names :func:`factloom.functions.text.trigrams`.
+    """
+    tokens = rows.select(F.col(key).alias("key"), *(cut(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)))
     return tokens.mapInArrow(_counted, StructType([tokens.schema["key"], *StructType.fromDDL("token string, doc_len int, tf bigint, positions array<bigint>")]))
 
 
@@ -160,14 +163,14 @@ def _publish(index: Index) -> Index:
     return new
 
 
-def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str, signature: str = "") -> Index:
+def write_index(rows: DataFrame, key: str, columns: tuple[str, ...], path: str, signature: str = "", cut: Callable[[Column], Column] = t.index_tokens) -> Index:
     """The index of ``rows`` at ``path``, in place of what is there."""
     spark = rows.sparkSession
     try:
         version = read_index(spark, path).version
     except AnalysisException:
         version = 0
-    segment = _write_segment(spark, path, 0, postings(rows, key, *columns), None)
+    segment = _write_segment(spark, path, 0, postings(rows, key, *columns, cut=cut), None)
     return _publish(Index(spark, path, tuple(columns), version, (segment,), signature))
 
 
@@ -179,12 +182,12 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, tuple(found[0].columns), newest, tuple(Segment(r.seq, r["name"], r.docs, r.tokens, r["size"]) for r in found), found[0].signature)
 
 
-def refreshed(index: Index, changed: DataFrame, key: str, gone: DataFrame | None = None) -> Index:
+def refreshed(index: Index, changed: DataFrame, key: str, gone: DataFrame | None = None, cut: Callable[[Column], Column] = t.index_tokens) -> Index:
     """``index`` with the rows ``changed(key, columns...)`` in place of those of the same keys, and without ``gone(key)``.
 
     Writes the postings of the changed rows only, unless segments are due to be merged.
     """
-    made = postings(changed, key, *index.columns)
+    made = postings(changed, key, *index.columns, cut=cut)
     keys = changed.select(F.col(key).alias("key"))
     keys = keys.unionByName(gone.select("key")) if gone is not None else keys
     own = _write_segment(index.spark, index.path, index.segments[-1].seq + 1, made, keys)
@@ -242,7 +245,7 @@ def vacuum(index: Index) -> None:
             files.delete(s.getPath(), True)
 
 
-def index_of(table: str, rows: DataFrame, key: str, columns: tuple[str, ...], root: str) -> Index:
+def index_of(table: str, rows: DataFrame, key: str, columns: tuple[str, ...], root: str, cut: Callable[[Column], Column] = t.index_tokens) -> Index:
     """The index of ``rows``, made from the files of ``table``, below ``root``: the stored one as long as these files stay the same.
 
     Each key, list of columns and plan of ``rows`` has a folder of its own. In-memory rows are told apart by a hash of
@@ -252,13 +255,13 @@ def index_of(table: str, rows: DataFrame, key: str, columns: tuple[str, ...], ro
     one = F.xxhash64(F.col("path"), F.col("length"), F.col("modificationTime"))
     files = spark.read.format("binaryFile").load(table).agg(F.count("*"), F.sum(one.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("x"), "path", "length", "modificationTime"))).first()
     signature = "/".join(map(str, files))
-    path = f"{root.rstrip('/')}/index-{hashlib.sha256(repr((table, key, columns, _plan(rows))).encode()).hexdigest()[:24]}"
+    path = f"{root.rstrip('/')}/index-{hashlib.sha256(repr((table, key, columns, cut.__name__, _plan(rows))).encode()).hexdigest()[:24]}"
     try:
         index = read_index(spark, path)
     except AnalysisException:  # no such folder yet
         index = None
     if index is None or index.signature != signature:
-        index = write_index(rows, key, columns, path, signature)
+        index = write_index(rows, key, columns, path, signature, cut)
         vacuum(index)
     return index
 
@@ -475,8 +478,20 @@ def parsed(pattern: str, columns: tuple[str, ...] = ()) -> object:
 
 def _bucket_of(spark: SparkSession, tokens: list[str]) -> list[int]:
     """The buckets of a query's tokens, in one expression and without a job."""
-    values = ", ".join(f"pmod(xxhash64('{w}'), {BUCKETS})" for w in tokens)  # tokens are letters and digits only
-    return [int(x) for x in spark.sql(f"SELECT array({values}) AS b").first().b]
+    values = ", ".join(f"pmod(xxhash64(:t{i}), {BUCKETS})" for i in range(len(tokens)))
+    return [int(x) for x in spark.sql(f"SELECT array({values}) AS b", args={f"t{i}": w for i, w in enumerate(tokens)}).first().b]
+
+
+def containing(index: Index, part: str) -> DataFrame:
+    """``(key)`` of the rows that may hold ``part`` in a column, from an index of trigrams: all that hold it without regard to
+    case, and few others. Parts of one or two characters begin the trigrams that are asked for."""
+    low = part.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if grams:
+        own = index.postings(F.col("token").isin(*grams) & F.col("bucket").isin(*_bucket_of(index.spark, grams)))
+        return own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("key")
+    chosen = F.col("token").startswith(low) & (F.col("token") != "") if low else F.col("token") == ""
+    return index.postings(chosen).select("key").distinct()
 
 
 def _leaves(tree: object, counts: bool = True) -> Iterator[tuple[Phrase | Near, bool]]:

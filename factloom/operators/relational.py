@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as t
+from factloom.operators import fulltext
 from factloom.functions.conventions import IMPORT_EXTENSIONS
 
 
@@ -20,13 +21,19 @@ def named(rows: DataFrame, name: str, query: str) -> DataFrame:
     return rows.where((F.col(name) == query) | F.contains(F.lower(name), F.lit(query.lower())))
 
 
-def symbols_named(symbols: DataFrame, query: str) -> DataFrame:
-    """:func:`named` over ``symbols(name, exported, ...)``, exported ones first."""
+def symbols_named(symbols: DataFrame, query: str, names: fulltext.Index | None = None) -> DataFrame:
+    """:func:`named` over ``symbols(id, name, exported, ...)``, exported ones first. ``names``: an index of trigrams of the
+    names by id; only the symbols it points to are looked at."""
+    if names is not None:
+        symbols = symbols.join(fulltext.containing(names, query).withColumnRenamed("key", "id"), "id", "left_semi")
     return named(symbols, "name", query).orderBy(F.desc("exported"), "name")
 
 
-def one_module(modules: DataFrame, path: str) -> DataFrame:
-    """The module at a path: the exact one, else the first that contains it, without regard to case."""
+def one_module(modules: DataFrame, path: str, paths: fulltext.Index | None = None) -> DataFrame:
+    """The module at a path: the exact one, else the first that contains it, without regard to case. ``paths``: an index of
+    trigrams of the paths by id; only the modules it points to are looked at."""
+    if paths is not None:
+        modules = modules.join(fulltext.containing(paths, path).withColumnRenamed("key", "id"), "id", "left_semi")
     hit = modules.where((F.col("canonical_path") == path) | F.contains(F.lower("canonical_path"), F.lit(path.lower())))
     return hit.orderBy(F.when(F.col("canonical_path") == path, 0).otherwise(1), "canonical_path").limit(1)
 

@@ -49,11 +49,12 @@ def matching(rows: DataFrame, key: str, index: Index, pattern: str) -> DataFrame
     return rows.join(found, key, "left_semi")
 
 
-def hybrid_hits(indexes: dict[str, Index], symbols: DataFrame, modules: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def hybrid_hits(indexes: dict[str, Index], symbols: DataFrame, modules: DataFrame, query: str, limit: int = 10, names: Index | None = None) -> DataFrame:
     """Hits ``(id, seq, score, bonus, token, n)``: n equal hits of an entity in step ``seq`` of the search.
 
     Steps: the whole query in full text; then for each word its full-text leg and the symbols whose name is the word or whose
-    label holds it, each with its module. ``symbols(id, label, name, module_id)``, ``modules(id, label)``.
+    label holds it, each with its module. ``symbols(id, label, name, module_id)``, ``modules(id, label)``. ``names``: an index
+    of trigrams of the symbols' labels and names by id, so that not every symbol is looked at for each word.
     """
     words = t.words(query)
     parts = []
@@ -67,7 +68,8 @@ def hybrid_hits(indexes: dict[str, Index], symbols: DataFrame, modules: DataFram
     for i, w in enumerate(words if len(words) > 1 or first.isEmpty() else []):
         leg(w, max(limit, 10), 2 * i + 1, 0.0, w)
         exact = F.col("name") == w
-        named = symbols.where(exact | F.contains(F.lower("label"), F.lit(w.lower())))
+        known = symbols if names is None else symbols.join(fulltext.containing(names, w).withColumnRenamed("key", "id"), "id", "left_semi")
+        named = known.where(exact | F.contains(F.lower("label"), F.lit(w.lower())))
         parts.append(named.select("id", F.lit(2 * i + 2).alias("seq"), F.when(exact, 0.99).otherwise(0.82).alias("score"), F.when(exact, 0.45).otherwise(0.2).alias("bonus"), F.lit(w).alias("token"), F.lit(1).cast("bigint").alias("n")))
         owners = named.join(modules.select(F.col("id").alias("module_id")), "module_id").groupBy(F.col("module_id").alias("id")).agg(F.count("*").alias("n"))
         parts.append(owners.select("id", F.lit(2 * i + 2).alias("seq"), F.lit(0.65).alias("score"), F.lit(0.18).alias("bonus"), F.lit(w).alias("token"), "n"))

@@ -64,9 +64,9 @@ def branch_changes(changed: DataFrame, commits: DataFrame, recent: int = 5) -> D
     return packages.unionByName(newest)
 
 
-def search_code(indexes: dict[str, search.Index], symbols: DataFrame, modules: DataFrame, labels: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search_code(indexes: dict[str, search.Index], symbols: DataFrame, modules: DataFrame, labels: DataFrame, query: str, limit: int = 10, names: search.Index | None = None) -> DataFrame:
     """Hybrid search over the three indexes; ``labels(id, label)`` of every entity."""
-    return with_confidence(search.hybrid(search.hybrid_hits(indexes, symbols, modules, query, limit), labels, limit), 0.86, 0.25)
+    return with_confidence(search.hybrid(search.hybrid_hits(indexes, symbols, modules, query, limit, names), labels, limit), 0.86, 0.25)
 
 
 def find_symbol(symbols: DataFrame, modules: DataFrame, edges: DataFrame, query: str, most: int = 10) -> DataFrame:

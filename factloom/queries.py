@@ -235,13 +235,16 @@ def flt_in_ordered(spark, d):
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '_') OR contains(lower(p_name), 'ed wid')")
 def flt_symbol_name(spark, d):
-    p = a.table(spark, d, "part")
-    return relational.named(p, "p_name", "_").unionByName(relational.named(p, "p_name", "eD Wid")).select("p_partkey", "p_name").distinct()
+    p = a.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") < 10).alias("exported"))
+    names = _trigrams(spark, d, "part", p, "name")
+    found = relational.symbols_named(p, "_", names).unionByName(relational.symbols_named(p, "eD Wid", names))
+    return found.select(F.col("id").alias("p_partkey"), F.col("name").alias("p_name")).distinct()
 
 
 @query(f"WITH {a.MODULES} SELECT id, canonical_path FROM modules WHERE contains(lower(canonical_path), '-12') ORDER BY CASE WHEN canonical_path = '-12' THEN 0 ELSE 1 END, canonical_path LIMIT 1")
 def flt_module_path(spark, d):
-    return relational.one_module(a.modules(spark, d), "-12").select("id", "canonical_path")
+    m = a.modules(spark, d)
+    return relational.one_module(m, "-12", _trigrams(spark, d, "part", m.select("id", "canonical_path"), "canonical_path")).select("id", "canonical_path")
 
 
 @query(f"WITH {a.MODULES} SELECT * FROM modules WHERE id = 'p42'")
@@ -624,6 +627,11 @@ def _bm25_sql(terms: tuple[str, ...], table: str = "documents", key: str = "doc_
 (SELECT count(*) AS n, avg(len(tokens)) AS avg_len, {', '.join(f'count(*) FILTER ({x} > 0) AS df{i}' for i, x in enumerate(tf))} FROM (SELECT {_TOK.format(text)} AS tokens FROM {table})) WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(tf)))}"""
 
 
+def _trigrams(spark, d, table: str, rows: DataFrame, *columns: str) -> fulltext.Index:
+    """The index of the trigrams of names by ``id``."""
+    return fulltext.index_of(f"{d}/{table}.parquet", rows, "id", columns, shared_dir(spark), t.trigrams)
+
+
 def _index(spark, d, table: str, key: str, *columns: str, rows: DataFrame | None = None) -> fulltext.Index:
     return fulltext.index_of(f"{d}/{table}.parquet", a.table(spark, d, table) if rows is None else rows, key, columns, shared_dir(spark))
 
@@ -768,7 +776,7 @@ def _entities(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query(_hybrid_sql(20))
 def rank_hybrid(spark, d):
     symbols, modules, labels = _entities(spark, d)
-    return search.hybrid(search.hybrid_hits(_indexes(spark, d), symbols, modules, _HYBRID, 20), labels, 20)
+    return search.hybrid(search.hybrid_hits(_indexes(spark, d), symbols, modules, _HYBRID, 20, _trigrams(spark, d, "pages", symbols.select("id", "label", "name"), "label", "name")), labels, 20)
 
 
 # classification

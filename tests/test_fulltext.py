@@ -179,3 +179,19 @@ def test_an_index_is_of_its_rows(spark, tmp_path):
     assert other.path == english.path and other.n == 1 and answers(other, "chat").keys() == {5} and len(os.listdir(tmp_path / "i")) == 2
     one, two = (spark.createDataFrame([(1, x)], "id bigint, text string") for x in ("a", "b"))
     assert answers(of(one), "a").keys() == {1} and answers(of(two), "a").keys() == set()
+
+
+def test_trigrams_find_every_part(spark, tmp_path):
+    from factloom.functions import text as t
+    from factloom.operators import relational
+
+    rnd = random.Random(2)
+    rows = [(i, "".join(rnd.choice("abAB/._'é") for _ in range(rnd.randrange(9))), i % 2 == 0) for i in range(400)] + [(900, None, True)]
+    df = spark.createDataFrame(rows, "id bigint, name string, exported boolean")
+    index = fulltext.write_index(df, "id", ("name",), str(tmp_path / "x"), cut=t.trigrams)
+    for part in ["a", "AB", "'", "é", "ab", "aba", "a/b", "_.", "abab", "nowhere", ""]:
+        want = {i for i, n, _ in rows if n is not None and part.lower() in n.lower()}
+        found = {r.key for r in fulltext.containing(index, part).collect()}
+        assert want <= found and (len(part) > 3 or not part or found == want)
+        got = relational.symbols_named(df, part, index).collect()
+        assert {r.id for r in got} == {r.id for r in relational.symbols_named(df, part).collect()} == want
