@@ -215,7 +215,7 @@ def flt_eq(spark, d):
 
 @query(f"WITH {a.LOGS} SELECT * FROM logs WHERE level = 'warn'")
 def flt_optional(spark, d):
-    return incidents.filtered(a.log_events(spark, d), None, "warn", None)
+    return incidents.filtered(a.log_events(spark, d), None, "warn")
 
 
 @query(f"WITH {a.LOGS} SELECT id, level FROM logs WHERE level IN ('error', 'fatal')")
