@@ -11,9 +11,10 @@ Calibration: a part of the labelled documents is kept out of the counts. Their s
 lead in nats, made monotone, is the ``score``; and a text whose cross-entropy is above that of all but ``TAIL`` of a
 language's right ones is not ``accepted``, as is one whose score is below ``SURE``.
 
-Bounds: the model has at most ``CELLS`` chances for each number of symbols, whatever the corpus: where more sequences were
-counted, those of the lowest counts (by powers of two) are left to the interpolation, which stays a distribution. Counts
-and histograms cover every document.
+Bounds: a worker holds at most ``CELLS`` chances for each number of symbols, whatever the corpus. The model itself has no
+bound: all its chances and weights are tables in Spark. Where those of a number of symbols do not fit, workers hold the
+sequences of the highest counts (by powers of two); what a text has beside them is set aside with its counts, looked up in
+the tables by joins and added to the text's sums. So results do not depend on ``CELLS``.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text if nothing could be learnt.
 Of equal cross-entropies the first language by name wins. A null id has the empty text as its decimal form. Letters beyond
@@ -36,7 +37,7 @@ from factloom.llm import frames
 ORDER, BITS = 4, 16
 #: Symbols that are not letters: the boundary, and letters that do not fit into ``BITS``.
 BOUNDARY, RARE = 1, 2
-#: Chances the model holds at most for each number of symbols, over all languages.
+#: Chances a worker holds at most for each number of symbols, over all languages; the others are joined.
 CELLS = 1 << 22
 #: Documents are dealt to so many folds: one is held out, one calibrates.
 FOLDS, HELD_OUT, CALIBRATES = 5, 0, 1
@@ -156,7 +157,11 @@ def counts(docs: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     """For each number of symbols from 1: sorted hashes of sequences with the logarithm of their chance in each language,
-    and sorted hashes of what stands before the last symbol with the logarithm of the weight of the next smaller number."""
+    and sorted hashes of what stands before the last symbol with the logarithm of the weight of the next smaller number.
+
+    ``whole``: all sequences of that number are held. If they are not, neither is what stands before, and a sequence that
+    is not held must be looked up in ``tables``: ``(gram, n, chances)`` and ``(before, left)``, which stay with the driver.
+    """
 
     langs: list[str]
     keys: list[np.ndarray]
@@ -164,23 +169,32 @@ class Model:
     before: list[np.ndarray]
     weights: list[np.ndarray]
     unknown: np.ndarray
+    whole: list[bool]
+    tables: list[tuple[DataFrame, DataFrame]]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": []}
 
     def look_up(self, grams: np.ndarray, size: int = ORDER) -> np.ndarray:
-        """``(grams, languages)``: the logarithm of the chance of each packed sequence's last symbol after the others."""
+        """``(grams, languages)``: the logarithm of the chance of each packed sequence's last symbol after the others; ``-inf`` where only the tables know."""
         if size == 0:
             return np.broadcast_to(self.unknown, (len(grams), len(self.langs)))
         at, hit = _found(self.keys[size - 1], grams)
-        out = self.chances[size - 1][at]
+        out = self.chances[size - 1][at] if len(self.keys[size - 1]) else np.empty((len(grams), len(self.langs)), np.float32)
         if not hit.all():
-            rest = grams[~hit]
-            lower = self.look_up(rest & U((1 << BITS * (size - 1)) - 1), size - 1)
-            at, seen = _found(self.before[size - 1], rest >> U(BITS))
-            out[~hit] = lower + np.where(seen[:, None], self.weights[size - 1][at], np.float32(0))
+            out[~hit] = self._unseen(grams[~hit], size) if self.whole[size - 1] else -np.inf
         return out
 
+    def _unseen(self, grams: np.ndarray, size: int) -> np.ndarray:
+        lower = self.look_up(grams & U((1 << BITS * (size - 1)) - 1), size - 1)
+        at, seen = _found(self.before[size - 1], grams >> U(BITS))
+        return lower + np.where(seen[:, None], self.weights[size - 1][at], np.float32(0))
+
 
 def _found(keys: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each gram's hash stands in the sorted hashes, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
     hashes = frames.mixed(grams)
     at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
     return at, keys[at] == hashes
@@ -203,55 +217,106 @@ def fitted(docs: DataFrame) -> Model | None:
         return None
     tables = [table]
     for size in range(ORDER - 1, 0, -1):  # the distinct symbols before each shorter sequence
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * size) - 1))
-        tables.insert(0, frames.cut(tables[0].groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("n"))))
-    model = Model(langs, [], [], [], [], np.zeros(len(langs), np.float32))
+        tables.insert(0, frames.cut(tables[0].groupBy("lang", _shorter(size + 1).alias("gram")).agg(F.count("*").alias("n"))))
+    model = Model(langs, [], [], [], [], np.zeros(len(langs), np.float32), [], [])
     for size, table in enumerate(tables, 1):
         _add(model, size, table)
     return model
 
 
+def _shorter(size: int) -> Column:
+    """A packed sequence of ``size`` symbols without its first."""
+    return F.col("gram").bitwiseAND(F.lit((1 << BITS * (size - 1)) - 1))
+
+
+def _before() -> Column:
+    """What stands before the last symbol."""
+    return F.shiftrightunsigned("gram", BITS)
+
+
 def _add(model: Model, size: int, table: DataFrame) -> None:
-    """Add the sequences of ``size`` symbols to a model of the shorter ones."""
-    n_langs = len(model.langs)
-    before = F.shiftrightunsigned("gram", BITS)
-    table = table.withColumn("before", before)
+    """Add the sequences of ``size`` symbols to a model of the shorter ones: all to the tables, the most frequent to what workers hold."""
     few = {r.lang: (r.one, r.two) for r in table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()}
-    discount = np.array([min(0.95, max(0.1, few[x][0] / (few[x][0] + 2 * few[x][1]) if few[x][1] else 0.5)) for x in model.langs])
-    kept = table.where(F.col("n") >= _least_count(table, CELLS // n_langs))
-    sums = table.groupBy("lang", "before").agg(F.sum("n").alias("total"))
-    rows = kept.join(sums, ["lang", "before"]).select("lang", "gram", "n", "total").toArrow()  # at most CELLS / languages
-    lang = np.searchsorted(model.langs, rows["lang"].to_numpy())
-    gram, n, total = (rows[c].to_numpy() for c in ("gram", "n", "total"))
-    gram = gram.view(U)
-    mass = (n - discount[lang]) / total
-    union, at = _sorted_by_hash(gram)
-    ends, end_at = _sorted_by_hash(gram >> U(BITS))
-    share, taken = np.zeros((len(union), n_langs)), np.zeros((len(ends), n_langs))
-    share[at, lang] = mass
-    np.add.at(taken, (end_at, lang), mass)
-    left = np.log(np.maximum(1 - taken, 1e-12))
+    discounts = {x: min(0.95, max(0.1, few[x][0] / (few[x][0] + 2 * few[x][1]) if few[x][1] else 0.5)) for x in model.langs}
+    less = F.col("n") - F.create_map(*(F.lit(v) for pair in discounts.items() for v in pair))[F.col("lang")]
+    table = table.select("lang", "gram", "n", less.alias("less"), _before().alias("before"))
+    each = lambda value: F.array(*(F.coalesce(F.sum(F.when(F.col("lang") == x, value)), F.lit(0.0)) for x in model.langs))
+    sums = frames.cut(table.groupBy("lang", "before").agg(F.sum("n").alias("total"), F.sum("less").alias("less")))
+    left = sums.groupBy("before").agg(each(F.col("less") / F.col("total")).alias("taken"))
+    left = frames.cut(left.select("before", F.transform("taken", lambda x: F.log(F.greatest(1 - x, F.lit(1e-12)))).alias("left")))
+    shares = table.join(sums.drop("less"), ["lang", "before"]).groupBy("gram").agg(F.sum("n").alias("n"), each(F.col("less") / F.col("total")).alias("share"))
     if size == 1:
         symbols = table.select("gram").distinct().count()
-        model.unknown = np.full(n_langs, -np.log(symbols + 1), dtype=np.float32)  # every symbol alike, and one never seen
-    lower = model.look_up(union & U((1 << BITS * (size - 1)) - 1), size - 1)
-    where, _ = _found(frames.mixed(ends), union >> U(BITS))
-    model.keys.append(frames.mixed(union))
-    model.chances.append(np.log(share + np.exp(lower + left[where])).astype(np.float32))
-    model.before.append(frames.mixed(ends))
-    model.weights.append(left.astype(np.float32))
+        model.unknown = np.full(len(model.langs), -np.log(symbols + 1), dtype=np.float32)  # every symbol alike, and one never seen
+        lower = shares.withColumn("lower", _unknown(model))
+    else:  # each sequence's end is one of the shorter
+        lower = shares.withColumn("shorter", _shorter(size)).join(model.tables[-1][0].select(F.col("gram").alias("shorter"), F.col("chances").alias("lower")), "shorter")
+    rest = F.zip_with("lower", "left", lambda x, y: F.exp(x + y))
+    chances = F.zip_with("share", rest, lambda x, y: F.log(x + y).cast("float"))
+    full = frames.cut(lower.withColumn("before", _before()).join(left, "before").select("gram", "n", chances.alias("chances")))
+    model.tables.append((full, left))
+    least = _least_count(full, CELLS // len(model.langs))
+    model.whole.append(least == 1)
+    _hold(model.keys, model.chances, full.where(F.col("n") >= least).select("gram", "chances"))  # at most CELLS / languages
+    _hold(model.before, model.weights, left if least == 1 else left.limit(0))  # no more than the sequences
+
+
+def _unknown(model: Model) -> Column:
+    return F.array(*(F.lit(float(x)).cast("float") for x in model.unknown))
+
+
+def _hold(keys: list[np.ndarray], values: list[np.ndarray], rows: DataFrame) -> None:
+    """Bring packed sequences and their arrays of numbers to the driver, in order of the sequences' hashes."""
+    got = rows.toArrow().combine_chunks()
+    hashes = frames.mixed(got.column(0).to_numpy().view(U))
+    order = np.argsort(hashes)
+    lists = got.column(1).combine_chunks()
+    keys.append(hashes[order])
+    values.append(lists.flatten().to_numpy().astype(np.float32).reshape(len(order), -1 if len(order) else 1)[order])
+
+
+def _from_tables(grams: DataFrame, model: Model, size: int = ORDER) -> DataFrame:
+    """``gram, chances`` of distinct packed sequences of ``size`` symbols, as :meth:`Model.look_up` has them where all are held."""
+    table, left = model.tables[size - 1]
+    at = frames.cut(grams.join(table.select("gram", "chances"), "gram", "left"))
+    rest = at.where("chances IS NULL").select("gram", _before().alias("before"), _shorter(size).alias("shorter"))
+    if size == 1:
+        rest = rest.withColumn("lower", _unknown(model))
+    else:
+        lower = _from_tables(rest.select(F.col("shorter").alias("gram")).distinct(), model, size - 1)
+        rest = rest.join(lower.withColumnsRenamed({"gram": "shorter", "chances": "lower"}), "shorter")
+    weighed = F.zip_with("lower", "left", lambda x, y: x + y.cast("float"))
+    rest = rest.join(left, "before", "left").select("gram", F.when(F.col("left").isNull(), F.col("lower")).otherwise(weighed).alias("chances"))
+    return at.where("chances IS NOT NULL").union(rest)
 
 
-def _sorted_by_hash(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ones in order of their hashes, and where each stands."""
-    _, first, at = np.unique(frames.mixed(grams), return_index=True, return_inverse=True)
-    return grams[first], at
+def _with_gaps(scored: DataFrame, model: Model) -> DataFrame:
+    """``scored`` with the sums of the sequences set aside, ``grams`` and how often, ``times``, added to ``logs``."""
+    scored = frames.cut(scored.withColumn("id", F.monotonically_increasing_id()))
+    gaps = scored.select("id", F.explode(F.arrays_zip("grams", "times")).alias("gap")).select("id", F.col("gap.grams").alias("gram"), F.col("gap.times").alias("n"))
+    found = frames.cut(_from_tables(gaps.select("gram").distinct(), model))
+    more = gaps.join(found, "gram").groupBy("id").agg(F.array(*(F.sum(F.col("n") * F.col("chances")[i].cast("double")) for i in range(len(model.langs)))).alias("more"))
+    logs = F.when(F.col("more").isNull(), F.col("logs")).otherwise(F.zip_with("logs", "more", lambda x, y: x + y))
+    return scored.join(more, "id", "left").withColumn("logs", logs).drop("id", "grams", "times", "more")
 
 
 def _scored(docs: DataFrame, keep: list[str] | None, model: Model, **others: Column) -> DataFrame:
     """``row``, ``others`` and the cross-entropy of each language (null without a letter), of whole texts."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = frames.packed(docs, keep, **others, text=F.col("text"))
+    whole_model = all(model.whole)
+
+    def lists(ends: np.ndarray, values: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=None if none is None else pa.array(none))
+
+    def set_aside(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[pa.Array]:
+        """``grams`` and ``times`` of each text from pairs of texts and sequences."""
+        text, grams = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, U))
+        order = np.lexsort((grams, text))
+        text, grams = text[order], grams[order]
+        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (grams[1:] != grams[:-1]))[: len(text)])
+        ends = np.searchsorted(text[first], np.arange(n + 1))
+        return [lists(ends, grams[first].view(np.int64)), lists(ends, np.diff(np.append(first, len(text))))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -260,20 +325,29 @@ def _scored(docs: DataFrame, keep: list[str] | None, model: Model, **others: Col
             for batch in frames.slices(whole, "text", 4 * TOGETHER):
                 n = batch.num_rows
                 sums, symbols, letters = np.zeros((n, len(model.langs))), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                aside: list[tuple[np.ndarray, np.ndarray]] = []
                 for codes, text in sequences(_strings(batch)):
                     symbols += np.bincount(text, minlength=n)
                     letters += np.bincount(text[(codes & U((1 << BITS) - 1)) != BOUNDARY], minlength=n)
                     for at in range(0, len(codes), step):
                         chance = model.look_up(codes[at : at + step])
+                        if not whole_model and (gap := np.isneginf(chance[:, 0])).any():
+                            aside.append((text[at : at + step][gap], codes[at : at + step][gap]))
+                            chance[gap] = 0
                         for i in range(len(model.langs)):
                             sums[:, i] += np.bincount(text[at : at + step], chance[:, i], n)
-                per = (-sums / np.maximum(symbols, 1)[:, None]).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(model.langs), pa.int32()), pa.array(per.ravel()), mask=pa.array(letters == 0))
+                logs = lists(np.arange(n + 1) * len(model.langs), sums.ravel(), letters == 0)
                 kept = [i for i, c in enumerate(batch.schema.names) if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), lists, pa.array(symbols)], names=[*(batch.schema.names[i] for i in kept), "entropies", "n_symbols"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), logs, pa.array(symbols), *([] if whole_model else set_aside(aside, n))], names=[*(batch.schema.names[i] for i in kept), *added])
 
     fields = [rows.schema["row"], *(rows.schema[c] for c in others)]
-    return rows.mapInArrow(run, frames.schema_of(fields, "entropies array<float>, n_symbols bigint"))
+    added = ["logs", "n_symbols", *([] if whole_model else ["grams", "times"])]
+    ddl = "logs array<double>, n_symbols bigint" + ("" if whole_model else ", grams array<bigint>, times array<bigint>")
+    scored = rows.mapInArrow(run, frames.schema_of(fields, ddl))
+    if not whole_model:
+        scored = _with_gaps(scored, model)
+    symbols = F.greatest("n_symbols", F.lit(1))
+    return scored.select("row", *others, F.transform("logs", lambda x: (-x / symbols).cast("float")).alias("entropies"), "n_symbols")
 
 
 def _verdict(scored: DataFrame, langs: list[str]) -> DataFrame:

@@ -117,6 +117,30 @@ def test_chances_add_up_after_pruning(small, monkeypatch):
         assert (np.exp(logs.astype(float)).sum(axis=0) <= 1 + 1e-5).all()
 
 
+def test_what_workers_cannot_hold_is_joined(spark, small, monkeypatch):
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat und die katze", "zzzq theq qthe", "", None, "漢 theq 漢", "a" * 50, "qqqq " * 9 + "der hut"])], "doc_id bigint, text string")
+    told = lambda model: {r.row.doc_id: (r.entropies, r.n_symbols) for r in languages._scored(odd, ["doc_id"], model).collect()}
+    want = told(languages.fitted(small))
+    for cells in (3 * 12, 3):
+        monkeypatch.setattr(languages, "CELLS", cells)
+        model = languages.fitted(small)
+        assert all(len(k) <= cells // 3 for k in model.keys) and not all(model.whole)
+        got = told(model)
+        assert got.keys() == want.keys()
+        for i, (entropies, n) in want.items():
+            assert got[i][1] == n and (got[i][0] is None) == (entropies is None)
+            assert np.allclose(got[i][0] or [], entropies or [], rtol=1e-6), (cells, i)
+
+
+def test_predictions_do_not_depend_on_what_workers_hold(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    whole = {r.doc_id: r for r in languages.predicted(docs).collect()}
+    monkeypatch.setattr(languages, "CELLS", 1000)
+    part = {r.doc_id: r for r in languages.predicted(docs).collect()}
+    assert whole.keys() == part.keys()
+    assert all(part[i].lang_pred == r.lang_pred and math.isclose(part[i].score, r.score, abs_tol=1e-3) and math.isclose(part[i].cross_entropy, r.cross_entropy, rel_tol=1e-5) for i, r in whole.items())
+
+
 def test_counts_cover_every_symbol(small, monkeypatch):
     whole = {(r.lang, r.gram): r.n for r in languages.counts(small.where("lang IS NOT NULL AND text IS NOT NULL")).collect()}
     want = Counter((lang, packed(g)) for lang, own in TEXTS.items() for t in own for g in grams_of(t))
