@@ -14,20 +14,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import frames
 
 MARK = "▁"
-#: Cuts whose ids one worker keeps at hand, their characters at most, and pairs of pieces known to fit; at most some 300 MB in all.
-CACHE, KEPT_CHARS, FITS = 500_000, 32, 1 << 19
+#: Cuts whose ids one worker keeps at hand, their characters at most, and pairs of pieces known to fit; at most some 120 MB in all.
+CACHE, KEPT_CHARS, FITS = 500_000, 32, 1 << 18
 #: Bytes of text worked on at once.
 PIECE = 4 << 20
 
@@ -65,7 +67,9 @@ class Codec:
         for b, i in self.bytes.items():
             self.out[i] = bytes([b])
         self.out[self.unknown] = " ⁇ ".encode()
-        self.names = [str(i) for i in range(len(model.pieces))]
+        self.kind = np.dtype(np.uint16 if len(self.out) <= 1 << 16 else np.uint32)
+        self.listed, self.raws = pa.array([b"%d," % i for i in range(len(self.out))], pa.binary()), pa.array(self.out, pa.binary())
+        self.spaced = np.array([b[:1] == b" " and i in self.text for i, b in enumerate(self.out)])
         self.split = self._splits()
         self.shorter: dict[int, int | None] = {}
         self.automaton = ahocorasick.Automaton()
@@ -73,8 +77,9 @@ class Codec:
             if i in self.split:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.fits: dict[int, bool] = {}  # by the left id in the upper half, the right one in the lower
+        self.front = MARK if self.prefix else ""  # what every cut begins with
+        self.known: dict[str, bytes] = {}  # ids of cuts, by what follows the front
 
     def merged(self, text: str) -> list[str]:
         """Merging by its definition: the highest-scored neighbours first, the leftmost of equals."""
@@ -116,9 +121,9 @@ class Codec:
         Both are taken apart, the later merge first, down to the characters at the border; had any pair there a merge
         of a rank before the one that made the smaller part disappear, the border would have been crossed.
         """
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 32 | right)
         if known is None:
-            known = self.fits[left, right] = self._compatible(left, right)
+            known = self.fits[left << 32 | right] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -183,7 +188,7 @@ class Codec:
             while at is not None:
                 to = pos + len(size[at])
                 if not dead[(to - first) >> 3] >> (to - first & 7) & 1:
-                    ok = last < 0 or fits.get((last, at))
+                    ok = last < 0 or fits.get(last << 32 | at)
                     if ok is None:
                         ok = self.compatible(last, at)
                     if ok:
@@ -204,24 +209,81 @@ class Codec:
             return []
         return _CUT.split((MARK if self.prefix else "") + text.replace(" ", MARK))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; a cut seen before is looked up."""
-        cut = [self.cuts(t) for t in texts]
-        new = [c for c in set().union(*cut) if c not in self.known]
-        for c in new:
-            self.known[c] = self._cut_ids(c)
-        get = self.known.__getitem__
-        out = [list(chain.from_iterable(map(get, c))) for c in cut]
-        if len(self.known) > CACHE:  # the frequent ones soon come back
-            self.known.clear()
-        else:
-            for c in new:
-                if len(c) > KEPT_CHARS:
-                    del self.known[c]
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of the cuts that ``parts`` and the front make; one seen before is looked up."""
+        out = list(map(self.known.get, parts))
+        code, room = self.kind.char, CACHE - len(self.known)
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = ids = array(code, self._cut_ids(self.front + parts[i])).tobytes()
+                if room > 0 and len(parts[i]) < KEPT_CHARS:  # the first to come stay, among them the frequent ones
+                    self.known[parts[i]] = ids
+                    room -= 1
         if len(self.fits) > FITS:
             self.fits.clear()
         return out
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts``, a string array without nulls, one after another, and the bounds of each text's.
+
+        The distinct parts between spaces are encoded; each is a cut, but in texts with marks of their own or with more
+        than one space at a place, which are cut by themselves.
+        """
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        kinds = split.flatten().dictionary_encode()
+        parts, which = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
+        odd_part = np.array([not (p and self.prefix) or MARK in p for p in parts], dtype=bool)
+        odd = np.add.reduceat(odd_part[which], bounds[:-1]) > 0 if len(which) else np.zeros(0, bool)
+        plain = np.repeat(~odd, np.diff(bounds))
+        used = np.zeros(len(parts), dtype=bool)
+        used[which[plain]] = True
+        found: list[bytes | None] = [None] * len(parts)
+        at = np.flatnonzero(used).tolist()
+        for i, ids in zip(at, self._ids_of([parts[i] for i in at]), strict=True):
+            found[i] = ids
+        raw, ends = _taken(pa.array(found, pa.binary()), kinds.indices)
+        ends = ends[bounds]
+        if odd.any():
+            own = iter(self._by_cuts(texts.filter(pa.array(odd)).to_pylist()))
+            lists = [next(own) if o else raw[i:j] for o, i, j in zip(odd.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            raw, ends = b"".join(lists), np.cumsum([0, *map(len, lists)])
+        return np.frombuffer(raw, self.kind), ends // self.kind.itemsize
+
+    def _by_cuts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, cut at its marks."""
+        lists = [[c[len(self.front) :] for c in self.cuts(t)] for t in texts]
+        parts = list(set().union(*lists))
+        ids = dict(zip(parts, self._ids_of(parts), strict=True))
+        return [b"".join(map(ids.__getitem__, x)) for x in lists]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        ids, bounds = self.encode_all(pa.array(texts, pa.string()))
+        return [ids[i:j].tolist() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def sums(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[list[str], list[str]]:
+        """SHA-256 of the decimal ids joined by commas and of the decoded text, for each of the texts that ``bounds`` parts."""
+        taken = pa.array(ids)
+        line, ends = _taken(self.listed, taken)
+        ends = ends[bounds].tolist()
+        listed = [hashlib.sha256(line[i : max(i, j - 1)]).hexdigest() for i, j in zip(ends, ends[1:], strict=False)]
+        raw, ends = _taken(self.raws, taken)
+        first = np.zeros(len(bounds) - 1, dtype=np.int64)
+        some = np.diff(bounds) > 0
+        if self.prefix:
+            first[some] = self.spaced[ids[bounds[:-1][some]]]
+        ends = ends[bounds]
+        decoded = []
+        for k, (i, j) in enumerate(zip((ends[:-1] + first).tolist(), ends[1:].tolist(), strict=True)):
+            own = raw[i:j]
+            try:
+                str(own, "utf-8")
+            except UnicodeDecodeError:
+                own = self.decode(ids[bounds[k] : bounds[k + 1]].tolist()).encode()
+            decoded.append(hashlib.sha256(own).hexdigest())
+        return listed, decoded
+
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: marks are spaces, the space in front goes, broken bytes become U+FFFD one by one."""
         raw = b"".join(map(self.out.__getitem__, ids))
@@ -233,6 +295,13 @@ class Codec:
             return re.sub("[\udc80-\udcff]", "�", raw.decode("utf-8", "surrogateescape"))
 
 
+def _taken(values: pa.Array, which: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of ``values`` at the places ``which``, one after another, and where each begins and the last ends."""
+    out = values.take(which)
+    ends = np.frombuffer(out.buffers()[1], np.int32)[out.offset : out.offset + len(out) + 1] if len(out) else np.zeros(1, np.int32)
+    return memoryview(out.buffers()[2] or b""), ends
+
+
 @lru_cache(maxsize=1)
 def codec_of(path: str) -> Codec:
     """A worker's codec, kept from task to task with the cuts it knows."""
@@ -247,34 +316,36 @@ def model_file(name: str) -> str:
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs(doc_id, text)``. ``model``: a file that every worker can read."""
-    return _over(docs, model, "doc_id bigint, ids array<int>", [pa.list_(pa.int32())], lambda codec, ids: (ids,))
+    return _over(docs, model, "doc_id bigint, ids array<int>", lambda codec, ids, bounds: [_lists(ids, bounds)])
+
+
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
 
 
-def _sums(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
-    listed = ",".join(map(codec.names.__getitem__, ids))
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+def _sums(codec: Codec, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.diff(bounds).astype(np.int64)), *(pa.array(x, pa.string()) for x in codec.sums(ids, bounds))]
 
 
 def round_trips(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs(doc_id, text)``."""
-    return _over(docs, model, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], _sums)
+    return _over(docs, model, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", _sums)
 
 
-def _over(docs: DataFrame, model: str, schema: str, kinds: list[pa.DataType], made) -> DataFrame:
+def _over(docs: DataFrame, model: str, schema: str, made) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_mapped(model, [f.split()[0] for f in schema.split(", ")][1:], kinds, made), schema)
+    return rows.mapInArrow(_mapped(model, [f.split()[0] for f in schema.split(", ")][1:], made), schema)
 
 
-def _mapped(model: str, names: list[str], kinds: list[pa.DataType], made):
-    """Batches without ``text`` and with what ``made`` says of each text's ids."""
+def _mapped(model: str, names: list[str], made):
+    """Batches without ``text`` and with the columns that ``made`` makes of the texts' ids and their bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in batches:
             kept = [i for i, n in enumerate(batch.schema.names) if n != "text"]
             for part in frames.slices(batch, "text", PIECE):
-                rows = [made(codec, ids) for ids in codec.encode(part.column("text").to_pylist())]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                cols = made(codec, *codec.encode_all(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *cols], names=[*(part.schema.names[i] for i in kept), *names])
 
     return run
@@ -284,9 +355,8 @@ def with_ids(rows: DataFrame, model: str) -> DataFrame:
     """``rows(row, ..., text)`` with the columns ``MADE`` in place of ``text``, which must not be null."""
     fields = [f for f in rows.schema if f.name != "text"]
 
-    def made(codec: Codec, ids: list[int]) -> tuple[int, list[int], str, str]:
-        n, *sums = _sums(codec, ids)
-        return n, ids, *sums
+    def made(codec: Codec, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        n, *sums = _sums(codec, ids, bounds)
+        return [n, _lists(ids, bounds), *sums]
 
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string()]
-    return rows.mapInArrow(_mapped(model, list(MADE), kinds, made), frames.schema_of(fields, "n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"))
+    return rows.mapInArrow(_mapped(model, list(MADE), made), frames.schema_of(fields, "n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"))

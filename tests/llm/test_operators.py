@@ -611,6 +611,17 @@ def test_pieces_against_the_library(docs, rows, none):
     assert pieces.encoded(docs.where("text = 'one'"), pieces.model_file(model_names()[1])).first().ids == sp.encode("one")
 
 
+def test_frequent_cuts_stay_known(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 50)
+    codec = pieces.Codec(pieces.model_file(model_names()[1]))
+    texts, calls, plain = ["alphabeta of gammadelta", "gammadelta  alphabeta"], [], codec._cut_ids
+    want = codec.encode(texts)
+    codec.encode([" ".join(f"w{i}x{i}" for i in range(200))])
+    monkeypatch.setattr(codec, "_cut_ids", lambda cut: calls.append(cut) or plain(cut))
+    assert codec.encode(texts) == want and not calls
+    assert len(codec.known) <= 50
+
+
 def test_piece_codec_on_random_texts(monkeypatch):
     import sentencepiece
 
