@@ -52,7 +52,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cut a record batch so that ``column`` holds about ``most`` bytes in each piece."""
+    """Cut a record batch so that ``column`` holds about ``most`` bytes in each piece.
+
+    After the last piece the worker, which Spark keeps for later tasks, gives unused memory of Arrow's back.
+    """
     array = batch.column(column)
     if batch.num_rows == 0:
         return
@@ -63,6 +66,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         last = min(last, batch.num_rows)
         yield batch.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from factloom.llm import frames
 
 MARK = "▁"
-#: Cuts whose ids one worker keeps at hand, their characters at most, and pairs of pieces known to fit; at most some 120 MB in all.
-CACHE, KEPT_CHARS, FITS = 500_000, 32, 1 << 18
+#: Cuts whose ids one worker keeps at hand, their characters at most, and pairs of pieces known to fit; at most some 40 MB in all.
+CACHE, KEPT_CHARS, FITS = 150_000, 32, 1 << 16
 #: Bytes of text worked on at once.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 #: Columns that :func:`with_ids` makes.
 MADE = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")

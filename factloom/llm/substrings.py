@@ -219,6 +219,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
             rows.append(row[1:])
     if rows:
         yield now, rows
+    rows = []
+    pa.default_memory_pool().release_unused()
 
 
 _PLACE = (("doc", np.int64), ("mark", np.uint32), ("start", np.uint32))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -622,6 +623,14 @@ def test_frequent_cuts_stay_known(monkeypatch):
     assert len(codec.known) <= 50
 
 
+def test_a_worker_keeps_few_cuts():
+    codec = pieces.Codec(pieces.model_file(model_names()[1]))
+    for k in range(3):
+        codec.encode([" ".join(f"{'abcdefgh'[i % 8]}{i}x" for i in range(k * 70_000, (k + 1) * 70_000))])
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in codec.known.items()) + sys.getsizeof(codec.known) + sys.getsizeof(codec.fits) + sum(map(sys.getsizeof, codec.fits))
+    assert held < 48 << 20
+
+
 def test_piece_codec_on_random_texts(monkeypatch):
     import sentencepiece
 
