@@ -628,7 +628,7 @@ def test_a_worker_keeps_few_cuts():
     for k in range(3):
         codec.encode([" ".join(f"{'abcdefgh'[i % 8]}{i}x" for i in range(k * 70_000, (k + 1) * 70_000))])
     held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in codec.known.items()) + sys.getsizeof(codec.known) + sys.getsizeof(codec.fits) + sum(map(sys.getsizeof, codec.fits))
-    assert held < 48 << 20
+    assert held < 32 << 20
 
 
 def test_piece_codec_on_random_texts(monkeypatch):
