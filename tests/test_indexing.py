@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import conventions as c
 from factloom.functions import text as t
-from factloom.operators import classify
+from factloom.operators import classify, extract
+from factloom.plans import indexing
 from factloom.sources import tree
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,29 @@ def test_texts_with_odd_line_breaks_are_the_same_files_as_in_sql(spark, tmp_path
     made = tree.source_tree(spark, str(tmp_path))
     assert sorted((r.path, r.content) for r in made.collect()) == sorted(want)
     assert "Filter regexp_replace" not in plan(made) and "isnotnull(CASE" not in plan(made)
+
+
+LUA = [
+    "local M = {}", "M = setmetatable({}, x)", "A=CreateFromMixins(B)", "N ={ }", "x = 1", "function M.a(x)", "function M:b (y)", "M.c = function(z)", "local function d(q)", "function e ()", "function\tf()", "self:a(1)", "M.c(2)", "d (3)", "e()", "f\t()",
+    "end", " end ", "\tend", "endless()", "weekend", "end -- x", "return M", "return x", "  return  M ", "returned", "local dep = require('a.b')", "require \"c\"", "require ( 'd.e' )", "local far = Loader:GetModule('X.Y')", "Loader.GetModule ( \"Z\" )", "-- prose", "", "if x then", "for i in y do", "local z",
+]
+
+
+def test_lua_says_the_same_by_its_telling_lines(spark):
+    texts = [LUA, LUA[::-1], LUA[::2] + LUA[1::2], LUA[::3] + LUA[2::3] + LUA[1::3], [x for line in LUA for x in ("function g()", line, "d()", "M.c()", "end", line)], [x for x in LUA if "end" not in x]]
+    rows = extract.lines(spark.createDataFrame([(f"{i}.lua", "\r\n".join(x)) for i, x in enumerate(texts)], "path string, content string"))
+    few = extract.lua_lines(rows)
+    assert few.count() < rows.count()
+    found = []
+    for some in (rows, few):
+        symbols = extract.lua_symbols(some)
+        found.append([sorted(map(str, df.collect())) for df in (symbols, extract.lua_imports(some), extract.lua_calls(some, symbols))])
+    assert found[0] == found[1] and all(found[0])
+
+
+def test_texts_of_lua_are_read_once(spark):
+    """Symbols, imports and calls go on from a checkpoint of the lines, not each from the texts."""
+    files = spark.createDataFrame([("a.lua", "local A = {}\nfunction A.b()\n  c()\nend\nfunction c()\nend\n")], "path string, content string")
+    found = indexing.facts(files)
+    assert "split(content" not in plan(found["edges"].where("type = 'calls'"))
+    assert [r.type for r in found["edges"].collect()].count("calls") == 1
