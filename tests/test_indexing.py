@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import conventions as c
 from factloom.functions import text as t
-from factloom.operators import classify, extract
+from factloom.operators import classify, extract, relational
 from factloom.plans import indexing
 from factloom.sources import tree
 
@@ -66,6 +66,31 @@ def test_texts_with_odd_line_breaks_are_the_same_files_as_in_sql(spark, tmp_path
     assert "Filter regexp_replace" not in plan(made) and "isnotnull(CASE" not in plan(made)
 
 
+def _all_shapes(imports, files, extensions=c.IMPORT_EXTENSIONS):
+    """Every shape of every import, tried one by one."""
+    base = t.normal_path(F.concat_ws("/", F.nullif(t.dirname(F.col("from_path")), F.lit("")), "spec"))
+    bare = F.regexp_replace(base, r"(?i)\.(jsx?|tsx?)$", "")
+    shapes = [base, bare, *(F.concat(b, F.lit(f"{mid}{e}")) for mid in (".", "/index.") for b in (base, bare) for e in extensions)]
+    tried = imports.where(F.col("spec").startswith(".")).select("import_id", F.posexplode(F.array(*shapes)).alias("pos", "path"))
+    return tried.join(files.select("path"), "path").groupBy("import_id").agg(F.min_by("path", "pos").alias("path"))
+
+
+def test_imports_mean_the_same_files_as_by_every_shape(spark):
+    names = ["", "a", "a.js", "a.JS", "a.tsx", "a.d", "a.d.ts", "index", "a/index", "a/index.js", "a.lua", "a.ts\n", "index.ts", ".ts", "a.", "a.js.ts", "a.js/index.ts", "b.jsx", "b.jsx.js", "b"]
+    every = [n + m for n in names for m in ("", ".ts", ".tsx", ".js", ".mts", ".cjs", ".TS", "/index.ts", "/index.js", "/index", "/x.ts")]
+    imports = spark.createDataFrame([(f"{f}|{x}", f, x) for f in ("src/m.ts", "m.ts", "src/a/m.ts") for n in names for x in ("./" + n, "../" + n, "." + n, n)] + [("null", None, "./a"), ("nospec", "m.ts", None)], "import_id string, from_path string, spec string")
+    for keep in (1, 2, 3, 5, 7):
+        paths = sorted({d + x for d in ("", "src/", "src/a/") for i, x in enumerate(every) if i % keep == 0 or keep == 7 and i % 5 == 1})
+        files = spark.createDataFrame([(x,) for x in [*paths, None]], "path string")
+        got, want = ({tuple(r) for r in find(imports, files).collect()} for find in (relational.import_candidates, _all_shapes))
+        assert got == want
+
+
+def test_a_file_path_is_made_once_an_import(spark):
+    imports, files = spark.createDataFrame([("1", "src/m.ts", "./a")], "import_id string, from_path string, spec string"), spark.createDataFrame([("src/a.ts",)], "path string")
+    assert plan(relational.import_candidates(imports.repartition(2), files)).count("aggregate(") == 1
+
+
 LUA = [
     "local M = {}", "M = setmetatable({}, x)", "A=CreateFromMixins(B)", "N ={ }", "x = 1", "function M.a(x)", "function M:b (y)", "M.c = function(z)", "local function d(q)", "function e ()", "function\tf()", "self:a(1)", "M.c(2)", "d (3)", "e()", "f\t()",
     "end", " end ", "\tend", "endless()", "weekend", "end -- x", "return M", "return x", "  return  M ", "returned", "local dep = require('a.b')", "require \"c\"", "require ( 'd.e' )", "local far = Loader:GetModule('X.Y')", "Loader.GetModule ( \"Z\" )", "-- prose", "", "if x then", "for i in y do", "local z",
