@@ -91,6 +91,16 @@ def test_a_file_path_is_made_once_an_import(spark):
     assert plan(relational.import_candidates(imports.repartition(2), files)).count("aggregate(") == 1
 
 
+def test_edges_of_other_types_are_not_made(spark):
+    """Degrees ask for imports and tests only; what declares, exports and contains is not made for them."""
+    files = spark.createDataFrame([("a.ts", "import { b } from './b';\nexport function a() {}\n"), ("b.ts", "export const b = 1;")], "path string, content string")
+    found = indexing.facts(files)["edges"]
+    assert {r.type for r in found.collect()} >= {"contains", "declares", "exports", "imports"}
+    kept = found.where("type IN ('imports', 'tests')")
+    assert {r.type for r in kept.collect()} == {"imports"}
+    assert not [x for x in ("contains", "declares", "exports") if x in plan(kept)]
+
+
 LUA = [
     "local M = {}", "M = setmetatable({}, x)", "A=CreateFromMixins(B)", "N ={ }", "x = 1", "function M.a(x)", "function M:b (y)", "M.c = function(z)", "local function d(q)", "function e ()", "function\tf()", "self:a(1)", "M.c(2)", "d (3)", "e()", "f\t()",
     "end", " end ", "\tend", "endless()", "weekend", "end -- x", "return M", "return x", "  return  M ", "returned", "local dep = require('a.b')", "require \"c\"", "require ( 'd.e' )", "local far = Loader:GetModule('X.Y')", "Loader.GetModule ( \"Z\" )", "-- prose", "", "if x then", "for i in y do", "local z",
