@@ -1,5 +1,7 @@
 """What the plans of the source tree and its facts hold, and how their parts behave on odd input."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,13 @@ def test_texts_of_lua_are_read_once(spark):
     found = indexing.facts(files)
     assert "split(content" not in plan(found["edges"].where("type = 'calls'"))
     assert [r.type for r in found["edges"].collect()].count("calls") == 1
+
+
+def test_only_texts_that_are_read_are_written(spark, monkeypatch):
+    texts = {"a.ts": "export const a = 1;", "b.lua": "local B = {}", "t/c.test.js": "it('x', () => {});", "d.md": "# D", "e.json": "{}", "f.py": "x = 1", "g.cs": "class G {}"}
+    written, real = [], indexing.cut
+    monkeypatch.setattr(indexing, "cut", lambda df: written.append(real(df)) or written[-1])
+    found = indexing.facts(spark.createDataFrame(list(texts.items()), "path string, content string"))
+    typed = next(x for x in written if "content" in x.columns)
+    assert {r.path: r.content for r in typed.collect()} == {p: x if p.endswith((".ts", ".lua", ".js")) else None for p, x in texts.items()}
+    assert {r.path: r.content_hash for r in found["hashes"].collect()} == {p: hashlib.sha256(x.encode()).hexdigest() for p, x in texts.items()}
